@@ -35,24 +35,22 @@ ROW = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 
 
 def as_pages(files: DataFrame) -> DataFrame:
-    """Whole files named ``…-<offset>.json``, each one array of rows."""
     return files.select(
-        F.regexp_extract("file_name", r"(\d+)\D*$", 1).try_cast("long").alias("page_offset"),
+        F.col("page_offset").cast("long").alias("page_offset"),
         F.lit(None).cast("long").alias("total_records"),
-        F.coalesce(F.from_json("value", T.ArrayType(ROW)), F.array().cast(T.ArrayType(ROW))).alias(
-            "rows"
-        ),
+        F.coalesce(
+            F.from_json("value", T.ArrayType(ROW)), F.array().cast(T.ArrayType(ROW))
+        ).alias("rows"),
     )
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path)
-    return as_pages(files.select("value", F.col("_metadata.file_name").alias("file_name")))
+    """Each file is one response, in a folder ``page_offset=<n>`` that names its place."""
+    return as_pages(spark.read.option("wholetext", True).text(path))
 
 
 def stream_pages(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.readStream.option("wholetext", True).text(path)
-    return as_pages(files.select("value", F.col("_metadata.file_name").alias("file_name")))
+    return as_pages(spark.readStream.option("wholetext", True).text(path))
 
 
 CITY = register_source(
