@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Characters that have no printable form of their own (the blank has).
 _UNPRINTABLE = r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"
+_SPECIAL = r"['\\]|" + _UNPRINTABLE
 
 
 def _escape_unprintable(text: Column) -> Column:
@@ -25,16 +26,22 @@ def _escape_unprintable(text: Column) -> Column:
     ).otherwise(text)
 
 
-def quoted(text: Column) -> Column:
-    """Text as a quoted literal, ``None`` for null."""
+def _escaped(text: Column) -> Column:
     body = text
     for raw, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = F.replace(body, F.lit(raw), F.lit(escaped))
-    body = _escape_unprintable(body)
     double = text.contains("'") & ~text.contains('"')
     literal = F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
     )
+    return _escape_unprintable(literal)
+
+
+def quoted(text: Column) -> Column:
+    """Text as a quoted literal, ``None`` for null; only text that needs it is escaped."""
+    literal = F.when(text.rlike(_SPECIAL), _escaped(text)).otherwise(
+        F.concat(F.lit("'"), text, F.lit("'"))
+    )
     return F.when(text.isNull(), "None").otherwise(literal)
 
 
@@ -44,7 +51,9 @@ def content_text(extracted: Column | str) -> Column:
     entries = F.array_sort(F.map_entries(extracted))
     pairs = F.transform(
         entries,
-        lambda e: F.concat(F.lit("("), quoted(e["key"]), F.lit(", "), quoted(e["value"]), F.lit(")")),
+        lambda e: F.concat(
+            F.lit("("), quoted(e["key"]), F.lit(", "), quoted(e["value"]), F.lit(")")
+        ),
     )
     return F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]"))
 

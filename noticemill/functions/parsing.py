@@ -15,15 +15,17 @@ VENDOR_SUFFIXES = (
     "group", "holdings", "plc", "lp", "llp",
 )
 
-# Accepted date shapes, each with the pattern that reads it. The shape is
-# tested first, so a row pays for one parse and never for a parse exception.
-DATE_SHAPES = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy",)),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy",)),
-    (r"^\p{L}+ \d{1,2}, \d{4}$", ("MMMM d, yyyy", "MMM d, yyyy")),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ("yyyy-M-d'T'H:m:s",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}Z$", ("yyyy-M-d'T'H:m:s'Z'",)),
+# Accepted date shapes. One pattern with optional parts reads them all; the shape is
+# tested first, so text of any other shape is never parsed.
+DATE_SHAPE = (
+    r"^(\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}:\d{1,2}Z?)?"
+    r"|\d{1,2}/\d{1,2}/\d{4}"
+    r"|\d{1,2}-\d{1,2}-\d{4}"
+    r"|\p{L}+ \d{1,2}, \d{4})$"
+)
+DATE_PATTERN = (
+    "[yyyy-M-d'T'H:m:s'Z'][yyyy-M-d'T'H:m:s][yyyy-M-d]"
+    "[M/d/yyyy][M-d-yyyy][MMMM d, yyyy][MMM d, yyyy]"
 )
 
 # Words that decide the status, tried in this order.
@@ -35,6 +37,11 @@ STATUS_WORDS = (
 )
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+# The characters that count as white space at the ends of a text.
+_ENDS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(value: Column | str) -> Column:
@@ -46,6 +53,11 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
+def strip(value: Column | str) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(_col(value), F.lit(_ENDS))
+
+
 def collapse_space(value: Column | str) -> Column:
     """Every run of white space becomes one blank; ends are stripped."""
     return F.trim(F.regexp_replace(_col(value), _SPACE, " "))
@@ -62,12 +74,7 @@ def normalize_vendor_name(value: Column | str) -> Column:
 def parse_date(value: Column | str) -> Column:
     """Timestamp from one of the accepted shapes, else null."""
     text = collapse_space(value)
-    parsed = None
-    for shape, patterns in DATE_SHAPES:
-        attempt = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
-        hit = text.rlike(shape)
-        parsed = F.when(hit, attempt) if parsed is None else parsed.when(hit, attempt)
-    return parsed.otherwise(F.lit(None).cast("timestamp"))
+    return F.when(text.rlike(DATE_SHAPE), F.try_to_timestamp(text, F.lit(DATE_PATTERN)))
 
 
 def parse_currency(value: Column | str) -> Column:

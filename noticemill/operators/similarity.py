@@ -19,6 +19,7 @@ products are computed; only pairs at or above the threshold leave a task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,127 +30,192 @@ from pyspark.sql import functions as F
 
 from noticemill.functions.stopwords import ENGLISH
 from noticemill.functions.text import document_text
-from noticemill.operators.tfidf import DEDUP_TERMS, weights
+from noticemill.operators.tfidf import DEDUP_TERMS, scaled
+from noticemill.session import written
 
 THRESHOLD = 0.85
 CHUNK = 512
+BATCH_BYTES = 32 << 20
 _SLACK = 1e-9  # rounding room for the pruning bound; the final test has none
 
 _CELL = np.dtype([("rank", "<i4"), ("weight", "<f8")])
-_LIST_SCHEMA = "rank int, id {id}, head double, vector binary"
-_PAIR_SCHEMA = "id_a {id}, id_b {id}, similarity double"
 
 
-def corpus(records: DataFrame, id_col: str, fields: Sequence[str] = ("title", "description")) -> DataFrame:
+def corpus(
+    records: DataFrame, id_col: str, fields: Sequence[str] = ("title", "description")
+) -> DataFrame:
     """(id, text) of the records."""
     return records.select(F.col(id_col).alias("id"), document_text(fields).alias("text"))
 
 
-def profiles(weighted: DataFrame) -> DataFrame:
-    """Per document: its vector from common to rare terms and a digest equal for copies."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "weight", "tf")))
-    gathered = weighted.groupBy("id").agg(
-        ordered.alias("terms"), F.min("tf").alias("least")
-    )  # at most max_terms entries each
-    shape = F.transform(
-        "terms",
-        lambda t: F.concat_ws(
-            ":", t["rank"].cast("string"), (t["tf"] / F.col("least")).cast("string")
-        ),
-    )
-    return gathered.select(
-        "id",
-        F.sha2(F.array_join(shape, " "), 256).alias("digest"),
-        F.transform("terms", lambda t: t["rank"]).alias("ranks"),
-        F.transform("terms", lambda t: t["weight"]).alias("weights"),
-    )
+def _arrow_type(df: DataFrame, column: str) -> tuple[str, pa.DataType]:
+    name = df.schema[column].dataType.simpleString()
+    return name, {"string": pa.string(), "int": pa.int32()}.get(name, pa.int64())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: digest of its shape, and its unit vector packed from common to rare."""
+    for batch in batches:
+        cells = batch.column("cells")
+        flat = cells.flatten()
+        rank, x, tf = (flat.field(i).to_numpy() for i in range(3))
+        ends = np.cumsum(cells.value_lengths().to_numpy())
+        digests, vectors, start = [], [], 0
+        for end in ends:
+            order = start + np.argsort(rank[start:end])
+            start = end
+            packed = np.empty(len(order), _CELL)
+            packed["rank"] = rank[order]
+            packed["weight"] = x[order] / np.sqrt(np.dot(x[order], x[order]))
+            ratio = tf[order] / tf[order].min()
+            shape = packed["rank"].tobytes() + ratio.tobytes()
+            digests.append(hashlib.sha256(shape).digest())
+            vectors.append(packed.tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())],
+            ["id", "digest", "vector"],
+        )
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """(id, digest, vector) from (id, rank, tf, x): digests are equal for proportional counts."""
+    cells = F.collect_list(F.struct("rank", "x", "tf"))  # at most max_terms entries
+    gathered = rows.groupBy("id").agg(cells.alias("cells"))
+    name, _ = _arrow_type(rows, "id")
+    return gathered.mapInArrow(_pack, f"id {name}, digest binary, vector binary")
+
+
+def _heads(vectors: pa.Array, threshold: float) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, int]]:
+    """Per vector: its row, bytes, ranks, heads, and the first place the pruning bound leaves."""
+    for row, packed in enumerate(vectors.to_pylist()):
+        cells = np.frombuffer(packed, _CELL)
+        head = np.sqrt(np.cumsum(cells["weight"] ** 2))
+        yield row, packed, cells["rank"], head, int(np.searchsorted(head, threshold - _SLACK))
 
 
-def _listed(threshold: float):
-    """Batch function: one row per document and term that the pruning bound leaves."""
+def _list_lengths(threshold: float):
+    """Batch function: (rank, n, top), counted per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranks, heads, vectors, source = [], [], [], []
-            rank_col, weight_col = batch.column("ranks"), batch.column("weights")
-            flat_rank = rank_col.flatten().to_numpy()
-            flat_weight = weight_col.flatten().to_numpy()
-            ends = np.cumsum(rank_col.value_lengths().to_numpy())
-            start = 0
-            for row, end in enumerate(ends):
-                rank, weight = flat_rank[start:end], flat_weight[start:end]
-                start = end
-                head = np.sqrt(np.cumsum(weight * weight))
-                first = int(np.searchsorted(head, threshold - _SLACK))
-                cells = np.empty(len(rank), _CELL)
-                cells["rank"], cells["weight"] = rank, weight
-                packed = cells.tobytes()
-                ranks.append(rank[first:])
-                heads.append(head[first:])
-                source.append(np.full(len(rank) - first, row))
-                vectors += [packed[: _CELL.itemsize * (k + 1)] for k in range(first, len(rank))]
-            if not vectors:
+            found = [
+                (rank[first:], head[first:])
+                for _, _, rank, head, first in _heads(batch.column("vector"), threshold)
+            ]
+            if not found:
                 continue
-            rows = pa.array(np.concatenate(source))
+            ranks = np.concatenate([f[0] for f in found])
+            heads = np.concatenate([f[1] for f in found])
+            seen, place = np.unique(ranks, return_inverse=True)
+            top = np.zeros(len(seen))
+            np.maximum.at(top, place, heads)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(ranks), pa.int32()),
-                    batch.column("id").take(rows),
-                    pa.array(np.concatenate(heads), pa.float64()),
-                    pa.array(vectors, pa.binary()),
-                ],
-                ["rank", "id", "head", "vector"],
+                [pa.array(seen, pa.int32()), pa.array(np.bincount(place), pa.int64()), pa.array(top)],
+                ["rank", "n", "top"],
             )
 
     return run
 
 
-def _dense(vectors: list[bytes]) -> np.ndarray:
+def _listed(threshold: float, id_type: pa.DataType):
+    """Batch function: one row per document and term that the pruning bound leaves, each with
+    the vector up to that term. Output is cut into batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = batch.column("id"), batch.column("n")
+            rows, ranks, heads, parts, held = [], [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                taken = pa.array(np.concatenate(rows))
+                return pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(ranks), pa.int32()),
+                        ids.take(taken),
+                        sizes.take(taken),
+                        pa.array(np.concatenate(heads), pa.float64()),
+                        pa.array(parts, pa.binary()),
+                    ],
+                    ["rank", "id", "n", "head", "vector"],
+                )
+
+            for row, packed, rank, head, first in _heads(batch.column("vector"), threshold):
+                rows.append(np.full(len(rank) - first, row))
+                ranks.append(rank[first:])
+                heads.append(head[first:])
+                for k in range(first, len(rank)):
+                    parts.append(packed[: _CELL.itemsize * (k + 1)])
+                    held += len(parts[-1])
+                if held > BATCH_BYTES:
+                    yield flush()
+                    rows, ranks, heads, parts, held = [], [], [], [], 0
+            if parts:
+                yield flush()
+
+    return run
+
+
+def _dense(vectors: pa.Array) -> np.ndarray:
     """Rows of the packed vectors over the terms that occur in them."""
-    cells = np.frombuffer(b"".join(vectors), _CELL)
-    lengths = np.array([len(v) for v in vectors]) // _CELL.itemsize
-    used = np.zeros(int(cells["rank"].max()) + 1, bool)
-    used[cells["rank"]] = True
+    packed = vectors.to_pylist()
+    cells = np.frombuffer(b"".join(packed), _CELL)
+    lengths = np.array([len(v) for v in packed]) // _CELL.itemsize
+    rank = np.ascontiguousarray(cells["rank"])
+    used = np.zeros(int(rank.max()) + 1, bool)
+    used[rank] = True
     place = np.cumsum(used) - 1
-    matrix = np.zeros((len(vectors), int(used.sum())))
-    matrix[np.repeat(np.arange(len(vectors)), lengths), place[cells["rank"]]] = cells["weight"]
+    matrix = np.zeros((len(packed), int(place[-1]) + 1))
+    matrix[np.repeat(np.arange(len(packed)), lengths), place[rank]] = cells["weight"]
     return matrix
 
 
 def _products(threshold: float, id_type: pa.DataType):
     """Group function: pairs of one list (or of two of its chunks) at or above the threshold."""
-
-    names = ["id_a", "id_b", "similarity"]
-    schema = pa.schema([(names[0], id_type), (names[1], id_type), (names[2], pa.float64())])
+    schema = pa.schema(
+        [
+            ("id_a", id_type),
+            ("id_b", id_type),
+            ("similarity", pa.float64()),
+            ("n_a", pa.int64()),
+            ("n_b", pa.int64()),
+        ]
+    )
 
     def run(table: pa.Table) -> pa.Table:
-        empty = schema.empty_table()
         side = table.column("side").to_numpy()
         head = table.column("head").to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = len(right) == 0
-        if same:
-            right = left
-        if len(left) == 0 or len(left) + len(right) < 2:
-            return empty
-        # no row can reach the threshold with a partner unless it does with the longest one
-        left = left[head[left] * head[right].max() >= threshold - _SLACK]
-        right = right[head[right] * head[left].max() >= threshold - _SLACK] if len(left) else left
-        if len(left) == 0 or len(right) == 0:
-            return empty
+        right = left if same else right
+        # a row whose head is too short for the longest one opposite has no partner here
+        if len(left):
+            right = right[head[right] * head[left].max() >= threshold - _SLACK]
+        if len(right):
+            left = left[head[left] * head[right].max() >= threshold - _SLACK]
+        if len(left) == 0 or len(right) == 0 or (same and len(left) < 2):
+            return schema.empty_table()
         rows = np.union1d(left, right)
-        matrix = _dense([v.as_py() for v in table.column("vector").take(pa.array(rows)).combine_chunks()])
+        matrix = _dense(table.column("vector").take(pa.array(rows)).combine_chunks())
         a, b = np.searchsorted(rows, left), np.searchsorted(rows, right)
-        i, j = np.nonzero(matrix[a] @ matrix[b].T >= threshold)
+        if same:
+            # two short heads cannot reach the threshold: one side needs a head of sqrt(threshold)
+            a = a[head[left] >= np.sqrt(threshold) - _SLACK]
+        product = matrix[a] @ matrix[b].T
+        i, j = np.nonzero(product >= threshold)
+        similarity = product[i, j]
         i, j = a[i], b[j]
         if same:
-            i, j = i[i < j], j[i < j]
+            keep = i != j
+            i, j, similarity = i[keep], j[keep], similarity[keep]
         if len(i) == 0:
-            return empty
-        similarity = np.einsum("ij,ij->i", matrix[i], matrix[j])
+            return schema.empty_table()
         ids = table.column("id").take(pa.array(rows)).combine_chunks()
-        return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(similarity)], schema=schema)
+        sizes = table.column("n").take(pa.array(rows)).combine_chunks()
+        first, second = pa.array(i), pa.array(j)
+        return pa.Table.from_arrays(
+            [ids.take(first), ids.take(second), pa.array(similarity), sizes.take(first), sizes.take(second)],
+            schema=schema,
+        )
 
     return run
 
@@ -157,21 +223,25 @@ def _products(threshold: float, id_type: pa.DataType):
 def prefix_pairs(
     vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK
 ) -> DataFrame:
-    """(id_a, id_b, similarity), id_a < id_b, from (id, ranks, weights), ids unique."""
-    id_field = vectors.schema["id"].dataType
-    lists = vectors.select("id", "ranks", "weights").mapInArrow(
-        _listed(threshold), _LIST_SCHEMA.format(id=id_field.simpleString())
+    """(id_a, id_b, similarity, n_a, n_b), id_a < id_b, from (id, n, vector), ids unique."""
+    name, id_type = _arrow_type(vectors, "id")
+    lengths = (
+        vectors.select("vector")
+        .mapInArrow(_list_lengths(threshold), "rank int, n long, top double")
+        .groupBy("rank")
+        .agg(F.sum("n").alias("length"), F.max("top").alias("top"))
+        .filter("length > 1")
     )
+    chunks = F.ceil(F.col("length") / F.lit(chunk)).cast("int")
     # one row per term of the vocabulary, which bounds the broadcast
-    longest = F.max("head").alias("top")
-    lengths = lists.groupBy("rank").agg(F.count("*").alias("n"), longest).filter("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
     cut = F.broadcast(lengths.select("rank", "top", chunks.alias("chunks")))
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    listed = vectors.select("id", "n", "vector").mapInArrow(
+        _listed(threshold, id_type), f"rank int, id {name}, n long, head double, vector binary"
+    )
     placed = (
-        lists.join(cut, "rank")
+        listed.join(cut, "rank")
         .filter(F.col("head") * F.col("top") >= threshold - _SLACK)
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
             "rank",
@@ -179,18 +249,27 @@ def prefix_pairs(
             F.greatest("own", "other").alias("q"),
             (F.col("own") > F.col("other")).cast("int").alias("side"),
             "id",
+            "n",
             "head",
             "vector",
         )
     )
-    id_type = pa.string() if id_field.simpleString() == "string" else pa.int64()
     found = placed.groupBy("rank", "p", "q").applyInArrow(
-        _products(threshold, id_type), _PAIR_SCHEMA.format(id=id_field.simpleString())
+        _products(threshold, id_type),
+        f"id_a {name}, id_b {name}, similarity double, n_a long, n_b long",
     )
     # a pair may show up in several lists; the list of its rarest shared term has the whole product
-    return found.groupBy(
-        F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")
-    ).agg(F.max("similarity").alias("similarity"))
+    swap = F.col("id_a") > F.col("id_b")
+    sorted_pair = found.select(
+        F.least("id_a", "id_b").alias("id_a"),
+        F.greatest("id_a", "id_b").alias("id_b"),
+        "similarity",
+        F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
+        F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"),
+    )
+    return sorted_pair.groupBy("id_a", "id_b", "n_a", "n_b").agg(
+        F.max("similarity").alias("similarity")
+    )
 
 
 @dataclass
@@ -256,23 +335,14 @@ def find_duplicates(
     stop_words: Sequence[str] = ENGLISH,
 ) -> Duplicates:
     """All pairs of records whose texts have a cosine similarity of at least ``threshold``."""
-    weighted = weights(corpus(records, id_col, fields), max_terms, stop_words)
-    shaped = profiles(weighted)
-    groups = shaped.groupBy("digest").agg(
-        F.min("id").alias("profile"),
-        F.count("*").alias("n"),
-        F.min_by(F.struct("ranks", "weights"), "id").alias("vector"),
-    )
-    vectors = groups.select(F.col("profile").alias("id"), "vector.ranks", "vector.weights")
-    sizes = groups.select("profile", "n")
-    members = (
-        shaped.select("id", "digest")
-        .join(groups.select("digest", "profile", "n"), "digest")
-        .select("id", "profile", "n")
-    )
-    pairs = (
-        prefix_pairs(vectors, threshold)
-        .join(sizes.select(F.col("profile").alias("id_a"), F.col("n").alias("n_a")), "id_a")
-        .join(sizes.select(F.col("profile").alias("id_b"), F.col("n").alias("n_b")), "id_b")
+    documents = corpus(records, id_col, fields)
+    # read by the pairs, the members and the counts
+    shaped = written(profiles(scaled(documents, max_terms, stop_words)), "profiles")
+    first = F.min("id").alias("profile")
+    sizes = shaped.groupBy("digest").agg(first, F.count("*").alias("n"))
+    members = shaped.select("id", "digest").join(sizes, "digest").select("id", "profile", "n")
+    vectors = shaped.groupBy("digest").agg(
+        F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("vector", "id").alias("vector")
     )
+    pairs = prefix_pairs(vectors, threshold)
     return Duplicates(members, pairs.select("id_a", "id_b", "similarity", "n_a", "n_b"))

@@ -41,20 +41,31 @@ def vocabulary(posted: DataFrame, max_terms: int = DEDUP_TERMS) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(by_df) - 1)
 
 
-def weights(
+def scaled(
     documents: DataFrame,
     max_terms: int = DEDUP_TERMS,
     stop_words: Sequence[str] = ENGLISH,
 ) -> DataFrame:
-    """(id, term, rank, tf, weight): tf × (ln((1+n)/(1+df)) + 1), each document of length 1.
-
-    A document without a vocabulary term has no rows.
-    """
+    """(id, term, rank, tf, x): x = tf × (ln((1+n)/(1+df)) + 1), not yet normalized."""
     posted = postings(documents, stop_words)
     n = documents.agg(F.count("*").alias("n")).scalar()
     idf = F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1
     # bounded by max_terms rows
-    terms = F.broadcast(vocabulary(posted, max_terms).select("term", "rank", "df"))
-    scaled = posted.join(terms, "term").withColumn("x", F.col("tf") * idf)
+    terms = vocabulary(posted, max_terms).select("term", "rank", idf.alias("idf"))
+    return posted.join(F.broadcast(terms), "term").select(
+        "id", "term", "rank", "tf", (F.col("tf") * F.col("idf")).alias("x")
+    )
+
+
+def weights(
+    documents: DataFrame,
+    max_terms: int = DEDUP_TERMS,
+    stop_words: Sequence[str] = ENGLISH,
+) -> DataFrame:
+    """(id, term, rank, tf, weight) with each document's vector of length 1.
+
+    A document without a vocabulary term has no rows.
+    """
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
-    return scaled.select("id", "term", "rank", "tf", (F.col("x") / length).alias("weight"))
+    rows = scaled(documents, max_terms, stop_words)
+    return rows.select("id", "term", "rank", "tf", (F.col("x") / length).alias("weight"))
