@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that have no printable form of their own (the blank has).
+# Characters that have no printable form of their own (the blank has), by the JVM's Unicode
+# tables: characters newer than those count as unprintable.
 _UNPRINTABLE = r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"
 _SPECIAL = r"['\\]|" + _UNPRINTABLE
 

@@ -43,9 +43,9 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customer = table(spark, sf_dir, "customer")
     key = F.col("o_orderkey")
-    posted = F.lit("not a date")
-    for i, (form, _) in reversed(list(enumerate(_DATE_FORMS))):
-        posted = F.when(key % 8 == i, F.date_format("o_orderdate", form)).otherwise(posted)
+    forms = F.array(*[F.lit(form) for form, _ in _DATE_FORMS])
+    written = F.call_function("date_format", F.col("o_orderdate"), F.get(forms, key % 8))
+    posted = F.coalesce(written, F.lit("not a date"))
     price = F.format_number("o_totalprice", 2)
     amount = (
         F.when(key % 4 == 0, F.concat(F.lit("$"), price))
