@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,28 +41,37 @@ def _escaped(text: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """Text as a quoted literal, ``None`` for null; only text that needs it is escaped."""
-    literal = F.when(text.rlike(_SPECIAL), _escaped(text)).otherwise(
-        F.concat(F.lit("'"), text, F.lit("'"))
-    )
-    return F.when(text.isNull(), "None").otherwise(literal)
-
-
-def content_text(extracted: Column | str) -> Column:
-    """The entries of the map, sorted by key, written as a list of quoted pairs."""
-    extracted = F.col(extracted) if isinstance(extracted, str) else extracted
-    entries = F.array_sort(F.map_entries(extracted))
-    pairs = F.transform(
-        entries,
-        lambda e: F.concat(
-            F.lit("("), quoted(e["key"]), F.lit(", "), quoted(e["value"]), F.lit(")")
-        ),
-    )
-    return F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]"))
+    """Text as a quoted literal, ``None`` for null.
+
+    Only text that needs it is escaped, and in a lambda, which keeps the common path short.
+    """
+    escaped = F.get(F.transform(F.array(text), _escaped), F.lit(0))
+    plain = F.concat(F.lit("'"), text, F.lit("'"))
+    return F.coalesce(F.when(text.rlike(_SPECIAL), escaped).otherwise(plain), F.lit("None"))
+
+
+def _pair(key: Column, value: Column) -> Column:
+    return F.concat(F.lit("("), key, F.lit(", "), value, F.lit(")"))
+
+
+def content_text(extracted: Column | str | Mapping[str, Column]) -> Column:
+    """The entries, sorted by key, written as a list of quoted pairs.
+
+    Takes a map column, or the columns by key where the keys are known.
+    """
+    if isinstance(extracted, Mapping):
+        pairs = [_pair(F.lit(repr(k)), quoted(v)) for k, v in sorted(extracted.items())]
+        text = F.concat_ws(", ", *pairs)
+    else:
+        extracted = F.col(extracted) if isinstance(extracted, str) else extracted
+        entries = F.array_sort(F.map_entries(extracted))
+        pairs = F.transform(entries, lambda e: _pair(quoted(e["key"]), quoted(e["value"])))
+        text = F.array_join(pairs, ", ")
+    return F.concat(F.lit("["), text, F.lit("]"))
 
 
-def content_hash(extracted: Column | str) -> Column:
-    """SHA-256 of the map's entries; equal maps give equal hashes in any entry order."""
+def content_hash(extracted: Column | str | Mapping[str, Column]) -> Column:
+    """SHA-256 of the entries; equal maps give equal hashes in any entry order."""
     return F.sha2(content_text(extracted), 256)
 
 

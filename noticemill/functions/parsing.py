@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,8 +74,9 @@ def normalize_vendor_name(value: Column | str) -> Column:
 
 def parse_date(value: Column | str) -> Column:
     """Timestamp from one of the accepted shapes, else null."""
-    text = collapse_space(value)
-    return F.when(text.rlike(DATE_SHAPE), F.try_to_timestamp(text, F.lit(DATE_PATTERN)))
+    # nullif keeps its input in a step of its own, so the text is put in shape once
+    shaped = F.nullif(F.regexp_extract(collapse_space(value), DATE_SHAPE, 0), F.lit(""))
+    return F.try_to_timestamp(shaped, F.lit(DATE_PATTERN))
 
 
 def parse_currency(value: Column | str) -> Column:
@@ -89,9 +91,7 @@ def status_from_text(text: Column, word_boundary: bool = False) -> Column:
         if word_boundary:
             hit = text.rlike(r"(?U)\b(" + "|".join(words) + ")")
         else:
-            hit = F.lit(False)
-            for word in words:
-                hit = hit | text.contains(word)
+            hit = reduce(Column.__or__, [text.contains(word) for word in words])
         status = F.when(hit, label) if status is None else status.when(hit, label)
     return status.otherwise("unknown")
 

@@ -45,6 +45,19 @@ def _ranges(batch: DataFrame, keys: Sequence[str], order: Sequence[str], hash_co
     )
 
 
+def _single(batch: DataFrame, keys: Sequence[str], order: Sequence[str], hash_col: str) -> DataFrame:
+    """The same for a batch with one row per key."""
+    end = F.struct(F.struct(*order).alias("_seq"), F.col(hash_col).alias("_hash"))
+    return batch.select(
+        *keys,
+        F.lit(0).alias("_part"),
+        F.lit(1).cast("long").alias("_rows"),
+        F.lit(0).cast("long").alias("_inner"),
+        end.alias("_first"),
+        end.alias("_last"),
+    ).withColumn("_changed_at", F.when(F.lit(False), F.col("_first._seq")))
+
+
 def merge_actions(
     batch: DataFrame,
     stored: DataFrame,
@@ -52,13 +65,15 @@ def merge_actions(
     order: Sequence[str],
     hash_col: str = "content_hash",
     force: bool = False,
+    one_row_per_key: bool = False,
 ) -> DataFrame:
     """Per key of the batch: rows, writes, skips, action, new version, place of the last write.
 
     ``stored`` is the current table with the keys, the hash and optionally ``version`` and
-    ``created_at``. ``force`` writes every row, changed or not.
+    ``created_at``. ``force`` writes every row, changed or not. ``one_row_per_key`` says that the
+    batch has no repeated key, which saves putting its rows in order.
     """
-    ranges = _ranges(batch, keys, order, hash_col)
+    ranges = (_single if one_row_per_key else _ranges)(batch, keys, order, hash_col)
     kept = [c for c in ("version", "created_at") if c in stored.columns]
     current = stored.select(
         *keys,
@@ -111,13 +126,14 @@ def merge_changes(
     versioned: bool = False,
     now: Column | None = None,
     force: bool = False,
+    one_row_per_key: bool = False,
 ) -> DataFrame:
     """The rows a batch writes: per changed key its last written row.
 
     With ``versioned`` the row gets its new version, ``updated_at`` = now, and the
     ``created_at`` of the first version.
     """
-    actions = merge_actions(batch, stored, keys, order, hash_col, force)
+    actions = merge_actions(batch, stored, keys, order, hash_col, force, one_row_per_key)
     written = actions.filter(F.col("n_writes") > 0).select(
         *keys,
         "_written_at",

@@ -156,16 +156,17 @@ def _listed(threshold: float, id_type: pa.DataType):
 
 
 def _dense(vectors: pa.Array) -> np.ndarray:
-    """Rows of the packed vectors over the terms that occur in them."""
+    """Rows of the packed vectors over the terms at least two of them have."""
     packed = vectors.to_pylist()
     cells = np.frombuffer(b"".join(packed), _CELL)
     lengths = np.array([len(v) for v in packed]) // _CELL.itemsize
     rank = np.ascontiguousarray(cells["rank"])
-    used = np.zeros(int(rank.max()) + 1, bool)
-    used[rank] = True
-    place = np.cumsum(used) - 1
+    shared = np.bincount(rank) > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[rank]
     matrix = np.zeros((len(packed), int(place[-1]) + 1))
-    matrix[np.repeat(np.arange(len(packed)), lengths), place[rank]] = cells["weight"]
+    row = np.repeat(np.arange(len(packed)), lengths)
+    matrix[row[kept], place[rank[kept]]] = cells["weight"][kept]
     return matrix
 
 
@@ -225,9 +226,9 @@ def prefix_pairs(
 ) -> DataFrame:
     """(id_a, id_b, similarity, n_a, n_b), id_a < id_b, from (id, n, vector), ids unique."""
     name, id_type = _arrow_type(vectors, "id")
+    vectors = vectors.select("id", "n", "vector")  # the same columns twice: one shuffle serves both
     lengths = (
-        vectors.select("vector")
-        .mapInArrow(_list_lengths(threshold), "rank int, n long, top double")
+        vectors.mapInArrow(_list_lengths(threshold), "rank int, n long, top double")
         .groupBy("rank")
         .agg(F.sum("n").alias("length"), F.max("top").alias("top"))
         .filter("length > 1")
@@ -235,7 +236,7 @@ def prefix_pairs(
     chunks = F.ceil(F.col("length") / F.lit(chunk)).cast("int")
     # one row per term of the vocabulary, which bounds the broadcast
     cut = F.broadcast(lengths.select("rank", "top", chunks.alias("chunks")))
-    listed = vectors.select("id", "n", "vector").mapInArrow(
+    listed = vectors.mapInArrow(
         _listed(threshold, id_type), f"rank int, id {name}, n long, head double, vector binary"
     )
     placed = (

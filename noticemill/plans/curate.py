@@ -137,15 +137,14 @@ def curate(
     order = ("content_hash",)
     # neither the merge decision nor the near-duplicates need the category
     plain, _ = split_valid(normal)
-    actions = merge_actions(plain, stored, CANONICAL_KEY, order, force=force)
+    how = {"force": force, "one_row_per_key": True}
+    actions = merge_actions(plain, stored, CANONICAL_KEY, order, **how)
     written = actions.agg(F.coalesce(F.sum("n_writes"), F.lit(0)).alias("n")).scalar()
     flagged = find_duplicates(plain, "record_id", threshold).pair_count()
     summary = plain.agg(F.count("*").alias("processed")).select(
         "processed", written.alias("upserted"), flagged.scalar().alias("duplicates_flagged")
     )
-    changes = merge_changes(
-        valid, stored, CANONICAL_KEY, order, versioned=True, now=now, force=force
-    )
+    changes = merge_changes(valid, stored, CANONICAL_KEY, order, versioned=True, now=now, **how)
     return Curated(valid, quarantine, changes, summary)
 
 

@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 
 from noticemill.functions.hashing import content_hash
 
-PAGE = "page_offset long, total_records long, rows array<...>"
-
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -66,11 +64,18 @@ def pages_to_read(pages: DataFrame) -> DataFrame:
     )
 
 
+def extracted_values(mapping: Mapping[str, str]) -> dict[str, Column]:
+    """The extracted keys in mapping order; a missing value becomes ``""``."""
+    return {
+        key: F.coalesce(F.col(column).cast("string"), F.lit("")) for key, column in mapping.items()
+    }
+
+
 def extracted_map(mapping: Mapping[str, str]) -> Column:
-    """Map of the extracted keys in mapping order; a missing value becomes ``""``."""
+    """The same as one map column."""
     entries = []
-    for key, column in mapping.items():
-        entries += [F.lit(key), F.coalesce(F.col(column).cast("string"), F.lit(""))]
+    for key, value in extracted_values(mapping).items():
+        entries += [F.lit(key), value]
     return F.create_map(*entries)
 
 
@@ -89,9 +94,9 @@ def records(spec: SourceSpec, rows: DataFrame, as_of: date | None = None) -> Dat
             spec.url().alias("source_url"),
             F.lit(None).cast("string").alias("raw_html"),
             extracted_map(spec.mapping).alias("extracted"),
+            content_hash(extracted_values(spec.mapping)).alias("content_hash"),
             "seq",
         )
-        .withColumn("content_hash", content_hash("extracted"))
     )
 
 

@@ -118,10 +118,10 @@ def raw_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderdate").alias("fetched_at"),
             F.lit(None).cast("string").alias("raw_html"),
             F.create_map(*entries).alias("extracted"),
+            content_hash({field: F.col(field) for field in _FIELDS}).alias("content_hash"),
             "agency",
             "o_orderkey",
         )
-        .withColumn("content_hash", content_hash("extracted"))
     )
 
 
