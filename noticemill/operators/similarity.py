@@ -273,18 +273,40 @@ def prefix_pairs(
     )
 
 
-@dataclass
+@dataclass(frozen=True)
 class Duplicates:
-    """``members``: (id, profile, n) for every document with a vector, where ``profile`` is the
-    smallest id of its copies and ``n`` their number. ``pairs``: (id_a, id_b, similarity, n_a,
-    n_b) over profiles."""
+    """Result of the search.
 
-    members: DataFrame
+    ``pairs`` is (id_a, id_b, similarity, n_a, n_b) over profiles: a profile stands for documents
+    with the same vector, goes by the smallest id among them, and n is their number. ``shaped``
+    is the table (id, digest, vector) of all documents that have a vector.
+    """
+
+    shaped: DataFrame
     pairs: DataFrame
 
+    def sizes(self) -> DataFrame:
+        """(digest, profile, n), one row per profile."""
+        return self.shaped.groupBy("digest").agg(
+            F.min("id").alias("profile"), F.count("*").alias("n")
+        )
+
+    def _with_ids(self, per_profile: DataFrame) -> DataFrame:
+        """Rows per profile, with a column ``digest``, given to each of its documents.
+
+        One profile may hold a third of the documents. The small side is written out first, so
+        that both sides of the join are plain shuffles, which AQE can split.
+        """
+        rows = written(per_profile, "per-profile")
+        return self.shaped.select("id", "digest").join(rows, "digest").drop("digest")
+
+    def members(self) -> DataFrame:
+        """(id, profile, n) for every document that has a vector."""
+        return self._with_ids(self.sizes())
+
     def copies(self) -> DataFrame:
         """(id, copy_of, n): every document that has an earlier copy."""
-        later = self.members.filter(F.col("id") != F.col("profile"))
+        later = self._with_ids(self.sizes().filter("n > 1")).filter("id <> profile")
         return later.select("id", F.col("profile").alias("copy_of"), "n")
 
     def pair_count(self) -> DataFrame:
@@ -292,33 +314,45 @@ class Duplicates:
         between = self.pairs.agg(
             F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("k")
         ).scalar()
-        within = self.members.filter(F.col("id") == F.col("profile")).agg(
-            F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("k")
-        )
+        inside = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+        within = self.sizes().agg(F.coalesce(F.sum(inside), F.lit(0)).alias("k"))
         return within.select((F.col("k") + between).alias("n_pairs"))
 
     def partner_counts(self) -> DataFrame:
         """(id, n_partners) for every document that has a near-duplicate."""
-        sides = self.pairs.select(F.col("id_a").alias("profile"), F.col("n_b").alias("k")).unionAll(
-            self.pairs.select(F.col("id_b").alias("profile"), F.col("n_a").alias("k"))
+        around = (
+            self.pairs.select(
+                F.explode(
+                    F.array(
+                        F.struct(F.col("id_a").alias("profile"), F.col("n_b").alias("k")),
+                        F.struct(F.col("id_b").alias("profile"), F.col("n_a").alias("k")),
+                    )
+                ).alias("side")
+            )
+            .groupBy("side.profile")
+            .agg(F.sum("side.k").alias("k"))
         )
-        around = sides.groupBy("profile").agg(F.sum("k").alias("k"))
         partners = F.col("n") - 1 + F.coalesce(F.col("k"), F.lit(0))
-        counted = self.members.join(around, "profile", "left").select("id", partners.alias("n_partners"))
-        return counted.filter(F.col("n_partners") > 0)
+        counted = self.sizes().join(around, "profile", "left")
+        return self._with_ids(
+            counted.select("digest", partners.alias("n_partners")).filter("n_partners > 0")
+        )
 
     def partners_of(self, ids: DataFrame) -> DataFrame:
         """(id, partner, similarity) for the given ids (column ``id``), partners written out."""
-        mine = self.members.join(ids.select("id"), "id", "left_semi").select("id", "profile")
-        linked = self.pairs.select("id_a", "id_b", "similarity").unionAll(
-            self.pairs.select(F.col("id_b"), F.col("id_a"), "similarity")
-        )
-        others = mine.join(
-            linked.select(F.col("id_a").alias("profile"), F.col("id_b").alias("near"), "similarity"),
-            "profile",
-        ).select("id", "near", "similarity")
+        members = written(self.members(), "members").select("id", "profile")
+        mine = members.join(ids.select("id"), "id", "left_semi")
+        linked = self.pairs.select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("id_a").alias("profile"), F.col("id_b").alias("near"), "similarity"),
+                    F.struct(F.col("id_b").alias("profile"), F.col("id_a").alias("near"), "similarity"),
+                )
+            ).alias("link")
+        ).select("link.*")
+        others = mine.join(linked, "profile").select("id", "near", "similarity")
         same = mine.select("id", F.col("profile").alias("near"), F.lit(1.0).alias("similarity"))
-        spread = self.members.select(F.col("profile").alias("near"), F.col("id").alias("partner"))
+        spread = members.select(F.col("profile").alias("near"), F.col("id").alias("partner"))
         return (
             others.unionAll(same)
             .join(spread, "near")
@@ -337,13 +371,10 @@ def find_duplicates(
 ) -> Duplicates:
     """All pairs of records whose texts have a cosine similarity of at least ``threshold``."""
     documents = corpus(records, id_col, fields)
-    # read by the pairs, the members and the counts
+    # the one pass over the texts; everything else starts from this table
     shaped = written(profiles(scaled(documents, max_terms, stop_words)), "profiles")
-    first = F.min("id").alias("profile")
-    sizes = shaped.groupBy("digest").agg(first, F.count("*").alias("n"))
-    members = shaped.select("id", "digest").join(sizes, "digest").select("id", "profile", "n")
     vectors = shaped.groupBy("digest").agg(
         F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("vector", "id").alias("vector")
     )
     pairs = prefix_pairs(vectors, threshold)
-    return Duplicates(members, pairs.select("id_a", "id_b", "similarity", "n_a", "n_b"))
+    return Duplicates(shaped, pairs.select("id_a", "id_b", "similarity", "n_a", "n_b"))

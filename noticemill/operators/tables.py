@@ -43,8 +43,16 @@ class RecordTable:
                 found.append(int(match.group(1)))
         return sorted(found)
 
-    def _read(self, spark: SparkSession, folder: str) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
+    def _read(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        """Rows of the folders, with their number as the column of the folder's name."""
+        kind = folders[0].split("=")[0]
+        schema = T.StructType([*self.schema.fields, T.StructField(kind, T.LongType())])
+        reader = spark.read.schema(schema).option("basePath", self.path)
+        return reader.parquet(*[f"{self.path}/{folder}" for folder in folders])
+
+    def read_batch(self, spark: SparkSession, batch: int) -> DataFrame:
+        """The rows one batch wrote."""
+        return self._read(spark, [f"batch={batch}"]).drop("batch")
 
     def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """One row per key; ``before`` leaves out batches with that number or a later one."""
@@ -52,24 +60,20 @@ class RecordTable:
         bases = [n for n in self._folders(spark, "base") if n < limit]
         base_at = bases[-1] if bases else -1
         batches = [n for n in self._folders(spark, "batch") if base_at < n < limit]
-        base = (
-            self._read(spark, f"base={base_at}") if bases else spark.createDataFrame([], self.schema)
-        )
+        base = self._read(spark, [f"base={base_at}"]).drop("base") if bases else None
         if not batches:
-            return base
-        deltas = [self._read(spark, f"batch={n}").withColumn("_batch", F.lit(n)) for n in batches]
-        if len(deltas) == 1:
-            newest = deltas[0].drop("_batch")
-        else:
-            union = deltas[0]
-            for delta in deltas[1:]:
-                union = union.unionByName(delta)
+            return spark.createDataFrame([], self.schema) if base is None else base
+        newest = self._read(spark, [f"batch={n}" for n in batches])
+        if len(batches) > 1:
             whole = F.struct(*self.schema.fieldNames())
             newest = (
-                union.groupBy(*self.keys)
-                .agg(F.max_by(whole, "_batch").alias("_row"))
+                newest.groupBy(*self.keys)
+                .agg(F.max_by(whole, "batch").alias("_row"))
                 .select("_row.*")
             )
+        newest = newest.drop("batch")
+        if base is None:
+            return newest
         kept = base.join(newest.select(*self.keys), list(self.keys), "left_anti")
         return kept.unionByName(newest)
 

@@ -21,7 +21,7 @@ from noticemill.functions.parsing import (
 from noticemill.operators.classify import predict
 from noticemill.operators.merge import merge_actions, merge_changes
 from noticemill.operators.quality import split_valid
-from noticemill.operators.similarity import THRESHOLD, find_duplicates
+from noticemill.operators.similarity import THRESHOLD, Duplicates, find_duplicates
 from noticemill.operators.tables import RecordTable
 from noticemill.schemas import CANONICAL_KEY
 
@@ -109,15 +109,60 @@ def only_new(raw: DataFrame, stored: DataFrame) -> DataFrame:
     return raw.join(known, same, "left_anti")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Curated:
-    """``records``: valid canonical rows of this run; ``quarantine``: the others with reasons;
-    ``changes``: rows to write; ``summary``: processed, upserted, duplicates_flagged."""
-
-    records: DataFrame
-    quarantine: DataFrame
-    changes: DataFrame
-    summary: DataFrame
+    """One curate run over raw records; every part is planned when it is asked for."""
+
+    normal: DataFrame
+    stored: DataFrame
+    model: PipelineModel
+    now: Column | None
+    threshold: float
+    force: bool
+
+    def valid(self) -> DataFrame:
+        return split_valid(self.normal)[0]
+
+    def quarantine(self) -> DataFrame:
+        """Rows that fail validation, with their reasons."""
+        return split_valid(self.normal)[1]
+
+    def records(self) -> DataFrame:
+        """All valid records of the run, classified."""
+        return classify_records(self.valid(), self.model)
+
+    def changes(self) -> DataFrame:
+        """The canonical rows to write. What is unchanged is skipped by its content hash, so only
+        the rows that are written get classified."""
+        written = merge_changes(
+            self.valid(), self.stored, CANONICAL_KEY, _ORDER, versioned=True, now=self.now,
+            force=self.force, one_row_per_key=True,
+        )
+        return classify_records(written, self.model)
+
+    def duplicates(self) -> Duplicates:
+        """Near-duplicates among the records; they are reported, never merged."""
+        return find_duplicates(self.valid(), "record_id", self.threshold)
+
+    def summary(self, upserted: DataFrame | None = None) -> DataFrame:
+        """One row: processed, upserted, duplicates_flagged. ``upserted`` may give the one-value
+        count of rows already written."""
+        if upserted is None:
+            actions = merge_actions(
+                self.valid(), self.stored, CANONICAL_KEY, _ORDER, force=self.force,
+                one_row_per_key=True,
+            )
+            upserted = actions.agg(F.coalesce(F.sum("n_writes"), F.lit(0)).alias("n"))
+        flagged = self.duplicates().pair_count()
+        return self.valid().agg(F.count("*").alias("processed")).select(
+            "processed",
+            upserted.scalar().alias("upserted"),
+            flagged.scalar().alias("duplicates_flagged"),
+        )
+
+
+# raw keys are unique, so a record has one row and its order does not matter
+_ORDER = ("content_hash",)
 
 
 def curate(
@@ -128,24 +173,8 @@ def curate(
     threshold: float = THRESHOLD,
     force: bool = False,
 ) -> Curated:
-    """Normalize, classify, look for near-duplicates, and work out what to write.
-
-    Near-duplicates are reported, never merged. Raw keys are unique, so each record has one row.
-    """
-    normal = to_canonical(raw, now=now)
-    valid, quarantine = split_valid(classify_records(normal, model))
-    order = ("content_hash",)
-    # neither the merge decision nor the near-duplicates need the category
-    plain, _ = split_valid(normal)
-    how = {"force": force, "one_row_per_key": True}
-    actions = merge_actions(plain, stored, CANONICAL_KEY, order, **how)
-    written = actions.agg(F.coalesce(F.sum("n_writes"), F.lit(0)).alias("n")).scalar()
-    flagged = find_duplicates(plain, "record_id", threshold).pair_count()
-    summary = plain.agg(F.count("*").alias("processed")).select(
-        "processed", written.alias("upserted"), flagged.scalar().alias("duplicates_flagged")
-    )
-    changes = merge_changes(valid, stored, CANONICAL_KEY, order, versioned=True, now=now, **how)
-    return Curated(valid, quarantine, changes, summary)
+    """Normalize, classify, look for near-duplicates, and work out what to write."""
+    return Curated(to_canonical(raw, now=now), stored, model, now, threshold, force)
 
 
 def process(
@@ -166,5 +195,6 @@ def process(
     if incremental:
         rows = only_new(rows, stored)
     done = curate(rows, stored, model, now)
-    canonical.write_batch(done.changes, batch)
-    return done.summary
+    canonical.write_batch(done.changes(), batch)
+    upserted = canonical.read_batch(spark, batch).agg(F.count("*").alias("n"))
+    return done.summary(upserted)

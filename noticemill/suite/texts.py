@@ -176,7 +176,7 @@ def process_summary(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(v.NOW).cast("timestamp").alias("created_at"),
     )
     model = train_from_seed(spark)
-    return curate(raw, stored, model, now=F.lit(v.NOW).cast("timestamp")).summary
+    return curate(raw, stored, model, now=F.lit(v.NOW).cast("timestamp")).summary()
 
 
 PROCESS_SUMMARY = f"""WITH {PAIRS}
@@ -191,7 +191,7 @@ def curated_records(spark: SparkSession, sf: str) -> DataFrame:
     done = curate(
         _raw_documents(spark, sf), empty, train_from_seed(spark), now=F.lit(v.NOW).cast("timestamp")
     )
-    return done.changes.select(
+    return done.changes().select(
         "record_id", "source_name", "source_id", "title",
         F.length("description").alias("n_chars"), "status", "currency", "version",
         F.col("category_confidence").between(0, 1).alias("confidence_ok"),

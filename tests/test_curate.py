@@ -56,11 +56,11 @@ def test_curate(spark, model):
     same = {"title": "Highway bridge construction", "description": "road paving project"}
     rows = raw(spark, ("1", same), ("2", same), ("3", {"title": "Cloud software cybersecurity"}))
     done = curate(rows, spark.createDataFrame([], CANONICAL), model)
-    summary = done.summary.first()
+    summary = done.summary().first()
     assert (summary.processed, summary.upserted, summary.duplicates_flagged) == (3, 3, 1)
-    got = {r.source_id: (r.category, r.version) for r in done.changes.collect()}
+    got = {r.source_id: (r.category, r.version) for r in done.changes().collect()}
     assert got == {"1": ("construction", 1), "2": ("construction", 1), "3": ("it_services", 1)}
-    assert as_json(done.summary).first().summary == (
+    assert as_json(done.summary()).first().summary == (
         '{"processed":3,"upserted":3,"duplicates_flagged":1}'
     )
 

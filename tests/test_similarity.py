@@ -61,7 +61,7 @@ def frame(spark, texts):
 def expanded(duplicates):
     """All document pairs, from the profile pairs and the members."""
     groups = {}
-    for r in duplicates.members.collect():
+    for r in duplicates.members().collect():
         groups.setdefault(r.profile, []).append(r.id)
         assert r.profile <= r.id
     found = {}
