@@ -13,8 +13,11 @@ documents with head(t) >= threshold need to be listed there. Each list row carri
 to t, so the task that holds a list computes the products itself, as one matrix product.
 
 **Long lists are cut.** A list longer than CHUNK rows is split by hash into chunks, and each pair
-of chunks is a task group of its own, so no group exceeds 2 × CHUNK rows whatever the skew. All
-products are computed; only pairs at or above the threshold leave a task.
+of chunks is a task group of its own, so no group exceeds 2 × CHUNK rows whatever the skew. A list
+longer than LONG_LIST rows, where that would copy rows too often, is first listed again by the two
+rarest shared terms: the same bound holds with the vector up to the second one plus the first one's
+weight, and such lists are shorter by the share of documents that have the second term. Nothing is
+left out; only pairs at or above the threshold leave a task.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,7 @@ from noticemill.session import written
 
 THRESHOLD = 0.85
 CHUNK = 512
+LONG_LIST = 64 * CHUNK
 BATCH_BYTES = 32 << 20
 _SLACK = 1e-9  # rounding room for the pruning bound; the final test has none
 
@@ -85,76 +90,135 @@ def profiles(rows: DataFrame) -> DataFrame:
     return gathered.mapInArrow(_pack, f"id {name}, digest binary, vector binary")
 
 
-def _heads(vectors: pa.Array, threshold: float) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, int]]:
-    """Per vector: its row, bytes, ranks, heads, and the first place the pruning bound leaves."""
-    for row, packed in enumerate(vectors.to_pylist()):
-        cells = np.frombuffer(packed, _CELL)
-        head = np.sqrt(np.cumsum(cells["weight"] ** 2))
-        yield row, packed, cells["rank"], head, int(np.searchsorted(head, threshold - _SLACK))
+def _heads(packed: bytes, threshold: float, extra: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ranks, heads, and the first place the pruning bound leaves. ``extra`` is the squared
+    weight that counts towards every head."""
+    cells = np.frombuffer(packed, _CELL)
+    head = np.sqrt(np.cumsum(cells["weight"] ** 2) + extra)
+    return cells["rank"], head, int(np.searchsorted(head, threshold - _SLACK))
 
 
-def _list_lengths(threshold: float):
-    """Batch function: (rank, n, top), counted per batch."""
+def _split_last(packed: bytes) -> tuple[bytes, bytes, float]:
+    """The vector before its last term, the last cell, and its weight."""
+    body, last = packed[: -_CELL.itemsize], packed[-_CELL.itemsize :]
+    return body, last, float(np.frombuffer(last, _CELL)["weight"][0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                (rank[first:], head[first:])
-                for _, _, rank, head, first in _heads(batch.column("vector"), threshold)
-            ]
-            if not found:
-                continue
-            ranks = np.concatenate([f[0] for f in found])
-            heads = np.concatenate([f[1] for f in found])
-            seen, place = np.unique(ranks, return_inverse=True)
-            top = np.zeros(len(seen))
-            np.maximum.at(top, place, heads)
+
+class _Lists:
+    """Collects list rows and hands them out in batches of bounded size."""
+
+    names = ("rank", "second", "id", "n", "head", "vector")
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.ids, self.sizes = batch.column("id"), batch.column("n")
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.ranks, self.seconds, self.heads, self.vectors = [], [], [], [], []
+        self.held = 0
+
+    def add(
+        self, row: int, ranks: np.ndarray, seconds: np.ndarray, heads: np.ndarray, vectors: list[bytes]
+    ) -> None:
+        self.rows.append(np.full(len(heads), row))
+        self.ranks.append(ranks)
+        self.seconds.append(seconds)
+        self.heads.append(heads)
+        self.vectors += vectors
+        self.held += sum(map(len, vectors))
+
+    def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        if self.vectors and self.held >= least:
+            taken = pa.array(np.concatenate(self.rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seen, pa.int32()), pa.array(np.bincount(place), pa.int64()), pa.array(top)],
-                ["rank", "n", "top"],
+                [
+                    pa.array(np.concatenate(self.ranks), pa.int32()),
+                    pa.array(np.concatenate(self.seconds), pa.int32()),
+                    self.ids.take(taken),
+                    self.sizes.take(taken),
+                    pa.array(np.concatenate(self.heads), pa.float64()),
+                    pa.array(self.vectors, pa.binary()),
+                ],
+                list(self.names),
             )
+            self.clear()
 
-    return run
+
+def _same(value: int, like: np.ndarray) -> np.ndarray:
+    return np.full(len(like), value, np.int32)
 
 
-def _listed(threshold: float, id_type: pa.DataType):
+def _listed(threshold: float):
     """Batch function: one row per document and term that the pruning bound leaves, each with
-    the vector up to that term. Output is cut into batches of bounded size."""
+    the vector up to that term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes = batch.column("id"), batch.column("n")
-            rows, ranks, heads, parts, held = [], [], [], [], 0
-
-            def flush() -> pa.RecordBatch:
-                taken = pa.array(np.concatenate(rows))
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(ranks), pa.int32()),
-                        ids.take(taken),
-                        sizes.take(taken),
-                        pa.array(np.concatenate(heads), pa.float64()),
-                        pa.array(parts, pa.binary()),
-                    ],
-                    ["rank", "id", "n", "head", "vector"],
-                )
+            lists = _Lists(batch)
+            for row, packed in enumerate(batch.column("vector").to_pylist()):
+                ranks, heads, first = _heads(packed, threshold)
+                ends = range(_CELL.itemsize * (first + 1), len(packed) + 1, _CELL.itemsize)
+                ranks, heads = ranks[first:], heads[first:]
+                lists.add(row, ranks, _same(-1, ranks), heads, [packed[:end] for end in ends])
+                yield from lists.flush(BATCH_BYTES)
+            yield from lists.flush()
+
+    return run
 
-            for row, packed, rank, head, first in _heads(batch.column("vector"), threshold):
-                rows.append(np.full(len(rank) - first, row))
-                ranks.append(rank[first:])
-                heads.append(head[first:])
-                for k in range(first, len(rank)):
-                    parts.append(packed[: _CELL.itemsize * (k + 1)])
-                    held += len(parts[-1])
-                if held > BATCH_BYTES:
-                    yield flush()
-                    rows, ranks, heads, parts, held = [], [], [], [], 0
-            if parts:
-                yield flush()
+
+def _listed_deeper(threshold: float):
+    """Batch function: rows of long lists, listed again by the next shared term as well.
+
+    The row for terms (t, u) carries the vector up to u and the cell of t. It is kept where the
+    length of that reaches the threshold; the row for t alone, where the weight of t does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = _Lists(batch)
+            listed = zip(batch.column("rank").to_pylist(), batch.column("vector").to_pylist())
+            for row, (rank, packed) in enumerate(listed):
+                body, last, weight = _split_last(packed)
+                if weight >= threshold - _SLACK:
+                    alone = np.array([weight])
+                    lists.add(row, _same(rank, alone), _same(-1, alone), alone, [last])
+                ranks, heads, first = _heads(body, threshold, weight**2)
+                ends = range(_CELL.itemsize * (first + 1), len(body) + 1, _CELL.itemsize)
+                ranks, heads = ranks[first:], heads[first:]
+                vectors = [body[:end] + last for end in ends]
+                lists.add(row, _same(rank, ranks), ranks, heads, vectors)
+                yield from lists.flush(BATCH_BYTES)
+            yield from lists.flush()
 
     return run
 
 
+def _lengths(lists: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rank, second, n, top) per batch of list rows: their number and the longest head."""
+    for batch in lists:
+        grouped = (
+            pa.Table.from_batches([batch.select(["rank", "second", "head"])])
+            .group_by(["rank", "second"])
+            .aggregate([("head", "count"), ("head", "max")])
+            .rename_columns(["rank", "second", "n", "top"])
+        )
+        yield from grouped.to_batches()
+
+
+def _list_lengths(rows: DataFrame, lister) -> DataFrame:
+    """(rank, second, length, top) of every list with two rows or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _lengths(lister(batches))
+
+    counted = rows.mapInArrow(run, "rank int, second int, n long, top double")
+    return (
+        counted.groupBy("rank", "second")
+        .agg(F.sum("n").alias("length"), F.max("top").alias("top"))
+        .filter("length > 1")
+    )
+
+
 def _dense(vectors: pa.Array) -> np.ndarray:
     """Rows of the packed vectors over the terms at least two of them have."""
     packed = vectors.to_pylist()
@@ -221,31 +285,18 @@ def _products(threshold: float, id_type: pa.DataType):
     return run
 
 
-def prefix_pairs(
-    vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK
-) -> DataFrame:
-    """(id_a, id_b, similarity, n_a, n_b), id_a < id_b, from (id, n, vector), ids unique."""
-    name, id_type = _arrow_type(vectors, "id")
-    vectors = vectors.select("id", "n", "vector")  # the same columns twice: one shuffle serves both
-    lengths = (
-        vectors.mapInArrow(_list_lengths(threshold), "rank int, n long, top double")
-        .groupBy("rank")
-        .agg(F.sum("n").alias("length"), F.max("top").alias("top"))
-        .filter("length > 1")
-    )
+def _cut(rows: DataFrame, lengths: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """List rows with the pair of chunks (p, q) each takes part in; a short list is one chunk."""
     chunks = F.ceil(F.col("length") / F.lit(chunk)).cast("int")
-    # one row per term of the vocabulary, which bounds the broadcast
-    cut = F.broadcast(lengths.select("rank", "top", chunks.alias("chunks")))
-    listed = vectors.mapInArrow(
-        _listed(threshold, id_type), f"rank int, id {name}, n long, head double, vector binary"
-    )
-    placed = (
-        listed.join(cut, "rank")
+    known = lengths.select("rank", "second", "top", chunks.alias("chunks"))
+    return (
+        rows.join(known, ["rank", "second"])
         .filter(F.col("head") * F.col("top") >= threshold - _SLACK)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
             "rank",
+            "second",
             F.least("own", "other").alias("p"),
             F.greatest("own", "other").alias("q"),
             (F.col("own") > F.col("other")).cast("int").alias("side"),
@@ -255,11 +306,35 @@ def prefix_pairs(
             "vector",
         )
     )
-    found = placed.groupBy("rank", "p", "q").applyInArrow(
+
+
+def prefix_pairs(
+    vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK, long_list: int = LONG_LIST
+) -> DataFrame:
+    """(id_a, id_b, similarity, n_a, n_b), id_a < id_b, from (id, n, vector), ids unique."""
+    name, id_type = _arrow_type(vectors, "id")
+    row_schema = f"rank int, second int, id {name}, n long, head double, vector binary"
+    lister, deeper = _listed(threshold), _listed_deeper(threshold)
+    # at most one row per term of the vocabulary, which bounds the broadcasts
+    lengths = written(_list_lengths(vectors, lister), "list-lengths")
+    listed = vectors.mapInArrow(lister, row_schema)
+    short = lengths.filter(F.col("length") <= long_list)
+    placed = _cut(listed, F.broadcast(short), threshold, chunk)
+    long = lengths.filter(F.col("length") > long_list)
+    if not long.isEmpty():
+        of_long = listed.join(F.broadcast(long.select("rank", "top")), "rank").filter(
+            F.col("head") * F.col("top") >= threshold - _SLACK
+        )
+        of_long = of_long.select("rank", "id", "n", "vector")
+        # as many lists as pairs of terms: joined by a shuffle that AQE can split
+        pair_lengths = written(_list_lengths(of_long, deeper), "pair-list-lengths")
+        refined = of_long.mapInArrow(deeper, row_schema)
+        placed = placed.unionByName(_cut(refined, pair_lengths, threshold, chunk))
+    found = placed.groupBy("rank", "second", "p", "q").applyInArrow(
         _products(threshold, id_type),
         f"id_a {name}, id_b {name}, similarity double, n_a long, n_b long",
     )
-    # a pair may show up in several lists; the list of its rarest shared term has the whole product
+    # a pair may show up in several lists; the one of its rarest shared terms has the whole product
     swap = F.col("id_a") > F.col("id_b")
     sorted_pair = found.select(
         F.least("id_a", "id_b").alias("id_a"),
@@ -275,15 +350,23 @@ def prefix_pairs(
 
 @dataclass(frozen=True)
 class Duplicates:
-    """Result of the search.
-
-    ``pairs`` is (id_a, id_b, similarity, n_a, n_b) over profiles: a profile stands for documents
-    with the same vector, goes by the smallest id among them, and n is their number. ``shaped``
-    is the table (id, digest, vector) of all documents that have a vector.
-    """
+    """Result of the search over ``shaped``, the table (id, digest, vector) of all documents that
+    have a vector. A profile stands for documents with the same vector, goes by the smallest id
+    among them, and n is their number."""
 
     shaped: DataFrame
-    pairs: DataFrame
+    threshold: float = THRESHOLD
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(id_a, id_b, similarity, n_a, n_b) over profiles."""
+        vectors = self.shaped.groupBy("digest").agg(
+            F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("vector", "id").alias("vector")
+        )
+        found = prefix_pairs(
+            written(vectors.select("id", "n", "vector"), "vectors"), self.threshold
+        )
+        return found.select("id_a", "id_b", "similarity", "n_a", "n_b")
 
     def sizes(self) -> DataFrame:
         """(digest, profile, n), one row per profile."""
@@ -373,8 +456,4 @@ def find_duplicates(
     documents = corpus(records, id_col, fields)
     # the one pass over the texts; everything else starts from this table
     shaped = written(profiles(scaled(documents, max_terms, stop_words)), "profiles")
-    vectors = shaped.groupBy("digest").agg(
-        F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("vector", "id").alias("vector")
-    )
-    pairs = prefix_pairs(vectors, threshold)
-    return Duplicates(shaped, pairs.select("id_a", "id_b", "similarity", "n_a", "n_b"))
+    return Duplicates(shaped, threshold)

@@ -88,14 +88,17 @@ def test_pairs_equal_brute_force(spark, seed, threshold, terms):
     assert {r.id: r.n_partners for r in duplicates.partner_counts().collect()} == counts
 
 
-def test_cut_lists_give_the_same_pairs(spark):
-    texts = sample(4, n=120, copies=10)
+@pytest.mark.parametrize(("threshold", "chunk", "long_list"), [(0.6, 7, 1000), (0.6, 7, 20), (0.3, 5, 10), (0.85, 64, 3)])
+def test_cut_and_refined_lists_give_the_same_pairs(spark, threshold, chunk, long_list):
+    texts = {**sample(4, n=120, copies=10), 500: "solo " * 9, 501: "solo " * 9 + "w00", 502: "solo"}
+    _, wanted = brute(texts, threshold)
     shaped = profiles(scaled(corpus(frame(spark, texts), "doc"), stop_words=()))
     vectors = shaped.selectExpr("id", "1L AS n", "vector")
-    whole = {(r.id_a, r.id_b) for r in prefix_pairs(vectors, 0.6).collect()}
-    cut = [(r.id_a, r.id_b) for r in prefix_pairs(vectors, 0.6, chunk=7).collect()]
-    assert len(cut) == len(set(cut))
-    assert set(cut) == whole
+    rows = prefix_pairs(vectors, threshold, chunk, long_list).collect()
+    got = {(r.id_a, r.id_b): r.similarity for r in rows}
+    assert len(rows) == len(got)
+    assert set(got) == set(wanted)
+    assert all(abs(got[p] - wanted[p]) < 1e-9 for p in wanted)
 
 
 def test_partners_of_chosen_documents(spark):
