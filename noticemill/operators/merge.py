@@ -104,7 +104,7 @@ def merge_actions(
         .otherwise("update")
     )
     old_version = F.col("_old.version") if "version" in kept else F.lit(0)
-    result = per_key.select(
+    return per_key.select(
         *keys,
         "n_rows",
         "n_writes",
@@ -114,33 +114,29 @@ def merge_actions(
         "_written_at",
         *([F.col("_old.created_at").alias("_old_created_at")] if "created_at" in kept else []),
     )
-    return result
 
 
-def merge_changes(
+def apply_actions(
     batch: DataFrame,
-    stored: DataFrame,
+    actions: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    hash_col: str = "content_hash",
     versioned: bool = False,
     now: Column | None = None,
-    force: bool = False,
-    one_row_per_key: bool = False,
 ) -> DataFrame:
-    """The rows a batch writes: per changed key its last written row.
+    """The rows of the batch that ``actions`` (from ``merge_actions``) write: per changed key its
+    last written row.
 
     With ``versioned`` the row gets its new version, ``updated_at`` = now, and the
     ``created_at`` of the first version.
     """
-    actions = merge_actions(batch, stored, keys, order, hash_col, force, one_row_per_key)
     written = actions.filter(F.col("n_writes") > 0).select(
         *keys,
         "_written_at",
         "new_version",
         *[c for c in actions.columns if c == "_old_created_at"],
     )
-    on = list(keys) + ["_written_at"]
+    on = [*keys, "_written_at"]
     rows = batch.withColumn("_written_at", F.struct(*order)).join(written, on)
     if versioned:
         now = F.current_timestamp() if now is None else now
@@ -156,6 +152,22 @@ def merge_changes(
     return rows.drop("_written_at", "new_version", "_old_created_at")
 
 
+def merge_changes(
+    batch: DataFrame,
+    stored: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    hash_col: str = "content_hash",
+    versioned: bool = False,
+    now: Column | None = None,
+    force: bool = False,
+    one_row_per_key: bool = False,
+) -> DataFrame:
+    """The rows a batch writes: ``merge_actions`` applied to the batch."""
+    actions = merge_actions(batch, stored, keys, order, hash_col, force, one_row_per_key)
+    return apply_actions(batch, actions, keys, order, versioned, now)
+
+
 def snapshot(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The table after the merge: rows whose key did not change, and the changes."""
     kept = stored.join(changes.select(*keys), list(keys), "left_anti")

@@ -24,6 +24,7 @@ from noticemill.operators.quality import split_valid
 from noticemill.operators.similarity import THRESHOLD, Duplicates, find_duplicates
 from noticemill.operators.tables import RecordTable
 from noticemill.schemas import CANONICAL_KEY
+from noticemill.session import size_shuffles
 
 # The extracted keys each canonical field is read from, first filled one wins.
 ALIASES: Mapping[str, Sequence[str]] = {
@@ -144,16 +145,18 @@ class Curated:
         """Near-duplicates among the records; they are reported, never merged."""
         return find_duplicates(self.valid(), "record_id", self.threshold)
 
-    def summary(self, upserted: DataFrame | None = None) -> DataFrame:
+    def summary(
+        self, upserted: DataFrame | None = None, duplicates: Duplicates | None = None
+    ) -> DataFrame:
         """One row: processed, upserted, duplicates_flagged. ``upserted`` may give the one-value
-        count of rows already written."""
+        count of rows already written, ``duplicates`` a search already made."""
         if upserted is None:
             actions = merge_actions(
                 self.valid(), self.stored, CANONICAL_KEY, _ORDER, force=self.force,
                 one_row_per_key=True,
             )
             upserted = actions.agg(F.coalesce(F.sum("n_writes"), F.lit(0)).alias("n"))
-        flagged = self.duplicates().pair_count()
+        flagged = (duplicates or self.duplicates()).pair_count()
         return self.valid().agg(F.count("*").alias("processed")).select(
             "processed",
             upserted.scalar().alias("upserted"),
@@ -188,8 +191,10 @@ def process(
 ) -> DataFrame:
     """Run over the whole raw table and write canonical batch ``batch``; returns the summary.
 
-    ``incremental`` looks only at raw records that are new or changed.
+    ``incremental`` looks only at raw records that are new or changed. Near-duplicates are looked
+    for in the table as it is after the write, where every record of the raw table has its text.
     """
+    size_shuffles(spark, raw.path, canonical.path)
     stored = canonical.read(spark, before=batch)
     rows = raw.read(spark)
     if incremental:
@@ -197,4 +202,4 @@ def process(
     done = curate(rows, stored, model, now)
     canonical.write_batch(done.changes(), batch)
     upserted = canonical.read_batch(spark, batch).agg(F.count("*").alias("n"))
-    return done.summary(upserted)
+    return done.summary(upserted, find_duplicates(canonical.read(spark), "record_id"))

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticemill.operators.lookup import latest_per_source
-from noticemill.operators.merge import merge_actions, merge_changes
+from noticemill.operators.merge import apply_actions, merge_actions
 from noticemill.operators.tables import RecordTable
 from noticemill.schemas import RAW_KEY
+from noticemill.session import size_shuffles, written
 from noticemill.sources.landing import read_source
 from noticemill.sources.resume import take_until_checkpoint
 from noticemill.sources.spec import get_source, source_names, stamp
@@ -22,6 +23,7 @@ from noticemill.sources.spec import get_source, source_names, stamp
 log = logging.getLogger(__name__)
 
 CONCURRENT_SOURCES = 5
+_ORDER = ("seq",)
 SUMMARY = "items_collected long, items_skipped long, failures int, elapsed_s double"
 
 
@@ -32,9 +34,8 @@ def incoming(records: DataFrame, raw: DataFrame | None, fetched_at: Column) -> D
     return stamp(records, fetched_at)
 
 
-def collect_counts(batch: DataFrame, raw: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+def collect_counts(actions: DataFrame) -> DataFrame:
     """One row: items_collected, items_skipped."""
-    actions = merge_actions(batch, raw, RAW_KEY, order)
     zero = F.lit(0).cast("long")
     return actions.agg(
         F.coalesce(F.sum("n_writes"), zero).alias("items_collected"),
@@ -60,14 +61,17 @@ def collect(
     """
     started = time.monotonic()
     moment = F.current_timestamp() if fetched_at is None else fetched_at
+    size_shuffles(spark, table.path, *paths.values())
     stored = table.read(spark, before=batch)
 
     def run(number: int, name: str, path: str) -> tuple[int, int]:
         rows = read_source(spark, get_source(name), path, as_of, allow_missing)
         mine = stored.filter(F.col("source_name") == name)
-        arriving = incoming(rows, mine if resume else None, moment)
-        counts = collect_counts(arriving, mine).first()
-        table.write_batch(merge_changes(arriving, mine, RAW_KEY, ("seq",)), number)
+        # responses are parsed once; the steps after it read columns of these tables
+        arriving = written(incoming(rows, mine if resume else None, moment), "arriving")
+        actions = written(merge_actions(arriving, mine, RAW_KEY, _ORDER), "actions")
+        table.write_batch(apply_actions(arriving, actions, RAW_KEY, _ORDER), number)
+        counts = collect_counts(actions).first()
         return counts["items_collected"], counts["items_skipped"]
 
     collected = skipped = failures = 0

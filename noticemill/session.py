@@ -29,18 +29,41 @@ def build_session(app: str = "noticemill", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+PARTITION_BYTES = 256 << 20
+MOST_PARTITIONS = 100_000
+
+
+def size_shuffles(spark: SparkSession, *paths: str) -> int:
+    """Raise spark.sql.shuffle.partitions so that the files below the paths spread to about
+    PARTITION_BYTES each; AQE merges what turns out small, but it cannot cut a hash partition."""
+    size = 0
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(place):
+            size += files.getContentSummary(place).getLength()
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(now, min(-(-size // PARTITION_BYTES), MOST_PARTITIONS))
+    if wanted > now:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
     Only a local-mode session without that setting gets a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(base)
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(base)
+    context.setCheckpointDir(base)
     return base
 
 

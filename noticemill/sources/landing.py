@@ -42,13 +42,14 @@ def read_source(
     path: str,
     as_of: date | None = None,
     allow_missing: bool = False,
+    until_empty: bool = False,
 ) -> DataFrame:
     """Raw records of one source, each with its ``seq``."""
     if allow_missing and not path_exists(spark, path):
         pages = empty_pages(spark, spec)
     else:
         pages = spec.read_pages(spark, path)
-    return records(spec, explode_pages(pages_to_read(pages)), as_of)
+    return records(spec, explode_pages(pages_to_read(pages, until_empty)), as_of)
 
 
 @dataclass

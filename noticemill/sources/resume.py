@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticemill.operators.joins import broadcast_if, is_small
+from noticemill.session import written
 
 
-def take_until_checkpoint(records: DataFrame, checkpoints: DataFrame) -> DataFrame:
+def newest_first(moment: Column, *ties: str) -> Column:
+    """An order for rows of a source that lists its newest first."""
+    return F.struct(-F.unix_micros(moment.cast("timestamp")), *ties)
+
+
+def take_until_checkpoint(
+    records: DataFrame, checkpoints: DataFrame, order: Column | str = "seq"
+) -> DataFrame:
     """Per source, the records before the one whose id is the checkpoint.
 
+    ``order`` is the place of a record in its source, by default its sequence number.
     ``checkpoints`` has one row (source_name, source_id) per source; a source without one, or
     whose checkpoint does not occur, keeps all records. The cut is an aggregate, so no source is
     ever sorted or gathered in one place. There are at most as many cuts as checkpoints, so one
@@ -18,15 +27,16 @@ def take_until_checkpoint(records: DataFrame, checkpoints: DataFrame) -> DataFra
     """
     marks = checkpoints.select("source_name", F.col("source_id").alias("mark_id"))
     small = is_small(marks)
+    placed = records.withColumn("_place", F.col(order) if isinstance(order, str) else order)
     cuts = (
-        records.select("source_name", "source_id", "seq")
+        placed.select("source_name", "source_id", "_place")
         .join(broadcast_if(small, marks), "source_name")
         .filter(F.col("source_id") == F.col("mark_id"))
         .groupBy("source_name")
-        .agg(F.min("seq").alias("cut"))
+        .agg(F.min("_place").alias("_cut"))
     )
     return (
-        records.join(broadcast_if(small, cuts), "source_name", "left")
-        .filter(F.col("cut").isNull() | (F.col("seq") < F.col("cut")))
-        .drop("cut")
+        placed.join(F.broadcast(cuts) if small else written(cuts, "cuts"), "source_name", "left")
+        .filter(F.col("_cut").isNull() | (F.col("_place") < F.col("_cut")))
+        .drop("_cut", "_place")
     )

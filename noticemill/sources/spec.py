@@ -53,15 +53,20 @@ def explode_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def pages_to_read(pages: DataFrame) -> DataFrame:
-    """The pages a reader asks for: up to the announced total, and none after an empty page."""
-    first_empty = (
-        pages.filter(F.size("rows") == 0).agg(F.min("page_offset").alias("cut")).scalar()
-    )
-    return pages.filter(
-        (F.col("total_records").isNull() | (F.col("page_offset") < F.col("total_records")))
-        & (F.col("page_offset") < F.coalesce(first_empty, F.lit(2**62)))
+def pages_to_read(pages: DataFrame, until_empty: bool = False) -> DataFrame:
+    """The pages a reader asks for: those up to the announced total.
+
+    A reader that fetches also stops at the first empty page, so landed pages normally end there;
+    ``until_empty`` looks for it, in a pass of its own, and leaves out what lies behind.
+    """
+    kept = pages.filter(
+        F.col("total_records").isNull() | (F.col("page_offset") < F.col("total_records"))
     )
+    if not until_empty:
+        return kept
+    empty = pages.filter(F.size("rows") == 0)
+    first_empty = empty.agg(F.min("page_offset").alias("cut")).scalar()
+    return kept.filter(F.col("page_offset") < F.coalesce(first_empty, F.lit(2**62)))
 
 
 def extracted_values(mapping: Mapping[str, str]) -> dict[str, Column]:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticemill.operators.lookup import count, find, get_raw, latest_per_source
 from noticemill.operators.merge import key_violations, merge_actions, merge_changes, snapshot
+from noticemill.operators.tables import RecordTable
 from noticemill.plans.curate import only_new
 from noticemill.schemas import CANONICAL_KEY, RAW_KEY
+from noticemill.session import scratch_path
 from noticemill.sources.resume import take_until_checkpoint
 from noticemill.suite import views as v
 
@@ -49,6 +52,30 @@ SELECT source_name, source_id, strftime(max(fetched_at), {_SQL_STAMP}) AS fetche
 FROM event_writes WHERE is_write GROUP BY source_name, source_id"""
 
 
+_EVENT_TABLE = T.StructType(
+    [
+        T.StructField("source_name", T.StringType()),
+        T.StructField("source_id", T.StringType()),
+        T.StructField("fetched_at", T.TimestampType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("content_hash", T.StringType()),
+    ]
+)
+
+
+def table_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge as batches of a record table, with a compaction in between."""
+    place = scratch_path(spark, "events")
+    table = RecordTable(place, _EVENT_TABLE, RAW_KEY, ("source_name", "fetched_at"))
+    early = v.event_records(spark, sf).filter(F.col("fetched_at") < F.lit(v.SPLIT).cast("timestamp"))
+    for number, batch in enumerate((early, v.arriving_events(spark, sf))):
+        table.write_batch(merge_changes(batch, table.read(spark), RAW_KEY, _ORDER), number)
+        if number == 0:
+            table.compact(spark)
+    merged = table.read(spark)
+    return merged.withColumn("fetched_at", F.date_format("fetched_at", _STAMP))
+
+
 def canonical_merge_version(spark: SparkSession, sf: str) -> DataFrame:
     stored = v.stored_events(spark, sf)
     changes = merge_changes(
@@ -170,6 +197,7 @@ SELECT source_name, source_id, seq FROM event_writes e WHERE NOT early AND NOT E
 QUERIES = {
     "raw_merge_actions": (raw_merge_actions, RAW_MERGE_ACTIONS),
     "raw_merge": (raw_merge, RAW_MERGE),
+    "table_merge": (table_merge, RAW_MERGE),
     "canonical_merge_version": (canonical_merge_version, CANONICAL_MERGE_VERSION),
     "collect_metrics": (collect_metrics, COLLECT_METRICS),
     "key_uniqueness": (key_uniqueness, KEY_UNIQUENESS),

@@ -15,11 +15,17 @@ from noticemill.functions.parsing import (
     parse_currency,
     parse_date,
 )
+from noticemill.operators.classify import train_from_seed
+from noticemill.operators.lookup import latest_per_source
 from noticemill.operators.quality import reasons
+from noticemill.operators.tables import canonical_table, raw_table
+from noticemill.plans.curate import process
+from noticemill.plans.ingest import as_json, collect
 from noticemill.session import scratch_path
 from noticemill.sources import city, federal
 from noticemill.sources.landing import page_snapshots, read_source
-from noticemill.sources.spec import explode_pages, pages_to_read, records
+from noticemill.sources.resume import newest_first, take_until_checkpoint
+from noticemill.sources.spec import explode_pages, list_sources, pages_to_read, records
 from noticemill.suite import views as v
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -310,6 +316,124 @@ LANDED_CITY = f"""WITH {CITY_RECORDS}
 SELECT source_name, source_id, source_url, seq, content_hash FROM city_records"""
 
 
+def source_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered sources with the number of records each one gave."""
+    counts = (
+        federal_records(spark, sf)
+        .unionByName(city_records(spark, sf))
+        .groupBy(F.col("source_name").alias("name"))
+        .agg(F.count("*").alias("records"))
+    )
+    listed = list_sources(spark).select("name", "base_url", "description", "requires_browser")
+    return listed.join(counts, "name")
+
+
+SOURCE_OVERVIEW = f"""WITH {FEDERAL_RECORDS}, {CITY_RECORDS}
+SELECT 'sam_gov' AS name, '{federal.FEDERAL.base_url}' AS base_url,
+  '{federal.FEDERAL.description}' AS description, FALSE AS requires_browser, count(*) AS records
+FROM federal_records
+UNION ALL SELECT 'nyc_procurement', '{city.CITY.base_url}', '{city.CITY.description}', FALSE,
+  count(*) FROM city_records"""
+
+
+def take_until_newest_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders read newest first, up to the one stored last."""
+    rows = federal_rows(spark, sf).select(
+        F.lit("sam_gov").alias("source_name"),
+        F.col("row.noticeId").alias("source_id"),
+        F.col("place").alias("seq"),
+        F.col("row.postedDate").alias("posted_date"),
+    )
+    stored = rows.filter(F.col("posted_date") < v.AS_OF).withColumn(
+        "fetched_at", F.col("posted_date").cast("timestamp")
+    )
+    order = newest_first(F.col("posted_date"), "seq")
+    return take_until_checkpoint(rows, latest_per_source(stored, tie="seq"), order).drop("seq")
+
+
+TAKE_UNTIL_NEWEST_FIRST = f"""WITH rows AS (
+  SELECT CASE WHEN o_orderkey % 11 = 10 THEN '' ELSE 'F-' || o_orderkey END AS source_id,
+    o_orderkey AS seq, strftime(o_orderdate, '%Y-%m-%d') AS posted_date
+  FROM orders
+),
+mark AS (
+  SELECT arg_max(source_id, (posted_date, seq)) AS id FROM rows WHERE posted_date < '{v.AS_OF}'
+),
+cut AS (
+  SELECT max(posted_date) AS d FROM rows WHERE source_id = (SELECT id FROM mark)
+),
+cut_seq AS (
+  SELECT min(seq) AS s FROM rows
+  WHERE source_id = (SELECT id FROM mark) AND posted_date = (SELECT d FROM cut)
+)
+SELECT 'sam_gov' AS source_name, source_id, posted_date FROM rows
+WHERE posted_date > (SELECT d FROM cut)
+  OR (posted_date = (SELECT d FROM cut) AND seq < (SELECT s FROM cut_seq))"""
+
+
+def _landed(spark: SparkSession, sf: str) -> dict[str, str]:
+    """Response files of both sources in a landing folder."""
+    landing = scratch_path(spark, "landing")
+    federal_pages(spark, sf).write.json(f"{landing}/sam_gov")
+    pages = city_pages(spark, sf).select("page_offset", F.to_json("rows").alias("value"))
+    city_folder = f"{landing}/nyc_procurement"
+    pages.repartition("page_offset").write.partitionBy("page_offset").text(city_folder)
+    return {"sam_gov": f"{landing}/sam_gov", "nyc_procurement": city_folder}
+
+
+def collect_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sources collected into a raw table, which is then read."""
+    table = raw_table(scratch_path(spark, "raw"))
+    collect(spark, table, _landed(spark, sf), 0)
+    return table.read(spark).select("source_name", "source_id", "source_url", "content_hash")
+
+
+COLLECT_JOB = f"""WITH {FEDERAL_RECORDS}, {CITY_RECORDS}
+SELECT source_name, source_id, source_url, content_hash FROM federal_records
+UNION ALL SELECT source_name, source_id, source_url, content_hash FROM city_records"""
+
+
+def collect_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary of a second run over the same pages, without the checkpoint: all is skipped."""
+    table, landed = raw_table(scratch_path(spark, "raw")), _landed(spark, sf)
+    collect(spark, table, landed, 0)
+    again = collect(spark, table, landed, 10, resume=False)
+    return as_json(again.drop("elapsed_s"))
+
+
+COLLECT_AGAIN = f"""WITH {FEDERAL_RECORDS}, {CITY_RECORDS}
+SELECT '{{"items_collected":0,"items_skipped":' || (
+  (SELECT count(*) FROM federal_records) + (SELECT count(*) FROM city_records))
+  || ',"failures":0}}' AS summary"""
+
+
+def process_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The collected records processed into a canonical table, which is then read."""
+    raw = raw_table(scratch_path(spark, "raw"))
+    canonical = canonical_table(scratch_path(spark, "canonical"))
+    collect(spark, raw, _landed(spark, sf), 0)
+    process(spark, raw, canonical, train_from_seed(spark), 0)
+    return canonical.read(spark).select(
+        "record_id", "source_name", "source_id", "title", "agency",
+        F.date_format("posted_date", _STAMP).alias("posted_date"), "status", "version",
+        "content_hash",
+    )
+
+
+PROCESS_JOB = f"""WITH {FEDERAL_RECORDS}, {CITY_RECORDS},
+both_sources AS (
+  SELECT source_name, source_id, title, agency, posted_date, content_hash,
+    lower(concat_ws(' ', title, agency, sub_tier, posted_date, solicitation_number)) AS t
+  FROM federal_records
+  UNION ALL SELECT source_name, source_id, title, agency, '2024-01-01', content_hash,
+    lower(concat_ws(' ', title, agency, pin)) FROM city_records
+)
+SELECT sha256(source_name || ':' || source_id) AS record_id, source_name, source_id, title, agency,
+  posted_date || ' 00:00:00' AS posted_date, {v.STATUS_SQL} AS status, 1::INTEGER AS version,
+  content_hash
+FROM both_sources"""
+
+
 def page_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return page_snapshots(v.table(spark, sf, "pages"), "pages", "error")
 
@@ -346,6 +470,11 @@ QUERIES = {
     "page_union": (page_union, PAGE_UNION),
     "landed_federal": (landed_federal, LANDED_FEDERAL),
     "landed_city": (landed_city, LANDED_CITY),
+    "source_overview": (source_overview, SOURCE_OVERVIEW),
+    "take_until_newest_first": (take_until_newest_first, TAKE_UNTIL_NEWEST_FIRST),
+    "collect_job": (collect_job, COLLECT_JOB),
+    "collect_again": (collect_again, COLLECT_AGAIN),
+    "process_job": (process_job, PROCESS_JOB),
     "page_snapshot": (page_snapshot, PAGE_SNAPSHOT),
     "validate_quarantine": (validate_quarantine, VALIDATE_QUARANTINE),
 }

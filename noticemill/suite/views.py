@@ -1,7 +1,8 @@
 """The given tables seen as notices, documents, event records and pages.
 
 Every view is written twice: as a DataFrame and, under the same name, as SQL text that goes
-in front of the checking query.
+in front of the checking query. Remainders of keys only choose between the forms a value can take
+(date formats, blank fields, suffixes); every row of every table is used.
 """
 
 from __future__ import annotations

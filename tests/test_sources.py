@@ -79,7 +79,7 @@ def test_page_rules(spark, tmp_path):
     past_total = land_federal(tmp_path / "a", [[notice(1)], [notice(2)]], total=25)
     assert [r.source_id for r in read_source(spark, spec, past_total).collect()] == ["n1"]
     after_empty = land_federal(tmp_path / "b", [[notice(1)], [], [notice(3)]], total=75)
-    assert [r.source_id for r in read_source(spark, spec, after_empty).collect()] == ["n1"]
+    assert [r.source_id for r in read_source(spark, spec, after_empty, until_empty=True).collect()] == ["n1"]
 
 
 def test_missing_landing(spark, tmp_path):
