@@ -23,12 +23,14 @@ left out; only pairs at or above the threshold leave a task.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,9 @@ LONG_LIST = 64 * CHUNK
 BATCH_BYTES = 32 << 20
 _SLACK = 1e-9  # rounding room for the pruning bound; the final test has none
 
+# The task functions travel with the job, so executors need numpy and pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _CELL = np.dtype([("rank", "<i4"), ("weight", "<f8")])
 
 
