@@ -99,7 +99,7 @@ def status_from_text(text: Column, word_boundary: bool = False) -> Column:
 def infer_status(extracted: Column | str, word_boundary: bool = False) -> Column:
     """Status from all values of the extracted map, joined in map order."""
     text = F.lower(F.array_join(F.map_values(_col(extracted)), " ", "None"))
-    return F.coalesce(status_from_text(text, word_boundary), F.lit("unknown"))
+    return status_from_text(text, word_boundary)
 
 
 def coerce_category(label: Column | str) -> Column:

@@ -20,7 +20,7 @@ from noticemill.functions.parsing import (
 )
 from noticemill.operators.classify import predict
 from noticemill.operators.merge import merge_actions, merge_changes
-from noticemill.operators.quality import split_valid
+from noticemill.operators.quality import has_required, split_valid
 from noticemill.operators.similarity import THRESHOLD, Duplicates, find_duplicates
 from noticemill.operators.tables import RecordTable
 from noticemill.schemas import CANONICAL_KEY
@@ -122,7 +122,9 @@ class Curated:
     force: bool
 
     def valid(self) -> DataFrame:
-        return split_valid(self.normal)[0]
+        """Rows to curate. Status, category and confidence come out of this run and are within
+        their sets, so the required fields decide."""
+        return has_required(self.normal)
 
     def quarantine(self) -> DataFrame:
         """Rows that fail validation, with their reasons."""

@@ -121,10 +121,10 @@ def register_source(spec: SourceSpec) -> SourceSpec:
 
 
 def get_source(name: str) -> SourceSpec:
-    if name not in _REGISTRY:
-        known = ", ".join(sorted(_REGISTRY)) or "(none)"
-        raise KeyError(f"Unknown source '{name}'. Available: {known}")
-    return _REGISTRY[name]
+    try:
+        return _REGISTRY[name]
+    except KeyError:
+        raise KeyError(f"Unknown source {name!r}; registered: {sorted(_REGISTRY)}") from None
 
 
 def source_names() -> list[str]:

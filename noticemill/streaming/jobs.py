@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from noticemill.operators.merge import merge_changes
-from noticemill.operators.quality import split_valid
+from noticemill.operators.quality import has_required
 from noticemill.operators.tables import RecordTable
 from noticemill.plans.curate import classify_records, to_canonical
 from noticemill.schemas import CANONICAL_KEY, RAW_KEY
@@ -70,9 +70,9 @@ def curate_stream(
 
     def merge(batch: DataFrame, number: int) -> None:
         stored = table.read(batch.sparkSession, before=number)
-        valid, _ = split_valid(classify_records(to_canonical(batch, keep=order), model))
+        valid = has_required(to_canonical(batch, keep=order))
         changes = merge_changes(valid, stored, CANONICAL_KEY, order, versioned=True)
-        table.write_batch(changes, number)
+        table.write_batch(classify_records(changes, model), number)
 
     writer = raw_rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -65,6 +65,16 @@ def test_curate(spark, model):
     )
 
 
+def test_rows_without_required_fields_are_quarantined(spark, model):
+    rows = raw(spark, ("1", {"title": "x"}), ("2", {"title": "y"}))
+    rows = rows.withColumn("source_url", F.when(F.col("source_id") == "1", F.col("source_url")))
+    done = curate(rows, spark.createDataFrame([], CANONICAL), model)
+    assert [r.source_id for r in done.records().collect()] == ["1"]
+    assert [(r.source_id, r.reasons) for r in done.quarantine().collect()] == [
+        ("2", ["missing source_url"])
+    ]
+
+
 def test_process_runs(spark, model, tmp_path):
     source, target = raw_table(str(tmp_path / "raw")), canonical_table(str(tmp_path / "can"))
     source.write_batch(raw(spark, ("1", {"title": "a road"}), ("2", {"title": "a server"})), 0)

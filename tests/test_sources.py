@@ -101,7 +101,7 @@ def test_registry(spark):
     names = [r.name for r in list_sources(spark).collect()]
     assert names == sorted(names)
     assert {"sam_gov", "nyc_procurement"} <= set(names)
-    with pytest.raises(KeyError, match="Unknown source 'x'. Available: .*sam_gov"):
+    with pytest.raises(KeyError, match="Unknown source 'x'; registered: .*sam_gov"):
         get_source("x")
     row = T.StructType([T.StructField("id", T.StringType()), T.StructField("t", T.StringType())])
     spec = SourceSpec(
