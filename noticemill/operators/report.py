@@ -54,10 +54,11 @@ def source_list(raw: DataFrame) -> DataFrame:
 
 def timeline(raw: DataFrame, days: int = TIMELINE_DAYS, latest: bool = False) -> DataFrame:
     """Records per day, oldest days first; ``latest`` keeps the newest days instead."""
-    daily = raw.groupBy(display.day("fetched_at").alias("date")).agg(F.count("*").alias("count"))
-    if latest:
-        return daily.orderBy(F.desc("date")).limit(days).orderBy("date")
-    return daily.orderBy("date").limit(days)
+    # grouped as dates, written as text once per day
+    daily = raw.groupBy(F.to_date("fetched_at").alias("day")).agg(F.count("*").alias("count"))
+    first = daily.orderBy(F.desc("day") if latest else F.asc("day")).limit(days)
+    named = first.select(display.day("day").alias("date"), "count")
+    return named.orderBy("date") if latest else named
 
 
 def canonical_stats(canonical: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def canonical_stats(canonical: DataFrame) -> DataFrame:
 
 def raw_stats(raw: DataFrame, days: int = TIMELINE_DAYS) -> DataFrame:
     """(metric, label, count): total, sources and the first days in one pass."""
-    keyed = raw.select("source_name", display.day("fetched_at").alias("day"))
+    keyed = raw.select("source_name", F.to_date("fetched_at").alias("day"))
     sets = [[F.col("source_name")], [F.col("day")], []]
     counted = keyed.groupingSets(sets, "source_name", "day").agg(
         F.count("*").alias("count"), F.grouping_id().alias("_level")
@@ -88,7 +89,7 @@ def raw_stats(raw: DataFrame, days: int = TIMELINE_DAYS) -> DataFrame:
     level = F.col("_level")
     named = counted.select(
         F.when(level == 1, "source").when(level == 2, "day").otherwise("raw_count").alias("metric"),
-        F.when(level == 1, F.col("source_name")).when(level == 2, F.col("day")).alias("label"),
+        F.when(level == 1, F.col("source_name")).when(level == 2, display.day("day")).alias("label"),
         "count",
     )
     days_kept = named.filter(F.col("metric") == "day").orderBy("label").limit(days)
