@@ -169,7 +169,8 @@ def merge_changes(
 
 
 def snapshot(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table after the merge: rows whose key did not change, and the changes."""
+    """The table after the merge: rows whose key did not change, and the changes, which are read
+    twice and best given as a table."""
     kept = stored.join(changes.select(*keys), list(keys), "left_anti")
     return kept.unionByName(changes.select(*stored.columns))
 

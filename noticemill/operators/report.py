@@ -87,13 +87,14 @@ def raw_stats(raw: DataFrame, days: int = TIMELINE_DAYS) -> DataFrame:
         F.count("*").alias("count"), F.grouping_id().alias("_level")
     )
     level = F.col("_level")
-    named = counted.select(
+    # ranks the counted rows, one per source and day; two branches would scan the table twice
+    place = F.row_number().over(Window.partitionBy("_level").orderBy("day"))
+    kept = counted.withColumn("_place", place).filter((level != 2) | (F.col("_place") <= days))
+    return kept.select(
         F.when(level == 1, "source").when(level == 2, "day").otherwise("raw_count").alias("metric"),
         F.when(level == 1, F.col("source_name")).when(level == 2, display.day("day")).alias("label"),
         "count",
     )
-    days_kept = named.filter(F.col("metric") == "day").orderBy("label").limit(days)
-    return named.filter(F.col("metric") != "day").unionByName(days_kept)
 
 
 def stats(raw: DataFrame, canonical: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from noticemill.operators.merge import key_violations, merge_actions, merge_chan
 from noticemill.operators.tables import RecordTable
 from noticemill.plans.curate import only_new
 from noticemill.schemas import CANONICAL_KEY, RAW_KEY
-from noticemill.session import scratch_path
+from noticemill.session import scratch_path, written
 from noticemill.sources.resume import take_until_checkpoint
 from noticemill.suite import views as v
 
@@ -42,7 +42,7 @@ FROM per_key p"""
 def raw_merge(spark: SparkSession, sf: str) -> DataFrame:
     stored = v.stored_events(spark, sf).select(*RAW_KEY, "fetched_at", "seq", "content_hash")
     changes = merge_changes(v.arriving_events(spark, sf), stored, RAW_KEY, _ORDER)
-    merged = snapshot(stored, changes, RAW_KEY)
+    merged = snapshot(stored, written(changes, "changes"), RAW_KEY)
     return merged.withColumn("fetched_at", F.date_format("fetched_at", _STAMP))
 
 
@@ -82,7 +82,8 @@ def canonical_merge_version(spark: SparkSession, sf: str) -> DataFrame:
         v.arriving_events(spark, sf), stored, CANONICAL_KEY, _ORDER, versioned=True,
         now=F.lit(v.NOW).cast("timestamp"),
     )
-    return snapshot(stored, changes, CANONICAL_KEY).select("record_id", "content_hash", "version")
+    merged = snapshot(stored, written(changes, "changes"), CANONICAL_KEY)
+    return merged.select("record_id", "content_hash", "version")
 
 
 CANONICAL_MERGE_VERSION = f"""WITH {v.EVENT_WRITES}

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticemill.functions.hashing import content_hash, record_id
+from noticemill.operators.merge import merge_changes
 from noticemill.plans.curate import to_canonical
 from noticemill.schemas import CANONICAL_KEY
+from noticemill.session import written
 
 SPLIT = "2024-01-16 00:00:00"  # events before are stored, the others arrive
 NOW = "2024-02-01 00:00:00"
@@ -224,14 +226,13 @@ event_records AS (
 
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as the events before the split left it: the last write of each key."""
-    from noticemill.operators.merge import merge_changes
-
     early = event_records(spark, sf_dir).filter(F.col("fetched_at") < F.lit(SPLIT).cast("timestamp"))
     empty = spark.createDataFrame([], "record_id string, content_hash string, version int")
-    return merge_changes(
+    changes = merge_changes(
         early, empty, CANONICAL_KEY, ("fetched_at", "seq"), versioned=True,
         now=F.lit(NOW).cast("timestamp"),
-    )
+    )
+    return written(changes, "stored-events")
 
 
 def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
