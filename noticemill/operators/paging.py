@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from noticemill.operators.joins import broadcast_if
 from noticemill.session import shared_dir
 
 MAX_LIMIT = 500
@@ -63,9 +64,8 @@ def deep_page(
         .filter((F.col("_rank") > skip) & (F.col("_rank") <= skip + limit))
         .select(*keys, "_rank")
     )
-    return (
-        df.join(F.broadcast(wanted), list(keys)).orderBy("_rank").limit(limit).select(*df.columns)
-    )
+    rows = df.join(broadcast_if(limit <= TOP_ROWS, wanted), list(keys))
+    return rows.orderBy("_rank").limit(limit).select(*df.columns)
 
 
 def next_page(

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from noticemill.functions.stopwords import ENGLISH
 from noticemill.functions.text import document_text
+from noticemill.operators.joins import broadcast_if, is_small
 from noticemill.operators.tfidf import DEDUP_TERMS, scaled
 from noticemill.session import written
 
@@ -293,9 +294,9 @@ def _products(threshold: float, id_type: pa.DataType):
 def _cut(rows: DataFrame, lengths: DataFrame, threshold: float, chunk: int) -> DataFrame:
     """List rows with the pair of chunks (p, q) each takes part in; a short list is one chunk."""
     chunks = F.ceil(F.col("length") / F.lit(chunk)).cast("int")
-    known = lengths.select("rank", "second", "top", chunks.alias("chunks"))
     return (
-        rows.join(known, ["rank", "second"])
+        rows.join(lengths, ["rank", "second"])
+        .withColumn("chunks", chunks)
         .filter(F.col("head") * F.col("top") >= threshold - _SLACK)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -320,17 +321,19 @@ def prefix_pairs(
     name, id_type = _arrow_type(vectors, "id")
     row_schema = f"rank int, second int, id {name}, n long, head double, vector binary"
     lister, deeper = _listed(threshold), _listed_deeper(threshold)
-    # at most one row per term of the vocabulary, which bounds the broadcasts
+    # at most one row per term of the vocabulary
     lengths = written(_list_lengths(vectors, lister), "list-lengths")
+    small = is_small(lengths)
     listed = vectors.mapInArrow(lister, row_schema)
     short = lengths.filter(F.col("length") <= long_list)
-    placed = _cut(listed, F.broadcast(short), threshold, chunk)
+    placed = _cut(listed, broadcast_if(small, short), threshold, chunk)
     long = lengths.filter(F.col("length") > long_list)
     if not long.isEmpty():
-        of_long = listed.join(F.broadcast(long.select("rank", "top")), "rank").filter(
-            F.col("head") * F.col("top") >= threshold - _SLACK
+        of_long = (
+            listed.join(broadcast_if(small, long.select("rank", "top")), "rank")
+            .filter(F.col("head") * F.col("top") >= threshold - _SLACK)
+            .select("rank", "id", "n", "vector")
         )
-        of_long = of_long.select("rank", "id", "n", "vector")
         # as many lists as pairs of terms: joined by a shuffle that AQE can split
         pair_lengths = written(_list_lengths(of_long, deeper), "pair-list-lengths")
         refined = of_long.mapInArrow(deeper, row_schema)

@@ -77,6 +77,10 @@ class RecordTable:
         kept = base.join(newest.select(*self.keys), list(self.keys), "left_anti")
         return kept.unionByName(newest)
 
+    def next_batch(self, spark: SparkSession) -> int:
+        """The first number no finished batch or base has."""
+        return 1 + max(self._folders(spark, "batch") + self._folders(spark, "base"), default=-1)
+
     def write_batch(self, changes: DataFrame, batch: int) -> None:
         """Write the rows of one batch; running the same batch again replaces them."""
         rows = changes.select(*self.schema.fieldNames())

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from noticemill.functions.stopwords import ENGLISH
 from noticemill.functions.text import tokens
+from noticemill.operators.joins import BROADCAST_ROWS, broadcast_if
 
 DEDUP_TERMS = 10_000
 CLASSIFIER_TERMS = 5_000
@@ -50,9 +51,9 @@ def scaled(
     posted = postings(documents, stop_words)
     n = documents.agg(F.count("*").alias("n")).scalar()
     idf = F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1
-    # bounded by max_terms rows
     terms = vocabulary(posted, max_terms).select("term", "rank", idf.alias("idf"))
-    return posted.join(F.broadcast(terms), "term").select(
+    small = max_terms <= BROADCAST_ROWS
+    return posted.join(broadcast_if(small, terms), "term").select(
         "id", "term", "rank", "tf", (F.col("tf") * F.col("idf")).alias("x")
     )
 

@@ -1,7 +1,9 @@
 """Streams of landed pages into the raw table, and of raw batches into the canonical table.
 
 Each micro-batch is merged like a batch job and written as the table batch with the same number,
-so a batch that runs again after a failure replaces its own output.
+so a batch that runs again after a failure replaces its own output. ``first_batch`` is added to the
+number: a table that has batches of another job or of an earlier stream needs it, and it must stay
+the same for one checkpoint folder.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ def merge_stream(
     checkpoint: str,
     versioned: bool = False,
     name: str | None = None,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """Merge a stream of records into a table until all available input is read."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = table.read(batch.sparkSession, before=number)
-        changes = merge_changes(batch, stored, keys, order, versioned=versioned)
-        table.write_batch(changes, number)
+        at = first_batch + number
+        stored = table.read(batch.sparkSession, before=at)
+        table.write_batch(merge_changes(batch, stored, keys, order, versioned=versioned), at)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     if name:
@@ -50,13 +53,14 @@ def ingest_stream(
     table: RecordTable,
     checkpoint: str,
     fetched_at: Column | None = None,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """Landed pages of one source into the raw table; Spark's checkpoint remembers the files."""
     spec = get_source(source)
     rows = records(spec, explode_pages(spec.stream_pages(spark, path)))
     moment = F.current_timestamp() if fetched_at is None else fetched_at
     observed = stamp(rows, moment).observe("collect", F.count(F.lit(1)).alias("rows_read"))
-    return merge_stream(observed, table, RAW_KEY, ("seq",), checkpoint)
+    return merge_stream(observed, table, RAW_KEY, ("seq",), checkpoint, first_batch=first_batch)
 
 
 def curate_stream(
@@ -65,14 +69,16 @@ def curate_stream(
     model: PipelineModel,
     checkpoint: str,
     order: Sequence[str] = ("fetched_at",),
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """A stream of raw records into the canonical table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = table.read(batch.sparkSession, before=number)
+        at = first_batch + number
+        stored = table.read(batch.sparkSession, before=at)
         valid = has_required(to_canonical(batch, keep=order))
         changes = merge_changes(valid, stored, CANONICAL_KEY, order, versioned=True)
-        table.write_batch(classify_records(changes, model), number)
+        table.write_batch(classify_records(changes, model), at)
 
     writer = raw_rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

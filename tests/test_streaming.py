@@ -15,7 +15,7 @@ def test_pages_to_canonical(spark, tmp_path):
     def run():
         ingest_stream(
             spark, "sam_gov", str(landing / "*"), raw, str(tmp_path / "c1"),
-            fetched_at=F.lit("2024-01-01").cast("timestamp"),
+            fetched_at=F.lit("2024-01-01").cast("timestamp"), first_batch=100,
         ).awaitTermination()
         rows = spark.readStream.schema(raw.schema).parquet(raw.path + "/batch=*")
         curate_stream(rows, canonical, model, str(tmp_path / "c2")).awaitTermination()

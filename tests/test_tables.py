@@ -17,11 +17,13 @@ def seen(table, spark, before=None):
 def test_batches_and_compaction(spark, tmp_path):
     table = raw_table(str(tmp_path / "raw"))
     assert seen(table, spark) == {}
+    assert table.next_batch(spark) == 0
     table.write_batch(rows(spark, ("1", "a"), ("2", "a")), 0)
     table.write_batch(rows(spark, ("2", "b"), ("3", "b")), 1)
     assert seen(table, spark) == {"1": "a", "2": "b", "3": "b"}
     assert seen(table, spark, before=1) == {"1": "a", "2": "a"}
     table.compact(spark)
+    assert table.next_batch(spark) == 2
     table.write_batch(rows(spark, ("1", "c")), 2)
     table.write_batch(rows(spark, ("1", "d")), 3)
     assert seen(table, spark) == {"1": "d", "2": "b", "3": "b"}
