@@ -49,8 +49,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return as_pages(spark.read.option("wholetext", True).text(path))
 
 
-def stream_pages(spark: SparkSession, path: str) -> DataFrame:
-    return as_pages(spark.readStream.option("wholetext", True).text(path))
+def stream_pages(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    return as_pages(spark.readStream.options(**options).option("wholetext", True).text(path))
 
 
 CITY = register_source(

@@ -55,8 +55,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return as_pages(spark.read.schema(ENVELOPE).json(path))
 
 
-def stream_pages(spark: SparkSession, path: str) -> DataFrame:
-    return as_pages(spark.readStream.schema(ENVELOPE).json(path))
+def stream_pages(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    return as_pages(spark.readStream.options(**options).schema(ENVELOPE).json(path))
 
 
 def posted_window(as_of: date) -> Column:

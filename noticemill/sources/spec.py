@@ -40,7 +40,7 @@ class SourceSpec:
     requires_browser: bool = False
     keep: Callable[[], Column] | None = None
     window: Callable[[date], Column] | None = None
-    stream_pages: Callable[[SparkSession, str], DataFrame] | None = None
+    stream_pages: Callable[..., DataFrame] | None = None
 
     def start_url(self) -> str:
         return self.base_url

@@ -54,10 +54,15 @@ def ingest_stream(
     checkpoint: str,
     fetched_at: Column | None = None,
     first_batch: int = 0,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Landed pages of one source into the raw table; Spark's checkpoint remembers the files."""
+    """Landed pages of one source into the raw table; Spark's checkpoint remembers the files.
+
+    ``files_per_batch`` bounds what one micro-batch reads.
+    """
     spec = get_source(source)
-    rows = records(spec, explode_pages(spec.stream_pages(spark, path)))
+    options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
+    rows = records(spec, explode_pages(spec.stream_pages(spark, path, **options)))
     moment = F.current_timestamp() if fetched_at is None else fetched_at
     observed = stamp(rows, moment).observe("collect", F.count(F.lit(1)).alias("rows_read"))
     return merge_stream(observed, table, RAW_KEY, ("seq",), checkpoint, first_batch=first_batch)

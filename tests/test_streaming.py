@@ -1,11 +1,21 @@
 from pyspark.sql import functions as F
-from test_sources import land_federal, notice
+from test_sources import city_row, land_city, land_federal, notice
 
 from noticemill.operators.classify import train_from_seed
 from noticemill.operators.tables import canonical_table, raw_table
 from noticemill.streaming.jobs import curate_stream, ingest_stream
 
 
+def test_bounded_batches_of_city_pages(spark, tmp_path):
+    landing = land_city(tmp_path / "c", [[city_row(1)], [city_row(2)], [city_row(1, pin="new")]])
+    raw = raw_table(str(tmp_path / "raw"))
+    ingest_stream(
+        spark, "nyc_procurement", landing, raw, str(tmp_path / "c1"), files_per_batch=1
+    ).awaitTermination()
+    assert raw.next_batch(spark) == 3
+    assert {r.source_id for r in raw.read(spark).collect()} == {"r1", "r2"}
+
+
 def test_pages_to_canonical(spark, tmp_path):
     landing = tmp_path / "landing"
     raw = raw_table(str(tmp_path / "raw"))
