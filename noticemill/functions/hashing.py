@@ -64,7 +64,7 @@ def content_text(extracted: Column | str | Mapping[str, Column]) -> Column:
         text = F.concat_ws(", ", *pairs)
     else:
         extracted = F.col(extracted) if isinstance(extracted, str) else extracted
-        entries = F.array_sort(F.map_entries(extracted))
+        entries = F.sort_array(F.map_entries(extracted))
         pairs = F.transform(entries, lambda e: _pair(quoted(e["key"]), quoted(e["value"])))
         text = F.array_join(pairs, ", ")
     return F.concat(F.lit("["), text, F.lit("]"))

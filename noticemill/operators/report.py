@@ -113,7 +113,7 @@ def distinct_counts(raw: DataFrame, canonical: DataFrame) -> DataFrame:
     names = raw.groupBy("source_name").agg(F.count("*").alias("count"))
     per_source = names.agg(
         F.count("*").alias("n_sources"),
-        F.array_join(F.array_sort(F.collect_list("source_name")), ", ").alias("source_names"),
+        F.array_join(F.sort_array(F.collect_list("source_name")), ", ").alias("source_names"),
     )
     categories = canonical.agg(
         F.count_distinct(_filled("category", "uncategorized")).alias("n")

@@ -160,7 +160,7 @@ def federal_pages(spark: SparkSession, sf: str) -> DataFrame:
     total = rows.agg(F.count("*").alias("n")).scalar()
     offset = F.floor(F.col("place") / federal.PAGE_SIZE) * federal.PAGE_SIZE
     paged = rows.groupBy(offset.alias("offset")).agg(
-        F.array_sort(F.collect_list(F.struct("place", "row"))).alias("both")
+        F.sort_array(F.collect_list(F.struct("place", "row"))).alias("both")
     )
     return paged.select(
         "offset",
@@ -208,7 +208,7 @@ def city_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Response pages of 50 rows; a group is one page."""
     offset = F.floor(F.col("place") / city.PAGE_SIZE) * city.PAGE_SIZE
     paged = city_rows(spark, sf).groupBy(offset.alias("page_offset")).agg(
-        F.array_sort(F.collect_list(F.struct("place", "row"))).alias("both")
+        F.sort_array(F.collect_list(F.struct("place", "row"))).alias("both")
     )
     return paged.select("page_offset", F.transform("both", lambda b: b["row"]).alias("rows"))
 

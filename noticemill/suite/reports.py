@@ -9,6 +9,7 @@ from noticemill.functions import display
 from noticemill.operators import report
 from noticemill.operators.paging import dashboard_page, deep_page, next_page
 from noticemill.schemas import CANONICAL_KEY
+from noticemill.session import written
 from noticemill.suite import views as v
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -187,7 +188,8 @@ ORDER BY posted_date DESC NULLS LAST, record_id LIMIT 25 OFFSET 75"""
 def far_page(spark: SparkSession, sf: str) -> DataFrame:
     """A page from the far end, by distributed ranks."""
     order = [F.desc("posted_date"), F.col("record_id")]
-    return _shown(deep_page(v.canonical(spark, sf), order, CANONICAL_KEY, 1400, 50))
+    rows = written(v.canonical(spark, sf), "canonical")
+    return _shown(deep_page(rows, order, CANONICAL_KEY, 1400, 50))
 
 
 FAR_PAGE = f"""WITH {v.CANONICAL_VIEW}
