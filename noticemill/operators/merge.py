@@ -14,18 +14,11 @@ are written.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ACTIONS = ("insert", "update", "skip")
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
 
 def _ranges(batch: DataFrame, keys: Sequence[str], order: Sequence[str], hash_col: str) -> DataFrame:
     """One row per key and range: rows, changes inside, ends, place of the last change."""

@@ -15,6 +15,7 @@ SETTINGS = {
     # the JVM does not compile larger methods, so wide projections run faster without fusion
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.broadcastTimeout": "3600",
     "spark.ui.enabled": "false",
 }
 
@@ -49,6 +50,14 @@ def size_shuffles(spark: SparkSession, *paths: str) -> int:
     return wanted
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for heavy work on them: a small table is one file of one row group
+    and would be one task. A table with as many parts as there are cores is left alone. Meant for
+    frames read straight from files, where the number of parts is known without running anything."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 

@@ -14,7 +14,7 @@ from noticemill.functions.hashing import content_hash, record_id
 from noticemill.operators.merge import merge_changes
 from noticemill.plans.curate import to_canonical
 from noticemill.schemas import CANONICAL_KEY
-from noticemill.session import written
+from noticemill.session import spread, written
 
 SPLIT = "2024-01-16 00:00:00"  # events before are stored, the others arrive
 NOW = "2024-02-01 00:00:00"
@@ -26,13 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, for parsing: a small table is one file of one row group and would
-    be one task. A table with as many parts as there are cores is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 # ── notices: orders with their customer ──────────────────────────────────
 
 _DATE_FORMS = (

@@ -21,7 +21,10 @@ def model(spark):
 def raw(spark, *items):
     at = dt.datetime(2024, 1, 1)
     rows = [("s", i, f"https://x/{i}", at, None, ext) for i, ext in items]
-    schema = "source_name string, source_id string, source_url string, fetched_at timestamp, raw_html string, extracted map<string,string>"
+    schema = (
+        "source_name string, source_id string, source_url string, fetched_at timestamp,"
+        " raw_html string, extracted map<string,string>"
+    )
     df = spark.createDataFrame(rows, schema).withColumn("content_hash", content_hash("extracted"))
     return df.select(*RAW.fieldNames())
 

@@ -88,7 +88,9 @@ def test_pairs_equal_brute_force(spark, seed, threshold, terms):
     assert {r.id: r.n_partners for r in duplicates.partner_counts().collect()} == counts
 
 
-@pytest.mark.parametrize(("threshold", "chunk", "long_list"), [(0.6, 7, 1000), (0.6, 7, 20), (0.3, 5, 10), (0.85, 64, 3)])
+@pytest.mark.parametrize(
+    ("threshold", "chunk", "long_list"), [(0.6, 7, 1000), (0.6, 7, 20), (0.3, 5, 10), (0.85, 64, 3)]
+)
 def test_cut_and_refined_lists_give_the_same_pairs(spark, threshold, chunk, long_list):
     texts = {**sample(4, n=120, copies=10), 500: "solo " * 9, 501: "solo " * 9 + "w00", 502: "solo"}
     _, wanted = brute(texts, threshold)
