@@ -77,6 +77,12 @@ class RecordTable:
         kept = base.join(newest.select(*self.keys), list(self.keys), "left_anti")
         return kept.unionByName(newest)
 
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """The batches as a stream of their rows, each with the number ``batch``."""
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
+        reader = spark.readStream.schema(schema).option("basePath", self.path)
+        return reader.parquet(f"{self.path}/batch=*")
+
     def next_batch(self, spark: SparkSession) -> int:
         """The first number no finished batch or base has."""
         return 1 + max(self._folders(spark, "batch") + self._folders(spark, "base"), default=-1)

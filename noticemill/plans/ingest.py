@@ -18,20 +18,22 @@ from noticemill.schemas import RAW_KEY
 from noticemill.session import size_shuffles, written
 from noticemill.sources.landing import read_source
 from noticemill.sources.resume import take_until_checkpoint
-from noticemill.sources.spec import get_source, source_names, stamp
+from noticemill.sources.spec import ARRIVAL, get_source, source_names, stamp
 
 log = logging.getLogger(__name__)
 
 CONCURRENT_SOURCES = 5
-_ORDER = ("seq",)
 SUMMARY = "items_collected long, items_skipped long, failures int, elapsed_s double"
 
 
-def incoming(records: DataFrame, raw: DataFrame | None, fetched_at: Column) -> DataFrame:
-    """Records of a run up to each source's checkpoint, stamped with their fetch time."""
-    if raw is not None:
-        records = take_until_checkpoint(records, latest_per_source(raw))
-    return stamp(records, fetched_at)
+def incoming(
+    records: DataFrame, stored: DataFrame, fetched_at: Column, resume: bool = True
+) -> DataFrame:
+    """Records of a run, stamped with their fetch time; with ``resume`` only those before each
+    source's checkpoint, the record stored last."""
+    if resume:
+        records = take_until_checkpoint(records, latest_per_source(stored))
+    return stamp(records, fetched_at, stored)
 
 
 def collect_counts(actions: DataFrame) -> DataFrame:
@@ -68,9 +70,9 @@ def collect(
         rows = read_source(spark, get_source(name), path, as_of, allow_missing)
         mine = stored.filter(F.col("source_name") == name)
         # responses are parsed once; the steps after it read columns of these tables
-        arriving = written(incoming(rows, mine if resume else None, moment), "arriving")
-        actions = written(merge_actions(arriving, mine, RAW_KEY, _ORDER), "actions")
-        table.write_batch(apply_actions(arriving, actions, RAW_KEY, _ORDER), number)
+        arriving = written(incoming(rows, mine, moment, resume), "arriving")
+        actions = written(merge_actions(arriving, mine, RAW_KEY, ARRIVAL), "actions")
+        table.write_batch(apply_actions(arriving, actions, RAW_KEY, ARRIVAL), number)
         counts = collect_counts(actions).first()
         return counts["items_collected"], counts["items_skipped"]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticemill.functions.parsing import first_filled
-from noticemill.sources.spec import SourceSpec, register_source
+from noticemill.sources.spec import SourceSpec, landed, register_source, with_landed
 
 # Response fields, extracted keys and their order, section, address, page size.
 FIELDS = (
@@ -35,7 +35,8 @@ ROW = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 
 
 def as_pages(files: DataFrame) -> DataFrame:
-    return files.select(
+    return with_landed(
+        files,
         F.col("page_offset").cast("long").alias("page_offset"),
         F.lit(None).cast("long").alias("total_records"),
         F.coalesce(
@@ -46,11 +47,12 @@ def as_pages(files: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one response, in a folder ``page_offset=<n>`` that names its place."""
-    return as_pages(spark.read.option("wholetext", True).text(path))
+    return as_pages(spark.read.option("wholetext", True).text(path).select("*", landed()))
 
 
 def stream_pages(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    return as_pages(spark.readStream.options(**options).option("wholetext", True).text(path))
+    files = spark.readStream.options(**options).option("wholetext", True).text(path)
+    return as_pages(files.select("*", landed()))
 
 
 CITY = register_source(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticemill.functions.parsing import parse_date
-from noticemill.sources.spec import SourceSpec, register_source
+from noticemill.sources.spec import SourceSpec, landed, register_source, with_landed
 
 # Response fields, extracted keys and their order, address form, page size, days.
 FIELDS = (
@@ -43,7 +43,8 @@ ENVELOPE = T.StructType(
 
 
 def as_pages(responses: DataFrame) -> DataFrame:
-    return responses.select(
+    return with_landed(
+        responses,
         F.coalesce("offset", F.lit(0)).alias("page_offset"),
         F.col("totalRecords").alias("total_records"),
         F.coalesce("opportunitiesData", F.array().cast(T.ArrayType(ROW))).alias("rows"),
@@ -52,11 +53,12 @@ def as_pages(responses: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """One JSON response per line, so that a landed file splits."""
-    return as_pages(spark.read.schema(ENVELOPE).json(path))
+    return as_pages(spark.read.schema(ENVELOPE).json(path).select("*", landed()))
 
 
 def stream_pages(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    return as_pages(spark.readStream.options(**options).schema(ENVELOPE).json(path))
+    responses = spark.readStream.options(**options).schema(ENVELOPE).json(path)
+    return as_pages(responses.select("*", landed()))
 
 
 def posted_window(as_of: date) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticemill.sources.spec import (
+    LANDED,
     SourceSpec,
     explode_pages,
     get_source,
@@ -31,6 +32,15 @@ def empty_pages(spark: SparkSession, spec: SourceSpec) -> DataFrame:
             T.StructField("page_offset", T.LongType()),
             T.StructField("total_records", T.LongType()),
             T.StructField("rows", T.ArrayType(spec.row_type)),
+            T.StructField(
+                LANDED,
+                T.StructType(
+                    [
+                        T.StructField("file_modification_time", T.TimestampType()),
+                        T.StructField("file_path", T.StringType()),
+                    ]
+                ),
+            ),
         ]
     )
     return spark.createDataFrame([], schema)

@@ -22,7 +22,7 @@ class SourceSpec:
     """One source.
 
     ``read_pages(spark, path)`` gives a frame (page_offset long, total_records long,
-    rows array<struct>); ``row_type`` is the struct. ``key``, ``url``, ``keep`` and ``window``
+    rows array<struct>, and from files ``landed``, see below); ``row_type`` is the struct. ``key``, ``url``, ``keep`` and ``window``
     are expressions over one exploded row; ``mapping`` names the extracted keys and the row
     field each is read from.
     """
@@ -46,11 +46,26 @@ class SourceSpec:
         return self.base_url
 
 
+LANDED = "landed"
+# the order records arrive in: by landing, then by place in the source
+ARRIVAL = (LANDED, "seq")
+
+
+def landed() -> Column:
+    """When and as which file a page came; a folder may hold the pages of several runs."""
+    return F.struct("_metadata.file_modification_time", "_metadata.file_path").alias(LANDED)
+
+
+def with_landed(source: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, and ``landed`` where the frame has it."""
+    return source.select(*columns, *[c for c in (LANDED,) if c in source.columns])
+
+
 def explode_pages(pages: DataFrame) -> DataFrame:
     """Rows of all pages with their place in the source: seq = page offset + position."""
-    return pages.select("page_offset", F.posexplode("rows").alias("pos", "row")).select(
-        (F.col("page_offset") + F.col("pos")).alias("seq"), "row.*"
-    )
+    rows = with_landed(pages, F.col("page_offset"), F.posexplode("rows").alias("pos", "row"))
+    place = (F.col("page_offset") + F.col("pos")).alias("seq")
+    return with_landed(rows, place, F.col("row.*"))
 
 
 def pages_to_read(pages: DataFrame, until_empty: bool = False) -> DataFrame:
@@ -85,31 +100,36 @@ def extracted_map(mapping: Mapping[str, str]) -> Column:
 
 
 def records(spec: SourceSpec, rows: DataFrame, as_of: date | None = None) -> DataFrame:
-    """Raw records plus ``seq`` from exploded rows; rows without a key are dropped."""
+    """Raw records plus ``seq`` (and ``landed``) from exploded rows; rows without a key are
+    dropped."""
     if spec.keep is not None:
         rows = rows.filter(spec.keep())
     if spec.window is not None and as_of is not None:
         rows = rows.filter(spec.window(as_of))
-    return (
-        rows.withColumn("source_id", spec.key())
-        .filter(F.coalesce(F.col("source_id"), F.lit("")) != "")
-        .select(
-            "source_id",
-            F.lit(spec.name).alias("source_name"),
-            spec.url().alias("source_url"),
-            F.lit(None).cast("string").alias("raw_html"),
-            extracted_map(spec.mapping).alias("extracted"),
-            content_hash(extracted_values(spec.mapping)).alias("content_hash"),
-            "seq",
-        )
+    keyed = rows.withColumn("source_id", spec.key()).filter(
+        F.coalesce(F.col("source_id"), F.lit("")) != ""
+    )
+    return with_landed(
+        keyed,
+        F.col("source_id"),
+        F.lit(spec.name).alias("source_name"),
+        spec.url().alias("source_url"),
+        F.lit(None).cast("string").alias("raw_html"),
+        extracted_map(spec.mapping).alias("extracted"),
+        content_hash(extracted_values(spec.mapping)).alias("content_hash"),
+        F.col("seq"),
     )
 
 
-def stamp(records_: DataFrame, fetched_at: Column) -> DataFrame:
-    """Set fetched_at: the run's time plus one microsecond per place, so that arrival order
-    stays visible in the stored time."""
-    moment = F.unix_micros(fetched_at.cast("timestamp")) + F.col("seq")
-    return records_.withColumn("fetched_at", F.timestamp_micros(moment))
+def stamp(records_: DataFrame, fetched_at: Column, stored: DataFrame | None = None) -> DataFrame:
+    """Set fetched_at: the run's time plus one microsecond per place, so that arrival order stays
+    visible in the stored time. A run starts after everything stored before it, also where an
+    earlier run was so long that its times reach past the clock."""
+    start = F.unix_micros(fetched_at.cast("timestamp"))
+    if stored is not None:
+        newest = stored.agg(F.unix_micros(F.max("fetched_at")).alias("newest")).scalar()
+        start = F.greatest(start, newest + 1)  # greatest skips null
+    return records_.withColumn("fetched_at", F.timestamp_micros(start + F.col("seq")))
 
 
 _REGISTRY: dict[str, SourceSpec] = {}

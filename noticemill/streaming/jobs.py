@@ -20,7 +20,7 @@ from noticemill.operators.quality import has_required
 from noticemill.operators.tables import RecordTable
 from noticemill.plans.curate import classify_records, to_canonical
 from noticemill.schemas import CANONICAL_KEY, RAW_KEY
-from noticemill.sources.spec import explode_pages, get_source, records, stamp
+from noticemill.sources.spec import ARRIVAL, explode_pages, get_source, records, stamp
 
 
 def merge_stream(
@@ -64,8 +64,16 @@ def ingest_stream(
     options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
     rows = records(spec, explode_pages(spec.stream_pages(spark, path, **options)))
     moment = F.current_timestamp() if fetched_at is None else fetched_at
-    observed = stamp(rows, moment).observe("collect", F.count(F.lit(1)).alias("rows_read"))
-    return merge_stream(observed, table, RAW_KEY, ("seq",), checkpoint, first_batch=first_batch)
+    observed = rows.observe("collect", F.count(F.lit(1)).alias("rows_read"))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        at = first_batch + number
+        stored = table.read(batch.sparkSession, before=at)
+        arriving = stamp(batch, moment, stored.filter(F.col("source_name") == source))
+        table.write_batch(merge_changes(arriving, stored, RAW_KEY, ARRIVAL), at)
+
+    writer = observed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def curate_stream(
@@ -73,10 +81,11 @@ def curate_stream(
     table: RecordTable,
     model: PipelineModel,
     checkpoint: str,
-    order: Sequence[str] = ("fetched_at",),
+    order: Sequence[str] = ("batch",),
     first_batch: int = 0,
 ) -> StreamingQuery:
-    """A stream of raw records into the canonical table."""
+    """A stream of raw records, such as ``raw_table(..).stream(spark)``, into the canonical table;
+    a raw batch has one row per key, so its number is the order."""
 
     def merge(batch: DataFrame, number: int) -> None:
         at = first_batch + number

@@ -171,3 +171,5 @@ def test_collect_runs(spark, tmp_path):
     resumed = run(20, {"sam_gov": paths["sam_gov"], "unheard": "/nowhere"})
     assert (resumed.items_collected, resumed.items_skipped, resumed.failures) == (0, 1, 1)
     assert {r.source_id for r in table.read(spark).collect()} == {"n1", "n2", "r1"}
+    times = {r.source_id: r.fetched_at for r in table.read(spark).collect()}
+    assert times["n2"] > times["n1"]

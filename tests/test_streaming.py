@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 from test_sources import city_row, land_city, land_federal, notice
 
@@ -27,8 +29,7 @@ def test_pages_to_canonical(spark, tmp_path):
             spark, "sam_gov", str(landing / "*"), raw, str(tmp_path / "c1"),
             fetched_at=F.lit("2024-01-01").cast("timestamp"), first_batch=100,
         ).awaitTermination()
-        rows = spark.readStream.schema(raw.schema).parquet(raw.path + "/batch=*")
-        curate_stream(rows, canonical, model, str(tmp_path / "c2")).awaitTermination()
+        curate_stream(raw.stream(spark), canonical, model, str(tmp_path / "c2")).awaitTermination()
         stored = canonical.read(spark).collect()
         return {r.source_id: (r.title, r.version) for r in stored}
 
@@ -37,3 +38,18 @@ def test_pages_to_canonical(spark, tmp_path):
     land_federal(landing / "two", [[notice(2, "2024-01-11"), notice(3), notice(4)]])
     assert run() == {"n1": ("T1", 1), "n2": ("T2", 2), "n3": ("T3", 1), "n4": ("T4", 1)}
     assert run() == {"n1": ("T1", 1), "n2": ("T2", 2), "n3": ("T3", 1), "n4": ("T4", 1)}
+
+
+def test_landings_of_one_batch_apply_in_order(spark, tmp_path):
+    landing = tmp_path / "landing"
+    raw = raw_table(str(tmp_path / "raw"))
+    # the same notice at the same place, three times, the last change being the first form again
+    for i, title in enumerate(["A", "B", "A"]):
+        path = land_federal(landing / str(i), [[notice(1, title=title), notice(2)]])
+        os.utime(f"{path}/pages.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    ingest_stream(
+        spark, "sam_gov", str(landing / "*"), raw, str(tmp_path / "c1")
+    ).awaitTermination()
+    stored = raw.read(spark).collect()
+    assert {r.source_id: r.extracted["title"] for r in stored} == {"n1": "A", "n2": "T2"}
+    assert len(stored) == 2
