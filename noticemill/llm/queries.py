@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from noticemill.llm import exact, mixture, packing, sql, token_counts
+from noticemill.llm import exact, language_model, minhash, mixture, packing, sql, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.train_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), path)
@@ -25,6 +28,10 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path)
@@ -36,8 +43,10 @@ def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_language_model": (op1_language_model, None),
     "op2_token_counts": (op2_token_counts, None),
     "op3_mixture": (op3_mixture, None),
+    "op5_minhash": (op5_minhash, sql.NEAR),
     "op8_packing": (op8_packing, None),
     "op9_exact": (op9_exact, sql.EXACT),
 }

@@ -14,3 +14,41 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size,
        doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(normal) AS text_sha256
 FROM r
 """
+
+NEAR = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id,
+           list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+    FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5
+        THEN [list_aggregate(words, 'string_agg', ' ')]
+        ELSE list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' '))
+        END) AS shingles
+    FROM w
+), c AS (
+    SELECT shingles, min(doc_id) AS rep, len(shingles) AS n
+    FROM (SELECT doc_id, list_sort(shingles) AS shingles FROM s) GROUP BY shingles
+), g AS (
+    SELECT rep, n, unnest(shingles) AS shingle FROM c
+), p AS (
+    SELECT a.rep AS a, b.rep AS b
+    FROM g a JOIN g b ON a.shingle = b.shingle AND a.rep < b.rep
+        AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+    GROUP BY a.rep, b.rep
+    HAVING 100 * count(*) >= 75 * (max(a.n) + max(b.n) - count(*))
+), e AS (
+    SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), reach AS (
+    SELECT rep AS id, rep AS other FROM c
+    UNION
+    SELECT reach.id, e.b FROM reach JOIN e ON reach.other = e.a
+), m AS (
+    SELECT id, min(other) AS component_id FROM reach GROUP BY id
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles,
+       CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE m.component_id END AS component_id,
+       len(s.shingles) = 0 OR s.doc_id = m.component_id AS kept
+FROM s JOIN c ON list_sort(s.shingles) = c.shingles JOIN m ON m.id = c.rep
+"""
