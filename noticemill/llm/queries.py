@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticemill.llm import exact, language_model, minhash, mixture, packing, sql, token_counts
+from noticemill.llm import exact, language_model, minhash, mixture, packing, personal, sql, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path)
@@ -47,6 +51,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_token_counts": (op2_token_counts, None),
     "op3_mixture": (op3_mixture, None),
     "op5_minhash": (op5_minhash, sql.NEAR),
+    "op6_personal": (op6_personal, None),
     "op8_packing": (op8_packing, None),
     "op9_exact": (op9_exact, sql.EXACT),
 }
