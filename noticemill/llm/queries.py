@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticemill.llm import exact, language_model, minhash, mixture, packing, personal, sql, token_counts
+from noticemill.llm import exact, language_model, minhash, mixture, packing, personal, quality, sql, token_counts, toxicity
+from noticemill.llm.ship import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path)
@@ -45,6 +50,10 @@ def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_model": (op1_language_model, None),
@@ -52,8 +61,10 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_mixture": (op3_mixture, None),
     "op5_minhash": (op5_minhash, sql.NEAR),
     "op6_personal": (op6_personal, None),
+    "op7_quality": (op7_quality, None),
     "op8_packing": (op8_packing, None),
     "op9_exact": (op9_exact, sql.EXACT),
+    "op10_toxicity": (op10_toxicity, None),
 }
 
 
