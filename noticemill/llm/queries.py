@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticemill.llm import exact, language_model, minhash, mixture, packing, personal, quality, sql, token_counts, toxicity
+from noticemill.llm import exact, language_model, minhash, mixture, packing, personal, quality, sql, token_counts, toxicity, vectors
 from noticemill.llm.ship import ship
 
 
@@ -29,6 +29,10 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_language_model": (op1_language_model, None),
     "op2_token_counts": (op2_token_counts, None),
     "op3_mixture": (op3_mixture, None),
+    "op4_vectors": (op4_vectors, sql.VECTORS),
     "op5_minhash": (op5_minhash, sql.NEAR),
     "op6_personal": (op6_personal, None),
     "op7_quality": (op7_quality, None),

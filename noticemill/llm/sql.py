@@ -52,3 +52,25 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles,
        len(s.shingles) = 0 OR s.doc_id = m.component_id AS kept
 FROM s JOIN c ON list_sort(s.shingles) = c.shingles JOIN m ON m.id = c.rep
 """
+
+VECTORS = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), p AS (
+    SELECT x.vec_id AS a, y.vec_id AS b
+    FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+    WHERE len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.93
+), reach AS (
+    SELECT vec_id AS id, vec_id AS other FROM embeddings
+    UNION
+    SELECT reach.id, p.b FROM reach JOIN p ON reach.other = p.a
+), c AS (
+    SELECT id, min(other) AS component_id FROM reach GROUP BY id
+), n AS (
+    SELECT a, count(*) AS n_links FROM p GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
