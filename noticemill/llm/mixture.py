@@ -73,7 +73,20 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[f
     return table.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def takings(
+def takings(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """(id, size, source_size, target, epochs, taken) for every row: ``epochs`` is how often the
+    mix holds the document, ``taken`` its words in the mix. The options are those of ``_taken``."""
+    return _taken(docs, id_column=id_column, **options).select(
+        F.col("id").alias(id_column), "size", "source_size", "target", "epochs", "taken"
+    )
+
+
+def _tag(id_column: str, text_column: str, source_column: str) -> Column:
+    """What tells a document apart: rows with the same id, source and text are interchangeable."""
+    return F.xxhash64(F.col(id_column), F.col(source_column), whole_text(text_column))
+
+
+def _taken(
     docs: DataFrame,
     share: float = 1.5,
     most: float = 2.0,
@@ -84,8 +97,6 @@ def takings(
     text_column: str = "text",
     source_column: str = "source",
 ) -> DataFrame:
-    """(id, size, source_size, target, epochs, taken) for every row: ``epochs`` is how often the
-    mix holds the document, ``taken`` its words in the mix."""
     weight = text_quality(text_column) if quality is None else quality
     sized = written(
         docs.select(
@@ -93,6 +104,7 @@ def takings(
             F.col(source_column).alias("source"),
             F.regexp_count(whole_text(text_column), F.lit(WORD)).cast("long").alias("size"),
             (-F.log(uniform(id_column, seed)) / weight).alias("key"),
+            _tag(id_column, text_column, source_column).alias("tag"),
         ),
         "sizes",
     )
@@ -106,7 +118,7 @@ def takings(
         full.cast("long").alias("full"),
     ).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     placed = sized.join(wanted, sized["source"].eqNullSafe(wanted["source"])).select(
-        "id", "size", "key", wanted["source_no"], "source_size", "target", "full", "rest"
+        "id", "tag", "size", "key", wanted["source_no"], "source_size", "target", "full", "rest"
     )
     order = [F.col("key"), F.col("id"), F.col("size")]
     summed = written(
@@ -116,7 +128,8 @@ def takings(
     extra = F.col("chosen") | F.coalesce(F.array_contains("picked", F.col("at")), F.lit(False))
     epochs = F.col("full") + extra.cast("long")
     return summed.join(picks, "source_no").select(
-        F.col("id").alias(id_column),
+        "id",
+        "tag",
         "size",
         "source_size",
         "target",
@@ -155,23 +168,23 @@ def _fill(summed: DataFrame) -> DataFrame:
     return picks.select("source_no", "picked")
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as the mix holds it. Rows
-    that repeat an id are told apart by their place among the rows of that id."""
-    taken = takings(docs, id_column=id_column, **options)
-    repeats = Window.partitionBy("_mix_id").orderBy("_mix_size")
-    sides = (
-        taken.select(F.col(id_column).alias("_mix_id"), F.col("size").alias("_mix_size"), "epochs")
-        .withColumn("_mix_nth", F.row_number().over(repeats))
-        .select(F.col("_mix_id").alias("_id"), F.col("_mix_nth").alias("_nth"), "epochs")
+def mix(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options
+) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as the mix holds it."""
+    names = {"id_column": id_column, "text_column": text_column, "source_column": source_column}
+    held = _taken(docs, **names, **options).groupBy(F.col("tag").alias("_held_tag")).agg(
+        F.sum("epochs").alias("_held_epochs"), F.count("*").alias("_held_rows")
     )
-    size = F.regexp_count(whole_text(options.get("text_column", "text")), F.lit(WORD))
-    numbered = docs.withColumns({"_mix_id": docs[id_column], "_mix_size": size}).withColumn(
-        "_mix_nth", F.row_number().over(repeats)
+    tagged = docs.withColumn("_mix_tag", _tag(**names)).join(
+        held.where("_held_epochs > 0"), F.col("_mix_tag") == F.col("_held_tag")
     )
-    same = numbered["_mix_id"].eqNullSafe(sides["_id"]) & (numbered["_mix_nth"] == sides["_nth"])
+    nth = F.row_number().over(Window.partitionBy("_mix_tag").orderBy("_mix_tag"))
+    rows = F.col("_held_rows")
+    copies = F.floor(F.col("_held_epochs") / rows) + (nth <= F.col("_held_epochs") % rows).cast("long")
     return (
-        numbered.join(sides.where("epochs > 0"), same)
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("epochs").cast("int"))))
-        .select(*[numbered[c] for c in docs.columns])
+        tagged.withColumn("_mix_copies", copies)
+        .where("_mix_copies > 0")
+        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int"))))
+        .select(*docs.columns)
     )
