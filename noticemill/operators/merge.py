@@ -20,9 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _place(order: Sequence[str], hash_col: str) -> Column:
+    """A row's place among those of its key. Rows that tie in the order count as applied in the
+    order of their hashes, so that a batch means the same however its rows are dealt."""
+    return F.struct(*order, F.col(hash_col).alias("_tie"))
+
+
 def _ranges(batch: DataFrame, keys: Sequence[str], order: Sequence[str], hash_col: str) -> DataFrame:
     """One row per key and range: rows, changes inside, ends, place of the last change."""
-    narrow = batch.select(*keys, F.struct(*order).alias("_seq"), F.col(hash_col).alias("_hash"))
+    narrow = batch.select(*keys, _place(order, hash_col).alias("_seq"), F.col(hash_col).alias("_hash"))
     placed = narrow.repartitionByRange(*keys, "_seq").withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy(*keys, "_part").orderBy("_seq")
     before = F.lag(F.struct("_hash")).over(inside)
@@ -40,7 +46,7 @@ def _ranges(batch: DataFrame, keys: Sequence[str], order: Sequence[str], hash_co
 
 def _single(batch: DataFrame, keys: Sequence[str], order: Sequence[str], hash_col: str) -> DataFrame:
     """The same for a batch with one row per key."""
-    end = F.struct(F.struct(*order).alias("_seq"), F.col(hash_col).alias("_hash"))
+    end = F.struct(_place(order, hash_col).alias("_seq"), F.col(hash_col).alias("_hash"))
     return batch.select(
         *keys,
         F.lit(0).alias("_part"),
@@ -116,9 +122,10 @@ def apply_actions(
     order: Sequence[str],
     versioned: bool = False,
     now: Column | None = None,
+    hash_col: str = "content_hash",
 ) -> DataFrame:
     """The rows of the batch that ``actions`` (from ``merge_actions``) write: per changed key its
-    last written row.
+    last written row. Of rows that are at one place with one content, one stays.
 
     With ``versioned`` the row gets its new version, ``updated_at`` = now, and the
     ``created_at`` of the first version.
@@ -130,7 +137,8 @@ def apply_actions(
         *[c for c in actions.columns if c == "_old_created_at"],
     )
     on = [*keys, "_written_at"]
-    rows = batch.withColumn("_written_at", F.struct(*order)).join(written, on)
+    rows = batch.withColumn("_written_at", _place(order, hash_col)).join(written, on)
+    rows = rows.dropDuplicates(on)
     if versioned:
         now = F.current_timestamp() if now is None else now
         first = F.col("_old_created_at") if "_old_created_at" in written.columns else F.lit(None)
@@ -158,7 +166,7 @@ def merge_changes(
 ) -> DataFrame:
     """The rows a batch writes: ``merge_actions`` applied to the batch."""
     actions = merge_actions(batch, stored, keys, order, hash_col, force, one_row_per_key)
-    return apply_actions(batch, actions, keys, order, versioned, now)
+    return apply_actions(batch, actions, keys, order, versioned, now, hash_col)
 
 
 def snapshot(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -98,8 +98,11 @@ def raw_stats(raw: DataFrame, days: int = TIMELINE_DAYS) -> DataFrame:
 
 
 def stats(raw: DataFrame, canonical: DataFrame) -> DataFrame:
-    """All counts of the overview as (metric, label, count)."""
-    return raw_stats(raw).unionByName(canonical_stats(canonical))
+    """All counts of the overview as (metric, label, count): days in order, other labels by
+    count, the largest first."""
+    both = raw_stats(raw).unionByName(canonical_stats(canonical))
+    day = F.col("metric") == "day"
+    return both.orderBy("metric", F.when(~day, -F.col("count")), "label")
 
 
 def with_share(counted: DataFrame) -> DataFrame:
@@ -109,11 +112,12 @@ def with_share(counted: DataFrame) -> DataFrame:
 
 
 def distinct_counts(raw: DataFrame, canonical: DataFrame) -> DataFrame:
-    """One row: number of sources, number of categories, names of the sources."""
+    """One row: number of sources, number of categories, names of the sources, largest first."""
     names = raw.groupBy("source_name").agg(F.count("*").alias("count"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("less"), "source_name")))
     per_source = names.agg(
         F.count("*").alias("n_sources"),
-        F.array_join(F.sort_array(F.collect_list("source_name")), ", ").alias("source_names"),
+        F.array_join(F.transform(listed, lambda s: s["source_name"]), ", ").alias("source_names"),
     )
     categories = canonical.agg(
         F.count_distinct(_filled("category", "uncategorized")).alias("n")
@@ -130,7 +134,7 @@ def page_count(df: DataFrame, size: int = DASHBOARD_PAGE) -> DataFrame:
 
 def search(term: str, fields: Sequence[str] = ("title", "description", "agency"), regex: bool = True) -> Column:
     """Case-insensitive match of the term in any of the fields."""
-    pattern = "(?i)" + (term if regex else re.escape(term))
+    pattern = "(?iu)" + (term if regex else re.escape(term))
     hit = F.lit(False)
     for field in fields:
         hit = hit | F.coalesce(F.col(field).rlike(pattern), F.lit(False))

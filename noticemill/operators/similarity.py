@@ -364,6 +364,8 @@ class Duplicates:
 
     shaped: DataFrame
     threshold: float = THRESHOLD
+    chunk: int = CHUNK
+    long_list: int = LONG_LIST
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -372,7 +374,10 @@ class Duplicates:
             F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("vector", "id").alias("vector")
         )
         found = prefix_pairs(
-            written(vectors.select("id", "n", "vector"), "vectors"), self.threshold
+            written(vectors.select("id", "n", "vector"), "vectors"),
+            self.threshold,
+            self.chunk,
+            self.long_list,
         )
         return found.select("id_a", "id_b", "similarity", "n_a", "n_b")
 
@@ -459,9 +464,12 @@ def find_duplicates(
     fields: Sequence[str] = ("title", "description"),
     max_terms: int = DEDUP_TERMS,
     stop_words: Sequence[str] = ENGLISH,
+    chunk: int = CHUNK,
+    long_list: int = LONG_LIST,
 ) -> Duplicates:
-    """All pairs of records whose texts have a cosine similarity of at least ``threshold``."""
+    """All pairs of records whose texts have a cosine similarity of at least ``threshold``. Lists of
+    more than ``chunk`` rows are cut, those of more than ``long_list`` listed by two terms."""
     documents = corpus(records, id_col, fields)
     # the one pass over the texts; everything else starts from this table
     shaped = written(profiles(scaled(documents, max_terms, stop_words)), "profiles")
-    return Duplicates(shaped, threshold)
+    return Duplicates(shaped, threshold, chunk, long_list)

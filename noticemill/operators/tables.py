@@ -4,6 +4,7 @@ Layout below one path::
 
     base=<n>/      the whole table as of batch n, clustered for pruning
     batch=<n>/     rows written by batch n
+    <kind>/batch=<n>/   rows that batch n left out, such as unreadable pages
 
 A merge writes only the rows it changes, into a folder named by its batch, so a repeated batch
 replaces its own output and nothing else. Reading puts the newest row per key of the batches
@@ -13,13 +14,15 @@ after the base in place of the base's row. ``compact`` folds batches into a new
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticemill.schemas import CANONICAL, CANONICAL_KEY, RAW, RAW_KEY
+from noticemill.session import path_exists
 
 
 @dataclass(frozen=True)
@@ -54,23 +57,40 @@ class RecordTable:
         """The rows one batch wrote."""
         return self._read(spark, [f"batch={batch}"]).drop("batch")
 
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """One row per key; ``before`` leaves out batches with that number or a later one."""
+    def read(
+        self,
+        spark: SparkSession,
+        before: int | None = None,
+        columns: Sequence[str] | None = None,
+        where: Column | None = None,
+    ) -> DataFrame:
+        """One row per key; ``before`` leaves out batches with that number or a later one.
+
+        ``columns`` reads only these beside the keys. ``where`` is a condition on key columns;
+        it and the choice of columns reach the files. Which batch has a key's newest row is found
+        from the keys alone.
+        """
         limit = 2**62 if before is None else before
         bases = [n for n in self._folders(spark, "base") if n < limit]
         base_at = bases[-1] if bases else -1
         batches = [n for n in self._folders(spark, "batch") if base_at < n < limit]
-        base = self._read(spark, [f"base={base_at}"]).drop("base") if bases else None
+        names = [
+            f for f in self.schema.fieldNames() if columns is None or f in columns or f in self.keys
+        ]
+
+        def rows(folders: list[str], *more: str) -> DataFrame:
+            found = self._read(spark, folders)
+            return (found if where is None else found.filter(where)).select(*names, *more)
+
+        base = rows([f"base={base_at}"]) if bases else None
         if not batches:
-            return spark.createDataFrame([], self.schema) if base is None else base
-        newest = self._read(spark, [f"batch={n}" for n in batches])
+            empty = T.StructType([self.schema[f] for f in names])
+            return spark.createDataFrame([], empty) if base is None else base
+        folders = [f"batch={n}" for n in batches]
+        newest = rows(folders, "batch")
         if len(batches) > 1:
-            whole = F.struct(*self.schema.fieldNames())
-            newest = (
-                newest.groupBy(*self.keys)
-                .agg(F.max_by(whole, "batch").alias("_row"))
-                .select("_row.*")
-            )
+            last = rows(folders, "batch").groupBy(*self.keys).agg(F.max("batch").alias("batch"))
+            newest = newest.join(last, [*self.keys, "batch"], "left_semi")
         newest = newest.drop("batch")
         if base is None:
             return newest
@@ -90,7 +110,25 @@ class RecordTable:
     def write_batch(self, changes: DataFrame, batch: int) -> None:
         """Write the rows of one batch; running the same batch again replaces them."""
         rows = changes.select(*self.schema.fieldNames())
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        self._write(rows, f"{self.path}/batch={batch}")
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.write.mode("overwrite").parquet(folder)
+        if not path_exists(rows.sparkSession, f"{folder}/_SUCCESS"):
+            raise RuntimeError(
+                f"{folder} has no _SUCCESS: reading leaves out folders without it, so the cluster "
+                "must not turn mapreduce.fileoutputcommitter.marksuccessfuljobs off"
+            )
+
+    def write_aside(self, rows: DataFrame, kind: str, batch: int) -> int:
+        """Rows that do not go into the table, kept below it by batch; returns their number."""
+        folder = f"{self.path}/{kind}/batch={batch}"
+        rows.write.mode("overwrite").parquet(folder)
+        return rows.sparkSession.read.schema(rows.schema).parquet(folder).count()
+
+    def read_aside(self, spark: SparkSession, kind: str) -> DataFrame:
+        """All rows kept under one kind, with the batch that left them out."""
+        return spark.read.parquet(f"{self.path}/{kind}")
 
     def compact(self, spark: SparkSession) -> None:
         """Write a base that holds everything up to the newest batch.
@@ -103,7 +141,16 @@ class RecordTable:
             return
         rows = self.read(spark)
         clustered = rows.repartitionByRange(*self.cluster_by).sortWithinPartitions(*self.cluster_by)
-        clustered.write.mode("overwrite").parquet(f"{self.path}/base={batches[-1]}")
+        self._write(clustered, f"{self.path}/base={batches[-1]}")
+
+    def compact_after(self, spark: SparkSession, batches: int) -> bool:
+        """Compact once so many batches lie behind the last base."""
+        bases = self._folders(spark, "base")
+        waiting = [n for n in self._folders(spark, "batch") if n > (bases[-1] if bases else -1)]
+        if len(waiting) >= batches:
+            self.compact(spark)
+            return True
+        return False
 
 
 def raw_table(path: str) -> RecordTable:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,7 @@ from noticemill.operators.quality import has_required, split_valid
 from noticemill.operators.similarity import THRESHOLD, Duplicates, find_duplicates
 from noticemill.operators.tables import RecordTable
 from noticemill.schemas import CANONICAL_KEY
-from noticemill.session import size_shuffles
+from noticemill.session import size_shuffles, written
 
 # The extracted keys each canonical field is read from, first filled one wins.
 ALIASES: Mapping[str, Sequence[str]] = {
@@ -137,11 +137,11 @@ class Curated:
     def changes(self) -> DataFrame:
         """The canonical rows to write. What is unchanged is skipped by its content hash, so only
         the rows that are written get classified."""
-        written = merge_changes(
+        changed = merge_changes(
             self.valid(), self.stored, CANONICAL_KEY, _ORDER, versioned=True, now=self.now,
             force=self.force, one_row_per_key=True,
         )
-        return classify_records(written, self.model)
+        return classify_records(changed, self.model)
 
     def duplicates(self) -> Duplicates:
         """Near-duplicates among the records; they are reported, never merged."""
@@ -190,18 +190,27 @@ def process(
     batch: int,
     now: Column | None = None,
     incremental: bool = False,
+    force: bool = False,
 ) -> DataFrame:
     """Run over the whole raw table and write canonical batch ``batch``; returns the summary.
 
+    Rows that fail validation go to the folder ``quarantine`` of the canonical table with their
+    reasons; ``quarantined`` counts them, so it and ``processed`` add up to the rows read.
+    ``force`` writes all valid rows, changed or not.
     ``incremental`` looks only at raw records that are new or changed. Near-duplicates are looked
     for in the table as it is after the write, where every record of the raw table has its text.
     """
     size_shuffles(spark, raw.path, canonical.path)
-    stored = canonical.read(spark, before=batch)
+    stored = canonical.read(spark, batch, ("content_hash", "version", "created_at"))
     rows = raw.read(spark)
     if incremental:
         rows = only_new(rows, stored)
-    done = curate(rows, stored, model, now)
+    done = curate(rows, stored, model, now, force=force)
+    # the projection is evaluated once; writing, quarantine and summary read its table
+    done = replace(done, normal=written(done.normal, "normal"))
     canonical.write_batch(done.changes(), batch)
+    quarantined = canonical.write_aside(done.quarantine(), "quarantine", batch)
     upserted = canonical.read_batch(spark, batch).agg(F.count("*").alias("n"))
-    return done.summary(upserted, find_duplicates(canonical.read(spark), "record_id"))
+    texts = canonical.read(spark, columns=("title", "description"))
+    summary = done.summary(upserted, find_duplicates(texts, "record_id"))
+    return summary.withColumn("quarantined", F.lit(quarantined).cast("long"))

@@ -16,9 +16,18 @@ from noticemill.operators.merge import apply_actions, merge_actions
 from noticemill.operators.tables import RecordTable
 from noticemill.schemas import RAW_KEY
 from noticemill.session import size_shuffles, written
-from noticemill.sources.landing import read_source
+from noticemill.sources.landing import read_pages
 from noticemill.sources.resume import take_until_checkpoint
-from noticemill.sources.spec import ARRIVAL, get_source, source_names, stamp
+from noticemill.sources.spec import (
+    ARRIVAL,
+    explode_pages,
+    get_source,
+    pages_to_read,
+    records,
+    source_names,
+    stamp,
+    unreadable,
+)
 
 log = logging.getLogger(__name__)
 
@@ -54,27 +63,36 @@ def collect(
     fetched_at: Column | None = None,
     resume: bool = True,
     allow_missing: bool = True,
+    until_empty: bool = False,
 ) -> DataFrame:
     """Run the sources in ``paths`` into the raw table; returns the one-row summary.
 
     The i-th source writes table batch ``batch + i``: keys of different sources never meet, so
     each is a job of its own and one that fails leaves the others as they are. A failed or
-    unknown source counts as a failure.
+    unknown source counts as a failure. So does one with pages that cannot be read: its other
+    pages are stored, and these go to the folder ``unreadable`` of the table with their reasons.
     """
     started = time.monotonic()
     moment = F.current_timestamp() if fetched_at is None else fetched_at
     size_shuffles(spark, table.path, *paths.values())
-    stored = table.read(spark, before=batch)
 
-    def run(number: int, name: str, path: str) -> tuple[int, int]:
-        rows = read_source(spark, get_source(name), path, as_of, allow_missing)
-        mine = stored.filter(F.col("source_name") == name)
+    def run(number: int, name: str, path: str) -> tuple[int, int, int]:
+        spec = get_source(name)
+        pages = read_pages(spark, spec, path, allow_missing)
+        rows = records(spec, explode_pages(pages_to_read(pages, until_empty)), as_of)
+        mine = table.read(
+            spark, batch, ("fetched_at", "content_hash"), F.col("source_name") == name
+        )
         # responses are parsed once; the steps after it read columns of these tables
         arriving = written(incoming(rows, mine, moment, resume), "arriving")
         actions = written(merge_actions(arriving, mine, RAW_KEY, ARRIVAL), "actions")
         table.write_batch(apply_actions(arriving, actions, RAW_KEY, ARRIVAL), number)
         counts = collect_counts(actions).first()
-        return counts["items_collected"], counts["items_skipped"]
+        bad = unreadable(pages, name)
+        n_bad = 0 if bad is None else table.write_aside(bad, "unreadable", number)
+        if n_bad:
+            log.error("%s: %d pages could not be read", name, n_bad)
+        return counts["items_collected"], counts["items_skipped"], int(n_bad > 0)
 
     collected = skipped = failures = 0
     with ThreadPoolExecutor(CONCURRENT_SOURCES) as pool:
@@ -85,6 +103,7 @@ def collect(
             if done.exception() is None:
                 collected += done.result()[0]
                 skipped += done.result()[1]
+                failures += done.result()[2]
             else:
                 log.error("source failed: %s", done.exception())
                 failures += 1

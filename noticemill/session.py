@@ -30,6 +30,11 @@ def build_session(app: str = "noticemill", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 PARTITION_BYTES = 256 << 20
 MOST_PARTITIONS = 100_000
 

@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticemill.session import path_exists
 from noticemill.sources.spec import (
     LANDED,
     SourceSpec,
+    check_runs,
     explode_pages,
-    get_source,
     pages_to_read,
     records,
 )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def empty_pages(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     schema = T.StructType(
         [
@@ -55,36 +48,20 @@ def read_source(
     until_empty: bool = False,
 ) -> DataFrame:
     """Raw records of one source, each with its ``seq``."""
-    if allow_missing and not path_exists(spark, path):
-        pages = empty_pages(spark, spec)
-    else:
-        pages = spec.read_pages(spark, path)
+    pages = read_pages(spark, spec, path, allow_missing)
     return records(spec, explode_pages(pages_to_read(pages, until_empty)), as_of)
 
 
-@dataclass
-class SourceRead:
-    """Records of the sources that could be planned, and why the others could not."""
-
-    records: DataFrame | None
-    failures: dict[str, str]
-
-
-def read_sources(
-    spark: SparkSession,
-    paths: Mapping[str, str],
-    as_of: date | None = None,
-    allow_missing: bool = False,
-) -> SourceRead:
-    """One frame over many sources; a source that fails is reported and left out."""
-    frames, failures = [], {}
-    for name, path in paths.items():
-        try:
-            frames.append(read_source(spark, get_source(name), path, as_of, allow_missing))
-        except Exception as error:  # noqa: BLE001  one source must not stop the others
-            failures[name] = f"{type(error).__name__}: {error}"
-    union = reduce(DataFrame.unionByName, frames) if frames else None
-    return SourceRead(union, failures)
+def read_pages(
+    spark: SparkSession, spec: SourceSpec, path: str, allow_missing: bool = False
+) -> DataFrame:
+    """The landed pages of one source, those with a problem included."""
+    if allow_missing and not path_exists(spark, path):
+        return empty_pages(spark, spec)
+    pages = spec.read_pages(spark, path)
+    if spec.one_run:
+        check_runs(pages.inputFiles())
+    return pages
 
 
 def page_snapshots(pages: DataFrame, source_name: str, label: str = "page") -> DataFrame:

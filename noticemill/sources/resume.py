@@ -17,26 +17,32 @@ def newest_first(moment: Column, *ties: str) -> Column:
 def take_until_checkpoint(
     records: DataFrame, checkpoints: DataFrame, order: Column | str = "seq"
 ) -> DataFrame:
-    """Per source, the records before the one whose id is the checkpoint.
+    """Per source and listing, the records before the one whose id is the checkpoint.
+
+    A folder may hold the listings of several runs, told apart by the column ``landing`` where the
+    records have it; each is cut by itself, as an old listing says nothing about a newer one.
 
     ``order`` is the place of a record in its source, by default its sequence number.
     ``checkpoints`` has one row (source_name, source_id) per source; a source without one, or
     whose checkpoint does not occur, keeps all records. The cut is an aggregate, so no source is
-    ever sorted or gathered in one place. There are at most as many cuts as checkpoints, so one
-    count decides for both joins.
+    ever sorted or gathered in one place. There is at most one cut per checkpoint and listing.
     """
     marks = checkpoints.select("source_name", F.col("source_id").alias("mark_id"))
     small = is_small(marks)
-    placed = records.withColumn("_place", F.col(order) if isinstance(order, str) else order)
+    listing = F.col("landing") if "landing" in records.columns else F.lit("")
+    placed = records.withColumns(
+        {"_place": F.col(order) if isinstance(order, str) else order, "_listing": listing}
+    )
     cuts = (
-        placed.select("source_name", "source_id", "_place")
+        placed.select("source_name", "source_id", "_place", "_listing")
         .join(broadcast_if(small, marks), "source_name")
         .filter(F.col("source_id") == F.col("mark_id"))
-        .groupBy("source_name")
+        .groupBy("source_name", "_listing")
         .agg(F.min("_place").alias("_cut"))
     )
+    cuts = written(cuts, "cuts")
     return (
-        placed.join(F.broadcast(cuts) if small else written(cuts, "cuts"), "source_name", "left")
+        placed.join(broadcast_if(is_small(cuts), cuts), ["source_name", "_listing"], "left")
         .filter(F.col("_cut").isNull() | (F.col("_place") < F.col("_cut")))
-        .drop("_cut", "_place")
+        .drop("_cut", "_place", "_listing")
     )

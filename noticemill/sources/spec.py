@@ -22,9 +22,10 @@ class SourceSpec:
     """One source.
 
     ``read_pages(spark, path)`` gives a frame (page_offset long, total_records long,
-    rows array<struct>, and from files ``landed``, see below); ``row_type`` is the struct. ``key``, ``url``, ``keep`` and ``window``
-    are expressions over one exploded row; ``mapping`` names the extracted keys and the row
-    field each is read from.
+    rows array<struct>, and from files ``landed`` and ``problem``, see below); ``row_type`` is the
+    struct. ``key``, ``url``, ``keep`` and ``window`` are expressions over one exploded row;
+    ``mapping`` names the extracted keys and the row field each is read from. ``one_run`` says that
+    the files outside ``run=<n>`` folders are the pages of one run, not a run each.
     """
 
     name: str
@@ -41,18 +42,24 @@ class SourceSpec:
     keep: Callable[[], Column] | None = None
     window: Callable[[date], Column] | None = None
     stream_pages: Callable[..., DataFrame] | None = None
+    one_run: bool = False
 
     def start_url(self) -> str:
         return self.base_url
 
 
 LANDED = "landed"
+# what is wrong with a page, null if it can be read, and the response as it came
+PROBLEM = ("problem", "response")
+# which listing of its source a record belongs to
+LANDING = "landing"
 # the order records arrive in: by landing, then by place in the source
 ARRIVAL = (LANDED, "seq")
 
 
 def landed() -> Column:
-    """When and as which file a page came; a folder may hold the pages of several runs."""
+    """When and as which file a page came. A folder may hold the files of several runs; those below
+    a folder ``run=<n>`` belong together."""
     return F.struct("_metadata.file_modification_time", "_metadata.file_path").alias(LANDED)
 
 
@@ -61,9 +68,39 @@ def with_landed(source: DataFrame, *columns: Column) -> DataFrame:
     return source.select(*columns, *[c for c in (LANDED,) if c in source.columns])
 
 
+def landing(one_run: bool) -> Column:
+    """The listing a record belongs to: the run its file is filed under; without one, the file is
+    taken as a listing of its own, or the whole folder with ``one_run``."""
+    path = F.col(f"{LANDED}.file_path")
+    run = F.regexp_extract(path, "/(run=[^/]+)/", 1)
+    return F.when(run != "", run).otherwise(F.lit("") if one_run else path)
+
+
+def check_runs(files: list[str]) -> None:
+    """Raise if a page's folder outside ``run=<n>`` holds the files of several runs: their places
+    could not be told apart."""
+    folders = [f.rpartition("/")[0] for f in files if "/page_offset=" in f and "/run=" not in f]
+    if len(set(folders)) < len(folders):
+        raise ValueError("several files for one page: file each run below a folder run=<n>")
+
+
+def readable(pages: DataFrame) -> DataFrame:
+    """The pages that could be read."""
+    return pages.filter(F.col(PROBLEM[0]).isNull()) if PROBLEM[0] in pages.columns else pages
+
+
+def unreadable(pages: DataFrame, name: str) -> DataFrame | None:
+    """(source_name, reason, response, landed) of the pages that could not be read."""
+    if PROBLEM[0] not in pages.columns:
+        return None
+    return pages.filter(F.col(PROBLEM[0]).isNotNull()).select(
+        F.lit(name).alias("source_name"), F.col("problem").alias("reason"), "response", LANDED
+    )
+
+
 def explode_pages(pages: DataFrame) -> DataFrame:
     """Rows of all pages with their place in the source: seq = page offset + position."""
-    rows = with_landed(pages, F.col("page_offset"), F.posexplode("rows").alias("pos", "row"))
+    rows = with_landed(readable(pages), F.col("page_offset"), F.posexplode("rows").alias("pos", "row"))
     place = (F.col("page_offset") + F.col("pos")).alias("seq")
     return with_landed(rows, place, F.col("row.*"))
 
@@ -74,6 +111,7 @@ def pages_to_read(pages: DataFrame, until_empty: bool = False) -> DataFrame:
     A reader that fetches also stops at the first empty page, so landed pages normally end there;
     ``until_empty`` looks for it, in a pass of its own, and leaves out what lies behind.
     """
+    pages = readable(pages)
     kept = pages.filter(
         F.col("total_records").isNull() | (F.col("page_offset") < F.col("total_records"))
     )
@@ -118,6 +156,7 @@ def records(spec: SourceSpec, rows: DataFrame, as_of: date | None = None) -> Dat
         extracted_map(spec.mapping).alias("extracted"),
         content_hash(extracted_values(spec.mapping)).alias("content_hash"),
         F.col("seq"),
+        *([landing(spec.one_run).alias(LANDING)] if LANDED in keyed.columns else []),
     )
 
 

@@ -15,12 +15,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from noticemill.operators.merge import merge_changes
-from noticemill.operators.quality import has_required
+from noticemill.operators.merge import apply_actions, merge_actions, merge_changes
+from noticemill.operators.quality import has_required, split_valid
 from noticemill.operators.tables import RecordTable
 from noticemill.plans.curate import classify_records, to_canonical
+from noticemill.plans.ingest import collect_counts
 from noticemill.schemas import CANONICAL_KEY, RAW_KEY
-from noticemill.sources.spec import ARRIVAL, explode_pages, get_source, records, stamp
+from noticemill.session import written
+from noticemill.sources.spec import (
+    ARRIVAL,
+    explode_pages,
+    get_source,
+    pages_to_read,
+    records,
+    stamp,
+    unreadable,
+)
 
 
 def merge_stream(
@@ -37,8 +47,10 @@ def merge_stream(
 
     def merge(batch: DataFrame, number: int) -> None:
         at = first_batch + number
-        stored = table.read(batch.sparkSession, before=at)
-        table.write_batch(merge_changes(batch, stored, keys, order, versioned=versioned), at)
+        held = [c for c in ("content_hash", "version", "created_at") if c in table.schema.names]
+        stored = table.read(batch.sparkSession, at, held)
+        arriving = written(batch, "arriving")
+        table.write_batch(merge_changes(arriving, stored, keys, order, versioned=versioned), at)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     if name:
@@ -62,20 +74,36 @@ def ingest_stream(
     """
     spec = get_source(source)
     options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
-    rows = records(spec, explode_pages(spec.stream_pages(spark, path, **options)))
+    pages = spec.stream_pages(spark, path, **options)
     moment = F.current_timestamp() if fetched_at is None else fetched_at
-    observed = rows.observe("collect", F.count(F.lit(1)).alias("rows_read"))
 
     def merge(batch: DataFrame, number: int) -> None:
         at = first_batch + number
-        stored = table.read(batch.sparkSession, before=at)
-        arriving = stamp(batch, moment, stored.filter(F.col("source_name") == source))
-        table.write_batch(merge_changes(arriving, stored, RAW_KEY, ARRIVAL), at)
-
-    writer = observed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        # a micro-batch is pages, so it is read as the batch job reads them
+        landed = written(batch, "pages")
+        rows = records(spec, explode_pages(pages_to_read(landed)))
+        stored = table.read(
+            batch.sparkSession, at, ("fetched_at", "content_hash"), F.col("source_name") == source
+        )
+        arriving = written(stamp(rows, moment, stored), "arriving")
+        actions = written(merge_actions(arriving, stored, RAW_KEY, ARRIVAL), "actions")
+        table.write_batch(apply_actions(arriving, actions, RAW_KEY, ARRIVAL), at)
+        bad = unreadable(landed, source)
+        n_bad = 0 if bad is None else table.write_aside(bad, "unreadable", at)
+        counts = collect_counts(actions).withColumn("failures", F.lit(n_bad).cast("long"))
+        table.write_aside(counts, "metrics", at)
+
+    writer = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
+def stream_metrics(spark: SparkSession, table: RecordTable) -> DataFrame:
+    """One row over all micro-batches: items_collected, items_skipped, and the pages that could
+    not be read as failures. A batch that ran again counts once."""
+    sums = [F.sum(c).alias(c) for c in ("items_collected", "items_skipped", "failures")]
+    return table.read_aside(spark, "metrics").agg(*sums)
+
+
 def curate_stream(
     raw_rows: DataFrame,
     table: RecordTable,
@@ -85,14 +113,18 @@ def curate_stream(
     first_batch: int = 0,
 ) -> StreamingQuery:
     """A stream of raw records, such as ``raw_table(..).stream(spark)``, into the canonical table;
-    a raw batch has one row per key, so its number is the order."""
+    a raw batch has one row per key, so its number is the order. Rows that fail validation go to the
+    folder ``quarantine`` of the table with their reasons."""
 
     def merge(batch: DataFrame, number: int) -> None:
         at = first_batch + number
-        stored = table.read(batch.sparkSession, before=at)
-        valid = has_required(to_canonical(batch, keep=order))
-        changes = merge_changes(valid, stored, CANONICAL_KEY, order, versioned=True)
+        stored = table.read(
+            batch.sparkSession, at, ("content_hash", "version", "created_at")
+        )
+        normal = written(to_canonical(batch, keep=order), "normal")
+        changes = merge_changes(has_required(normal), stored, CANONICAL_KEY, order, versioned=True)
         table.write_batch(classify_records(changes, model), at)
+        table.write_aside(split_valid(normal)[1], "quarantine", at)
 
     writer = raw_rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

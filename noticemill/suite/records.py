@@ -407,6 +407,124 @@ SELECT '{{"items_collected":0,"items_skipped":' || (
   || ',"failures":0}}' AS summary"""
 
 
+def _listing(rows: DataFrame, most: int) -> DataFrame:
+    """Response pages of a listing, newest (largest) place first, up to the place ``most``."""
+    placed = rows.filter(F.col("place") <= most).withColumn("place", F.lit(most) - F.col("place"))
+    offset = F.floor(F.col("place") / federal.PAGE_SIZE) * federal.PAGE_SIZE
+    paged = placed.groupBy(offset.alias("offset")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "row"))).alias("both")
+    )
+    return paged.select(
+        "offset", F.transform("both", lambda b: b["row"]).alias("opportunitiesData")
+    )
+
+
+def collect_two_landings(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs over one growing folder: a listing of the older half of the orders, then a longer
+    one of all, in which every tenth order has changed. The second run goes up to the record that
+    was stored last."""
+    rows = federal_rows(spark, sf)
+    most = rows.agg(F.max("place")).first()[0]
+    landing, table = scratch_path(spark, "landing"), raw_table(scratch_path(spark, "raw"))
+    title = F.when(F.col("place") % 10 == 0, F.concat("row.title", F.lit(" again"))).otherwise(
+        F.col("row.title")
+    )
+    changed = rows.withColumn("row", F.col("row").withField("title", title))
+    for run, listing in enumerate((_listing(rows, most // 2), _listing(changed, most))):
+        listing.write.json(f"{landing}/sam_gov/run={run}")
+        collect(spark, table, {"sam_gov": f"{landing}/sam_gov"}, run)
+    kept = table.read(spark)
+    return kept.select("source_id", F.col("extracted")["title"].alias("title"))
+
+
+# the record stored last is the one with the smallest key: it ends both listings
+COLLECT_TWO_LANDINGS = """
+SELECT 'F-' || o_orderkey AS source_id,
+  'Order ' || o_orderkey || CASE WHEN o_orderkey % 10 = 0 AND o_orderkey >
+    (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 11 <> 10) THEN ' again' ELSE '' END
+    AS title
+FROM orders WHERE o_orderkey % 11 <> 10"""
+
+
+def _broken(spark: SparkSession, sf: str) -> dict[str, str]:
+    """A landing folder in which some responses are cut off and some do not say their place."""
+    landing = scratch_path(spark, "landing")
+    page = F.floor(F.col("offset") / federal.PAGE_SIZE)
+    whole = F.to_json(
+        F.struct(
+            F.when(page % 7 != 1, F.col("offset")).alias("offset"), "totalRecords", "opportunitiesData"
+        )
+    )
+    text = F.when(page % 5 == 0, F.left(whole, F.length(whole) - 9)).otherwise(whole)
+    federal_pages(spark, sf).select(text.alias("value")).write.text(f"{landing}/sam_gov")
+    rows = F.to_json("rows")
+    cut = F.when(
+        F.floor(F.col("page_offset") / city.PAGE_SIZE) % 2 == 1, F.left(rows, F.length(rows) - 9)
+    ).otherwise(rows)
+    pages = city_pages(spark, sf).select("page_offset", cut.alias("value"))
+    folder = f"{landing}/nyc_procurement"
+    pages.repartition("page_offset").write.partitionBy("page_offset").text(folder)
+    return {"sam_gov": f"{landing}/sam_gov", "nyc_procurement": folder}
+
+
+def collect_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run over broken responses counts: failed sources, stored records, and unreadable
+    pages by reason."""
+    table = raw_table(scratch_path(spark, "raw"))
+    summary = collect(spark, table, _broken(spark, sf), 0)
+    pages = table.read_aside(spark, "unreadable").groupBy("source_name", "reason").agg(
+        F.count("*").alias("n")
+    )
+    stored = table.read(spark).groupBy("source_name").agg(F.count("*").alias("n"))
+    return (
+        pages.unionByName(stored.withColumn("reason", F.lit("stored")))
+        .unionByName(
+            summary.select(
+                F.lit("").alias("source_name"),
+                F.lit("failures").alias("reason"),
+                F.col("failures").cast("long").alias("n"),
+            )
+        )
+    )
+
+
+COLLECT_FAILURES = f"""WITH {FEDERAL_RECORDS}, {CITY_RECORDS},
+federal AS (
+  SELECT DISTINCT o_orderkey // 25 AS page FROM orders
+),
+city_page AS (SELECT DISTINCT c_custkey // 50 AS page FROM customer)
+SELECT 'sam_gov' AS source_name, 'not a response' AS reason, count(*) AS n FROM federal
+WHERE page % 5 = 0
+UNION ALL SELECT 'sam_gov', 'no offset', count(*) FROM federal WHERE page % 5 <> 0 AND page % 7 = 1
+UNION ALL SELECT 'nyc_procurement', 'not a response', count(*) FROM city_page WHERE page % 2 = 1
+UNION ALL SELECT 'sam_gov', 'stored', count(*) FROM federal_records
+WHERE seq // 25 % 5 <> 0 AND seq // 25 % 7 <> 1
+UNION ALL SELECT 'nyc_procurement', 'stored', count(*) FROM city_records WHERE seq // 50 % 2 = 0
+UNION ALL SELECT '', 'failures', 2"""
+
+
+def process_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as raw records, some without a link: what process stores and what it keeps aside."""
+    raw = raw_table(scratch_path(spark, "raw"))
+    canonical = canonical_table(scratch_path(spark, "canonical"))
+    key = F.substring("source_id", 3, 20).cast("long")
+    rows = v.raw_notices(spark, sf).withColumn(
+        "source_url", F.when(key % 9 > 0, F.col("source_url"))
+    )
+    raw.write_batch(rows, 0)
+    process(spark, raw, canonical, train_from_seed(spark), 0)
+    aside = canonical.read_aside(spark, "quarantine")
+    stored = canonical.read(spark, columns=("source_id",))
+    return stored.select("source_id", F.lit("").alias("reasons")).unionByName(
+        aside.select("source_id", F.array_join("reasons", "; ").alias("reasons"))
+    )
+
+
+PROCESS_QUARANTINE = f"""WITH {v.NOTICES}
+SELECT source_id, CASE WHEN o_orderkey % 9 = 0 THEN 'missing source_url' ELSE '' END AS reasons
+FROM notices"""
+
+
 def process_job(spark: SparkSession, sf: str) -> DataFrame:
     """The collected records processed into a canonical table, which is then read."""
     raw = raw_table(scratch_path(spark, "raw"))
@@ -474,7 +592,10 @@ QUERIES = {
     "take_until_newest_first": (take_until_newest_first, TAKE_UNTIL_NEWEST_FIRST),
     "collect_job": (collect_job, COLLECT_JOB),
     "collect_again": (collect_again, COLLECT_AGAIN),
+    "collect_two_landings": (collect_two_landings, COLLECT_TWO_LANDINGS),
+    "collect_failures": (collect_failures, COLLECT_FAILURES),
     "process_job": (process_job, PROCESS_JOB),
+    "process_quarantine": (process_quarantine, PROCESS_QUARANTINE),
     "page_snapshot": (page_snapshot, PAGE_SNAPSHOT),
     "validate_quarantine": (validate_quarantine, VALIDATE_QUARANTINE),
 }

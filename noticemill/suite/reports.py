@@ -118,8 +118,8 @@ def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
 DISTINCT_COUNTS = f"""WITH {v.CANONICAL_VIEW}
 SELECT (SELECT count(DISTINCT event_type) FROM events) AS n_sources,
   (SELECT count(DISTINCT {_CATEGORY}) FROM canonical) AS n_categories,
-  (SELECT string_agg(s, ', ' ORDER BY s) FROM (SELECT DISTINCT event_type AS s FROM events))
-    AS source_names"""
+  (SELECT string_agg(s, ', ' ORDER BY n DESC, s)
+   FROM (SELECT event_type AS s, count(*) AS n FROM events GROUP BY s)) AS source_names"""
 
 
 def page_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,6 +220,16 @@ SELECT doc_id, source_name, title FROM document_records
 WHERE regexp_matches(title, 'the[a-z]+ou', 'i') OR regexp_matches(description, 'the[a-z]+ou', 'i')"""
 
 
+def text_search_accents(spark: SparkSession, sf: str) -> DataFrame:
+    """A term with an accent finds both cases of it."""
+    rows = v.document_records(spark, sf).withColumn("agency", F.lit(""))
+    return report.filtered(rows, term="ÈMENT", regex=False).select("doc_id", "source_name")
+
+
+TEXT_SEARCH_ACCENTS = f"""WITH {v.DOCUMENT_RECORDS}
+SELECT doc_id, source_name FROM document_records WHERE contains(lower(description), 'èment')"""
+
+
 def display_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.display_rows(v.canonical(spark, sf))
 
@@ -264,6 +274,7 @@ QUERIES = {
     "far_page": (far_page, FAR_PAGE),
     "page_after_row": (page_after_row, PAGE_AFTER_ROW),
     "text_search": (text_search, TEXT_SEARCH),
+    "text_search_accents": (text_search_accents, TEXT_SEARCH_ACCENTS),
     "display_report": (display_report, DISPLAY_REPORT),
     "display_counts": (display_counts, DISPLAY_COUNTS),
 }

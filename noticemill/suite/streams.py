@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from noticemill.operators.tables import RecordTable, raw_table
 from noticemill.session import scratch_path
-from noticemill.streaming.jobs import ingest_stream, merge_stream
+from noticemill.streaming.jobs import ingest_stream, merge_stream, stream_metrics
 from noticemill.suite import merging, records
 from noticemill.suite import views as v
 
@@ -57,7 +57,24 @@ def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
     return table.read(spark).select("record_id", "content_hash", "version")
 
 
+def stream_collect_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream over broken responses counts; records and pages as the batch job has them."""
+    landing = records._broken(spark, sf)["sam_gov"]
+    table = raw_table(scratch_path(spark, "stream-raw"))
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    ingest_stream(spark, "sam_gov", landing, table, checkpoint, files_per_batch=2).awaitTermination()
+    return stream_metrics(spark, table)
+
+
+STREAM_COLLECT_METRICS = f"""WITH {records.FEDERAL_RECORDS}
+SELECT (SELECT count(*) FROM federal_records WHERE seq // 25 % 5 <> 0 AND seq // 25 % 7 <> 1)
+    AS items_collected,
+  0::BIGINT AS items_skipped,
+  (SELECT count(DISTINCT o_orderkey // 25) FROM orders
+   WHERE o_orderkey // 25 % 5 = 0 OR o_orderkey // 25 % 7 = 1) AS failures"""
+
 QUERIES = {
+    "stream_collect_metrics": (stream_collect_metrics, STREAM_COLLECT_METRICS),
     "stream_ingest": (stream_ingest, STREAM_INGEST),
     "stream_merge": (stream_merge, merging.CANONICAL_MERGE_VERSION),
 }

@@ -112,6 +112,12 @@ FROM doc_pairs JOIN members a ON id_a = a.id JOIN members b ON id_b = b.id
 WHERE a.id = a.profile AND b.id = b.profile"""
 
 
+def near_duplicates_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with limits so small that lists are cut into chunks and listed by two terms."""
+    found = find_duplicates(v.document_records(spark, sf), "doc_id", chunk=4, long_list=12)
+    return found.pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 def duplicate_copies(spark: SparkSession, sf: str) -> DataFrame:
     return _duplicates(spark, sf).copies()
 
@@ -299,6 +305,7 @@ QUERIES = {
     "vocabulary_top": (vocabulary_top, VOCABULARY_TOP),
     "tfidf_weights": (tfidf_weights, TFIDF_WEIGHTS),
     "near_duplicates": (near_duplicates, NEAR_DUPLICATES),
+    "near_duplicates_cut": (near_duplicates_cut, NEAR_DUPLICATES),
     "duplicate_copies": (duplicate_copies, DUPLICATE_COPIES),
     "near_duplicate_count": (near_duplicate_count, NEAR_DUPLICATE_COUNT),
     "duplicate_partner_counts": (partner_counts, PARTNER_COUNTS),

@@ -90,3 +90,18 @@ def test_process_runs(spark, model, tmp_path):
     assert (changed.processed, changed.upserted) == (1, 1)
     got = {r.source_id: (r.title, r.version) for r in target.read(spark).collect()}
     assert got == {"1": ("another road", 2), "2": ("a server", 1)}
+
+
+def test_process_keeps_invalid_rows_aside(spark, model, tmp_path):
+    source, target = raw_table(str(tmp_path / "raw")), canonical_table(str(tmp_path / "can"))
+    rows = raw(spark, *[(str(k), {"title": f"a road {k}"}) for k in range(4)])
+    source.write_batch(
+        rows.withColumn("source_url", F.when(F.col("source_id") != "2", F.col("source_url"))), 0
+    )
+    first = process(spark, source, target, model, 0).first()
+    assert (first.processed, first.upserted, first.quarantined) == (3, 3, 1)
+    kept = target.read_aside(spark, "quarantine").collect()
+    assert [(r.source_id, r.reasons) for r in kept] == [("2", ["missing source_url"])]
+    forced = process(spark, source, target, model, 1, force=True).first()
+    assert (forced.processed, forced.upserted, forced.quarantined) == (3, 3, 1)
+    assert {r.version for r in target.read(spark).collect()} == {2}

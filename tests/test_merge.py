@@ -105,3 +105,11 @@ def test_first_creation_time_is_kept(spark):
 def test_key_violations(spark):
     df = spark.createDataFrame([("x",), ("x",), ("y",)], "k string")
     assert [(r.k, r.n_rows) for r in key_violations(df, ["k"]).collect()] == [("x", 2)]
+
+
+def test_ties_leave_one_row_per_key(spark):
+    batch = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", 2, "z"), ("b", 2, "z")]
+    stored, rows = frames(spark, [], batch)
+    for parts in (1, 5):
+        got = merge_changes(rows.repartition(parts), stored.drop("version"), ("k",), ("seq",)).collect()
+        assert sorted((r.k, r.content_hash) for r in got) == [("a", "y"), ("b", "z")]

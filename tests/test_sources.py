@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import json
 
@@ -9,7 +10,7 @@ from noticemill import sources
 from noticemill.functions.hashing import content_text
 from noticemill.operators.tables import raw_table
 from noticemill.plans.ingest import collect, default_paths
-from noticemill.sources.landing import page_snapshots, read_source, read_sources
+from noticemill.sources.landing import page_snapshots, read_source
 from noticemill.sources.resume import take_until_checkpoint
 from noticemill.sources.spec import SourceSpec, get_source, list_sources, register_source
 
@@ -92,9 +93,10 @@ def test_missing_landing(spark, tmp_path):
 
 def test_failures_are_isolated(spark, tmp_path):
     path = land_federal(tmp_path / "f", [[notice(1)]])
-    read = read_sources(spark, {"sam_gov": path, "unheard": path})
-    assert list(read.failures) == ["unheard"]
-    assert read.records.count() == 1
+    table = raw_table(str(tmp_path / "raw"))
+    summary = collect(spark, table, {"sam_gov": path, "unheard": path}, 0).first()
+    assert (summary.items_collected, summary.failures) == (1, 1)
+    assert table.read(spark).count() == 1
 
 
 def test_registry(spark):
@@ -173,3 +175,65 @@ def test_collect_runs(spark, tmp_path):
     assert {r.source_id for r in table.read(spark).collect()} == {"n1", "n2", "r1"}
     times = {r.source_id: r.fetched_at for r in table.read(spark).collect()}
     assert times["n2"] > times["n1"]
+
+
+def numbers(table, spark):
+    return sorted(int(r.source_id[1:]) for r in table.read(spark, columns=()).collect())
+
+
+@pytest.mark.parametrize("filed", [True, False])
+def test_a_growing_folder_loses_nothing(spark, tmp_path, filed):
+    """A newer listing is cut at the checkpoint's place in itself, not at its place in an old one."""
+    landing, table = tmp_path / "sam_gov", raw_table(str(tmp_path / "raw"))
+    for run, newest in enumerate((3, 9, 30)):
+        folder = landing / f"run={run}" if filed else landing
+        rows = [notice(i) for i in range(newest, 0, -1)]
+        folder.mkdir(parents=True, exist_ok=True)
+        pages = [
+            json.dumps({"offset": k, "totalRecords": newest, "opportunitiesData": rows[k : k + 25]})
+            for k in range(0, newest, 25)
+        ]
+        (folder / f"listing{run}.json").write_text("\n".join(pages))
+        summary = collect(spark, table, {"sam_gov": str(landing)}, 10 * run).first()
+        assert (summary.items_collected, summary.failures) == (newest - (0, 3, 9)[run], 0)
+        assert numbers(table, spark) == list(range(1, newest + 1))
+
+
+def test_pages_without_a_place_or_cut_off_are_failures(spark, tmp_path):
+    federal, city = tmp_path / "sam_gov", tmp_path / "nyc_procurement"
+    federal.mkdir()
+    pages = [
+        {"opportunitiesData": [notice(1)]},
+        {"offset": 25, "totalRecords": 99, "opportunitiesData": [notice(2)]},
+    ]
+    (federal / "a.json").write_text("\n".join(map(json.dumps, pages)))
+    land_city(city, [[city_row(1)], [city_row(2)]])
+    (city / "page_offset=50" / "response.json").write_text(json.dumps([city_row(2)])[:-9])
+    table = raw_table(str(tmp_path / "raw"))
+    summary = collect(spark, table, default_paths(str(tmp_path)), 0).first()
+    assert (summary.items_collected, summary.failures) == (2, 2)
+    aside = table.read_aside(spark, "unreadable").collect()
+    assert sorted((r.source_name, r.reason) for r in aside) == [
+        ("nyc_procurement", "not a response"), ("sam_gov", "no offset"),
+    ]
+    assert {r.source_id for r in table.read(spark).collect()} == {"n2", "r1"}
+
+
+def test_whole_file_responses(spark, tmp_path):
+    path = tmp_path / "f"
+    path.mkdir()
+    page = {"offset": 0, "totalRecords": 1, "opportunitiesData": [notice(1)]}
+    (path / "a.json").write_text(json.dumps(page, indent=2))
+    spec = get_source("sam_gov")
+    assert read_source(spark, spec, str(path)).count() == 0
+    table = raw_table(str(tmp_path / "raw"))
+    assert collect(spark, table, {"sam_gov": str(path)}, 0).first().failures == 1
+    whole = dataclasses.replace(spec, read_pages=sources.federal.read_whole_pages)
+    assert [r.source_id for r in read_source(spark, whole, str(path)).collect()] == ["n1"]
+
+
+def test_several_runs_for_one_city_page_need_run_folders(spark, tmp_path):
+    land_city(tmp_path / "c", [[city_row(1)]])
+    (tmp_path / "c" / "page_offset=0" / "later.json").write_text(json.dumps([city_row(2)]))
+    with pytest.raises(ValueError, match="run=<n>"):
+        read_source(spark, get_source("nyc_procurement"), str(tmp_path / "c"))

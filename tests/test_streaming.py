@@ -5,7 +5,8 @@ from test_sources import city_row, land_city, land_federal, notice
 
 from noticemill.operators.classify import train_from_seed
 from noticemill.operators.tables import canonical_table, raw_table
-from noticemill.streaming.jobs import curate_stream, ingest_stream
+from noticemill.plans.ingest import collect
+from noticemill.streaming.jobs import curate_stream, ingest_stream, stream_metrics
 
 
 def test_bounded_batches_of_city_pages(spark, tmp_path):
@@ -53,3 +54,17 @@ def test_landings_of_one_batch_apply_in_order(spark, tmp_path):
     stored = raw.read(spark).collect()
     assert {r.source_id: r.extracted["title"] for r in stored} == {"n1": "A", "n2": "T2"}
     assert len(stored) == 2
+
+
+def test_stream_stops_at_the_total_and_counts_as_the_batch_job(spark, tmp_path):
+    landing = land_federal(tmp_path / "f", [[notice(1), notice(1)], [notice(2)]], total=25)
+    with open(f"{landing}/pages.json", "a") as file:
+        file.write('\n{"offset": 0, "opportun')
+    streamed, batched = raw_table(str(tmp_path / "s")), raw_table(str(tmp_path / "b"))
+    ingest_stream(spark, "sam_gov", landing, streamed, str(tmp_path / "c1")).awaitTermination()
+    summary = collect(spark, batched, {"sam_gov": landing}, 0).first()
+    metrics = stream_metrics(spark, streamed).first()
+    assert tuple(metrics) == (1, 1, 1)
+    assert tuple(metrics) == (summary.items_collected, summary.items_skipped, summary.failures)
+    assert [r.source_id for r in streamed.read(spark).collect()] == ["n1"]
+    assert [r.source_id for r in batched.read(spark).collect()] == ["n1"]

@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from noticemill.operators.tables import raw_table
 from noticemill.schemas import RAW
 
@@ -38,3 +41,39 @@ def test_unfinished_batches_are_not_read(spark, tmp_path):
     table.write_batch(rows(spark, ("1", "b")), 1)
     (tmp_path / "raw" / "batch=1" / "_SUCCESS").unlink()
     assert seen(table, spark) == {"1": "a"}
+
+
+def test_reads_prune_columns_and_sources(spark, tmp_path):
+    table = raw_table(str(tmp_path / "raw"))
+    table.write_batch(rows(spark, ("1", "a"), ("2", "a")), 0)
+    table.compact(spark)
+    for number in (1, 2, 3):
+        table.write_batch(rows(spark, ("2", f"b{number}"), (f"n{number}", "c")), number)
+    read = table.read(spark, columns=("content_hash",), where=F.col("source_name") == "s")
+    assert {r.source_id: r.content_hash for r in read.collect()} == {
+        "1": "a", "2": "b3", "n1": "c", "n2": "c", "n3": "c",
+    }
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("raw_html" not in line and "extracted" not in line for line in scans)
+    assert all("EqualTo(source_name,s)" in line for line in scans)
+
+
+def test_compaction_after_a_number_of_batches(spark, tmp_path):
+    table = raw_table(str(tmp_path / "raw"))
+    done = []
+    for number in range(5):
+        table.write_batch(rows(spark, ("1", str(number))), number)
+        done.append(table.compact_after(spark, 2))
+    assert done == [False, True, False, True, False]
+    assert seen(table, spark) == {"1": "4"}
+
+
+def test_markers_turned_off_are_an_error(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        with pytest.raises(RuntimeError, match="_SUCCESS"):
+            raw_table(str(tmp_path / "raw")).write_batch(rows(spark, ("1", "a")), 0)
+    finally:
+        conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
