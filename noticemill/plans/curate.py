@@ -116,7 +116,8 @@ class Curated:
 
     normal: DataFrame
     stored: DataFrame
-    model: PipelineModel
+    #: needed by ``records`` and ``changes``
+    model: PipelineModel | None
     now: Column | None
     threshold: float
     force: bool
@@ -173,7 +174,7 @@ _ORDER = ("content_hash",)
 def curate(
     raw: DataFrame,
     stored: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | None,
     now: Column | None = None,
     threshold: float = THRESHOLD,
     force: bool = False,
