@@ -1,9 +1,10 @@
 """Token ids of whole texts by the vocabulary files of public tokenizers.
 
-A tokenizer whose pre-tokenizer drops white space gives a text the ids of its words one after the
-other. For such a file each word is encoded by the library once per chunk and remembered in the
-Python worker, up to ``MOST_WORDS`` words; the ids are those the library gives for the whole text.
-Any other file gets whole texts.
+A tokenizer whose pre-tokenizer drops white space and splits letters from signs gives a text the
+ids of its words, cut there, one after the other. For such a file each piece is encoded by the
+library once and remembered in the Python worker, up to ``MOST_WORDS`` at a time; the ids are those
+the library gives for the whole text. If it lower-cases, spellings that differ in the case of A to Z
+are one piece, but for chunks in which an added token could stand. Any other file gets whole texts.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from noticemill.llm.words import chunks, find_words, text_bytes
+from noticemill.llm.words import CUTS, chunks, find_words, text_bytes
 
-#: Words remembered by one Python worker before it starts afresh.
-MOST_WORDS = 400_000
+#: Words remembered by one Python worker: those met since so many others were, and as many before.
+MOST_WORDS = 300_000
 
 
 class Encoded(NamedTuple):
@@ -44,18 +45,25 @@ class Encoder:
     _open: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        self.by_word = False
+        self.by_word = self.folds = False
+        self.added: list[bytes] = []
         self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
         if path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
+            self.merge = tokenizer.model.tokenize
             self.many = lambda texts: [
                 e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             ]
             with open(path) as file:
-                self.by_word = drops_space(json.load(file))
+                spec = json.load(file)
+            self.by_word = drops_space(spec)
+            changes = spec.get("normalizer") or {}
+            self.folds = any(n["type"] == "Lowercase" for n in changes.get("normalizers", [changes]) if n)
+            self.added = [t["content"][:2].encode() for t in spec.get("added_tokens", [])]
         elif path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -83,17 +91,25 @@ class Encoder:
             yield Encoded(first, last, ids, np.concatenate([[0], np.cumsum(lengths)]))
 
     def _by_word(self, column: pa.Array) -> Iterator[Encoded]:
-        for words in find_words(column, fold=False):
+        _, data = text_bytes(column)
+        plain = self.folds and not any(start in data.tobytes() for start in set(self.added))
+        for words in find_words(column, fold=plain, cut=True):
             prints, place, which = np.unique(words.prints, return_index=True, return_inverse=True)
             keys = prints.tolist()
-            known = self.known
-            new = [k for k, key in enumerate(keys) if key not in known]
-            if len(known) + len(new) > MOST_WORDS:
-                known.clear()
-                new = list(range(len(keys)))
+            if len(self.known) > MOST_WORDS:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            new = []
+            for k, key in enumerate(keys):
+                if key not in known:
+                    if key in older:
+                        known[key] = older[key]
+                    else:
+                        new.append(k)
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
-                for k, ids in zip(part, self.many([words.text(place[k]) for k in part]), strict=True):
+                pieces = [words.text(place[k]) for k in part]
+                for k, ids in zip(part, self._pieces(pieces), strict=True):
                     known[keys[k]] = np.array(ids, dtype="<u4").tobytes()
             held = [known[key] for key in keys]
             lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
@@ -105,9 +121,22 @@ class Encoder:
             yield Encoded(words.first, words.last, flat[pick], after[words.of])
 
 
+    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces. Pieces of ASCII letters pass the steps before the merges unchanged but
+        for their case, so they go to the merges at once."""
+        plain = [p.isascii() and p.isalpha() for p in pieces]
+        rest = iter(self.many([p for p, simple in zip(pieces, plain, strict=True) if not simple]))
+        merge, case = self.merge, (str.lower if self.folds else str)
+        return [
+            [t.id for t in merge(case(p))] if simple else next(rest)
+            for p, simple in zip(pieces, plain, strict=True)
+        ]
+
+
 def drops_space(spec: dict) -> bool:
-    """Whether the ids of a text are those of its words, one after the other: white space is
-    removed before the merges, nothing is put before a text, and added tokens hold no space."""
+    """Whether the ids of a text are those of its words, cut between letters and signs, one after
+    the other: white space is removed before the merges, letters and signs are never in one piece,
+    nothing is put before a text, and added tokens hold no space."""
     before = spec.get("pre_tokenizer") or {}
     steps = before.get("pretokenizers", [before])
     split = steps[0] if steps else {}
@@ -116,9 +145,11 @@ def drops_space(spec: dict) -> bool:
         split.get("type") == "Split"
         and split.get("behavior") == "Removed"
         and split.get("invert") is True
-        and r"[^\s" in split["pattern"].get("Regex", "")
+        and r"[\p{L}]+|" in split["pattern"].get("Regex", "")
+        and r"[^\s\p{L}\p{N}]+" in split["pattern"].get("Regex", "")
         and " ?" not in split["pattern"].get("Regex", "")
         and all(n["type"] in ("NFC", "Replace", "Lowercase") for n in changes.get("normalizers", [changes]))
         and all(not s.get("add_prefix_space") for s in steps)
-        and not any(" " in t["content"] for t in spec.get("added_tokens", []))
+        and steps[-1].get("type") == "ByteLevel"
+        and not any(t["content"].isalpha() or set(t["content"].encode()) & {*CUTS, 32} for t in spec.get("added_tokens", []))
     )

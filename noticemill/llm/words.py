@@ -19,6 +19,12 @@ CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Signs between which and a letter words may be cut.
+CUTS = b".,;:!?*$%&#()"
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[list(CUTS)] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 _BASE = 0x9E3779B97F4A7C15 | 5
 _EXACT = np.random.Generator(np.random.PCG64(20)).integers(1, 2**64, 256, dtype=np.uint64)
 _FOLDED = _EXACT.copy()
@@ -89,8 +95,9 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def find_words(column: pa.Array, fold: bool) -> Iterator[Words]:
-    """The words of every text of a column, chunk by chunk and in order."""
+def find_words(column: pa.Array, fold: bool, cut: bool = False) -> Iterator[Words]:
+    """The words of every text of a column, chunk by chunk and in order. With ``cut``, a word also
+    ends between an ASCII letter and one of the signs ``CUTS``."""
     offsets, data = text_bytes(column)
     table = _FOLDED if fold else _EXACT
     for first, last in chunks(offsets):
@@ -105,6 +112,11 @@ def find_words(column: pa.Array, fold: bool) -> Iterator[Words]:
             cuts = at[(at > 0) & (at < len(part))]
             begins[cuts] = solid[cuts]
             ends_here[cuts - 1] = solid[cuts - 1]
+        if cut:
+            letter, sign = _LETTER[part], _SIGN[part]
+            between = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:]))
+            begins[between + 1] = True
+            ends_here[between] = True
         starts = np.flatnonzero(begins)
         ends = np.flatnonzero(ends_here) + 1
         Powers.to(len(part) + 1)
