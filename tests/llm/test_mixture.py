@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from noticemill.llm.mixture import mix, takings
+from noticemill.llm.mixture import FILL_ROUNDS, mix, takings, text_quality, uniform
 
 from .helpers import no_documents, odd_documents
 
@@ -89,3 +89,37 @@ def test_mix_repeats_documents_with_all_columns(spark):
 def test_empty_table(spark):
     assert takings(no_documents(spark)).count() == 0
     assert mix(no_documents(spark)).count() == 0
+
+
+def test_choice_matches_brute_force(spark):
+    """Complete epochs, then documents in the order of their keys, then what fills the rest."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    keyed = docs.select("doc_id", "source", (-F.log(uniform("doc_id", 7)) / text_quality()).alias("key"))
+    keys = {r.doc_id: (r.source, r.key) for r in keyed.collect()}
+    rows = {r.doc_id: r for r in takings(docs).collect()}
+    by_source = defaultdict(list)
+    for doc_id, (source, key) in keys.items():
+        by_source[source].append((key, doc_id))
+    for members in by_source.values():
+        first = rows[members[0][1]]
+        full = int(first.target // first.source_size)
+        rest = first.target - full * first.source_size
+        want, left, summed = {}, [], 0
+        for _, doc_id in sorted(members):
+            size = rows[doc_id]["size"]
+            want[doc_id] = full + (summed + size <= rest)
+            if summed + size > rest and size:
+                left.append((doc_id, size))
+            summed += size
+        missing = rest - sum(rows[i]["size"] for i in want if want[i] > full)
+        for k in range(FILL_ROUNDS):
+            fits = [
+                (abs(size - missing), n)
+                for n, (i, size) in enumerate(left)
+                if want[i] == full and (abs(size - missing) < missing if k == FILL_ROUNDS - 1 else size <= missing)
+            ]
+            if fits:
+                doc_id, size = left[min(fits)[1]]
+                want[doc_id] += 1
+                missing -= size
+        assert {i: rows[i].epochs for i in want} == want
