@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 from noticemill.schemas import CANONICAL, CANONICAL_KEY, RAW, RAW_KEY
 from noticemill.session import path_exists
 
+# jobs fold batches once so many lie behind the last base
+COMPACT_AFTER = 32
+
 
 @dataclass(frozen=True)
 class RecordTable:
@@ -130,27 +133,33 @@ class RecordTable:
         """All rows kept under one kind, with the batch that left them out."""
         return spark.read.parquet(f"{self.path}/{kind}")
 
-    def compact(self, spark: SparkSession) -> None:
-        """Write a base that holds everything up to the newest batch.
+    def compact(self, spark: SparkSession, before: int | None = None) -> None:
+        """Write a base that holds everything up to the newest batch, or the newest one before the
+        given number. The batches stay: streams may read them, and so may a run that has begun.
 
         Range clustering cuts a large source or category into several files and lets row-group
         statistics prune on the cluster columns.
         """
-        batches = self._folders(spark, "batch")
+        batches = [n for n in self._folders(spark, "batch") if before is None or n < before]
         if not batches:
             return
-        rows = self.read(spark)
+        rows = self.read(spark, before)
         clustered = rows.repartitionByRange(*self.cluster_by).sortWithinPartitions(*self.cluster_by)
         self._write(clustered, f"{self.path}/base={batches[-1]}")
 
-    def compact_after(self, spark: SparkSession, batches: int) -> bool:
-        """Compact once so many batches lie behind the last base."""
-        bases = self._folders(spark, "base")
-        waiting = [n for n in self._folders(spark, "batch") if n > (bases[-1] if bases else -1)]
-        if len(waiting) >= batches:
-            self.compact(spark)
-            return True
-        return False
+    def compact_after(
+        self, spark: SparkSession, batches: int = COMPACT_AFTER, before: int | None = None
+    ) -> bool:
+        """Compact once so many batches lie behind the last base. A job gives its own batch as
+        ``before``, so that what it may have to run again is never in a base."""
+        limit = 2**62 if before is None else before
+        bases = [n for n in self._folders(spark, "base") if n < limit]
+        base_at = bases[-1] if bases else -1
+        waiting = [n for n in self._folders(spark, "batch") if base_at < n < limit]
+        if len(waiting) < batches:
+            return False
+        self.compact(spark, before)
+        return True
 
 
 def raw_table(path: str) -> RecordTable:

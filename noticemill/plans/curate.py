@@ -202,6 +202,7 @@ def process(
     for in the table as it is after the write, where every record of the raw table has its text.
     """
     size_shuffles(spark, raw.path, canonical.path)
+    canonical.compact_after(spark, before=batch)
     stored = canonical.read(spark, batch, ("content_hash", "version", "created_at"))
     rows = raw.read(spark)
     if incremental:

@@ -75,6 +75,7 @@ def collect(
     started = time.monotonic()
     moment = F.current_timestamp() if fetched_at is None else fetched_at
     size_shuffles(spark, table.path, *paths.values())
+    table.compact_after(spark, before=batch)
 
     def run(number: int, name: str, path: str) -> tuple[int, int, int]:
         spec = get_source(name)

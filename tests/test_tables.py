@@ -67,6 +67,11 @@ def test_compaction_after_a_number_of_batches(spark, tmp_path):
         done.append(table.compact_after(spark, 2))
     assert done == [False, True, False, True, False]
     assert seen(table, spark) == {"1": "4"}
+    # a job that runs its batch again finds it outside the base
+    table.write_batch(rows(spark, ("1", "5")), 5)
+    assert table.compact_after(spark, 1, before=5)
+    table.write_batch(rows(spark, ("1", "6")), 5)
+    assert seen(table, spark) == {"1": "6"}
 
 
 def test_markers_turned_off_are_an_error(spark, tmp_path):
