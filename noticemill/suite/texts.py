@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from noticemill.functions.hashing import content_hash, record_id
 from noticemill.functions.stopwords import ENGLISH
 from noticemill.functions.text import document_text
-from noticemill.operators.classify import predict, score, train, train_from_seed
+from noticemill.operators.classify import load_or_train, predict, save, score, train, train_from_seed
 from noticemill.operators.similarity import corpus, find_duplicates
-from noticemill.operators.tfidf import postings, term_stats, vocabulary, weights
+from noticemill.operators.tfidf import CLASSIFIER_TERMS, postings, term_stats, vocabulary, weights
 from noticemill.plans.curate import curate
 from noticemill.schemas import CANONICAL
-from noticemill.session import written
+from noticemill.session import scratch_path, written
 from noticemill.suite import views as v
 
 
@@ -293,6 +293,39 @@ def classify_train(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def classify_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of a trained model that was saved and loaded, with their weights by rarity; without
+    the terms that tie at the end of its vocabulary."""
+    labelled = v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id")
+    path = scratch_path(spark, "model")
+    save(train(labelled.select("text", F.col("quality").cast("string").alias("label"))), path)
+    model = load_or_train(spark, path)
+    known = zip(model.stages[2].vocabulary, model.stages[3].idf.toArray().tolist(), strict=True)
+    rarity = spark.createDataFrame(list(known), "term string, idf double")
+    counted = written(term_stats(postings(labelled.select(F.col("doc_id").alias("id"), "text"))), "terms")
+    first = counted.orderBy(F.desc("cf"), "term").limit(CLASSIFIER_TERMS + 1)
+    cut = first.agg(F.when(F.count("*") > CLASSIFIER_TERMS, F.min("cf")).otherwise(0)).scalar()
+    return counted.filter(F.col("cf") > cut).join(rarity, "term", "left").select(
+        "term", "df", F.round("idf", 9).alias("idf")
+    )
+
+
+CLASSIFY_TERMS = f"""WITH labelled AS (
+  SELECT doc_id AS id, text FROM documents JOIN labels USING (doc_id)
+),
+stop_words(word) AS (VALUES {v.values_list(ENGLISH)}),
+tokens AS (
+  SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM labelled
+),
+counted AS (
+  SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM tokens
+  WHERE term NOT IN (SELECT word FROM stop_words) GROUP BY term
+)
+SELECT term, df, round(ln((1.0::DOUBLE + (SELECT count(*) FROM labelled)) / (1 + df)), 9) AS idf
+FROM counted
+WHERE cf > coalesce((SELECT cf FROM counted ORDER BY cf DESC, term LIMIT 1 OFFSET 5000), 0)"""
+
+
 def classify_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by the model trained on the seed texts."""
     documents = v.document_records(spark, sf).withColumn(
@@ -317,6 +350,7 @@ QUERIES = {
     "process_summary": (process_summary, PROCESS_SUMMARY),
     "curated_records": (curated_records, CURATED_RECORDS),
     "classify_score": (classify_score, CLASSIFY_SCORE),
+    "classify_terms": (classify_terms, CLASSIFY_TERMS),
     "classify_train": (classify_train, None),
     "classify_documents": (classify_documents, None),
 }
