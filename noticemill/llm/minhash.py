@@ -17,7 +17,8 @@ k places. As the k-th ranks of a slot lie side by side, a signature is the minim
 With 48 bands of 6 rows, a pair at similarity 0.75 shares a band with probability 0.9999.
 
 Null text counts as empty. A null id is answered by itself and linked with nothing. Rows that
-repeat an id are answered each by its own text. Other columns are not read, except by
+repeat an id are answered each by its own text; where such an id stands for a class in a
+comparison, all its texts take part. Other columns are not read, except by
 ``drop_near_copies``, which returns them.
 """
 
@@ -43,6 +44,8 @@ SLOTS = 1 << 22
 PERCENT = 75
 #: Members compared with each other in one step of a task.
 BLOCK = 256
+#: Size of the filter that finds the documents in candidate pairs.
+FILTER_BITS = 1 << 24
 
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -119,10 +122,42 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """The places of ids in the filter, two each."""
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return np.stack([h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids, as words of 64 bits. Its size is fixed; where there are so many ids
+    that it fills up, it lets more rows pass and no row is lost."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(_bits(batch.column("id").to_numpy(zero_copy_only=False)))
+            word, at = np.unique(bits >> np.uint64(6), return_index=True)
+            held = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), at) if len(bits) else bits
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word.astype(np.int64)), pa.array(held.view(np.int64))], ["word", "bits"]
+            )
+
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    rows = ids.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _sets(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            bits = _bits(batch.column("id").to_numpy(zero_copy_only=False))
+            hit = (held[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(hit.all(axis=0)))
+            sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return run
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -194,8 +229,12 @@ def near_groups(
     pairs = written(
         buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs"
     )
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets").dropDuplicates(["id"])
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    # whole sets of the documents in pairs; texts stay where they are stored
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    sets = written(
+        texts.where("id IS NOT NULL").mapInArrow(_sets(shared), "id long, shingles binary"), "sets"
+    )
     both = (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
