@@ -18,6 +18,8 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,25 +38,30 @@ UNITS, LEAST_TEXTS = 8192, 5
 WINDOW = 2
 HIDDEN, EPOCHS, BATCH = 32, 40, 128
 #: Words remembered by one Python worker before it starts afresh.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
-_SHAPE = np.arange(256, dtype=np.uint8)
-_SHAPE[65:91] = ord("X")
-_SHAPE[97:123] = ord("x")
-_SHAPE[128:] = ord("x")
-_SHAPE[48:58] = ord("9")
+#: Longest shape and longest word that are told apart; a longer one is known by its beginning.
+LONGEST = 64
 
+_KINDS = str.maketrans(
+    {c: "X" for c in string.ascii_uppercase}
+    | {c: "x" for c in string.ascii_lowercase}
+    | {c: "9" for c in string.digits}
+)
+_OTHER = re.compile("[^\x00-\x7f]+")
+_RUN = re.compile(r"(.)\1+", re.S)
 
-def shape(word: bytes) -> str:
+
+def shape(word: str) -> str:
     """Kinds of a word's characters, each run once."""
-    kinds = _SHAPE[np.frombuffer(word, dtype=np.uint8)]
-    kept = kinds[np.append(True, kinds[1:] != kinds[:-1])][:12]
-    return "#" + kept.tobytes().decode("ascii", "replace")
+    return "#" + _RUN.sub(r"\1", _OTHER.sub("x", word).translate(_KINDS))[:12]
 
 
 def units_of(word: str) -> tuple[str, str]:
     """A word's two units: its shape, and its lower-cased letters."""
-    return shape(word.encode()), "".join(c for c in word.lower() if c.isalnum()) or word
+    lower = word.lower()
+    letters = lower if lower.isalnum() else "".join(filter(str.isalnum, lower))
+    return shape(word), letters[:LONGEST] or word[:LONGEST]
 
 
 def random_vector(unit: str) -> np.ndarray:
