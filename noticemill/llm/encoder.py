@@ -21,7 +21,7 @@ import pyarrow as pa
 from noticemill.llm.words import CUTS, chunks, find_words, text_bytes
 
 #: Words remembered by one Python worker: those met since so many others were, and as many before.
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 
 
 class Encoded(NamedTuple):

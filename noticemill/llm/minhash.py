@@ -57,8 +57,8 @@ class Circulant:
 
     def __init__(self, n: int):
         rng = np.random.Generator(np.random.PCG64(11))
-        self.scatter = rng.permutation(SLOTS).astype(np.uint32)
-        ranks = rng.permutation(SLOTS).astype(np.uint32)
+        places = np.arange(SLOTS, dtype=np.uint32)
+        self.scatter, ranks = rng.permutation(places), rng.permutation(places)
         ring = np.concatenate([ranks, ranks[:n]])
         self.windows = np.lib.stride_tricks.sliding_window_view(ring, n)
         self.n = n

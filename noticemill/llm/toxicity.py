@@ -19,6 +19,7 @@ Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,11 +46,12 @@ PREFIXES = (4, 5, 6)
 FEATURES = 512
 LEAST_TEXTS = 5
 LONGEST = 64
-#: Words a Python worker remembers before it starts afresh, while fitting and while scoring.
-MOST_WORDS = (30_000, 400_000)
+#: Words a Python worker remembers, while fitting and while scoring: those met since so many others
+#: were, and as many before.
+MOST_WORDS = (15_000, 120_000)
 
 _CLASSES = 28
-_CLASS = np.zeros(256, dtype=np.int64)
+_CLASS = np.zeros(256, dtype=np.int32)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27
@@ -57,6 +59,8 @@ _CLASS[128:] = 27
 _SPREAD = re.compile(rf"(?:[^\W_]|[$@!|+(€])(?:[{re.escape(SPREADERS)}]+(?:[^\W_]|[$@!|+(€])){{2,}}")
 _EDGES = re.compile(r"^[^\w$@(|€]+|[^\w$@|€]+$")
 _RUN = re.compile(r"(.)\1*", re.S)
+_THREE = re.compile(r"(.)\1\1", re.S)
+_PLAIN = re.compile(r"[^\w$@(|€]*([^\W\d_]+)[^\w$@(|€]*")
 
 
 def letter_model(texts: DataFrame) -> np.ndarray:
@@ -68,7 +72,8 @@ def letter_model(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
             for first, last in chunks(offsets):
-                c = np.concatenate([[0, 0], _CLASS[data[offsets[first] : offsets[last]]], [0]])
+                c = np.zeros(offsets[last] - offsets[first] + 3, dtype=np.int32)
+                c[2:-1] = _CLASS[data[offsets[first] : offsets[last]]]
                 sums += np.bincount((c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:], minlength=len(sums))
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], ["trigram", "n"])
@@ -124,6 +129,8 @@ def decode(token: str, model: np.ndarray) -> str:
 def restore(token: str, model: np.ndarray) -> list[str]:
     """The words a token stands for, lower-cased."""
     token = token.lower()
+    if (word := _PLAIN.fullmatch(token)) and not _THREE.search(word[1]):
+        return [word[1]]
     if spread := _SPREAD.search(token):
         joined = re.sub(rf"[{re.escape(SPREADERS)}]", "", spread[0])
         return [decode(joined, model) if disguised(joined) else joined]
@@ -172,6 +179,7 @@ class Scorer:
         self.model = model
         self.features = features
         self.known: dict[int, tuple] = {}
+        self.older: dict[int, tuple] = {}
 
     def of_word(self, token: str) -> tuple:
         found = units(restore(token, self.model))
@@ -179,18 +187,26 @@ class Scorer:
             return tuple(found)
         return tuple(self.features[u] for u in found if u in self.features)
 
+    def remembered(self, prints: np.ndarray, place: np.ndarray, words: Words) -> list[tuple]:
+        """The features of a chunk's distinct words."""
+        if len(self.known) > MOST_WORDS[self.features is not None]:
+            self.known, self.older = {}, self.known
+        held = []
+        for k, key in enumerate(prints.tolist()):
+            features = self.known.get(key)
+            if features is None:
+                features = self.older.get(key)
+                if features is None:
+                    features = self.of_word(words.text(place[k]))
+                self.known[key] = features
+            held.append(features)
+        return held
+
     def texts(self, column: pa.Array) -> Iterator[set]:
         """The distinct features of every text of a column."""
         for words in find_words(column, fold=True):
             prints, place, which = np.unique(words.prints, return_index=True, return_inverse=True)
-            if len(self.known) > MOST_WORDS[self.features is not None]:
-                self.known.clear()
-            held = []
-            for k, key in enumerate(prints.tolist()):
-                features = self.known.get(key)
-                if features is None:
-                    features = self.known[key] = self.of_word(words.text(place[k]))
-                held.append(features)
+            held = self.remembered(prints, place, words)
             telling = np.fromiter(map(bool, held), dtype=bool, count=len(held))
             at = np.flatnonzero(telling[which])
             out: list[set] = [set() for _ in range(words.last - words.first)]
@@ -212,27 +228,35 @@ def fit(texts: DataFrame, sample: DataFrame) -> Classifier:
     """``texts``: (text), for the letters; ``sample``: (text, y) of bounded size."""
     letters = letter_model(texts)
 
-    def features(known: dict[str, int] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(letters, known)
-            for batch in batches:
-                found = [list(f) for f in scorer.texts(batch.column("text"))]
-                kind = pa.list_(pa.string() if known is None else pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column("y")], ["found", "y"])
-
-        return run
-
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     toxic, other = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     rate = (F.col("a") + F.col("b")) / float(toxic + other)
     lift = (F.col("a") / float(toxic) - F.col("b") / float(other)) / F.sqrt(
         rate * (1 - rate) * (1.0 / toxic + 1.0 / other) + 1e-12
     )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(letters, None)
+        for batch in batches:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for found, y in zip(scorer.texts(batch.column("text")), batch.column("y").to_pylist(), strict=True):
+                seen[y].update(found)
+            for y, counts in enumerate(seen):
+                if counts:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(list(counts), pa.string()),
+                            pa.array([y] * len(counts), pa.int64()),
+                            pa.array(list(counts.values()), pa.int64()),
+                        ],
+                        ["unit", "y", "n"],
+                    )
+
     chosen = (
-        sample.mapInArrow(features(None), "found array<string>, y int")
-        .select(F.explode("found").alias("unit"), "y")
+        sample.mapInArrow(count, "unit string, y long, n long")
         .groupBy("unit")
-        .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+        .agg(
+            F.sum(F.col("y") * F.col("n")).alias("a"), F.sum((1 - F.col("y")) * F.col("n")).alias("b")
+        )
         .where(F.col("a") + F.col("b") >= LEAST_TEXTS)
         .withColumn("lift", lift)
         .where("lift > 4")
@@ -240,7 +264,16 @@ def fit(texts: DataFrame, sample: DataFrame) -> Classifier:
         .limit(FEATURES)
     )
     known = {r.unit: k for k, r in enumerate(chosen.collect())}
-    rows = sample.mapInArrow(features(known), "found array<long>, y int").collect()
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(letters, known)
+        for batch in batches:
+            found = [list(f) for f in scorer.texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.int64())), batch.column("y")], ["found", "y"]
+            )
+
+    rows = sample.mapInArrow(features, "found array<long>, y int").collect()
     x = np.zeros((len(rows), len(known)), dtype=np.float32)
     for k, r in enumerate(rows):
         x[k, r.found] = 1.0
@@ -309,7 +342,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
         m = model.value
         scorer = Scorer(m.letters, m.features)
         for batch in batches:
-            texts = pc.fill_null(batch.column(text_column).cast(pa.string()), "")
+            texts = batch.column(text_column).cast(pa.string())
+            texts = pc.fill_null(texts, "") if texts.null_count else texts
             keep = [sigmoid(m.bias + m.weights[list(f)].sum()) < 0.5 for f in scorer.texts(texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
