@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticemill.llm.frames import WORD, running_totals, whole_text
+from noticemill.operators.joins import broadcast_if, is_small
 from noticemill.session import written
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -117,6 +118,7 @@ def _taken(
         "target",
         full.cast("long").alias("full"),
     ).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
+    wanted = broadcast_if(is_small(wanted), wanted)
     placed = sized.join(wanted, sized["source"].eqNullSafe(wanted["source"])).select(
         "id", "tag", "size", "key", wanted["source_no"], "source_size", "target", "full", "rest"
     )
@@ -125,9 +127,9 @@ def _taken(
         running_totals(placed, ["source_no"], order, {"before": F.col("size"), "at": F.lit(1)}, "mix"), "mix"
     ).withColumn("chosen", F.col("before") + F.col("size") <= F.col("rest"))
     picks = _fill(summed)
-    extra = F.col("chosen") | F.coalesce(F.array_contains("picked", F.col("at")), F.lit(False))
+    extra = F.col("chosen") | F.coalesce("picked", F.lit(False))
     epochs = F.col("full") + extra.cast("long")
-    return summed.join(picks, "source_no").select(
+    return summed.join(picks, ["source_no", "at"], "left").select(
         "id",
         "tag",
         "size",
@@ -139,9 +141,10 @@ def _taken(
 
 
 def _fill(summed: DataFrame) -> DataFrame:
-    """(source_no, picked): places of further documents that fill what the chosen leave open. Each
-    round takes, per source, the largest document that fits; the last takes the nearest one, if
-    the target is nearer with it. A round is a maximum over narrow rows."""
+    """(source_no, at, picked): further documents that fill what the chosen leave open. Each round
+    takes, per source, the largest document that fits; the last takes the nearest one, if the
+    target is nearer with it. A round is a minimum over narrow rows, which stay where they are
+    while the sources are few."""
     spare = summed.where(~F.col("chosen") & (F.col("size") > 0)).select("source_no", "size", "at")
     picks = summed.groupBy("source_no").agg(
         (F.max("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("missing"),
@@ -152,7 +155,7 @@ def _fill(summed: DataFrame) -> DataFrame:
         picks = written(picks, "picks")
         fits = off < F.col("missing") if k == FILL_ROUNDS - 1 else F.col("size") <= F.col("missing")
         best = (
-            spare.join(picks, "source_no")
+            spare.join(broadcast_if(is_small(picks), picks), "source_no")
             .where(fits & ~F.array_contains("picked", F.col("at")))
             .groupBy("source_no")
             .agg(F.min(F.struct(off.alias("off"), "at", "size")).alias("best"))
@@ -165,7 +168,7 @@ def _fill(summed: DataFrame) -> DataFrame:
             .otherwise(F.array_append("picked", F.col("best.at").cast("long")))
             .alias("picked"),
         )
-    return picks.select("source_no", "picked")
+    return picks.select("source_no", F.explode("picked").alias("at"), F.lit(True).alias("picked"))
 
 
 def mix(
