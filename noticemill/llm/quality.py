@@ -127,6 +127,14 @@ def pooled(units: Units, vectors: np.ndarray, column: pa.Array) -> Iterator[np.n
             yield out
 
 
+def _add_rows(sums: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the sum at its place."""
+    order = np.argsort(places, kind="stable")
+    ordered = places[order]
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    sums[ordered[at]] += np.add.reduceat(rows[order], at, axis=0)
+
+
 def unit_vectors(sample: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     """The kept units and their context vectors, of length 1; the last row is for unknown ones."""
 
@@ -172,8 +180,9 @@ def unit_vectors(sample: DataFrame) -> tuple[dict[str, int], np.ndarray]:
                     same = (text[step:] == text[:-step])[:, None]
                     around[step:] += own[:-step] * same
                     around[:-step] += own[step:] * same
-                np.add.at(sums, units[:, 0], around + fixed[units[:, 1]])
-                np.add.at(sums, units[:, 1], around + fixed[units[:, 0]])
+                if len(units):
+                    _add_rows(sums, units[:, 0], around + fixed[units[:, 1]])
+                    _add_rows(sums, units[:, 1], around + fixed[units[:, 0]])
         seen = np.flatnonzero(np.abs(sums[:-1]).sum(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen, pa.int64()), pa.array([sums[k].tolist() for k in seen], pa.list_(pa.float64()))],
