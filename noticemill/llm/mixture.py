@@ -4,8 +4,10 @@ A source's share of the mix follows its weight; a source whose target would pass
 size stops there, and the excess is shared again by weight until none is above. Each source takes
 as many complete epochs as fit its target. For the rest, every document has an exponential key, a
 hash of its id as the uniform number, divided by its quality weight; documents are taken in order
-of the keys as long as their sizes, prefix-summed, fit. What is then left open, less than one
-document, is filled in a few rounds by the largest documents that fit and the nearest one.
+of the keys as long as their sizes, prefix-summed, fit. What is then left open is filled by the
+largest documents that fit, in a few rounds; then, where one long document left a gap that many others
+fit in, by those that still fit, summed again in the order of their keys until none fits; and then by
+the nearest one.
 
 Prefix sums run over ranges of (source, key), so a source may hold any part of the rows. Sources
 are summed before they are shuffled, and the water level of the targets is found by a few sums
@@ -27,8 +29,10 @@ from noticemill.operators.joins import broadcast_if, is_small
 from noticemill.session import written
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Rounds in which each source takes one further document to come nearer to its target.
+#: Rounds in which each source takes one further document to come nearer to its target; the last is
+#: held when no document fits any more.
 FILL_ROUNDS = 4
+PASS = "struct<missing:double,stop:bigint>"
 
 
 def text_quality(text_column: str = "text") -> Column:
@@ -142,33 +146,84 @@ def _taken(
 
 def _fill(summed: DataFrame) -> DataFrame:
     """(source_no, at, picked): further documents that fill what the chosen leave open. Each round
-    takes, per source, the largest document that fits; the last takes the nearest one, if the
-    target is nearer with it. A round is a minimum over narrow rows, which stay where they are
-    while the sources are few."""
+    takes, per source, the largest document that fits. Passes in the order of the keys take what then
+    still fits, until nothing does; the last round takes the nearest one, if the target is nearer
+    with it. A round is a minimum over narrow rows, which stay where they are while the sources are
+    few."""
     spare = summed.where(~F.col("chosen") & (F.col("size") > 0)).select("source_no", "size", "at")
     picks = summed.groupBy("source_no").agg(
-        (F.max("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("missing"),
+        (F.max("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0)))
+        .cast("double")
+        .alias("missing"),
         F.array().cast("array<long>").alias("picked"),
+        F.array().cast(f"array<{PASS}>").alias("passes"),
     )
+    for _ in range(FILL_ROUNDS - 1):
+        picks = _pick(spare, picks, F.col("size") <= F.col("missing"))
+    picks = _pass(spare, picks)
+    picks = written(_pick(spare, picks, F.abs(F.col("size") - F.col("missing")) < F.col("missing")), "picks")
+    return (
+        spare.join(broadcast_if(is_small(picks), picks), "source_no")
+        .where(_held())
+        .select("source_no", "at", F.lit(True).alias("picked"))
+    )
+
+
+def _held() -> Column:
+    """Whether a document is among those picked, or was met in a pass before the place it stopped at."""
+    passed = F.exists("passes", lambda p: (F.col("size") <= p["missing"]) & (F.col("at") < p["stop"]))
+    return F.array_contains("picked", F.col("at").cast("long")) | passed
+
+
+def _pick(spare: DataFrame, picks: DataFrame, fits: Column) -> DataFrame:
+    """The picks with one further document per source: of those that fit, the nearest to the gap."""
+    picks = written(picks, "picks")
     off = F.abs(F.col("size") - F.col("missing"))
-    for k in range(FILL_ROUNDS):
-        picks = written(picks, "picks")
-        fits = off < F.col("missing") if k == FILL_ROUNDS - 1 else F.col("size") <= F.col("missing")
-        best = (
-            spare.join(broadcast_if(is_small(picks), picks), "source_no")
-            .where(fits & ~F.array_contains("picked", F.col("at")))
-            .groupBy("source_no")
-            .agg(F.min(F.struct(off.alias("off"), "at", "size")).alias("best"))
+    best = (
+        spare.join(broadcast_if(is_small(picks), picks), "source_no")
+        .where(fits & ~_held())
+        .groupBy("source_no")
+        .agg(F.min(F.struct(off.alias("off"), "at", "size")).alias("best"))
+    )
+    return picks.join(best, "source_no", "left").select(
+        "source_no",
+        (F.col("missing") - F.coalesce("best.size", F.lit(0))).alias("missing"),
+        F.when(F.col("best").isNull(), F.col("picked"))
+        .otherwise(F.array_append("picked", F.col("best.at").cast("long")))
+        .alias("picked"),
+        "passes",
+    )
+
+
+def _pass(spare: DataFrame, picks: DataFrame) -> DataFrame:
+    """The picks after passes over the documents that still fit. A pass takes those before the first
+    one, at the place ``stop``, with which they would no longer fit together; this one is larger than
+    what is then missing, so a pass settles two documents at least."""
+    picks = written(picks, "picks")
+    fits = spare.join(broadcast_if(is_small(picks), picks), "source_no").where(~_held())
+    fits = written(fits.where(F.col("size") <= F.col("missing")).select("source_no", "size", "at"), "fits")
+    while not fits.isEmpty():
+        gaps = picks.select("source_no", "missing")
+        placed = running_totals(fits, ["source_no"], [F.col("at")], {"before": F.col("size")}, "fits")
+        placed = placed.join(broadcast_if(is_small(gaps), gaps), "source_no")
+        fit = F.col("before") + F.col("size") <= F.col("missing")
+        step = placed.groupBy("source_no").agg(
+            F.sum(F.when(fit, F.col("size")).otherwise(0)).alias("more"),
+            F.coalesce(F.min(F.when(~fit, F.col("at"))), F.max("at") + 1).cast("long").alias("stop"),
         )
-        size = F.coalesce("best.size", F.lit(0))
-        picks = picks.join(best, "source_no", "left").select(
-            "source_no",
-            (F.col("missing") - size).alias("missing"),
-            F.when(F.col("best").isNull(), F.col("picked"))
-            .otherwise(F.array_append("picked", F.col("best.at").cast("long")))
-            .alias("picked"),
+        one = F.struct("missing", "stop")
+        picks = written(
+            picks.join(step, "source_no", "left").select(
+                "source_no",
+                (F.col("missing") - F.coalesce("more", F.lit(0))).alias("missing"),
+                "picked",
+                F.when(F.col("stop").isNull(), F.col("passes")).otherwise(F.array_append("passes", one)).alias("passes"),
+            ),
+            "picks",
         )
-    return picks.select("source_no", F.explode("picked").alias("at"), F.lit(True).alias("picked"))
+        fits = fits.join(broadcast_if(is_small(picks), picks), "source_no").where(~_held())
+        fits = written(fits.where(F.col("size") <= F.col("missing")).select("source_no", "size", "at"), "fits")
+    return picks
 
 
 def mix(

@@ -123,3 +123,17 @@ def test_choice_matches_brute_force(spark):
                 want[doc_id] += 1
                 missing -= size
         assert {i: rows[i].epochs for i in want} == want
+
+
+def test_a_long_document_does_not_shut_out_the_short_ones(spark):
+    """Each source has one document of a third of its words, early in the order of the keys; a good
+    part of the others fits beside it."""
+    docs = spark.range(1200).select(
+        F.col("id").alias("doc_id"),
+        F.repeat(F.lit("w "), F.when(F.col("id") < 4, 1500).otherwise(F.col("id") % 17 + 2).cast("int")).alias("text"),
+        (F.col("id") % 4).cast("string").alias("source"),
+    )
+    early = F.when(F.col("doc_id") < 4, 1e9).otherwise(1.0)
+    for share in (0.2, 0.4, 1.2):
+        sums = takings(docs, quality=early, share=share).groupBy("source_size", "target").agg(F.sum("taken").alias("n"))
+        assert all(abs(r.n - r.target) <= 1 for r in sums.collect())
