@@ -2,7 +2,7 @@
 
 Base spans come from four patterns with checks. They are the seeds. Every token that could be an
 identifier, a run of identifier characters with a digit or an @, is an instance; the two and the
-three lexical items before it are its patterns. Pattern and instance score each other in turn: an
+three lexical items before it are its patterns, or the only one that is there. Pattern and instance score each other in turn: an
 instance under a base span counts 1, any other the best score of its patterns; a pattern scores the
 mean of its distinct instances, lessened where they are few. Patterns with enough seeds and a high
 score then name the instances that no detector knew: spans of kind ``id``. One that touches a base
@@ -49,7 +49,8 @@ LEAST_SCORE = 0.6
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, token, left>> of a pattern's matches: the texts between matches
-    and the matches take turns, so their lengths add up to the places, in code points."""
+    and the matches take turns, so their lengths add up to the places, in code points. ``left`` is
+    the text before a match, earlier matches included, up to ``CONTEXT_CHARS``."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     step = F.zip_with(
@@ -57,20 +58,25 @@ def _matches(text: Column, pattern: str) -> Column:
         found,
         lambda gap, token: F.struct(
             F.char_length(gap).alias("gap"),
-            F.right(gap, F.lit(CONTEXT_CHARS)).alias("left"),
+            F.right(gap, F.lit(CONTEXT_CHARS)).alias("between"),
             token.alias("token"),
         ),
     )
     start = F.struct(
         F.lit(0).alias("at"),
+        F.lit("").alias("tail"),
         F.array().cast("array<struct<start:int,stop:int,token:string,left:string>>").alias("spans"),
     )
 
     def add(state: Column, one: Column) -> Column:
         begin = state["at"] + one["gap"]
         stop = begin + F.char_length(one["token"])
-        span = F.struct(begin.alias("start"), stop.alias("stop"), one["token"].alias("token"), one["left"].alias("left"))
-        return F.struct(stop.alias("at"), F.array_append(state["spans"], span).alias("spans"))
+        left = F.right(F.concat(state["tail"], one["between"]), F.lit(CONTEXT_CHARS))
+        tail = F.right(F.concat(left, F.right(one["token"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+        span = F.struct(begin.alias("start"), stop.alias("stop"), one["token"].alias("token"), left.alias("left"))
+        return F.struct(
+            stop.alias("at"), tail.alias("tail"), F.array_append(state["spans"], span).alias("spans")
+        )
 
     return F.aggregate(step, start, add, lambda state: state["spans"])
 
@@ -144,8 +150,9 @@ def _found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """(row, start, stop, instance, patterns, seed): base spans, which are the seeds, and other
-    possible identifiers, in their contexts."""
+    """(row, start, stop, instance, patterns, item, seed): base spans, which are the seeds, and other
+    possible identifiers, in their contexts. ``item`` is the last one, the pattern of those that have
+    no other."""
     seeds = found.select("row", F.explode("base").alias("t")).select("row", "t.*", F.lit(True).alias("seed"))
     tokens = found.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t"))
     others = tokens.where(
@@ -158,24 +165,29 @@ def occurrences(found: DataFrame) -> DataFrame:
         seeds.select(*columns)
         .unionByName(others.select(*columns))
         .withColumn("items", F.regexp_extract_all(ending, F.lit(ITEM), F.lit(0)))
-        .where(F.size("items") >= 2)
+        .where(F.size("items") >= 1)
         .select(
             "row",
             "start",
             "stop",
             F.lower("token").alias("instance"),
-            F.array_compact(F.array(last(2), last(3))).alias("patterns"),
+            F.when(F.size("items") == 1, F.array(last(1)))
+            .otherwise(F.array_compact(F.array(last(2), last(3))))
+            .alias("patterns"),
+            F.element_at("items", -1).alias("item"),
             "seed",
         )
     )
 
 
 def pattern_scores(seen: DataFrame) -> DataFrame:
-    """(pattern, score, seeds) after the rounds over distinct pairs of pattern and instance."""
+    """(pattern, score, seeds) after the rounds over distinct pairs of pattern and instance. A single
+    item is scored over all that follow it, but passes its score on only to those without another."""
+    every = F.array_distinct(F.array_append("patterns", F.col("item")))
     pairs = written(
-        seen.select(F.explode("patterns").alias("pattern"), "instance", "seed")
+        seen.select(F.explode(every).alias("pattern"), "patterns", "instance", "seed")
         .groupBy("pattern", "instance")
-        .agg(F.max("seed").alias("seed")),
+        .agg(F.max("seed").alias("seed"), F.max(F.array_contains("patterns", F.col("pattern"))).alias("names")),
         "pairs",
     )
     known = pairs.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
@@ -190,7 +202,7 @@ def pattern_scores(seen: DataFrame) -> DataFrame:
             ),
             "scores",
         )
-        strong = F.when(F.col("seeds") >= LEAST_SEEDS, F.col("score")).otherwise(0.0)
+        strong = F.when(F.col("names") & (F.col("seeds") >= LEAST_SEEDS), F.col("score")).otherwise(0.0)
         known = (
             pairs.join(scores, "pattern")
             .groupBy("instance")

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from noticemill.llm.personal import find_personal
+from pyspark.sql import functions as F
+
+from noticemill.llm.personal import _found, find_personal, occurrences
 
 from .helpers import ODD, no_documents, odd_documents
 
@@ -102,3 +104,18 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
 
 def test_empty_table(spark):
     assert find_personal(no_documents(spark)).count() == 0
+
+
+def test_earlier_matches_and_single_items_are_contexts(spark):
+    phones = ["+1 555 100-2001", "+1 555 100-2002", "+44 20 7946 0958", "+33 1 23 45 67 89"]
+    mails = [f"u{k}@mail.example.com" for k in range(6)]
+    rows = [f"dial number {p}, {q}" for p, q in zip(phones, phones[1:] + phones[:1])]
+    rows += [f"{name}: {m}" for m in mails for name in ("Write", "then write")] + [f"Reach {m}" for m in mails]
+    n = len(rows)
+    rows += ["dial number 555-100-7788, 555-100-7799", "dial number 2: 555-100-7766", "Reach pat.lee@intranet"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    seen = occurrences(_found(frame, "doc_id", "text")).where(~F.col("seed")).collect()
+    assert {"555-100-7788", "555-100-7799", "555-100-7766"} <= {r.instance for r in seen}
+    got = {r.doc_id: r for r in find_personal(frame).collect()}
+    assert got[n].spans == "id:12:24,id:26:38"
+    assert got[n + 2].spans == "id:6:22"
