@@ -5,8 +5,9 @@ identifier, a run of identifier characters with a digit or an @, is an instance;
 three lexical items before it are its patterns, or the only one that is there. Pattern and instance score each other in turn: an
 instance under a base span counts 1, any other the best score of its patterns; a pattern scores the
 mean of its distinct instances, lessened where they are few. Patterns with enough seeds and a high
-score then name the instances that no detector knew: spans of kind ``id``. One that touches a base
-span is not added.
+score then name the instances that no detector knew: spans of kind ``id``. These are seeds in their
+turn, and all is scored again until no further one is named. One that touches a base span is not
+added.
 
 All steps are DataFrame expressions. The regular expressions start only where a run of their first
 characters starts and never give back what a run has taken, so their time is linear in the text.
@@ -181,41 +182,64 @@ def occurrences(found: DataFrame) -> DataFrame:
 
 
 def pattern_scores(seen: DataFrame) -> DataFrame:
-    """(pattern, score, seeds) after the rounds over distinct pairs of pattern and instance. A single
-    item is scored over all that follow it, but passes its score on only to those without another."""
+    """(pattern, score, seeds) over distinct pairs of pattern and instance. A single item is scored
+    over all that follow it, but passes its score on only to those without another. After the rounds
+    the instances that trusted patterns name are seeds too, with the score of the pattern, and the
+    rounds start again, until no instance is new."""
     every = F.array_distinct(F.array_append("patterns", F.col("item")))
     pairs = written(
         seen.select(F.explode(every).alias("pattern"), "patterns", "instance", "seed")
         .groupBy("pattern", "instance")
-        .agg(F.max("seed").alias("seed"), F.max(F.array_contains("patterns", F.col("pattern"))).alias("names")),
+        .agg(
+            F.max(F.col("seed").cast("double")).alias("weight"),
+            F.max(F.array_contains("patterns", F.col("pattern"))).alias("names"),
+        ),
         "pairs",
     )
-    known = pairs.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    counted = -1
+    while True:
+        scores = _rounds(pairs)
+        n = pairs.where("weight > 0").count()
+        if n == counted:
+            return scores
+        counted = n
+        named = (
+            pairs.where("names").join(_trusted(scores), "pattern").groupBy("instance").agg(F.max("score").alias("score"))
+        )
+        weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.coalesce("score", F.lit(0.0)))
+        pairs = written(
+            pairs.join(named, "instance", "left").select("pattern", "instance", weight.alias("weight"), "names"), "pairs"
+        )
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    known = pairs.groupBy("instance").agg(F.max("weight").alias("score"))
     scores = None
     for _ in range(ROUNDS):
         scores = written(
             pairs.join(known, "instance")
             .groupBy("pattern")
-            .agg(
-                (F.sum("score") / (F.count("*") + 1)).alias("score"),
-                F.count_if(F.col("seed")).alias("seeds"),
-            ),
+            .agg((F.sum("score") / (F.count("*") + 1)).alias("score"), F.sum("weight").alias("seeds")),
             "scores",
         )
         strong = F.when(F.col("names") & (F.col("seeds") >= LEAST_SEEDS), F.col("score")).otherwise(0.0)
         known = (
             pairs.join(scores, "pattern")
             .groupBy("instance")
-            .agg(F.greatest(F.max(F.col("seed").cast("double")), F.max(strong)).alias("score"))
+            .agg(F.greatest(F.max("weight"), F.max(strong)).alias("score"))
         )
     return scores
 
 
+def _trusted(scores: DataFrame) -> DataFrame:
+    return scores.where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
+
+
 def find_personal(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id) for every row."""
     found = written(_found(docs, id_column, text_column), "found")
     seen = written(occurrences(found), "occurrences")
-    trusted = pattern_scores(seen).where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
+    trusted = _trusted(pattern_scores(seen))
     fresh = (
         seen.where(~F.col("seed"))
         .select("row", "start", "stop", F.explode("patterns").alias("pattern"))

@@ -119,3 +119,14 @@ def test_earlier_matches_and_single_items_are_contexts(spark):
     got = {r.doc_id: r for r in find_personal(frame).collect()}
     assert got[n].spans == "id:12:24,id:26:38"
     assert got[n + 2].spans == "id:6:22"
+
+
+def test_named_identifiers_lead_to_further_contexts(spark):
+    """Mails name the intranet names, these the badges, and these the lockers."""
+    rows = [f"his mail address: u{k}@mail.example.com works" for k in range(12)]
+    rows += [f"his mail address: pat{k}@intranet works, the badge login is pat{k}@intranet" for k in range(6)]
+    rows += [f"the badge login is B-{k}1177 today, a locker code of B-{k}1177" for k in range(9)]
+    n = len(rows)
+    rows += ["the badge login is new77@intranet", "a locker code of L-20017", "a part of P-20018"]
+    got = {r.doc_id: r for r in find_personal(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[n + k].n_id for k in range(3)] == [1, 1, 0]
