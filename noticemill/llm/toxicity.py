@@ -3,7 +3,8 @@
 A noisy channel: a writer means a word and disguises it by digits and signs that look like letters,
 by spreading its letters out, or by repeating them. For a disguised token the characters seen form a
 lattice of the letters they may stand for; Viterbi decoding finds the likeliest path under a
-trigram model of letters and the costs of the channel. The model is counted over the texts outside
+trigram model of letters and the costs of the channel. In a run of spread letters every place is also a
+possible end of a word, so the path says where its words are. The model is counted over the texts outside
 the held-out part, all of them. Tokens without a sign of disguise stand for themselves.
 
 The restored words are scored by a logistic regression on the words and word beginnings that tell
@@ -60,6 +61,7 @@ _SPREAD = re.compile(rf"(?:[^\W_]|[$@!|+(€])(?:[{re.escape(SPREADERS)}]+(?:[^\
 _EDGES = re.compile(r"^[^\w$@(|€]+|[^\w$@|€]+$")
 _RUN = re.compile(r"(.)\1*", re.S)
 _THREE = re.compile(r"(.)\1\1", re.S)
+_OTHER = re.compile("[^\x00-\x7f]+")
 _PLAIN = re.compile(r"[^\w$@(|€]*([^\W\d_]+)[^\w$@(|€]*")
 
 
@@ -145,6 +147,35 @@ def restore(token: str, model: np.ndarray) -> list[str]:
     return found
 
 
+def decode_spread(letters: str, model: np.ndarray) -> list[str]:
+    """The likeliest words behind a run of spread characters: Viterbi over the letters they may stand
+    for, with or without the end of a word after each."""
+    # A path is kept as (cost, words so far, linked from the last); all paths share what lies before.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for sign in letters:
+        choices = [(sign, 0.0)] if sign.isalpha() else [(c, SIGN) for c in LOOKS.get(sign, "")]
+        if not choices:
+            continue
+        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (logp, path) in paths.items():
+            for letter, sign_cost in choices:
+                c = _class(letter)
+                p = logp + sign_cost + model[a, b, c]
+                for state, cost, end in (((b, c), 0.0, False), ((c, 0), model[b, c, 0], True)):
+                    if state not in ahead or ahead[state][0] < p + cost:
+                        ahead[state] = (p + cost, (path, letter, end))
+        paths = ahead
+    _, path = max(
+        ((p + (model[a, b, 0] if b else 0.0), path) for (a, b), (p, path) in paths.items()),
+        key=lambda one: one[0],
+    )
+    out: list[str] = []
+    while path is not None:
+        path, letter, end = path
+        out.append(letter + " " if end else letter)
+    return "".join(reversed(out)).split()
+
+
 def units(words: list[str]) -> set[str]:
     """Features of restored words: the word, and its beginnings."""
     out = set()
@@ -158,8 +189,10 @@ def units(words: list[str]) -> set[str]:
 def spread_words(words: Words) -> list[tuple[int, str]]:
     """(text, joined letters) of runs of three or more one-character words, in the chunk's texts."""
     starts, ends = words.starts, words.ends
-    one = np.flatnonzero(ends - starts == 1)
-    one = one[(words.data[starts[one]] > 32)]
+    # One character: a first byte, and for other than ASCII as many further bytes as it says.
+    first = words.data[starts]
+    long = 1 + (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
+    one = np.flatnonzero((ends - starts == long) & (first > 32))
     if len(one) < 3:
         return []
     text = np.searchsorted(words.of, one, side="right") - 1
@@ -167,8 +200,8 @@ def spread_words(words: Words) -> list[tuple[int, str]]:
     out = []
     for run in np.split(np.arange(len(one)), breaks):
         if len(run) >= 3:
-            letters = bytes(words.data[starts[one[run]]]).decode("ascii", "replace").lower()
-            out.append((int(text[run[0]]), letters[:LONGEST]))
+            letters = "".join(words.text(k) for k in one[run]).lower()
+            out.append((int(text[run[0]]), letters))
     return out
 
 
@@ -187,6 +220,15 @@ class Scorer:
             return tuple(found)
         return tuple(self.features[u] for u in found if u in self.features)
 
+    def of_spread(self, letters: str) -> tuple:
+        """The features of a run of spread letters: of its words, and of the run as one word; where it
+        has other than ASCII letters, also of its parts between them."""
+        parts = {letters, *_OTHER.split(letters)} - {""}
+        found = units([w for part in parts for w in (*decode_spread(part, self.model), *restore(part, self.model))])
+        if self.features is None:
+            return tuple(found)
+        return tuple(self.features[u] for u in found if u in self.features)
+
     def remembered(self, prints: np.ndarray, place: np.ndarray, words: Words) -> list[tuple]:
         """The features of a chunk's distinct words."""
         if len(self.known) > MOST_WORDS[self.features is not None]:
@@ -213,7 +255,7 @@ class Scorer:
             for text, k in zip((np.searchsorted(words.of, at, side="right") - 1).tolist(), which[at].tolist(), strict=True):
                 out[text].update(held[k])
             for text, letters in spread_words(words):
-                out[text].update(self.of_word(letters))
+                out[text].update(self.of_spread(letters))
             yield from out
 
 

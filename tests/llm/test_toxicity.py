@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from noticemill.llm.toxicity import decode, drop_toxic, letter_model, restore, score, train, train_and_score
+from noticemill.llm.toxicity import decode, decode_spread, drop_toxic, letter_model, restore, score, spread_words, train, train_and_score
+from noticemill.llm.words import find_words
 
 from .helpers import no_documents, odd_documents
 
@@ -66,3 +68,18 @@ def test_odd_rows_and_labels(spark):
     assert train_and_score(no_documents(spark), labels).count() == 0
     kept = drop_toxic(docs, none)
     assert kept.schema == docs.schema and kept.count() == docs.count()
+
+
+def test_spread_runs_are_split_into_their_words(spark, corpus):
+    letters = letter_model(corpus[0].select("text"))
+    insults = ("nitwit", "blockhead", "dunderhead")
+    for run in ("rotanitwit", "nitwitblockhead", "mitaselbo" * 12 + "dunderhead", "r0tan1tw1t"):
+        words = decode_spread(run, letters)
+        assert any(insult in words for insult in insults), words
+    (found,) = find_words(pa.array(["so i m b é c i l e it is"]), fold=True)
+    assert spread_words(found) == [(0, "imbécile")]
+    model = train(*corpus)
+    runs = ["m i t a n i t w i t", "r o t a m i t a " * 12 + "d u n d e r h e a d", "é n i t w i t", "r o t a m i t a"]
+    rows = [(k, f"rota mita {r} selbo") for k, r in enumerate(runs)]
+    got = score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.predicted for r in got} == {0: 1, 1: 1, 2: 1, 3: 0}
