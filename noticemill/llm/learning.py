@@ -22,8 +22,9 @@ def labelled_sample(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled ids outside the held-out part. An id labelled more
-    than once counts with its largest label; null labels and ids count as none."""
+    """(text, y) of at most ``rows`` labelled rows outside the held-out part, one for each id. An id
+    labelled more than once counts with its largest label, one with several texts by that with the
+    smallest hash; null labels and ids count as none."""
     chosen = (
         labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (remainder("id", parts) != held_out))
@@ -33,7 +34,8 @@ def labelled_sample(
         .limit(rows)
     )
     texts = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("text", "y")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(one, F.first("y").alias("y")).select("text", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

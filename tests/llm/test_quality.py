@@ -1,5 +1,6 @@
 import numpy as np
 
+from noticemill.llm.learning import labelled_sample
 from noticemill.llm.quality import calibrate, random_vector, shape, train_and_score, train_network
 
 from .helpers import no_documents, odd_documents
@@ -44,3 +45,14 @@ def test_odd_rows_and_labels(spark):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert all(abs(r.score - 0.5) < 1e-9 for r in train_and_score(docs, labels.limit(0)).collect())
     assert train_and_score(no_documents(spark), labels).count() == 0
+
+
+def test_sample_is_bounded_in_rows(spark):
+    rows = [(1, f"text {k}") for k in range(500)] + [(k, "other") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    sample = labelled_sample(docs, labels, "quality", 3, 3, rows=30)
+    assert sample.columns == ["text", "y"] and sample.count() == 30
+    whole = labelled_sample(docs, labels, "quality", 3, 3).collect()
+    assert len(whole) == 39 and sum(r.text.startswith("text") for r in whole) == 1
+    assert sorted(whole) == sorted(labelled_sample(docs.repartition(7), labels, "quality", 3, 3).collect())
