@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticemill.llm import exact, language_model, minhash, mixture, packing, personal, quality, sql, token_counts, toxicity, vectors
+from noticemill.llm import exact, filter_audit, language_model, minhash, mixture, packing, personal, quality, sql, token_counts, toxicity, vectors
 from noticemill.llm.ship import ship
 
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_model": (op1_language_model, None),
@@ -70,6 +74,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_packing": (op8_packing, None),
     "op9_exact": (op9_exact, sql.EXACT),
     "op10_toxicity": (op10_toxicity, None),
+    "op13_filter_audit": (op13_filter_audit, sql.AUDIT),
 }
 
 

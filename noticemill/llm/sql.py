@@ -74,3 +74,50 @@ WITH RECURSIVE v AS (
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
 """
+
+AUDIT = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+    FROM documents
+), l AS (
+    SELECT doc_id AS id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+), f AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+        len(words) < 200,
+        100 * len(list_distinct(words)) < 50 * len(words),
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+        regexp_matches(text, '[#$%&*|]'),
+        coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)
+    ] AS fails
+    FROM t LEFT JOIN l ON l.id = t.doc_id
+), c AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+    FROM f GROUP BY part, fails
+), k AS (
+    SELECT unnest(range(1, 6)) AS k
+), orders AS (
+    SELECT [a.k, b.k, c.k, d.k, e.k] AS o
+    FROM k a, k b, k c, k d, k e
+    WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps AS (
+    SELECT o, s.k AS step, o[s.k] AS own, o[1:s.k - 1] AS earlier FROM orders, k s
+), r AS (
+    SELECT part, o, step, own,
+           CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails[own]), 0) AS BIGINT) AS kept,
+           CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND fails[own]), 0) AS BIGINT) AS removed,
+           CAST(coalesce(sum(n) FILTER (WHERE gone AND fails[own]), 0) AS BIGINT) AS redundant,
+           CAST(coalesce(sum(n) FILTER (WHERE fails[own] AND list_count(list_filter(fails, lambda x: x)) = 1), 0) AS BIGINT)
+               AS unique_fails,
+           CAST(coalesce(sum(good) FILTER (WHERE NOT gone AND fails[own]), 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails[own]), 0) AS BIGINT) AS toxic_lost
+    FROM (
+        SELECT *, len(list_filter(earlier, lambda e: fails[e])) > 0 AS gone FROM c, steps
+    )
+    GROUP BY part, o, step, own
+)
+SELECT part, list_aggregate(list_transform(o, lambda x: chr(CAST(64 + x AS INTEGER))), 'string_agg', '') AS filter_order,
+       CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
