@@ -15,6 +15,7 @@ COLUMNS = {
     "op7_quality": "doc_id held_out score predicted",
     "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op12_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
 }
 
 
