@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticemill.llm import exact, filter_audit, language_model, minhash, mixture, packing, personal, quality, secrets, sql, token_counts, toxicity, vectors
+from noticemill.llm import conversations, exact, filter_audit, language_model, minhash, mixture, packing, personal, quality, secrets, sql, token_counts, toxicity, vectors
 from noticemill.llm.ship import ship
 
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_packing": (op8_packing, None),
     "op9_exact": (op9_exact, sql.EXACT),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_conversations": (op11_conversations, sql.REPAIR),
     "op12_secrets": (op12_secrets, None),
     "op13_filter_audit": (op13_filter_audit, sql.AUDIT),
 }

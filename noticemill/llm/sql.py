@@ -121,3 +121,116 @@ SELECT part, list_aggregate(list_transform(o, lambda x: chr(CAST(64 + x AS INTEG
        CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM r
 """
+
+
+def _step(bits: str) -> str:
+    """One bit of CRC-32 for a table of remainders."""
+    return f"SELECT i, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) AS c FROM ({bits})"
+
+
+_REMAINDERS = "SELECT CAST(range AS BIGINT) AS i, CAST(range AS BIGINT) AS c FROM range(256)"
+for _ in range(8):
+    _REMAINDERS = _step(_REMAINDERS)
+
+
+def _more(value: str, cost: str, edit: str) -> str:
+    """A path, its cost in nine digits and its edits, with one edit more."""
+    return f"lpad(CAST(CAST(substr({value}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({value}, 10) || '{edit}'"
+
+
+def _inserted(ask: str, answer: str, begin: str, system: str) -> str:
+    """After insertions: paths by state as begin, system, ask (answered) and answer (asked)."""
+    asked = f"least({answer}, {_more(begin, '3', 'I')}, {_more(system, '3', 'I')}, {_more(ask, '3', 'I')})"
+    both = f"least({ask}, {_more(answer, '3', 'I')}, {_more(begin, '6', 'II')}, {_more(system, '6', 'II')})"
+    return f"{begin} AS e0, {system} AS e1, {asked} AS e2, {both} AS e3"
+
+
+#: No path: dearer than any.
+_NONE = "'900000000'"
+
+REPAIR = rf"""
+WITH RECURSIVE table_of AS (
+    SELECT list(c ORDER BY i) AS remainders FROM ({_REMAINDERS})
+), spaced AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place
+    FROM conversations
+), dealt AS (
+    SELECT s.*, xor(list_reduce(
+            [4294967295] || list_transform(string_split(place, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+            lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS deal
+    FROM spaced s, table_of
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role,
+           CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN deal = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM dealt WHERE deal <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS spot,
+           count(*) OVER (PARTITION BY conv_id) AS n,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+           NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS empty,
+           NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open_end,
+           lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS earlier
+    FROM damaged
+), faulty AS (
+    SELECT conv_id, turn, role, text, spot, n, empty OR again AS bad, substr(role, 1, 1) AS initial,
+           empty AS blank, NOT empty AND again AS duplicate, NOT empty AND NOT again AND open_end AS truncated,
+           earlier IS NOT NULL AND substr(earlier, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal
+    FROM placed
+), walk AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS spot, n, '000000000' AS v0, {_NONE} AS v1, {_NONE} AS v2, {_NONE} AS v3
+    FROM faulty WHERE spot = 1
+    UNION ALL
+    SELECT conv_id, spot, n,
+           {_more('e0', '4', 'D')},
+           least({_more('e1', '4', 'D')}, CASE WHEN keeps AND initial = 's' THEN {_more('e0', 'cut', 'K')} ELSE {_NONE} END),
+           least({_more('e2', '4', 'D')},
+               CASE WHEN keeps AND initial = 'u' THEN least({_more('e0', 'cut', 'K')}, {_more('e1', 'cut', 'K')},
+                   {_more('e3', 'cut', 'K')}) ELSE {_NONE} END,
+               CASE WHEN keeps THEN least({_more('e0', '(3 + cut)', 'R')}, {_more('e1', '(3 + cut)', 'R')},
+                   {_more('e3', '(3 + cut)', 'R')}) ELSE {_NONE} END),
+           least({_more('e3', '4', 'D')},
+               CASE WHEN keeps AND initial = 'a' THEN {_more('e2', 'cut', 'K')} ELSE {_NONE} END,
+               CASE WHEN keeps THEN {_more('e2', '(3 + cut)', 'R')} ELSE {_NONE} END)
+    FROM (
+        SELECT w.conv_id, f.spot, w.n, NOT f.bad AS keeps, f.initial, CASE WHEN f.truncated THEN 3 ELSE 0 END AS cut,
+               {_inserted('v3', 'v2', 'v0', 'v1')}
+        FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.spot = w.spot + 1
+    )
+), best AS (
+    SELECT conv_id, least(e0, e3) AS path
+    FROM (SELECT conv_id, {_inserted('v3', 'v2', 'v0', 'v1')} FROM walk WHERE spot = n)
+), letters AS (
+    SELECT conv_id, unnest(range(1, length(path) - 8)) AS k, path FROM best
+), edits AS (
+    SELECT *, substr(path, CAST(k + 9 AS BIGINT), 1) AS edit, length(replace(substr(path, 10, CAST(k AS BIGINT)), 'I', '')) AS row_at,
+           length(replace(substr(path, 10, CAST(k AS BIGINT)), 'D', '')) AS line
+    FROM letters
+), rolled AS (
+    SELECT e.conv_id, e.line, e.edit, f.role, f.text,
+           CASE WHEN first_value(e.edit) OVER w = 'K' AND first_value(f.initial) OVER w = 's' THEN 1 ELSE 0 END AS system
+    FROM edits e LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.spot = e.row_at AND e.edit <> 'I'
+    WHERE e.edit <> 'D'
+    WINDOW w AS (PARTITION BY e.conv_id ORDER BY e.line)
+), lines AS (
+    SELECT conv_id, line, CASE WHEN edit = 'K' THEN role WHEN (line - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS said
+    FROM rolled
+), texts AS (
+    SELECT conv_id, string_agg(said, chr(10) ORDER BY line) AS whole FROM lines GROUP BY conv_id
+), faults AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+           count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+    FROM faulty GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(CAST(substr(path, 1, 9) AS BIGINT), 0) AS BIGINT) AS cost,
+       coalesce(substr(path, 10), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN faults ON faults.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
