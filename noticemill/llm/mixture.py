@@ -4,10 +4,9 @@ A source's share of the mix follows its weight; a source whose target would pass
 size stops there, and the excess is shared again by weight until none is above. Each source takes
 as many complete epochs as fit its target. For the rest, every document has an exponential key, a
 hash of its id as the uniform number, divided by its quality weight; documents are taken in order
-of the keys as long as their sizes, prefix-summed, fit. What is then left open is filled by the
-largest documents that fit, in a few rounds; then, where one long document left a gap that many others
-fit in, by those that still fit, summed again in the order of their keys until none fits; and then by
-the nearest one.
+of the keys as long as their sizes, prefix-summed, fit. A document that does not fit is passed over,
+and those after it that still fit are summed again, until the gap is below ``NEAR`` of the target or none
+fits; then the document whose size is nearest to the gap is taken, if the target is nearer with it.
 
 Prefix sums run over ranges of (source, key), so a source may hold any part of the rows. Sources
 are summed before they are shuffled, and the water level of the targets is found by a few sums
@@ -16,12 +15,13 @@ over one row per source. The same rows give the same mix.
 Null text counts as empty: size 0, taken 0. A null source is a source of its own, last. Rows that
 repeat an id are documents of their own with the same key. A source without words has target 0. An
 empty table gives an empty mix. Columns with clashing names are not read, except in ``mix``, which
-returns the input's columns.
+returns the input's columns whatever their names; rows equal in id, source and text share their copies
+out in the order of their other columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticemill.llm.frames import WORD, running_totals, whole_text
@@ -29,9 +29,8 @@ from noticemill.operators.joins import broadcast_if, is_small
 from noticemill.session import written
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Rounds in which each source takes one further document to come nearer to its target; the last is
-#: held when no document fits any more.
-FILL_ROUNDS = 4
+#: A gap of this part of a source's target is left to the last, nearest document.
+NEAR = 0.002
 PASS = "struct<missing:double,stop:bigint>"
 
 
@@ -87,8 +86,11 @@ def takings(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
 
 
 def _tag(id_column: str, text_column: str, source_column: str) -> Column:
-    """What tells a document apart: rows with the same id, source and text are interchangeable."""
-    return F.xxhash64(F.col(id_column), F.col(source_column), whole_text(text_column))
+    """What tells a document apart, in 128 bits: rows with the same id, source and text are
+    interchangeable."""
+    spelled = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    key = F.concat_ws("\0", spelled(id_column), spelled(source_column), whole_text(text_column))
+    return F.unhex(F.md5(key))
 
 
 def _taken(
@@ -126,7 +128,7 @@ def _taken(
     placed = sized.join(wanted, sized["source"].eqNullSafe(wanted["source"])).select(
         "id", "tag", "size", "key", wanted["source_no"], "source_size", "target", "full", "rest"
     )
-    order = [F.col("key"), F.col("id"), F.col("size")]
+    order = [F.col("key"), F.col("id"), F.col("size"), F.col("tag")]
     summed = written(
         running_totals(placed, ["source_no"], order, {"before": F.col("size"), "at": F.lit(1)}, "mix"), "mix"
     ).withColumn("chosen", F.col("before") + F.col("size") <= F.col("rest"))
@@ -145,21 +147,18 @@ def _taken(
 
 
 def _fill(summed: DataFrame) -> DataFrame:
-    """(source_no, at, picked): further documents that fill what the chosen leave open. Each round
-    takes, per source, the largest document that fits. Passes in the order of the keys take what then
-    still fits, until nothing does; the last round takes the nearest one, if the target is nearer
-    with it. A round is a minimum over narrow rows, which stay where they are while the sources are
-    few."""
+    """(source_no, at, picked): further documents that fill what the chosen leave open: passes in the
+    order of the keys take what then still fits, until the gap is small or nothing does; then the nearest
+    one is taken, if the target is nearer with it."""
     spare = summed.where(~F.col("chosen") & (F.col("size") > 0)).select("source_no", "size", "at")
     picks = summed.groupBy("source_no").agg(
         (F.max("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0)))
         .cast("double")
         .alias("missing"),
+        (F.max("target") * NEAR).alias("enough"),
         F.array().cast("array<long>").alias("picked"),
         F.array().cast(f"array<{PASS}>").alias("passes"),
     )
-    for _ in range(FILL_ROUNDS - 1):
-        picks = _pick(spare, picks, F.col("size") <= F.col("missing"))
     picks = _pass(spare, picks)
     picks = written(_pick(spare, picks, F.abs(F.col("size") - F.col("missing")) < F.col("missing")), "picks")
     return (
@@ -191,6 +190,7 @@ def _pick(spare: DataFrame, picks: DataFrame, fits: Column) -> DataFrame:
         F.when(F.col("best").isNull(), F.col("picked"))
         .otherwise(F.array_append("picked", F.col("best.at").cast("long")))
         .alias("picked"),
+        "enough",
         "passes",
     )
 
@@ -200,8 +200,9 @@ def _pass(spare: DataFrame, picks: DataFrame) -> DataFrame:
     one, at the place ``stop``, with which they would no longer fit together; this one is larger than
     what is then missing, so a pass settles two documents at least."""
     picks = written(picks, "picks")
+    open_gap = (F.col("missing") > F.col("enough")) & (F.col("size") <= F.col("missing"))
     fits = spare.join(broadcast_if(is_small(picks), picks), "source_no").where(~_held())
-    fits = written(fits.where(F.col("size") <= F.col("missing")).select("source_no", "size", "at"), "fits")
+    fits = written(fits.where(open_gap).select("source_no", "size", "at"), "fits")
     while not fits.isEmpty():
         gaps = picks.select("source_no", "missing")
         placed = running_totals(fits, ["source_no"], [F.col("at")], {"before": F.col("size")}, "fits")
@@ -217,32 +218,60 @@ def _pass(spare: DataFrame, picks: DataFrame) -> DataFrame:
                 "source_no",
                 (F.col("missing") - F.coalesce("more", F.lit(0))).alias("missing"),
                 "picked",
+                "enough",
                 F.when(F.col("stop").isNull(), F.col("passes")).otherwise(F.array_append("passes", one)).alias("passes"),
             ),
             "picks",
         )
         fits = fits.join(broadcast_if(is_small(picks), picks), "source_no").where(~_held())
-        fits = written(fits.where(F.col("size") <= F.col("missing")).select("source_no", "size", "at"), "fits")
+        fits = written(fits.where(open_gap).select("source_no", "size", "at"), "fits")
     return picks
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """The name, with as many more signs as it needs to differ from the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def mix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options
 ) -> DataFrame:
     """The documents of the mix with all their columns, each as often as the mix holds it."""
     names = {"id_column": id_column, "text_column": text_column, "source_column": source_column}
-    held = _taken(docs, **names, **options).groupBy(F.col("tag").alias("_held_tag")).agg(
-        F.sum("epochs").alias("_held_epochs"), F.count("*").alias("_held_rows")
+    tag, epochs, rows, copies, copy, row, alike = (
+        _unused(n, docs.columns) for n in ("_tag", "_epochs", "_rows", "_copies", "_copy", "_row", "_alike")
     )
-    tagged = docs.withColumn("_mix_tag", _tag(**names)).join(
-        held.where("_held_epochs > 0"), F.col("_mix_tag") == F.col("_held_tag")
+    held = written(
+        _taken(docs, **names, **options)
+        .groupBy(F.col("tag").alias(tag))
+        .agg(F.sum("epochs").alias(epochs), F.count("*").alias(rows))
+        .where(F.col(epochs) > 0),
+        "held",
     )
-    nth = F.row_number().over(Window.partitionBy("_mix_tag").orderBy("_mix_tag"))
-    rows = F.col("_held_rows")
-    copies = F.floor(F.col("_held_epochs") / rows) + (nth <= F.col("_held_epochs") % rows).cast("long")
-    return (
-        tagged.withColumn("_mix_copies", copies)
-        .where("_mix_copies > 0")
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int"))))
-        .select(*docs.columns)
+    several = held.where(F.col(rows) > 1)
+    tagged = docs.withColumn(tag, _tag(**names))
+
+    def repeated(found: DataFrame) -> DataFrame:
+        often = F.array_repeat(F.lit(1), F.col(copies).cast("int"))
+        return found.where(F.col(copies) > 0).withColumn(copy, F.explode(often)).select(*docs.columns)
+
+    once = repeated(tagged.join(held.where(F.col(rows) == 1).select(tag, F.col(epochs).alias(copies)), tag))
+    if several.isEmpty():
+        return once
+    # rows with one tag: equal ones are counted, the rest of an epoch goes to the first of them
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    distinct = (
+        tagged.join(several.select(tag), tag, "left_semi")
+        .groupBy(tag, F.to_json(whole).alias(alike))
+        .agg(F.first(whole).alias(row), F.count("*").alias(copies))
     )
+    placed = running_totals(
+        distinct.select(tag, F.md5(alike).alias(alike), row, copies), [tag], [F.col(alike)], {"_earlier": F.col(copies)}, "alike"
+    ).join(several, tag)
+    rest = F.col(epochs) % F.col(rows) - F.col("_earlier")
+    share = F.col(copies) * F.floor(F.col(epochs) / F.col(rows)) + F.greatest(F.lit(0), F.least(rest, F.col(copies)))
+    more = placed.select(row, share.alias(copies)).where(F.col(copies) > 0)
+    often = F.array_repeat(F.lit(1), F.col(copies).cast("int"))
+    return once.unionByName(more.select(row, F.explode(often).alias(copy)).select(f"{row}.*"))

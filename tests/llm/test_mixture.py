@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from noticemill.llm.mixture import FILL_ROUNDS, mix, takings, text_quality, uniform
+from noticemill.llm.mixture import NEAR, mix, takings, text_quality, uniform
 
 from .helpers import no_documents, odd_documents
 
@@ -91,49 +91,68 @@ def test_empty_table(spark):
     assert mix(no_documents(spark)).count() == 0
 
 
-def test_choice_matches_brute_force(spark):
-    """Complete epochs, then documents in the order of their keys, then what fills the rest."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    keyed = docs.select("doc_id", "source", (-F.log(uniform("doc_id", 7)) / text_quality()).alias("key"))
+def chosen_by_hand(members, full, rest, target):
+    """Epochs by id. members: (key, id, size). Complete epochs; in the order of the keys what fits, again and
+    again without what does not; then the document nearest to the gap, if the target is nearer with it."""
+    want, before = {}, 0
+    for _, doc_id, size in sorted(members):
+        want[doc_id] = full + (before + size <= rest)
+        before += size
+    missing = rest - sum(size for _, i, size in members if want[i] > full)
+    while missing > NEAR * target:
+        fits = [(i, size) for _, i, size in sorted(members) if want[i] == full and 0 < size <= missing]
+        if not fits:
+            break
+        for doc_id, size in fits:
+            if size > missing:
+                break
+            want[doc_id] += 1
+            missing -= size
+    near = [
+        (abs(size - missing), n, doc_id)
+        for n, (_, doc_id, size) in enumerate(sorted(members))
+        if size and want[doc_id] == full and abs(size - missing) < missing
+    ]
+    if near:
+        want[min(near)[2]] += 1
+    return want
+
+
+def check_choice(docs, quality):
+    keyed = docs.select("doc_id", "source", (-F.log(uniform("doc_id", 7)) / quality).alias("key"))
     keys = {r.doc_id: (r.source, r.key) for r in keyed.collect()}
-    rows = {r.doc_id: r for r in takings(docs).collect()}
+    rows = {r.doc_id: r for r in takings(docs, quality=quality).collect()}
     by_source = defaultdict(list)
     for doc_id, (source, key) in keys.items():
-        by_source[source].append((key, doc_id))
+        by_source[source].append((key, doc_id, rows[doc_id]["size"]))
     for members in by_source.values():
         first = rows[members[0][1]]
         full = int(first.target // first.source_size)
-        rest = first.target - full * first.source_size
-        want, left, summed = {}, [], 0
-        for _, doc_id in sorted(members):
-            size = rows[doc_id]["size"]
-            want[doc_id] = full + (summed + size <= rest)
-            if summed + size > rest and size:
-                left.append((doc_id, size))
-            summed += size
-        missing = rest - sum(rows[i]["size"] for i in want if want[i] > full)
-        for k in range(FILL_ROUNDS):
-            fits = [
-                (abs(size - missing), n)
-                for n, (i, size) in enumerate(left)
-                if want[i] == full and (abs(size - missing) < missing if k == FILL_ROUNDS - 1 else size <= missing)
-            ]
-            if fits:
-                doc_id, size = left[min(fits)[1]]
-                want[doc_id] += 1
-                missing -= size
+        want = chosen_by_hand(members, full, first.target - full * first.source_size, first.target)
         assert {i: rows[i].epochs for i in want} == want
 
 
-def test_a_long_document_does_not_shut_out_the_short_ones(spark):
-    """Each source has one document of a third of its words, early in the order of the keys; a good
-    part of the others fits beside it."""
-    docs = spark.range(1200).select(
-        F.col("id").alias("doc_id"),
-        F.repeat(F.lit("w "), F.when(F.col("id") < 4, 1500).otherwise(F.col("id") % 17 + 2).cast("int")).alias("text"),
-        (F.col("id") % 4).cast("string").alias("source"),
+def test_choice_matches_brute_force(spark):
+    """Complete epochs, then documents in the order of their keys, then what fills the rest."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    check_choice(docs, text_quality())
+
+
+def test_long_documents_are_taken_by_their_keys_too(spark):
+    """A document of half of its source's words, and sizes of very different order."""
+    size = F.when(F.col("id") % 500 == 7, 4000).otherwise(F.pmod(F.xxhash64("id"), F.lit(60)) + 1).cast("int")
+    docs = spark.range(1000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), size).alias("text"), (F.col("id") % 2).cast("string").alias("source")
     )
-    early = F.when(F.col("doc_id") < 4, 1e9).otherwise(1.0)
-    for share in (0.2, 0.4, 1.2):
-        sums = takings(docs, quality=early, share=share).groupBy("source_size", "target").agg(F.sum("taken").alias("n"))
-        assert all(abs(r.n - r.target) <= 1 for r in sums.collect())
+    check_choice(docs, F.lit(1.0))
+
+
+def test_mix_with_clashing_columns_and_hot_rows(spark):
+    """A third of the rows are one document, in two spellings of another column."""
+    rows = [(1, "a b", "x", str(k % 2), 0) for k in range(100)] + [(k, f"w{k} b c", "x", "0", 1) for k in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _tag string, _copies int")
+    taken = takings(docs).select("doc_id", "epochs").collect()
+    mixed = mix(docs)
+    assert mixed.schema == docs.schema
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in taken for _ in range(r.epochs))
+    assert sorted(mixed.collect()) == sorted(mix(docs.repartition(7)).collect())
