@@ -2,9 +2,10 @@
 
 A tokenizer whose pre-tokenizer drops white space and splits letters from signs gives a text the
 ids of its words, cut there, one after the other. For such a file each piece is encoded by the
-library once and remembered in the Python worker, up to ``MOST_WORDS`` at a time; the ids are those
-the library gives for the whole text. If it lower-cases, spellings that differ in the case of A to Z
-are one piece, but for chunks in which an added token could stand. Any other file gets whole texts.
+library once and remembered by its bytes in the Python worker, up to ``MOST_BYTES`` of memory; the ids
+are those the library gives for the whole text. If it lower-cases, spellings that differ in the case of A
+to Z are one piece, but for chunks in which an added token could stand. Any other file gets whole
+texts.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from noticemill.llm.memory import keep
 from noticemill.llm.words import CUTS, chunks, find_words, text_bytes
 
-#: Words remembered by one Python worker: those met since so many others were, and as many before.
-MOST_WORDS = 150_000
+#: Memory for the words that one Python worker remembers, and what a word takes beside its bytes and ids.
+#: Half of it holds the words met last; when it is full, those met before them are forgotten.
+MOST_BYTES, WORD_BYTES = 40 << 20, 200
 
 
 class Encoded(NamedTuple):
@@ -42,13 +45,12 @@ def version(path: str) -> str:
 class Encoder:
     """Encodes columns with one vocabulary file: .json by tokenizers, .model by sentencepiece."""
 
-    _open: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         self.by_word = self.folds = False
         self.added: list[bytes] = []
-        self.known: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.size = 0
         if path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -74,10 +76,8 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """The encoder of a file, opened once in a Python worker."""
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        """The encoder of a file, which a Python worker keeps for further tasks."""
+        return keep(("encoder", path), lambda: cls(path))
 
     def encode(self, column: pa.Array) -> Iterator[Encoded]:
         yield from self._by_word(column) if self.by_word else self._by_text(column)
@@ -94,24 +94,12 @@ class Encoder:
         _, data = text_bytes(column)
         plain = self.folds and not any(start in data.tobytes() for start in set(self.added))
         for words in find_words(column, fold=plain, cut=True):
-            prints, place, which = np.unique(words.prints, return_index=True, return_inverse=True)
-            keys = prints.tolist()
-            if len(self.known) > MOST_WORDS:
-                self.known, self.older = {}, self.known
-            known, older = self.known, self.older
-            new = []
-            for k, key in enumerate(keys):
-                if key not in known:
-                    if key in older:
-                        known[key] = older[key]
-                    else:
-                        new.append(k)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                pieces = [words.text(place[k]) for k in part]
-                for k, ids in zip(part, self._pieces(pieces), strict=True):
-                    known[keys[k]] = np.array(ids, dtype="<u4").tobytes()
-            held = [known[key] for key in keys]
+            _, place, which = np.unique(words.prints, return_index=True, return_inverse=True)
+            raw = words.data.tobytes()
+            if plain:
+                raw = raw.lower()
+            keys = [raw[a:e] for a, e in zip(words.starts[place].tolist(), words.ends[place].tolist(), strict=True)]
+            held = self._ids(keys)
             lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
             flat = np.frombuffer(b"".join(held), dtype="<u4")
             begin = np.cumsum(lengths) - lengths
@@ -120,6 +108,34 @@ class Encoder:
             pick = np.repeat(begin[which] - after[:-1], each) + np.arange(after[-1])
             yield Encoded(words.first, words.last, flat[pick], after[words.of])
 
+    def _ids(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        if self.size > MOST_BYTES // 2:
+            self.known, self.older, self.size = {}, self.known, 0
+        held: list[bytes | None] = []
+        new = []
+        for k, key in enumerate(keys):
+            ids = self.known.get(key)
+            if ids is None:
+                ids = self.older.get(key)
+                if ids is None:
+                    new.append(k)
+                else:
+                    self._remember(key, ids)
+            held.append(ids)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for k, ids in zip(part, self._pieces([keys[k].decode() for k in part]), strict=True):
+                held[k] = np.array(ids, dtype="<u4").tobytes()
+                self._remember(keys[k], held[k])
+        return held
+
+    def _remember(self, key: bytes, ids: bytes) -> None:
+        """Keep a word's ids; one that alone would fill the memory is not kept."""
+        size = len(key) + len(ids) + WORD_BYTES
+        if size <= MOST_BYTES // 16:
+            self.known[key] = ids
+            self.size += size
 
     def _pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces. Pieces of ASCII letters pass the steps before the merges unchanged but

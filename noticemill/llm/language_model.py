@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticemill.llm.frames import remainder, whole_text
+from noticemill.llm.memory import keep
 from noticemill.llm.store import mapped, save, smallest
 from noticemill.llm.words import find_words, mix
 from noticemill.session import scratch_path, written
@@ -150,17 +151,13 @@ def _with_ends(words) -> tuple[np.ndarray, np.ndarray]:
 class Opened:
     """A model's arrays in a Python worker."""
 
-    _held: tuple[str, Opened] | None = None
-
     def __init__(self, model: Model):
         self.model = model
         self.maps: dict[str, np.ndarray] = {}
 
     @classmethod
     def of(cls, model: Model) -> Opened:
-        if cls._held is None or cls._held[0] != model.folder:
-            cls._held = (model.folder, cls(model))
-        opened = cls._held[1]
+        opened = keep(("language-model", model.folder), lambda: cls(model))
         opened.model = model
         return opened
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticemill.llm.frames import components, whole_text
+from noticemill.llm.memory import keep
 from noticemill.llm.words import find_words, mix
 from noticemill.session import written
 
@@ -51,9 +52,7 @@ _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 16, dtype=
 
 
 class Circulant:
-    """The two permutations, made once in a Python worker."""
-
-    _made: Circulant | None = None
+    """The two permutations, which a Python worker keeps for further tasks."""
 
     def __init__(self, n: int):
         rng = np.random.Generator(np.random.PCG64(11))
@@ -65,9 +64,7 @@ class Circulant:
 
     @classmethod
     def get(cls, n: int) -> Circulant:
-        if cls._made is None or cls._made.n != n:
-            cls._made = cls(n)
-        return cls._made
+        return keep(("circulant", n), lambda: cls(n))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         slots = self.scatter[shingles & np.uint64(SLOTS - 1)]

@@ -1,21 +1,31 @@
 """Words of whole texts as numpy arrays, found in the bytes of an Arrow column.
 
-A word is a run of bytes other than space and the controls 9 to 13, as ``[^\\x20\\x09-\\x0D]+``.
-Its fingerprint is 64 bits of a polynomial over a random table of the bytes; with ``fold`` the
-letters A to Z count as a to z. Two different words share a fingerprint with a chance of about
-2**-60, so a vocabulary of 10**8 words has one such pair with a chance below one percent.
+A word is a run of bytes other than space and the controls 9 to 13, as ``[^\\x20\\x09-\\x0D]+``. Its
+fingerprint has 64 bits; with ``fold`` the letters A to Z count as a to z. For a word of up to
+``SHORT`` bytes it is a multilinear hash: every byte's random number times a random number of its place,
+summed modulo 2**64, and its length. Two such words share a fingerprint only if the random numbers, drawn
+once for all, happen to satisfy the equation that sets their sums equal; there are no patterns, as
+repetitions or complements, that make them do so. A longer word's fingerprint is the first 64 bits of its
+BLAKE2b digest. So a vocabulary of 10**8 words has a pair with one fingerprint with a chance below one
+in a thousand.
+
+A long text is read in segments that end between words, so beside its bytes only arrays by word are
+held: with words of six bytes about three bytes for each byte of text, eight if all words have one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; a longer text is handled alone and whole.
+#: Bytes of text handled at once; a longer text is handled alone and whole, read in such segments.
 CHUNK_BYTES = 1 << 20
+#: The longest word, in bytes, with a multilinear fingerprint.
+SHORT = 64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -25,25 +35,13 @@ _SIGN = np.zeros(256, dtype=bool)
 _SIGN[list(CUTS)] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_BASE = 0x9E3779B97F4A7C15 | 5
-_EXACT = np.random.Generator(np.random.PCG64(20)).integers(1, 2**64, 256, dtype=np.uint64)
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _EXACT[97:123]
-
-
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as were needed so far."""
-
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> None:
-        if len(cls.up) < n:
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
+_RANDOM = np.random.Generator(np.random.PCG64(20))
+_EXACT = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)
+_FOLDED = _EXACT[_LOWER]
+_PLACES = _RANDOM.integers(1, 2**63, SHORT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,8 +65,11 @@ class Words(NamedTuple):
     of: np.ndarray
     prints: np.ndarray
 
+    def bytes(self, k: int) -> bytes:
+        return self.data[self.starts[k] : self.ends[k]].tobytes()
+
     def text(self, k: int) -> str:
-        return self.data[self.starts[k] : self.ends[k]].tobytes().decode()
+        return self.bytes(k).decode()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,34 +96,77 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def _segments(part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``CHUNK_BYTES`` of a text's bytes, each but the last ending with a space."""
+    begin = 0
+    while begin < len(part):
+        end = at = begin + CHUNK_BYTES
+        while end < len(part):
+            spaces = np.flatnonzero(_SPACE[part[at : at + (1 << 16)]])
+            if len(spaces):
+                end = at + int(spaces[0]) + 1
+                break
+            at += 1 << 16
+            end = at
+        end = min(end, len(part))
+        yield begin, end
+        begin = end
+
+
+def _found(part: np.ndarray, cuts: np.ndarray, fold: bool, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and fingerprints of the words of some bytes, which are also cut at ``cuts``."""
+    solid = ~_SPACE[part]
+    begins = solid.copy()
+    ends_here = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends_here[:-1] &= ~solid[1:]
+    begins[cuts] = solid[cuts]
+    ends_here[cuts - 1] = solid[cuts - 1]
+    if cut:
+        letter, sign = _LETTER[part], _SIGN[part]
+        between = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:]))
+        begins[between + 1] = True
+        ends_here[between] = True
+    starts = np.flatnonzero(begins)
+    ends = np.flatnonzero(ends_here) + 1
+    lengths = ends - starts
+    # bytes of longer words take no part in the sums
+    long = np.flatnonzero(lengths > SHORT)
+    for k in long:
+        solid[starts[k] + SHORT : ends[k]] = False
+    summed = np.minimum(lengths, SHORT)
+    first = np.cumsum(summed) - summed
+    place = np.arange(int(summed.sum()), dtype=np.int32)
+    place -= np.repeat(first.astype(np.int32), summed)
+    values = (_FOLDED if fold else _EXACT)[part[solid]] * _PLACES[place]
+    sums = np.add.reduceat(values, first) if len(first) else np.zeros(0, dtype=np.uint64)
+    prints = mix(sums + lengths.astype(np.uint64) * _LENGTH)
+    for k in long:
+        word = part[starts[k] : ends[k]]
+        digest = hashlib.blake2b((_LOWER[word] if fold else word).tobytes(), digest_size=8).digest()
+        prints[k] = np.frombuffer(digest, dtype="<u8")[0]
+    return starts, ends, prints
+
+
 def find_words(column: pa.Array, fold: bool, cut: bool = False) -> Iterator[Words]:
     """The words of every text of a column, chunk by chunk and in order. With ``cut``, a word also
     ends between an ASCII letter and one of the signs ``CUTS``."""
     offsets, data = text_bytes(column)
-    table = _FOLDED if fold else _EXACT
     for first, last in chunks(offsets):
         at = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
-        solid = ~_SPACE[part]
-        begins = solid.copy()
-        ends_here = solid.copy()
-        if len(part):
-            begins[1:] &= ~solid[:-1]
-            ends_here[:-1] &= ~solid[1:]
-            cuts = at[(at > 0) & (at < len(part))]
-            begins[cuts] = solid[cuts]
-            ends_here[cuts - 1] = solid[cuts - 1]
-        if cut:
-            letter, sign = _LETTER[part], _SIGN[part]
-            between = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:]))
-            begins[between + 1] = True
-            ends_here[between] = True
-        starts = np.flatnonzero(begins)
-        ends = np.flatnonzero(ends_here) + 1
-        Powers.to(len(part) + 1)
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(table[part] * Powers.up[: len(part)], out=sums[1:])
-        prints = mix((sums[ends] - sums[starts]) * Powers.down[starts])
+        if len(part) <= CHUNK_BYTES:
+            inner = at[(at > 0) & (at < len(part))]
+            starts, ends, prints = _found(part, inner, fold, cut)
+        else:
+            none = np.zeros(0, dtype=np.int64)
+            kind = np.int32 if len(part) < 1 << 31 else np.int64
+            found = []
+            for a, e in _segments(part):
+                starts, ends, prints = _found(part[a:e], none, fold, cut)
+                found.append(((starts + a).astype(kind), (ends + a).astype(kind), prints))
+            starts, ends, prints = (np.concatenate(x) for x in zip(*found, strict=True))
+            del found
         yield Words(first, last, part, starts, ends, np.searchsorted(starts, at), prints)
 
 
