@@ -80,11 +80,12 @@ def collect(
     def run(number: int, name: str, path: str) -> tuple[int, int, int]:
         spec = get_source(name)
         pages = read_pages(spark, spec, path, allow_missing)
-        rows = records(spec, explode_pages(pages_to_read(pages, until_empty)), as_of)
+        asked = pages_to_read(pages, until_empty, spec.one_run)
+        rows = written(records(spec, explode_pages(asked), as_of), "records")
         mine = table.read(
             spark, batch, ("fetched_at", "content_hash"), F.col("source_name") == name
         )
-        # responses are parsed once; the steps after it read columns of these tables
+        # responses are parsed once; the steps after it read columns of tables
         arriving = written(incoming(rows, mine, moment, resume), "arriving")
         actions = written(merge_actions(arriving, mine, RAW_KEY, ARRIVAL), "actions")
         table.write_batch(apply_actions(arriving, actions, RAW_KEY, ARRIVAL), number)

@@ -49,7 +49,7 @@ def read_source(
 ) -> DataFrame:
     """Raw records of one source, each with its ``seq``."""
     pages = read_pages(spark, spec, path, allow_missing)
-    return records(spec, explode_pages(pages_to_read(pages, until_empty)), as_of)
+    return records(spec, explode_pages(pages_to_read(pages, until_empty, spec.one_run)), as_of)
 
 
 def read_pages(

@@ -10,11 +10,14 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticemill.functions.hashing import content_hash
+from noticemill.operators.joins import broadcast_if, is_small
+from noticemill.operators.ranges import running_totals
+from noticemill.session import written
 
 
 @dataclass(frozen=True)
@@ -53,8 +56,8 @@ LANDED = "landed"
 PROBLEM = ("problem", "response")
 # which listing of its source a record belongs to
 LANDING = "landing"
-# the order records arrive in: by landing, then by place in the source
-ARRIVAL = (LANDED, "seq")
+# the order records arrive in: ``stamp`` gives every record the time of its place among all of a run
+ARRIVAL = ("fetched_at",)
 
 
 def landed() -> Column:
@@ -105,11 +108,14 @@ def explode_pages(pages: DataFrame) -> DataFrame:
     return with_landed(rows, place, F.col("row.*"))
 
 
-def pages_to_read(pages: DataFrame, until_empty: bool = False) -> DataFrame:
+def pages_to_read(
+    pages: DataFrame, until_empty: bool = False, one_run: bool = False
+) -> DataFrame:
     """The pages a reader asks for: those up to the announced total.
 
     A reader that fetches also stops at the first empty page, so landed pages normally end there;
-    ``until_empty`` looks for it, in a pass of its own, and leaves out what lies behind.
+    ``until_empty`` looks for it in each listing, in a pass of its own, and leaves out what lies
+    behind it in the same listing. ``one_run`` is that of the source.
     """
     pages = readable(pages)
     kept = pages.filter(
@@ -117,9 +123,19 @@ def pages_to_read(pages: DataFrame, until_empty: bool = False) -> DataFrame:
     )
     if not until_empty:
         return kept
-    empty = pages.filter(F.size("rows") == 0)
-    first_empty = empty.agg(F.min("page_offset").alias("cut")).scalar()
-    return kept.filter(F.col("page_offset") < F.coalesce(first_empty, F.lit(2**62)))
+    listing = landing(one_run) if LANDED in pages.columns else F.lit("")
+    cuts = (
+        pages.filter(F.size("rows") == 0)
+        .groupBy(listing.alias("_empty_in"))
+        .agg(F.min("page_offset").alias("_cut"))
+    )
+    cuts = written(cuts, "empty-pages")
+    kept = kept.withColumn("_listing", listing)
+    return (
+        kept.join(broadcast_if(is_small(cuts), cuts), F.col("_listing") == F.col("_empty_in"), "left")
+        .filter(F.col("_cut").isNull() | (F.col("page_offset") < F.col("_cut")))
+        .select(*pages.columns)
+    )
 
 
 def extracted_values(mapping: Mapping[str, str]) -> dict[str, Column]:
@@ -163,12 +179,38 @@ def records(spec: SourceSpec, rows: DataFrame, as_of: date | None = None) -> Dat
 def stamp(records_: DataFrame, fetched_at: Column, stored: DataFrame | None = None) -> DataFrame:
     """Set fetched_at: the run's time plus one microsecond per place, so that arrival order stays
     visible in the stored time. A run starts after everything stored before it, also where an
-    earlier run was so long that its times reach past the clock."""
+    earlier run was so long that its times reach past the clock. Where a run reads several
+    listings, the records of one come after all of those that landed before it."""
     start = F.unix_micros(fetched_at.cast("timestamp"))
     if stored is not None:
         newest = stored.agg(F.unix_micros(F.max("fetched_at")).alias("newest")).scalar()
         start = F.greatest(start, newest + 1)  # greatest skips null
-    return records_.withColumn("fetched_at", F.timestamp_micros(start + F.col("seq")))
+    place = F.col("seq")
+    if LANDING in records_.columns:
+        starts = listing_starts(records_)
+        records_ = records_.join(broadcast_if(is_small(starts), starts), LANDING)
+        place = F.col("_start") + F.col("seq")
+    stamped = records_.withColumn("fetched_at", F.timestamp_micros(start + place))
+    return stamped.drop("_start")
+
+
+def listing_starts(records_: DataFrame) -> DataFrame:
+    """(landing, _start): what to add to the places of a listing's records so that the listings of a
+    run follow each other in the order in which their first files landed."""
+    listings = records_.groupBy(LANDING).agg(
+        F.min(LANDED).alias("_first"), F.min("seq").alias("_low"), F.max("seq").alias("_high")
+    )
+    listings = written(listings, "listings")
+    length = F.col("_high") - F.col("_low") + 1
+    order = [F.col("_first"), F.col(LANDING)]
+    if is_small(listings):
+        earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = listings.withColumn("_before", F.coalesce(F.sum(length).over(earlier), F.lit(0)))
+    else:
+        placed = running_totals(
+            listings.withColumn("_all", F.lit(0)), ["_all"], order, {"_before": length}, "listings"
+        )
+    return written(placed.select(LANDING, (F.col("_before") - F.col("_low")).alias("_start")), "starts")
 
 
 _REGISTRY: dict[str, SourceSpec] = {}

@@ -81,7 +81,7 @@ def ingest_stream(
         at = first_batch + number
         # a micro-batch is pages, so it is read as the batch job reads them
         landed = written(batch, "pages")
-        rows = records(spec, explode_pages(pages_to_read(landed)))
+        rows = records(spec, explode_pages(pages_to_read(landed, one_run=spec.one_run)))
         stored = table.read(
             batch.sparkSession, at, ("fetched_at", "content_hash"), F.col("source_name") == source
         )

@@ -446,6 +446,42 @@ SELECT 'F-' || o_orderkey AS source_id,
 FROM orders WHERE o_orderkey % 11 <> 10"""
 
 
+def collect_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two listings that one run reads: of the older half of the orders, with an empty page after the
+    second one, and a later one of two thirds of all, with changed titles. Beside the stored records,
+    which of them is the checkpoint of the next run."""
+    rows = federal_rows(spark, sf)
+    most = rows.agg(F.max("place")).first()[0]
+    landing, table = scratch_path(spark, "landing"), raw_table(scratch_path(spark, "raw"))
+    half = _listing(rows, most // 2)
+    none = F.filter("opportunitiesData", lambda _: F.lit(False))
+    cut = F.when(F.col("offset") == 2 * federal.PAGE_SIZE, none).otherwise(F.col("opportunitiesData"))
+    title = F.concat(F.col("row.title"), F.lit(" again"))
+    later = rows.filter(F.col("place") % 3 > 0).withColumn("row", F.col("row").withField("title", title))
+    for run, listing in enumerate((half.withColumn("opportunitiesData", cut), _listing(later, most))):
+        listing.write.json(f"{landing}/sam_gov/run={run}")
+    collect(spark, table, {"sam_gov": f"{landing}/sam_gov"}, 0, until_empty=True)
+    kept = table.read(spark)
+    marks = latest_per_source(kept).select("source_name", F.col("source_id").alias("mark"))
+    return kept.join(F.broadcast(marks), "source_name").select(
+        "source_id", F.col("extracted")["title"].alias("title"), (F.col("source_id") == F.col("mark")).alias("checkpoint")
+    )
+
+
+# the later listing ends with the smallest key that it has and that has an id
+COLLECT_TWO_RUNS = """
+WITH most AS (SELECT max(o_orderkey) AS n FROM orders),
+kept AS (
+  SELECT o_orderkey, o_orderkey % 3 > 0 AS later FROM orders, most
+  WHERE o_orderkey % 11 <> 10
+    AND (o_orderkey % 3 > 0 OR (o_orderkey <= n // 2 AND n // 2 - o_orderkey < 50))
+)
+SELECT 'F-' || o_orderkey AS source_id,
+  'Order ' || o_orderkey || CASE WHEN later THEN ' again' ELSE '' END AS title,
+  o_orderkey = (SELECT min(o_orderkey) FROM kept WHERE later) AS checkpoint
+FROM kept"""
+
+
 def _broken(spark: SparkSession, sf: str) -> dict[str, str]:
     """A landing folder in which some responses are cut off and some do not say their place."""
     landing = scratch_path(spark, "landing")
@@ -593,6 +629,7 @@ QUERIES = {
     "collect_job": (collect_job, COLLECT_JOB),
     "collect_again": (collect_again, COLLECT_AGAIN),
     "collect_two_landings": (collect_two_landings, COLLECT_TWO_LANDINGS),
+    "collect_two_runs": (collect_two_runs, COLLECT_TWO_RUNS),
     "collect_failures": (collect_failures, COLLECT_FAILURES),
     "process_job": (process_job, PROCESS_JOB),
     "process_quarantine": (process_quarantine, PROCESS_QUARANTINE),

@@ -1,6 +1,7 @@
 import dataclasses
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import types as T
 
 from noticemill import sources
 from noticemill.functions.hashing import content_text
+from noticemill.operators.lookup import latest_per_source
 from noticemill.operators.tables import raw_table
 from noticemill.plans.ingest import collect, default_paths
 from noticemill.sources.landing import page_snapshots, read_source
@@ -199,6 +201,66 @@ def test_a_growing_folder_loses_nothing(spark, tmp_path, filed):
         assert numbers(table, spark) == list(range(1, newest + 1))
 
 
+def land_runs(folder, *runs):
+    """One file a run, a page a line; a run is a list of pages of notice numbers."""
+    for run, pages in enumerate(runs, 1):
+        place = folder / f"run={run}"
+        place.mkdir(parents=True)
+        lines = [
+            json.dumps({"offset": 25 * k, "opportunitiesData": [notice(i) for i in page]}) for k, page in enumerate(pages)
+        ]
+        (place / "listing.json").write_text("\n".join(lines))
+        os.utime(place / "listing.json", (1000 + run, 1000 + run))
+    return str(folder)
+
+
+def test_an_empty_page_ends_its_own_listing_only(spark, tmp_path):
+    path = land_runs(tmp_path / "sam_gov", [[1], [], [9]], [[2], [3], [4]])
+    got = read_source(spark, get_source("sam_gov"), path, until_empty=True)
+    assert sorted(r.source_id for r in got.collect()) == ["n1", "n2", "n3", "n4"]
+    table = raw_table(str(tmp_path / "raw"))
+    assert collect(spark, table, {"sam_gov": path}, 0, until_empty=True).first().items_collected == 4
+    assert numbers(table, spark) == [1, 2, 3, 4]
+
+
+def test_the_checkpoint_is_the_last_record_of_the_last_listing(spark, tmp_path):
+    """A short listing that landed after a long one: what it ends with is stored last."""
+    path = land_runs(tmp_path / "sam_gov", [[3, 2, 1]], [[11]])
+    table = raw_table(str(tmp_path / "raw"))
+    collect(spark, table, {"sam_gov": path}, 0)
+    assert latest_per_source(table.read(spark)).first().source_id == "n11"
+    times = {r.source_id: r.fetched_at for r in table.read(spark).collect()}
+    assert sorted(times, key=times.get) == ["n3", "n2", "n1", "n11"]
+
+
+def test_a_changed_record_of_a_later_listing_wins(spark, tmp_path):
+    """The same key in two listings of one run, the later one at an earlier place."""
+    path = land_runs(tmp_path / "sam_gov", [[1, 2, 3]], [[3]])
+    later = tmp_path / "sam_gov" / "run=2" / "listing.json"
+    page = {"offset": 0, "opportunitiesData": [notice(3) | {"title": "new"}]}
+    later.write_text(json.dumps(page))
+    os.utime(later, (2000, 2000))
+    table = raw_table(str(tmp_path / "raw"))
+    assert collect(spark, table, {"sam_gov": path}, 0).first().items_collected == 4
+    assert {r.source_id: r.extracted["title"] for r in table.read(spark).collect()}["n3"] == "new"
+
+
+def test_many_listings_follow_each_other(spark, monkeypatch):
+    """The same starts by ranges as by one window."""
+    import datetime
+
+    from noticemill.sources import spec as spec_module
+
+    stamps = [datetime.datetime(2024, 1, 1, 0, 0, k * 7 % 40) for k in range(40)]
+    rows = [(f"l{k % 40}", (stamps[k % 40], f"/f{k}"), k * 3 % 17) for k in range(200)]
+    frame = spark.createDataFrame(
+        rows, "landing string, landed struct<file_modification_time:timestamp,file_path:string>, seq long"
+    )
+    few = sorted(map(tuple, spec_module.listing_starts(frame).collect()))
+    monkeypatch.setattr(spec_module, "is_small", lambda df: False)
+    assert sorted(map(tuple, spec_module.listing_starts(frame).collect())) == few
+
+
 def test_pages_without_a_place_or_cut_off_are_failures(spark, tmp_path):
     federal, city = tmp_path / "sam_gov", tmp_path / "nyc_procurement"
     federal.mkdir()
