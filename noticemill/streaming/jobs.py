@@ -8,12 +8,16 @@ the same for one checkpoint folder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noticemill.operators.merge import apply_actions, merge_actions, merge_changes
 from noticemill.operators.quality import has_required, split_valid
@@ -21,7 +25,7 @@ from noticemill.operators.tables import RecordTable
 from noticemill.plans.curate import classify_records, to_canonical
 from noticemill.plans.ingest import collect_counts
 from noticemill.schemas import CANONICAL_KEY, RAW_KEY
-from noticemill.session import written
+from noticemill.session import path_exists, written
 from noticemill.sources.spec import (
     ARRIVAL,
     explode_pages,
@@ -128,3 +132,120 @@ def curate_stream(
 
     writer = raw_rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
+
+
+#: What the state store holds of a key: its last hash, its version and when it was first seen.
+KEY_STATE = "content_hash string, version int, created_at timestamp"
+
+
+def keyed_changes(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: T.StructType
+) -> DataFrame:
+    """The changed rows of a stream of records, at most one per key and micro-batch, with the columns of
+    ``schema``. The hash and version of every key are kept in the state store, so no stored table is
+    read. Rows of a key count as applied one by one, in ``order`` and then by their hashes; the last
+    one is the one that is kept, with one version more for each change.
+
+    All rows of a key in a micro-batch meet in one task: what a micro-batch reads bounds them.
+    """
+    names = schema.names
+    held = [n for n in names if n not in ("version", "created_at", "updated_at")]
+    read = list(dict.fromkeys([*held, *keys, *order, "content_hash"]))
+
+    def apply(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(parts)).sort_values([*order, "content_hash"], kind="stable")
+        known, version, created = state.get if state.exists else (None, 0, None)
+        hashes = [None if pd.isna(h) else h for h in found["content_hash"]]
+        changes = 0
+        for content in hashes:
+            if version + changes == 0 or content != known:
+                changes += 1
+                known = content
+        if not changes:
+            return
+        last = found.iloc[[len(hashes) - 1]]
+        now = last["_now"].iloc[0].to_pydatetime()
+        created = created if isinstance(created, datetime.datetime) else now
+        state.update((known, version + changes, created))
+        yield last.assign(version=version + changes, created_at=created, updated_at=now)[names]
+
+    stamped = rows.select(*read, F.current_timestamp().alias("_now"))
+    return stamped.groupBy(*keys).applyInPandasWithState(
+        apply, schema, KEY_STATE, "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def merge_keyed_stream(
+    rows: DataFrame,
+    table: RecordTable,
+    keys: Sequence[str],
+    order: Sequence[str],
+    checkpoint: str,
+    first_batch: int = 0,
+) -> StreamingQuery:
+    """As ``merge_stream`` with versions, but what is known of a key comes from the state store, which
+    lives in the checkpoint folder, and not from the table. The table is only written, so it must have no
+    rows that the stream has not seen."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.write_batch(batch, first_batch + number)
+
+    changes = keyed_changes(rows, keys, order, table.schema)
+    writer = changes.writeStream.outputMode("update").foreachBatch(write)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Counts per day, one row a day; the last batch that touched a day has its count.
+DAILY = T.StructType([T.StructField("day", T.DateType()), T.StructField("count", T.LongType())])
+LATE, WATERMARKS = "late", "watermarks"
+
+
+def daily_table(path: str) -> RecordTable:
+    return RecordTable(path, DAILY, ("day",), ("day",))
+
+
+def daily_counts_stream(
+    rows: DataFrame,
+    table: RecordTable,
+    checkpoint: str,
+    delay: str = "1 day",
+    time: str = "fetched_at",
+    first_batch: int = 0,
+) -> StreamingQuery:
+    """Rows per day of their event time, in UTC, added up over micro-batches into ``daily_table``.
+
+    The watermark of a micro-batch is the newest event time of those before it, less ``delay``. A day that
+    ended by then is closed: rows that come for it later are not counted but kept aside under
+    ``LATE``, with the watermark that they missed. Rows without a time are kept there too. A
+    micro-batch that runs again replaces its counts, its late rows and its watermark.
+    """
+
+    def count(batch: DataFrame, number: int) -> None:
+        at = first_batch + number
+        spark = batch.sparkSession
+        arriving = written(batch, "arriving")
+        mark = watermark(spark, table, at, delay)
+        day = F.date_trunc("day", time)
+        ended = F.coalesce(day + F.expr("INTERVAL 1 DAY") <= F.lit(mark).cast("timestamp"), F.lit(False))
+        closed = F.col(time).isNull() | ended
+        missed = F.lit(mark).cast("timestamp").alias("watermark")
+        table.write_aside(arriving.filter(closed).select("*", missed), LATE, at)
+        added = arriving.filter(~closed).groupBy(F.to_date(day).alias("day")).agg(F.count("*").alias("n"))
+        stored = table.read(spark, at).withColumnRenamed("count", "before")
+        total = F.col("n") + F.coalesce("before", F.lit(0))
+        table.write_batch(added.join(stored, "day", "left").select("day", total.alias("count")), at)
+        newest = arriving.agg(F.max(time).alias("newest"))
+        table.write_aside(newest, WATERMARKS, at)
+
+    writer = rows.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def watermark(
+    spark: SparkSession, table: RecordTable, before: int, delay: str
+) -> datetime.datetime | None:
+    """The newest event time of the batches before this one, less the delay; none before the first."""
+    if not path_exists(spark, f"{table.path}/{WATERMARKS}"):
+        return None
+    seen = table.read_aside(spark, WATERMARKS).filter(F.col("batch") < before)
+    return seen.agg(F.max("newest") - F.expr(f"INTERVAL {delay}")).first()[0]

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from noticemill.functions.hashing import content_hash, record_id
 from noticemill.functions.stopwords import ENGLISH
 from noticemill.functions.text import document_text
+from noticemill.operators.approximate import find_duplicates_approximately
 from noticemill.operators.classify import load_or_train, predict, save, score, train, train_from_seed
+from noticemill.operators.clusters import duplicate_clusters
 from noticemill.operators.similarity import corpus, find_duplicates
 from noticemill.operators.tfidf import CLASSIFIER_TERMS, postings, term_stats, vocabulary, weights
 from noticemill.plans.curate import curate
@@ -146,9 +148,9 @@ FROM (SELECT id_a AS id FROM doc_pairs UNION ALL SELECT id_b FROM doc_pairs) GRO
 
 
 def partners(spark: SparkSession, sf: str) -> DataFrame:
-    """Near-duplicates of every labelled document, written out."""
-    labelled = v.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
-    found = _duplicates(spark, sf).partners_of(labelled)
+    """Near-duplicates of every document whose id is divisible by 50, written out."""
+    asked = v.table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("id"))
+    found = _duplicates(spark, sf).partners_of(asked)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -158,7 +160,34 @@ both_ways AS (
   UNION ALL SELECT id_b, id_a, similarity FROM doc_pairs
 )
 SELECT id, partner, round(similarity, 6) AS similarity FROM both_ways
-WHERE id IN (SELECT doc_id FROM labels)"""
+WHERE id % 50 = 0"""
+
+
+def clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The cluster of every document; its longest text stays."""
+    documents = v.document_records(spark, sf)
+    return duplicate_clusters(_duplicates(spark, sf), documents, "doc_id", (-F.length(document_text()),))
+
+
+CLUSTERS = f"""WITH RECURSIVE {PAIRS},
+linked AS (
+  SELECT id_a AS a, id_b AS b FROM doc_pairs UNION ALL SELECT id_b, id_a FROM doc_pairs
+),
+reach AS (
+  SELECT id, id AS other FROM corpus
+  UNION
+  SELECT reach.id, b FROM reach JOIN linked ON reach.other = a
+),
+clustered AS (SELECT id, min(other) AS cluster_id FROM reach GROUP BY id)
+SELECT id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS n,
+  id = first_value(id) OVER (PARTITION BY cluster_id ORDER BY length(text) DESC, id) AS survivor
+FROM clustered JOIN corpus USING (id)"""
+
+
+def approximate_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs that signed random projections find; what may be missing are pairs near the threshold."""
+    found = find_duplicates_approximately(v.document_records(spark, sf), "doc_id")
+    return found.pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 def _raw_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -347,6 +376,8 @@ QUERIES = {
     "near_duplicate_count": (near_duplicate_count, NEAR_DUPLICATE_COUNT),
     "duplicate_partner_counts": (partner_counts, PARTNER_COUNTS),
     "duplicate_partners": (partners, PARTNERS),
+    "duplicate_clusters": (clusters, CLUSTERS),
+    "approximate_duplicates": (approximate_duplicates, NEAR_DUPLICATES),
     "process_summary": (process_summary, PROCESS_SUMMARY),
     "curated_records": (curated_records, CURATED_RECORDS),
     "classify_score": (classify_score, CLASSIFY_SCORE),
