@@ -7,22 +7,28 @@ components form a class, and classes of one label and dimension are indexed toge
 - residual codes: the difference to the centroid is cut into subspaces, each coded by its nearest
   codeword, and the distance between a vector and its code is kept beside it.
 
-A query probes every list that can hold a vector near enough: one nearer to the list's centroid
-than to the query's own lies beyond the plane halfway between the two, so lists whose plane is
-farther than the radius are left out. In a list, distances to codes are sums of table entries; a
-vector is a candidate when the distance to its code is within the radius plus the code's own
-distance. By the triangle inequality neither step loses a pair, so recall is 1 whatever the
-quantiser; how well it fits decides only how many candidates there are. Candidates are confirmed by
-exact cosines in double precision.
+A query probes the lists whose centroids are nearest to it, as many as the quantiser's sample shows to be
+sufficient: vectors at the limit from sample vectors, in random directions and towards other sample
+vectors, find the list of the vector they were made from among so many in a share ``recall`` of the
+cases; nearer ones find it more often. The number grows more slowly than the number of lists, so a query
+meets a falling share of the vectors. With ``recall=None`` a query probes every list that can hold a vector
+near enough: one nearer to the list's centroid than to the query's own lies beyond the plane halfway
+between the two, so only lists whose plane is farther than the radius are left out, and no pair is lost.
+
+In a list, distances to codes are sums of table entries; a vector is a candidate when the distance to its
+code is within the radius plus the code's own distance. By the triangle inequality this step loses no
+pair, however well the codes fit. Candidates are confirmed by exact cosines in double precision, so no
+pair below the limit is ever linked.
 
 The quantiser is fitted on at most ``SAMPLE`` vectors, those whose ids have the smallest hashes;
 every vector is indexed and is a query. Lists and their queries are dealt in blocks of at most
 ``BLOCK``, however large a list or a class is; a block returns counts and the links that join its
-members, never all its pairs.
+members, never all its pairs. There is a list for about ``LIST_ROWS`` vectors up to ``MOST_LISTS``; beyond
+about two million vectors lists grow longer.
 
 Null, empty and zero vectors, vectors with null or non-finite components and null labels link with
 nothing. Rows that repeat a vec_id are vectors of their own with one id. An empty table gives an
-empty result. Other columns are not read.
+empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,15 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticemill.llm.frames import components
+from noticemill.operators.components import components
 from noticemill.session import written
 
 LIMIT = 0.93
 #: The most vectors the quantiser is fitted on, and the most numbers they may have together.
 SAMPLE, SAMPLE_NUMBERS = 16_384, 1 << 22
+#: The share of pairs at the limit that the probes find on the sample, and the sample vectors asked.
+RECALL, ASKED = 0.999, 4096
 SUBSPACES, CODEWORDS = 8, 64
 #: One coarse list for about so many classes, within the bounds.
-LIST_ROWS, FEWEST_LISTS, MOST_LISTS = 512, 8, 1024
+LIST_ROWS, FEWEST_LISTS, MOST_LISTS = 512, 8, 4096
 BLOCK = 1024
 #: Room for rounding in the bounds; candidates are checked exactly.
 SLACK = 1e-6
@@ -96,16 +104,45 @@ def fit(x: np.ndarray, lists: int) -> Quantiser:
     return Quantiser(centroids, codewords, bounds)
 
 
+def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids."""
+    return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(axis=1), 0.0)
+
+
 def nearest_list(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (-2 * x @ centroids.T + (centroids**2).sum(axis=1)).argmin(axis=1)
 
 
-def probes(x: np.ndarray, centroids: np.ndarray, radius: float) -> np.ndarray:
-    """Row by list: whether the list can hold a vector within the radius."""
-    d = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(axis=1), 0.0)
+def sufficient_probes(x: np.ndarray, centroids: np.ndarray, limit: float, recall: float, seed: int = 9) -> int:
+    """How many nearest lists hold the list of a vector at cosine ``limit`` in a share ``recall`` of the
+    cases: half of them in random directions, half towards other vectors of the sample."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    x = x[:ASKED]
+    towards = rng.normal(size=x.shape)
+    towards[::2] = x[rng.permutation(len(x))][::2]
+    towards -= (towards * x).sum(axis=1, keepdims=True) * x
+    length = np.sqrt((towards**2).sum(axis=1, keepdims=True))
+    y = limit * x + np.sqrt(max(1.0 - limit * limit, 0.0)) * towards / np.maximum(length, 1e-12)
+    d = distances(y, centroids)
+    own = nearest_list(x, centroids)
+    # centroids that coincide count together
+    rank = (d <= d[np.arange(len(y)), own][:, None] + SLACK).sum(axis=1)
+    return min(int(np.ceil(np.quantile(rank, recall))) + 1, len(centroids))
+
+
+def probes(x: np.ndarray, centroids: np.ndarray, radius: float, n: int | None) -> np.ndarray:
+    """Row by list: the ``n`` nearest lists, or all that can hold a vector within the radius."""
+    d = distances(x, centroids)
+    rows = np.arange(len(x))
     own = d.argmin(axis=1)
-    apart = np.sqrt(np.maximum(((centroids[:, None] - centroids[None]) ** 2).sum(axis=2), 0.0))
-    return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart[own] + SLACK
+    if n is None:
+        apart = np.sqrt(distances(centroids, centroids))
+        out = d - d[rows, own][:, None] <= 2 * radius * apart[own] + SLACK
+    else:
+        out = np.zeros(d.shape, dtype=bool)
+        out[rows[:, None], np.argpartition(d, n - 1, axis=1)[:, :n]] = True
+    out[rows, own] = True
+    return out
 
 
 def _unit(vectors) -> np.ndarray:
@@ -136,6 +173,7 @@ def link_vectors(
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     label_column: str = "label",
+    recall: float | None = RECALL,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows = vectors.select(
@@ -145,7 +183,7 @@ def link_vectors(
     )
     classes = written(_classes(rows), "classes")
     results = [
-        _link_dimension(classes.where(F.size("embedding") == r.d), r.n, limit)
+        _link_dimension(classes.where(F.size("embedding") == r.d), r.n, limit, recall)
         for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
     ]
     spark = vectors.sparkSession
@@ -178,42 +216,44 @@ def link_vectors(
 LINKED = "no long, rep long, others long, other long"
 
 
-def _link_dimension(classes: DataFrame, n: int, limit: float) -> DataFrame:
+def _link_dimension(classes: DataFrame, n: int, limit: float, recall: float | None) -> DataFrame:
     """Rows of LINKED for classes of one dimension: counts of vectors linked with a class, and
     links between classes that join all that belong together."""
     dimension = classes.select(F.size("embedding")).first()[0]
     rows = min(SAMPLE, max(SAMPLE_NUMBERS // dimension, 256))
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(rows).select("embedding").toArrow()
     lists = min(max(n // LIST_ROWS, FEWEST_LISTS), MOST_LISTS)
-    quantiser = fit(_unit(sample.column("embedding").to_pylist()), lists)
+    units = _unit(sample.column("embedding").to_pylist())
+    quantiser = fit(units, lists)
     shared = classes.sparkSession.sparkContext.broadcast(quantiser)
     radius = float(np.sqrt(max(2.0 - 2.0 * limit, 0.0)))
+    n_probes = None if recall is None else sufficient_probes(units, quantiser.centroids, limit, recall)
 
     def index(batches):
         q = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column("embedding").to_pylist())
-            own = nearest_list(x, q.centroids)
-            codes = q.tables(x - q.centroids[own]).argmin(axis=2)
-            off = np.sqrt(((x - q.centroids[own] - q.decode(codes)) ** 2).sum(axis=1))
-            probed = probes(x, q.centroids, radius)
-            probed[np.arange(len(x)), own] = True
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("label"),
-                    batch.column("no"),
-                    batch.column("rep"),
-                    batch.column("n"),
-                    pa.array(own, pa.int32()),
-                    pa.array([c.astype(np.uint8).tobytes() for c in codes], pa.binary()),
-                    pa.array(off),
-                    pa.array([v.tobytes() for v in x], pa.binary()),
-                    pa.array([np.flatnonzero(p).tolist() for p in probed], pa.list_(pa.int32())),
-                ],
-                ["label", "no", "rep", "n", "list", "code", "off", "vector", "probes"],
-            )
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                x = _unit(batch.column("embedding").to_pylist())
+                own = nearest_list(x, q.centroids)
+                codes = q.tables(x - q.centroids[own]).argmin(axis=2)
+                off = np.sqrt(((x - q.centroids[own] - q.decode(codes)) ** 2).sum(axis=1))
+                row, probed = np.nonzero(probes(x, q.centroids, radius, n_probes))
+                at = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("label"),
+                        batch.column("no"),
+                        batch.column("rep"),
+                        batch.column("n"),
+                        pa.array(own, pa.int32()),
+                        pa.array([c.astype(np.uint8).tobytes() for c in codes], pa.binary()),
+                        pa.array(off),
+                        pa.array([v.tobytes() for v in x], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(at), pa.array(probed.astype(np.int32))),
+                    ],
+                    ["label", "no", "rep", "n", "list", "code", "off", "vector", "probes"],
+                )
 
     kind = dict(classes.dtypes)["label"]
     indexed = written(
@@ -277,10 +317,9 @@ def compare_block(block: pd.DataFrame, q: Quantiser, limit: float, radius: float
         near = np.zeros((len(tables), len(x)))
         for s in range(codes.shape[1]):
             near += tables[:, s, codes[:, s]]
-        candidate = np.sqrt(near) <= reach
-        for k in range(len(tables)):
+        candidate = (np.sqrt(near) <= reach) & (m_no != q_no[first : first + 128, None])
+        for k in np.flatnonzero(candidate.any(axis=1)).tolist():
             at = np.flatnonzero(candidate[k])
-            at = at[m_no[at] != q_no[first + k]]
             at = at[x[at] @ y[first + k] >= limit]
             if not len(at):
                 continue

@@ -44,9 +44,9 @@ def brute(rows, limit=0.93):
     return sorted(out)
 
 
-def same(spark, rows):
+def same(spark, rows, **options):
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)
-    assert sorted(map(tuple, link_vectors(frame).collect())) == brute(rows)
+    assert sorted(map(tuple, link_vectors(frame, **options).collect())) == brute(rows)
 
 
 def test_unusable_vectors_link_with_nothing(spark):
@@ -73,7 +73,34 @@ def test_groups_chains_and_copies_match_brute_force(spark, monkeypatch, block):
         for step in range(20):  # a chain: neighbours are near, ends are not
             rows.append((np.cos(step * 0.3) * np.eye(24)[0] + np.sin(step * 0.3) * np.eye(24)[1], label))
     order = rng.permutation(len(rows))
-    same(spark, [(int(k), [float(np.float32(c)) for c in rows[k][0]], rows[k][1]) for k in order])
+    rows = [(int(k), [float(np.float32(c)) for c in rows[k][0]], rows[k][1]) for k in order]
+    same(spark, rows, recall=None)  # every list that can hold a near vector is probed
+
+
+def at_cosine(x, cosine, rng):
+    """Unit vectors at a cosine from the rows of x, in random directions."""
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("cosine", [0.931, 0.95, 0.99])
+def test_probes_find_nearly_all_pairs(spark, monkeypatch, cosine):
+    """Pairs just above the limit among many lists: recall against the pairs that were made."""
+    monkeypatch.setattr(vectors, "LIST_ROWS", 64)
+    rng = np.random.Generator(np.random.PCG64(8))
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    both = np.vstack([x, at_cosine(x, cosine, rng)])
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r for r in link_vectors(frame).collect()}
+    linked = sum(found[k].component_id == found[k + 3000].component_id for k in range(3000))
+    counted = sum(r.n_links > 0 for r in found.values())
+    assert linked >= 0.998 * 3000 and counted >= 0.998 * 6000
+    # the plane bound would probe nearly all of the lists
+    centroids = vectors.k_means(x, 93)
+    few = vectors.sufficient_probes(x, centroids, 0.93, 0.999)
+    assert few < 0.5 * vectors.probes(x[:500], centroids, math.sqrt(0.14), None).sum(axis=1).mean()
 
 
 def test_embeddings_match_brute_force(spark):
