@@ -5,7 +5,10 @@ by spreading its letters out, or by repeating them. For a disguised token the ch
 lattice of the letters they may stand for; Viterbi decoding finds the likeliest path under a
 trigram model of letters and the costs of the channel. In a run of spread letters every place is also a
 possible end of a word, so the path says where its words are. The model is counted over the texts outside
-the held-out part, all of them. Tokens without a sign of disguise stand for themselves.
+the held-out part, all of them. A token of letters stands for itself, and if a letter is repeated, also
+for the word decoded from it; a sign at its beginning or end is taken for a mark and for a letter. In
+scoring, a token is decoded if what it could stand for begins with a feature, letters' repetitions apart:
+decoding the others could not change a score.
 
 The restored words are scored by a logistic regression on the words and word beginnings that tell
 toxic from other texts in a bounded sample of labelled rows (``learning.SAMPLE_ROWS``). What goes to
@@ -46,7 +49,6 @@ SPREADERS = ".-_*~'"
 PREFIXES = (4, 5, 6)
 FEATURES = 512
 LEAST_TEXTS = 5
-LONGEST = 64
 #: Words a Python worker remembers, while fitting and while scoring: those met since so many others
 #: were, and as many before.
 MOST_WORDS = (15_000, 120_000)
@@ -57,12 +59,14 @@ _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27
 
-_SPREAD = re.compile(rf"(?:[^\W_]|[$@!|+(€])(?:[{re.escape(SPREADERS)}]+(?:[^\W_]|[$@!|+(€])){{2,}}")
-_EDGES = re.compile(r"^[^\w$@(|€]+|[^\w$@|€]+$")
+_SIGNS = "".join(c for c in LOOKS if not c.isdigit())
+_SPREAD = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{re.escape(_SIGNS)}])(?:[{re.escape(SPREADERS)}]++(?:[^\W_]|[{re.escape(_SIGNS)}])(?![^\W_]))" + "{2,}+")
+_EDGES = re.compile(rf"^[^\w{re.escape(_SIGNS)}]++|[^\w{re.escape(_SIGNS)}]++$")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Signs that may stand for one letter only, for comparing tokens with features.
+_ONE_LETTER = str.maketrans({c: letters for c, letters in LOOKS.items() if len(letters) == 1})
 _RUN = re.compile(r"(.)\1*", re.S)
-_THREE = re.compile(r"(.)\1\1", re.S)
 _OTHER = re.compile("[^\x00-\x7f]+")
-_PLAIN = re.compile(r"[^\w$@(|€]*([^\W\d_]+)[^\w$@(|€]*")
 
 
 def letter_model(texts: DataFrame) -> np.ndarray:
@@ -98,22 +102,34 @@ def _class(letter: str) -> int:
 
 def disguised(token: str) -> bool:
     """Whether a token of lower-case characters shows a sign of disguise."""
-    if not any(c.isalpha() for c in token) or len(token) > LONGEST:
-        return False
-    return any(c in LOOKS for c in token) or any(len(m[0]) > 2 for m in _RUN.finditer(token))
+    return any(c.isalpha() for c in token) and (any(c in LOOKS for c in token) or repeats(token))
+
+
+def repeats(token: str) -> bool:
+    return any(len(m[0]) > 1 for m in _RUN.finditer(token))
+
+
+def _spelled(path: tuple | None) -> str:
+    """The letters of a path of (before, letters)."""
+    out: list[str] = []
+    while path is not None:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest word behind a token: Viterbi over the letters its runs may stand for."""
-    paths = {(0, 0): (0.0, "")}
+    # all paths share what lies before their last letters
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for run in _RUN.finditer(token):
         sign, n = run[1], len(run[0])
         letters = [(sign, 0.0)] if sign.isalpha() else [(c, SIGN) for c in LOOKS.get(sign, "")]
         if not letters:
             continue
         cost = {1: {1: 0.0}, 2: {1: PAIR_TO_ONE, 2: 0.0}}.get(n, {1: RUN_TO_ONE, 2: RUN_TO_TWO})
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (logp, word) in paths.items():
+        ahead: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (logp, path) in paths.items():
             for letter, sign_cost in letters:
                 c = _class(letter)
                 for times, run_cost in cost.items():
@@ -123,30 +139,65 @@ def decode(token: str, model: np.ndarray) -> str:
                         p += model[b, c, c]
                         state = (c, c)
                     if state not in ahead or ahead[state][0] < p:
-                        ahead[state] = (p, word + letter * times)
+                        ahead[state] = (p, (path, letter * times))
         paths = ahead
-    return max(((p + model[a, b, 0], word) for (a, b), (p, word) in paths.items()), default=(0.0, ""))[1]
+    return _spelled(max(((p + model[a, b, 0], path) for (a, b), (p, path) in paths.items()), key=lambda one: one[0])[1])
 
 
-def restore(token: str, model: np.ndarray) -> list[str]:
-    """The words a token stands for, lower-cased."""
+def restore(token: str, model: np.ndarray, telling: Telling | None = None) -> list[str]:
+    """The words a token may stand for, lower-cased: runs of letters spread by signs, what lies between
+    them, and each of these as it is and decoded. With ``telling``, those that cannot matter are left
+    out."""
     token = token.lower()
-    if (word := _PLAIN.fullmatch(token)) and not _THREE.search(word[1]):
-        return [word[1]]
-    if spread := _SPREAD.search(token):
-        joined = re.sub(rf"[{re.escape(SPREADERS)}]", "", spread[0])
-        return [decode(joined, model) if disguised(joined) else joined]
-    core = _EDGES.sub("", token)
-    plain = re.sub(r"[^\w]+$", "", core)
-    found = []
-    for part in {core, plain}:
-        if disguised(part):
-            found.append(decode(part, model))
-    if plain == core or not found:
-        found += [w for w in re.split(r"[\W\d_]+", core) if w]
+    found: list[str] = []
+    at = 0
+    for run in _SPREAD.finditer(token):
+        found += _restored(token[at : run.start()], model, telling)
+        joined = re.sub(rf"[{re.escape(SPREADERS)}]", "", run[0])
+        found += _restored(joined, model, telling)
+        if telling is None or telling.anywhere(joined):
+            found += decode_spread(joined, model)
+        at = run.end()
+    return list(dict.fromkeys(found + _restored(token[at:], model, telling)))
+
+
+def _restored(part: str, model: np.ndarray, telling: Telling | None) -> list[str]:
+    core = _EDGES.sub("", part)
+    inner = core.strip(_SIGNS)
+    found = _LETTERS.findall(inner)
+    # a sign at an edge is a mark, or a letter
+    for reading in dict.fromkeys((inner, core)):
+        if disguised(reading) and (telling is None or telling.begins(reading)):
+            found.append(decode(reading, model))
     return found
 
 
+class Telling:
+    """Which tokens could stand for a word with one of the features, repetitions of letters apart."""
+
+    def __init__(self, features: dict[str, int]):
+        starts = {_once(f.rstrip("$")) for f in features}
+        self.lengths = sorted({len(s) for s in starts})
+        self.starts = starts
+
+    def begins(self, token: str) -> bool:
+        once = _once(token.translate(_ONE_LETTER))
+        if any(c in LOOKS for c in once):
+            return True  # a sign that may be one of several letters
+        letters = "".join(filter(str.isalpha, once))
+        once = letters if letters == once else _once(letters)
+        return any(once[:n] in self.starts for n in self.lengths)
+
+    def anywhere(self, token: str) -> bool:
+        once = _once(token.translate(_ONE_LETTER))
+        return any(c in LOOKS for c in once) or any(s in once for s in self.starts)
+
+
+def _once(letters: str) -> str:
+    """The letters, each run of one letter once."""
+    return _RUN.sub(r"\1", letters)
+
+
 def decode_spread(letters: str, model: np.ndarray) -> list[str]:
     """The likeliest words behind a run of spread characters: Viterbi over the letters they may stand
     for, with or without the end of a word after each."""
@@ -211,11 +262,12 @@ class Scorer:
     def __init__(self, model: np.ndarray, features: dict[str, int] | None):
         self.model = model
         self.features = features
+        self.telling = None if features is None else Telling(features)
         self.known: dict[int, tuple] = {}
         self.older: dict[int, tuple] = {}
 
     def of_word(self, token: str) -> tuple:
-        found = units(restore(token, self.model))
+        found = units(restore(token, self.model, self.telling))
         if self.features is None:
             return tuple(found)
         return tuple(self.features[u] for u in found if u in self.features)

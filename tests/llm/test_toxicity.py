@@ -1,9 +1,13 @@
+import itertools
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from noticemill.llm.toxicity import decode, decode_spread, drop_toxic, letter_model, restore, score, spread_words, train, train_and_score
+from noticemill.llm import toxicity
+from noticemill.llm.toxicity import Scorer, decode, decode_spread, drop_toxic, letter_model, restore, score, spread_words, train, train_and_score
 from noticemill.llm.words import find_words
 
 from .helpers import no_documents, odd_documents
@@ -36,6 +40,59 @@ def test_disguised_words_are_restored(corpus):
     assert restore("don't", letters) == ["don", "t"]
 
 
+def likeliest(token, model):
+    """The best of all readings of a token, each scored from its first letter to its last."""
+    choices = []
+    for run in toxicity._RUN.finditer(token):
+        sign, n = run[1], len(run[0])
+        letters = [(sign, 0.0)] if sign.isalpha() else [(c, toxicity.SIGN) for c in toxicity.LOOKS.get(sign, "")]
+        times = {1: {1: 0.0}, 2: {1: toxicity.PAIR_TO_ONE, 2: 0.0}}.get(n, {1: toxicity.RUN_TO_ONE, 2: toxicity.RUN_TO_TWO})
+        if letters:
+            choices.append([(c * k, x + y) for c, x in letters for k, y in times.items()])
+    best = (-1e9, "")
+    for reading in itertools.product(*choices):
+        word = "".join(c for c, _ in reading)
+        classes = [0, 0, *map(toxicity._class, word), 0]
+        logp = sum(x for _, x in reading) + sum(model[classes[k - 2], classes[k - 1], classes[k]] for k in range(2, len(classes)))
+        best = max(best, (round(logp, 9), word))
+    return best[1]
+
+
+def test_decoding_finds_the_best_of_all_readings(corpus):
+    letters = letter_model(corpus[0].select("text"))
+    rng = random.Random(1)
+    for _ in range(400):
+        token = "".join(rng.choice("tarolikhed01!|+34") * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randrange(1, 7)))
+        if any(c.isalpha() for c in token):
+            assert decode(token, letters) == likeliest(token, letters)
+
+
+@pytest.mark.parametrize(
+    ("token", "words"),
+    [
+        ("nittwit", ["nitwit"]), ("bblockhead", ["blockhead"]), ("n!twit", ["nitwit"]), ("!mita", ["mita", "imita"]),
+        ("n.i.t.w.i.t/b.l.o.c.k.h.e.a.d", ["nitwit", "blockhead"]), ("(rota)", ["rota"]), ("rota" * 20 + "n1twit", ["nitwit"]),
+        ("rota-n.i.t.w.i.t-mita", ["rota", "nitwit", "mita"]),
+    ],
+)
+def test_every_disguise_reaches_the_decoder(corpus, token, words):
+    found = restore(token, letter_model(corpus[0].select("text")))
+    assert all(any(word == f or (len(token) > 60 and f.endswith(word)) for f in found) for word in words), found
+
+
+def test_what_is_not_decoded_could_not_matter(corpus):
+    """Scoring with and without leaving tokens out gives the same features."""
+    letters = letter_model(corpus[0].select("text"))
+    features = {"nitwit$": 0, "nitw": 1, "block": 2, "dunder": 3}
+    some, every = Scorer(letters, features), Scorer(letters, features)
+    every.telling = None
+    rng = random.Random(2)
+    for _ in range(300):
+        word = rng.choice([*INSULTS, "rota", "mitaselbo", "letter", "booklet"])
+        token = "".join(c * rng.choice((1, 1, 1, 2, 4)) if rng.random() < 0.8 else rng.choice("!01.+4") for c in word)
+        assert set(some.of_word(token)) == set(every.of_word(token)), token
+
+
 def test_disguised_insults_are_found_and_clean_texts_left_alone(spark, corpus):
     model = train(*corpus)
     clean = "rota mita selbo nerro 2024 4.0 bomi!! lita"
