@@ -1,15 +1,16 @@
 """Quality of texts by random indexing and a small network.
 
 Every word stands beside its shape (``Xx,`` for ``Thing,``), and both are units. Each unit has a
-fixed sparse random vector, made from its hash. The vector of a unit is the sum of the random
-vectors of the units around it, over the sample's texts: tasks add up what they see, and the sums
-meet per unit. A document is the mean of its units' vectors and their spread; a network of two
-layers, trained with numpy, turns it into a logit, and a temperature fitted on rows kept aside
-calibrates the probability.
+fixed sparse random vector, made from its hash. Over all texts, the ``UNITS`` units that occur most often
+get context vectors: the sums of the random vectors of the units around them, which tasks add up in
+whole numbers and send once per unit. Any other unit stands for itself by its own random vector, which
+takes no memory. A document is the mean of its units' vectors and their spread; a network of two layers,
+trained with numpy, turns it into a logit, and a temperature fitted on rows kept aside calibrates the
+probability.
 
-Vectors and network are fitted on a bounded sample of labelled rows (``learning.SAMPLE_ROWS``), and
-vectors are kept for the ``UNITS`` units that occur in most of its texts; every text is scored
-whole. Only the kept units' vectors and the pooled sample rows reach the driver.
+Counts and contexts cover every word of every text; only the network and the temperature are fitted on a
+bounded sample of labelled rows (``learning.SAMPLE_ROWS``), and every text is scored whole. What reaches
+the driver is the vectors of ``UNITS`` units and the pooled sample rows.
 
 Null text counts as empty and gets the score of a text without units. Rows that repeat an id are
 scored each by its own text. Without usable labels all rows get the smoothed share of the label.
@@ -18,8 +19,10 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,14 +37,12 @@ from noticemill.llm.words import Words, find_words, mix
 from noticemill.session import written
 
 DIMENSIONS, NONZERO = 96, 6
-UNITS, LEAST_TEXTS = 8192, 5
+UNITS = 8192
 WINDOW = 2
 HIDDEN, EPOCHS, BATCH = 32, 40, 128
-#: Words remembered by one Python worker before it starts afresh.
-MOST_WORDS = 200_000
-
-#: Longest shape and longest word that are told apart; a longer one is known by its beginning.
-LONGEST = 64
+#: Words remembered by one Python worker before it starts afresh, units it counts before it sends them,
+#: and words whose vectors it holds at once.
+MOST_WORDS, GATHER, TOGETHER = 150_000, 200_000, 8192
 
 _KINDS = str.maketrans(
     {c: "X" for c in string.ascii_uppercase}
@@ -54,49 +55,61 @@ _RUN = re.compile(r"(.)\1+", re.S)
 
 def shape(word: str) -> str:
     """Kinds of a word's characters, each run once."""
-    return "#" + _RUN.sub(r"\1", _OTHER.sub("x", word).translate(_KINDS))[:12]
+    return "#" + _RUN.sub(r"\1", _OTHER.sub("x", word).translate(_KINDS))
 
 
 def units_of(word: str) -> tuple[str, str]:
     """A word's two units: its shape, and its lower-cased letters."""
     lower = word.lower()
     letters = lower if lower.isalnum() else "".join(filter(str.isalnum, lower))
-    return shape(word), letters[:LONGEST] or word[:LONGEST]
+    return shape(word), letters or word
+
+
+def random_places(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the few numbers in the fixed random vectors of some hashes, row by row: one in
+    each of ``NONZERO`` equal parts of the vector."""
+    each = DIMENSIONS // NONZERO
+    draws = mix(prints[:, None] + np.arange(1, NONZERO + 1, dtype=np.uint64))
+    places = (draws >> np.uint64(8)) % np.uint64(each) + np.arange(NONZERO, dtype=np.uint64) * np.uint64(each)
+    return places.astype(np.int64), (draws & np.uint64(1)).astype(np.int8) * 2 - 1
 
 
-def random_vector(unit: str) -> np.ndarray:
-    """The fixed sparse vector of a unit: a few places hold 1 or -1."""
-    seed = np.frombuffer(unit.encode().ljust(8, b"\0")[:8], dtype="<u8")
-    for at in range(8, len(unit.encode()), 8):
-        seed = mix(seed) ^ np.frombuffer(unit.encode()[at : at + 8].ljust(8, b"\0"), dtype="<u8")
-    draws = mix(seed + np.arange(1, NONZERO + 1, dtype=np.uint64))
-    vector = np.zeros(DIMENSIONS, dtype=np.float32)
-    vector[(draws >> np.uint64(8)) % np.uint64(DIMENSIONS)] = np.where(draws & np.uint64(1), 1.0, -1.0)
-    return vector
+def print_of(unit: str) -> int:
+    """The hash of a unit."""
+    return int.from_bytes(hashlib.blake2b(unit.encode(), digest_size=8).digest(), "little")
+
+
+def random_vectors(prints: np.ndarray) -> np.ndarray:
+    """The fixed sparse vectors of some hashes: a few places hold 1 or -1."""
+    places, signs = random_places(prints)
+    vectors = np.zeros((len(prints), DIMENSIONS), dtype=np.int8)
+    vectors[np.arange(len(prints))[:, None], places] = signs
+    return vectors
 
 
 class Units:
-    """Places of the units of distinct words among the known ones, remembered in a worker. The last
-    place is that of unknown units."""
+    """Units of distinct words, remembered in a worker: places among the kept ones, and hashes."""
 
     def __init__(self, place: dict[str, int]):
         self.place = place
-        self.known: dict[int, tuple[int, int]] = {}
+        self.known: dict[int, tuple[int, int, int, int]] = {}
 
-    def of(self, words: Words) -> np.ndarray:
-        """(shape, letters) of every word of a chunk."""
+    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per distinct word (shape, letters) as places, -1 for a unit that is not kept; per distinct word
+        the hashes of both; and which of them each word of the chunk is."""
         prints, at, which = np.unique(words.prints, return_index=True, return_inverse=True)
         if len(self.known) > MOST_WORDS:
             self.known.clear()
-        none = len(self.place)
-        held = np.empty((len(prints), 2), dtype=np.int32)
+        held = np.empty((len(prints), 2), dtype=np.int64)
+        hashes = np.empty((len(prints), 2), dtype=np.uint64)
         for k, key in enumerate(prints.tolist()):
             units = self.known.get(key)
             if units is None:
                 a, b = units_of(words.text(at[k]))
-                units = self.known[key] = self.place.get(a, none), self.place.get(b, none)
-            held[k] = units
-        return held[which]
+                units = self.known[key] = self.place.get(a, -1), self.place.get(b, -1), print_of(a), print_of(b)
+            held[k] = units[:2]
+            hashes[k] = units[2:]
+        return held, hashes, which
 
 
 class Classifier(NamedTuple):
@@ -109,89 +122,120 @@ class Classifier(NamedTuple):
 
 
 def pooled(units: Units, vectors: np.ndarray, column: pa.Array) -> Iterator[np.ndarray]:
-    """Mean and spread of the vectors of each text's words, and how much of it is known."""
+    """Mean and spread of the vectors of each text's units, and how many different words it has."""
     for words in find_words(column, fold=False):
-        of_words = units.of(words)
+        held, hashes, which = units.of(words)
+        own_places, own_signs = random_places(hashes.ravel())
+        own_places = own_places.reshape(-1, 2, NONZERO)
+        own_signs = own_signs.reshape(-1, 2, NONZERO) / np.sqrt(NONZERO)
         for a, e in zip(words.of[:-1], words.of[1:], strict=True):
             out = np.zeros(2 * DIMENSIONS + 2, dtype=np.float32)
             n = e - a
             if n:
-                kinds, counts = np.unique(of_words[a:e], return_counts=True)
-                share = (counts / counts.sum()).astype(np.float32)
-                v = vectors[kinds]
-                centre = share @ v
+                kinds, counts = np.unique(which[a:e], return_counts=True)
+                places = held[kinds]
+                kept = places >= 0
+                both = np.broadcast_to(counts[:, None], places.shape)
+                share = (both[kept] / (2 * n)).astype(np.float32)
+                v = vectors[places[kept]]
+                rest = (both[~kept] / (2 * n))[:, None]
+                at = own_places[kinds][~kept].ravel()
+                signs = own_signs[kinds][~kept]
+                centre = share @ v + np.bincount(at, (rest * signs).ravel(), minlength=DIMENSIONS)
+                square = share @ (v * v) + np.bincount(at, (rest * signs**2).ravel(), minlength=DIMENSIONS)
                 out[:DIMENSIONS] = centre
-                out[DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(share @ (v * v) - centre * centre, 0.0))
+                out[DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(square - centre * centre, 0.0))
                 out[-2] = np.log1p(n)
-                out[-1] = len(kinds) / (2 * n)
+                out[-1] = len(kinds) / n
             yield out
 
 
+def common_units(texts: DataFrame, units: int = UNITS) -> list[str]:
+    """The units that occur most often in all texts, the most frequent first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter[str] = Counter()
+        known: dict[int, tuple[str, str]] = {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["unit", "n"]
+            )
+
+        for batch in batches:
+            for words in find_words(batch.column("text"), fold=False):
+                prints, at, counts = np.unique(words.prints, return_index=True, return_counts=True)
+                for k, (key, n) in enumerate(zip(prints.tolist(), counts.tolist(), strict=True)):
+                    both = known.get(key)
+                    if both is None:
+                        both = known[key] = units_of(words.text(at[k]))
+                    sums[both[0]] += n
+                    sums[both[1]] += n
+                if len(known) > MOST_WORDS:
+                    known.clear()
+                if len(sums) > GATHER:
+                    yield sent()
+                    sums.clear()
+        yield sent()
+
+    totals = texts.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return [r.unit for r in totals.orderBy(F.desc("n"), "unit").limit(units).collect()]
+
+
 def _add_rows(sums: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
-    """Add each row to the sum at its place."""
+    """Add each row to the sum at its place, in whole numbers."""
     order = np.argsort(places, kind="stable")
     ordered = places[order]
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    sums[ordered[at]] += np.add.reduceat(rows[order], at, axis=0)
+    sums[ordered[at]] += np.add.reduceat(rows[order], at, axis=0, dtype=np.int32)
 
 
-def unit_vectors(sample: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """The kept units and their context vectors, of length 1; the last row is for unknown ones."""
+def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
+    """Add the random vectors of the units around each kept unit of the texts to its sum. A word's other
+    unit counts as beside it; ``WINDOW`` words on both sides, within the text, count with both units."""
+    for words in find_words(column, fold=False):
+        held, hashes, which = units.of(words)
+        shapes, letters = random_vectors(hashes[:, 0]), random_vectors(hashes[:, 1])
+        joint = shapes + letters
+        text = np.searchsorted(words.of, np.arange(len(which)), side="right")
+        for first in range(0, len(which), TOGETHER):
+            last = min(first + TOGETHER, len(which))
+            low, high = max(first - WINDOW, 0), min(last + WINDOW, len(which))
+            own = joint[which[low:high]]
+            around = np.zeros_like(own)
+            for step in range(1, WINDOW + 1):
+                if step < len(own):
+                    same = (text[low + step : high] == text[low : high - step])[:, None]
+                    around[step:] += own[:-step] * same
+                    around[:-step] += own[step:] * same
+            inside = slice(first - low, last - low)
+            here = which[first:last]
+            for side, other in ((0, letters), (1, shapes)):
+                kept = np.flatnonzero(held[here, side] >= 0)
+                if len(kept):
+                    _add_rows(sums, held[here[kept], side], around[inside][kept] + other[here[kept]])
 
-    def texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[str] = []
-            for words in find_words(batch.column("text"), fold=False):
-                seen = {}
-                for a, e in zip(words.of[:-1], words.of[1:], strict=True):
-                    here = set()
-                    for k in range(a, e):
-                        key = int(words.prints[k])
-                        if key not in seen:
-                            seen[key] = units_of(words.text(k))
-                        here.update(seen[key])
-                    found.extend(here)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["unit"])
-
-    common = (
-        sample.select("text")
-        .mapInArrow(texts_with, "unit string")
-        .groupBy("unit")
-        .count()
-        .where(F.col("count") >= LEAST_TEXTS)
-        .orderBy(F.desc("count"), "unit")
-        .limit(UNITS)
-    )
-    place = {r.unit: k for k, r in enumerate(common.collect())}
-    shared = sample.sparkSession.sparkContext.broadcast(place)
+
+def unit_vectors(texts: DataFrame, units: int = UNITS) -> tuple[dict[str, int], np.ndarray]:
+    """The kept units and their context vectors over all texts, of length 1. A unit without a context, as
+    that of a text of one unit, has its random vector."""
+    names = common_units(texts, units)
+    place = {unit: k for k, unit in enumerate(names)}
+    shared = texts.sparkSession.sparkContext.broadcast(place)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Units(shared.value)
-        names = sorted(shared.value, key=shared.value.get)
-        fixed = np.vstack([*map(random_vector, names), np.zeros(DIMENSIONS, dtype=np.float32)])
-        sums = np.zeros(fixed.shape, dtype=np.float64)
+        sums = np.zeros((len(shared.value), DIMENSIONS), dtype=np.int64)
         for batch in batches:
-            for words in find_words(batch.column("text"), fold=False):
-                units = known.of(words)
-                text = np.searchsorted(words.of, np.arange(len(units)), side="right")
-                own = fixed[units[:, 0]] + fixed[units[:, 1]]
-                around = np.zeros_like(own)
-                for step in range(1, WINDOW + 1):
-                    same = (text[step:] == text[:-step])[:, None]
-                    around[step:] += own[:-step] * same
-                    around[:-step] += own[step:] * same
-                if len(units):
-                    _add_rows(sums, units[:, 0], around + fixed[units[:, 1]])
-                    _add_rows(sums, units[:, 1], around + fixed[units[:, 0]])
-        seen = np.flatnonzero(np.abs(sums[:-1]).sum(axis=1))
+            add_contexts(sums, known, batch.column("text"))
+        seen = np.flatnonzero(np.abs(sums).sum(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int64()), pa.array([sums[k].tolist() for k in seen], pa.list_(pa.float64()))],
-            ["place", "context"],
+            [pa.array(seen, pa.int64()), pa.array(list(sums[seen]), pa.list_(pa.int64()))], ["place", "context"]
         )
 
     dims = [F.sum(F.col("context")[k]).alias(f"d{k}") for k in range(DIMENSIONS)]
-    rows = sample.select("text").mapInArrow(contexts, "place long, context array<double>").groupBy("place").agg(*dims)
-    vectors = np.zeros((len(place) + 1, DIMENSIONS), dtype=np.float32)
+    rows = texts.mapInArrow(contexts, "place long, context array<long>").groupBy("place").agg(*dims)
+    vectors = random_vectors(np.array([print_of(unit) for unit in names], dtype=np.uint64)).astype(np.float32)
     for r in rows.collect():
         vectors[r[0]] = r[1:]
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -244,9 +288,9 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(choices[int(np.argmin(loss))])
 
 
-def fit(sample: DataFrame) -> Classifier:
-    """``sample``: (text, y) of bounded size."""
-    place, vectors = unit_vectors(sample)
+def fit(texts: DataFrame, sample: DataFrame) -> Classifier:
+    """``texts``: (text), for the word vectors; ``sample``: (text, y) of bounded size."""
+    place, vectors = unit_vectors(texts)
     shared = sample.sparkSession.sparkContext.broadcast((place, vectors))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,4 +351,5 @@ def train_and_score(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out
     """Learn outside the held-out part of the ids and score all rows."""
     sample = labelled_sample(docs, labels, "quality", parts, held_out, **columns)
     flag = remainder(columns.get("id_column", "doc_id"), parts) == held_out
-    return score(docs, fit(written(sample, "sample")), held_out=flag, **columns)
+    texts = docs.select(whole_text(columns.get("text_column", "text")).alias("text"))
+    return score(docs, fit(texts, written(sample, "sample")), held_out=flag, **columns)

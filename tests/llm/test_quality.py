@@ -1,16 +1,89 @@
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
 from noticemill.llm.learning import labelled_sample
-from noticemill.llm.quality import calibrate, random_vector, shape, train_and_score, train_network
+from noticemill.llm.quality import (
+    DIMENSIONS,
+    WINDOW,
+    Units,
+    calibrate,
+    common_units,
+    pooled,
+    print_of,
+    random_vectors,
+    shape,
+    train_and_score,
+    train_network,
+    unit_vectors,
+    units_of,
+)
 
 from .helpers import no_documents, odd_documents
 
 
 def test_shapes_and_fixed_vectors():
     assert [shape(w) for w in ("Thing,", "THE!!", "naïve", "a1b22")] == ["#Xx,", "#X!", "#x", "#x9x9"]
-    v = random_vector("#Xx")
-    assert set(np.unique(v)) <= {-1.0, 0.0, 1.0} and np.array_equal(v, random_vector("#Xx"))
-    assert not np.array_equal(random_vector("abcdefghi"), random_vector("abcdefghj"))
+    assert shape("aB" * 20) == "#" + "xX" * 20  # whole, however long
+    assert units_of("x" * 100)[1] == "x" * 100
+    (v,) = vector("#Xx")
+    assert set(np.unique(v)) <= {-1, 0, 1} and np.array_equal([v], vector("#Xx"))
+    assert not np.array_equal(vector("abcdefghi"), vector("abcdefghj"))
+
+
+def vector(unit):
+    return random_vectors(np.array([print_of(unit)], dtype=np.uint64))
+
+
+TEXTS = ["The cat, the CAT sat. on 22 mats", "one", "", "the cat on the mat " * 400, "Zeta eta theta! the"]
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def vectors_by_hand(texts, n):
+    """Most frequent units, and for each the sum of the vectors around every place it stands at."""
+    counts = Counter(u for t in texts for w in words_of(t) for u in units_of(w))
+    kept = sorted(counts, key=lambda u: (-counts[u], u))[:n]
+    sums = {u: np.zeros(DIMENSIONS) for u in kept}
+    for text in texts:
+        units = [units_of(w) for w in words_of(text)]
+        for k, (a, b) in enumerate(units):
+            around = sum((vector(u)[0] for j in range(k - WINDOW, k + WINDOW + 1) if j != k and 0 <= j < len(units) for u in units[j]), np.zeros(DIMENSIONS))
+            for own, other in ((a, b), (b, a)):
+                if own in sums:
+                    sums[own] += around + vector(other)[0]
+    return {u: v / np.linalg.norm(v) if v.any() else vector(u)[0] / np.linalg.norm(vector(u)[0]) for u, v in sums.items()}
+
+
+def test_vectors_and_pooling_match_brute_force(spark):
+    """Counts and contexts over all texts; units that are not kept stand for themselves."""
+    docs = spark.createDataFrame([(t,) for t in TEXTS * 7], "text string").repartition(3)
+    for n in (5, 1000):
+        want = vectors_by_hand(TEXTS * 7, n)
+        assert common_units(docs, n) == list(want)
+        place, vectors = unit_vectors(docs, n)
+        for unit, k in place.items():
+            assert np.allclose(vectors[k], want[unit], atol=1e-5)
+        got = pooled(Units(place), vectors, pa.array(TEXTS))
+        for text, x in zip(TEXTS, got, strict=True):
+            units = [u for w in words_of(text) for u in units_of(w)]
+            if not units:
+                assert not x.any()
+                continue
+            rows = np.array([want[u] if u in want else sparse(u) for u in units])
+            assert np.allclose(x[:DIMENSIONS], rows.mean(axis=0), atol=1e-5)
+            assert np.allclose(x[DIMENSIONS:-2] ** 2, rows.var(axis=0), atol=1e-5)
+            assert np.allclose(x[-2:], [np.log1p(len(units) / 2), 2 * len(set(words_of(text))) / len(units)])
+
+
+def sparse(unit):
+    """The vector of a unit that is not kept."""
+    (v,) = vector(unit)
+    return v / np.linalg.norm(v)
 
 
 def test_temperature_calibrates():
