@@ -1,9 +1,9 @@
 """Exact duplicates: texts that are equal once white space is deleted.
 
 Texts are grouped by a 128-bit hash of the normalised text together with its bytes, so a collision
-of the hash never joins two texts. Each task first reduces its own rows, so however many copies a
+of the hash never joins two texts there. Each task first reduces its own rows, so however many copies a
 text has, a task sends it once per length of the original; what is left of a group then meets as
-narrow rows. Of a group, the row with the most code points in its original text stays, then the
+narrow rows, in which SHA-256 beside the hash stands for the bytes compared. Of a group, the row with the most code points in its original text stays, then the
 smallest id.
 
 Null text counts as empty, and all empty texts form one group. A null id never stays while the
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticemill.llm.frames import SPACES, whole_text
+from noticemill.session import written
 
 
 def _normal(text_column: str):
@@ -38,6 +39,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.sum("n").alias("group_size"),
         F.min(F.struct((-F.col("size")).alias("size"), F.col("id").isNull().alias("no_id"), "id")).alias("best"),
     )
+    # as a table of its own, so that both sides of the join are plain shuffles, which AQE splits at hot groups
+    groups = written(groups, "groups")
     keyed = rows.select("id", "hash", F.sha2("normal", 256).alias("sha"))
     return keyed.join(groups, ["hash", "sha"]).select(
         F.col("id").alias(id_column),

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticemill.llm.frames import WORD, whole_text
+from noticemill.session import written
 
 LETTERS = "ABCDE"
 SIGNS = r"[#$%&*|]"
@@ -68,7 +69,8 @@ def failures(
         F.sha2(text, 256).alias("digest"),
     )
     first = rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    copied = first.where("n > 1").select("digest", "first_id")
+    # as a table of its own, so that both sides of the join are plain shuffles, which AQE splits at hot texts
+    copied = written(first.where("n > 1").select("digest", "first_id"), "copied")
     copy = F.coalesce(F.col("first_id") < F.col("id"), F.lit(False))
     return rows.join(copied, "digest", "left").select(
         "id", "part", (F.col("alone") + F.when(copy, 1 << LETTERS.index("E")).otherwise(0)).alias("failed")

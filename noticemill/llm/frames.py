@@ -1,12 +1,10 @@
-"""What the operators share: working columns, prefix sums over ranges, components of a graph."""
+"""What the operators share: working columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticemill.session import written
-
 #: White space as the operators see it: space and the controls 9 to 13.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,87 +18,3 @@ def whole_text(column: str = "text") -> Column:
 def remainder(column: str, parts: int) -> Column:
     """crc32 of an id written as text, modulo the number of parts; a null id has remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))
-
-
-def running_totals(
-    df: DataFrame, group: list[str], order: list[Column], values: dict[str, Column], name: str
-) -> DataFrame:
-    """The frame with, for each value, its sum over the rows before this one in its group.
-
-    Rows are dealt by ranges of (group, order), so one group may span any number of tasks: each
-    range is summed by itself, and the sums of the ranges before it are added. Groups must not be
-    null. Rows that tie in the order are told apart arbitrarily, so the order should hold all that
-    the values depend on.
-    """
-    for key, value in values.items():
-        df = df.withColumn(f"_value_{key}", value)
-    ranged = df.repartitionByRange(*[F.col(g) for g in group], *order)
-    placed = written(ranged.withColumn("_range", F.spark_partition_id()), name)
-    sums = placed.groupBy(*group, "_range").agg(
-        *[F.sum(f"_value_{key}").alias(f"_sum_{key}") for key in values]
-    )
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(
-        *group,
-        "_range",
-        *[F.coalesce(F.sum(f"_sum_{key}").over(earlier), F.lit(0)).alias(f"_base_{key}") for key in values],
-    )
-    inside = (
-        Window.partitionBy(*group, "_range")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    kept = [c for c in df.columns if not c.startswith("_value_")]
-    summed = placed.select(
-        *kept,
-        "_range",
-        *[F.coalesce(F.sum(f"_value_{key}").over(inside), F.lit(0)).alias(f"_inside_{key}") for key in values],
-    )
-    joined = summed.join(before, [*group, "_range"])
-    return joined.select(
-        *kept, *[(F.col(f"_inside_{key}") + F.col(f"_base_{key}")).alias(key) for key in values]
-    )
-
-
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(id, component): the smallest id reachable over the links (a, b), for every linked id.
-
-    Large-star and small-star steps in turn, each a minimum per id and a join, until the links are
-    stars around the smallest ids. Every step is written to the shared folder, so lineage stays
-    short and nothing passes through the driver but a count and a checksum.
-    """
-    edges = written(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("u <> v")
-        .distinct(),
-        name,
-    )
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen or state[0] == 0:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = state
-        edges = written(_small_star(_large_star(edges)), name)
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.min("v").alias("_v")).select("u", F.least("u", "_v").alias("m"))
-    return (
-        both.where("v > u")
-        .join(lowest, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
-    )
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return (
-        edges.join(lowest, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .union(lowest.select("u", F.col("m").alias("v")))
-        .where("u <> v")
-        .distinct()
-    )

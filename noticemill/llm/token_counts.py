@@ -1,6 +1,7 @@
 """Token counts of whole texts, with a cache by content digest.
 
-The cache is a table (digest, tokenizer, n_tokens) in a folder the caller names. A text's digest is
+The cache is a table (digest, tokenizer, n_tokens) in a folder the caller names; of it only the digests
+asked for are taken. A text's digest is
 taken of its normalised content: for a vocabulary that drops white space, runs of white space count
 as one space. Only distinct texts whose digest the cache lacks under the tokenizer's version are
 encoded; their counts are appended. A text that a lost job appended twice has the same count twice,
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from noticemill.llm.encoder import Encoder, version
 from noticemill.llm.frames import whole_text
-from noticemill.session import scratch_path
+from noticemill.session import scratch_path, written
 
 CACHE = "digest string, tokenizer string, n_tokens long"
 
@@ -55,27 +56,31 @@ def count_tokens(
     cache = cache or scratch_path(spark, "token-counts")
     by_word, tokenizer = Encoder(path).by_word, version(path)
     text = whole_text(text_column)
-    keyed = docs.select(
-        F.col(id_column), F.octet_length(text).cast("long").alias("n_bytes"), digest(text, by_word).alias("digest")
+    keyed = written(
+        docs.select(
+            F.col(id_column).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest(text, by_word).alias("digest")
+        ),
+        "digests",
     )
-    stored = read_cache(spark, cache).where(F.col("tokenizer") == tokenizer)
+    asked = keyed.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"))
+
+    def stored() -> DataFrame:
+        found = read_cache(spark, cache).where(F.col("tokenizer") == tokenizer).join(asked, "digest", "left_semi")
+        return found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
     missing = (
         docs.select(digest(text, by_word).alias("digest"), text.alias("text"))
         .where(F.length("text") > 0)
         .dropDuplicates(["digest"])
-        .join(stored.select("digest"), "digest", "left_anti")
+        .join(stored().select("digest"), "digest", "left_anti")
     )
     counted = missing.mapInArrow(_counter(path), "digest string, n_tokens long")
     counted.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = (
-        read_cache(spark, cache)
-        .where(F.col("tokenizer") == tokenizer)
-        .groupBy("digest")
-        .agg(F.max("n_tokens").alias("n_tokens"))
-    )
+    # as a table of its own, so that both sides of the join are plain shuffles, which AQE splits at hot digests
+    counts = written(stored(), "counts")
     n_tokens = F.coalesce("n_tokens", F.lit(0).cast("long"))
     return keyed.join(counts, "digest", "left").select(
-        id_column, "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit")
+        F.col("id").alias(id_column), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit")
     )
 
 
