@@ -14,7 +14,7 @@ from collections.abc import Callable, Hashable
 import pyarrow as pa
 
 #: Blocks of at least so many bytes are mapped on their own and go back when they are freed.
-LARGE_BLOCK = 1 << 20
+LARGE_BLOCK = 4 << 20
 
 _kept: tuple[Hashable, object] | None = None
 

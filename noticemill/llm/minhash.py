@@ -70,8 +70,8 @@ class Circulant:
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         slots = self.scatter[shingles & np.uint64(SLOTS - 1)]
         least = np.full(self.n, SLOTS, dtype=np.uint32)
-        for at in range(0, len(slots), 2048):
-            np.minimum(least, self.windows[slots[at : at + 2048]].min(axis=0), out=least)
+        for at in range(0, len(slots), 1024):
+            np.minimum(least, self.windows[slots[at : at + 1024]].min(axis=0), out=least)
         return least
 
 
