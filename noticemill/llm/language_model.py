@@ -5,7 +5,8 @@ begin mark. Three passes over the texts, each split as the table is:
 
 1. Words are counted. Tasks send distinct 64-bit fingerprints with counts, packed by shard; each
    shard becomes a sorted array of fingerprints beside its counts. A word's id is its place.
-2. Bigrams are counted as one 64-bit number (id before, id), packed by shard in the same way. A
+2. Bigrams are counted as one 64-bit number (id before, id), packed by shard in the same way; from
+   2**32 words on, the number is a hash of the pair, and the two ids go beside it. A
    shard holds a range of the words before; the most frequent such words are dealt over all shards
    by the whole bigram. From its sorted array a shard derives how many words follow each word once,
    twice or more often, and how many different words each word follows.
@@ -26,7 +27,7 @@ unknown word, score 0. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -70,6 +71,8 @@ class Model(NamedTuple):
     begins: int
     kinds: int
     even: float
+    #: whether a bigram is a hash of two ids, as these do not fit in 32 bits
+    wide: bool = False
 
     @property
     def size(self) -> int:
@@ -92,54 +95,90 @@ def shard_of_print(prints: np.ndarray, shards: int) -> np.ndarray:
     return ((prints >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def shard_of_bigram(keys: np.ndarray, model: Model) -> np.ndarray:
+def bigram(before: np.ndarray, after: np.ndarray, wide: bool) -> np.ndarray:
+    """Pairs of ids as one number: side by side in 32 bits each, or hashed."""
+    before, after = before.astype(np.uint64), after.astype(np.uint64)
+    return mix(mix(before + np.uint64(END)) + after) if wide else (before << np.uint64(32)) | after
+
+
+def shard_of_bigram(keys: np.ndarray, before: np.ndarray, model: Model) -> np.ndarray:
     """Ranges of the word before; bigrams of the words in ``spread`` go by the whole bigram."""
-    shards, before = len(model.words), keys >> np.uint64(32)
+    shards, before = len(model.words), before.astype(np.uint64)
     dealt = np.isin(before, np.array(model.spread, dtype=np.uint64))
     return np.where(
         dealt, mix(keys) % np.uint64(shards), before * np.uint64(shards) // np.uint64(model.size + 1)
     ).astype(np.int64)
 
 
-def _packed(values: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
-    """One row per shard: its values in ascending order and their counts."""
+PACKED = "shard long, keys binary, counts binary, pairs binary"
+
+
+def _packed(values: np.ndarray, counts: np.ndarray, shard: np.ndarray, pairs: np.ndarray | None) -> pa.RecordBatch:
+    """One row per shard: its values in ascending order, their counts, and the ids of the pairs, if given."""
     order = np.argsort(shard, kind="stable")
     values, counts, shard = values[order], counts[order], shard[order]
+    pairs = None if pairs is None else pairs[order]
     present, at = np.unique(shard, return_index=True)
-    ends = np.append(at[1:], len(shard))
+    parts = list(zip(at, np.append(at[1:], len(shard)), strict=True))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(present.astype(np.int64)),
-            pa.array([values[a:e].tobytes() for a, e in zip(at, ends, strict=True)], pa.binary()),
-            pa.array([counts[a:e].astype("<u4").tobytes() for a, e in zip(at, ends, strict=True)], pa.binary()),
+            pa.array([values[a:e].tobytes() for a, e in parts], pa.binary()),
+            pa.array([counts[a:e].astype("<u4").tobytes() for a, e in parts], pa.binary()),
+            pa.array([None if pairs is None else pairs[a:e].tobytes() for a, e in parts], pa.binary()),
         ],
-        ["shard", "keys", "counts"],
+        ["shard", "keys", "counts", "pairs"],
     )
 
 
-def _counted(found: Iterator[np.ndarray], shard: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Distinct counts of a stream of keys, sent whenever enough have been gathered."""
+def _counted_words(found: Iterator[np.ndarray], shards: int) -> Iterator[pa.RecordBatch]:
+    """Distinct counts of a stream of fingerprints, sent whenever enough have been gathered."""
     held, n = [], 0
-    for keys in found:
-        held.append(keys)
-        n += len(keys)
+    for prints in found:
+        held.append(prints)
+        n += len(prints)
         if n >= GATHER:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield _packed(values, counts, shard(values))
+            yield _packed(values, counts, shard_of_print(values, shards), None)
             held, n = [], 0
     if n:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        yield _packed(values, counts, shard(values))
+        yield _packed(values, counts, shard_of_print(values, shards), None)
+
+
+def _counted_pairs(found: Iterator[tuple[np.ndarray, np.ndarray]], model: Model) -> Iterator[pa.RecordBatch]:
+    """The same of a stream of (ids before, ids)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
 
+    def sent() -> pa.RecordBatch:
+        before, after = (np.concatenate(side) for side in zip(*held, strict=True))
+        keys, first, counts = np.unique(bigram(before, after, model.wide), return_index=True, return_counts=True)
+        before = before[first]
+        pairs = np.stack([before, after[first]], axis=1).astype("<u8") if model.wide else None
+        return _packed(keys, counts, shard_of_bigram(keys, before, model), pairs)
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the packed counts of one shard."""
+    for before, after in found:
+        held.append((before, after))
+        n += len(before)
+        if n >= GATHER:
+            yield sent()
+            held, n = [], 0
+    if n:
+        yield sent()
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Sums of the packed counts of one shard, and the ids of the pairs, if given."""
     keys = np.concatenate([np.frombuffer(k.as_py(), "<u8") for k in table.column("keys")])
     counts = np.concatenate([np.frombuffer(c.as_py(), "<u4") for c in table.column("counts")])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[at], np.add.reduceat(counts.astype(np.int64), at)
+    pairs = None
+    if table.column("pairs").null_count == 0:
+        pairs = np.concatenate([np.frombuffer(p.as_py(), "<u8") for p in table.column("pairs")]).reshape(-1, 2)[order[at]]
+    return keys[at], np.add.reduceat(counts.astype(np.int64), at), pairs
 
 
 def _with_ends(words) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +218,10 @@ class Opened:
                 counts[part] = np.where(known, self.array(counts_name)[place], 0)
         return ids, counts
 
-    def bigrams(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of ascending bigrams."""
+    def bigrams(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Counts of ascending bigrams with the given ids before."""
         counts = np.zeros(len(keys), dtype=np.int64)
-        shard = shard_of_bigram(keys, self.model)
+        shard = shard_of_bigram(keys, before, self.model)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.model.bigrams) + 1))
         for k, (keys_name, counts_name) in enumerate(self.model.bigrams):
@@ -215,34 +254,35 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, keys[place] == wanted
 
 
-def _bigram_keys(opened: Opened, tokens: np.ndarray, starts: np.ndarray):
+def _bigram_ids(opened: Opened, tokens: np.ndarray, starts: np.ndarray):
     """For a chunk: distinct tokens' ids and counts, each token's place among them, the id before
-    each token, and its bigram; a bigram with an unknown word means nothing."""
+    each token, and its own; an unknown word has the id -1."""
     prints, which = np.unique(tokens, return_inverse=True)
     ids, counts = opened.words(prints)
     each = ids[which]
     before = np.empty_like(each)
     before[1:] = each[:-1]
     before[starts] = opened.model.size
-    return ids, counts, which, before, (before.astype(np.uint64) << np.uint64(32)) | each.astype(np.uint64)
+    return ids, counts, which, before, each
 
 
-def train(docs: DataFrame, text_column: str = "text", shards: int | None = None) -> Model:
-    """Count the documents' words and bigrams into a model in the shared folder."""
+def train(
+    docs: DataFrame, text_column: str = "text", shards: int | None = None, wide: bool | None = None
+) -> Model:
+    """Count the documents' words and bigrams into a model in the shared folder. ``wide`` says whether
+    bigrams are hashed pairs; by default they are once ids need more than 32 bits."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "language-model")
     texts = docs.select(whole_text(text_column).alias("text"))
     if shards is None:
         size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         shards = max(8, -(-size // SHARD_BYTES))
-    packed = "shard long, keys binary, counts binary"
-
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = (_with_ends(w)[0] for b in batches for w in find_words(b.column("text"), fold=True))
-        yield from _counted(tokens, lambda keys: shard_of_print(keys, shards))
+        yield from _counted_words(tokens, shards)
 
     def merge_words(table: pa.Table) -> pa.Table:
-        keys, counts = _merged(table)
+        keys, counts, _ = _merged(table)
         top = np.argsort(-counts, kind="stable")[:TOP_WORDS]
         return pa.table(
             {
@@ -270,7 +310,7 @@ def train(docs: DataFrame, text_column: str = "text", shards: int | None = None)
         )
 
     rows = (
-        texts.mapInArrow(count_words, packed)
+        texts.mapInArrow(count_words, PACKED)
         .groupBy("shard")
         .applyInArrow(
             merge_words,
@@ -283,8 +323,8 @@ def train(docs: DataFrame, text_column: str = "text", shards: int | None = None)
     for r in rows:
         files[r.shard], sizes[r.shard] = (r["keys"], r["counts"]), r.n
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
-    if first[-1] >= (1 << 32) - 1:
-        raise ValueError("a bigram is a pair of 32-bit ids: more than 2**32 distinct words")
+    if wide is None:
+        wide = first[-1] >= (1 << 32) - 1
     tokens = sum(r.tokens for r in rows)
     spread = [
         first[r.shard] + place
@@ -292,23 +332,24 @@ def train(docs: DataFrame, text_column: str = "text", shards: int | None = None)
         for place, n in zip(r.top, r.top_counts, strict=True)
         if 4 * shards * n > tokens
     ] + [first[-1]]
-    model = Model(folder, files, first, tokens, spread, [], [], (0,) * 3, (0,) * 3, sum(r.ends for r in rows), 0, 0.0)
-    return _count_bigrams(texts, model, packed)
+    model = Model(folder, files, first, tokens, spread, [], [], (0,) * 3, (0,) * 3, sum(r.ends for r in rows), 0, 0.0, wide)
+    return _count_bigrams(texts, model)
 
 
-def _count_bigrams(texts: DataFrame, model: Model, packed: str) -> Model:
+def _count_bigrams(texts: DataFrame, model: Model) -> Model:
     folder, shards = model.folder, len(model.words)
+    id_kind = "<u8" if model.wide else "<u4"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = Opened.of(model)
 
-        def keys() -> Iterator[np.ndarray]:
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 for words in find_words(batch.column("text"), fold=True):
                     chunk, starts = _with_ends(words)
-                    yield _bigram_keys(opened, chunk, starts[:-1])[-1]
+                    yield _bigram_ids(opened, chunk, starts[:-1])[-2:]
 
-        yield from _counted(keys(), lambda k: shard_of_bigram(k, model))
+        yield from _counted_pairs(pairs(), model)
 
     ranges = _id_cuts(model.size, shards)
     schema = pa.schema(
@@ -324,28 +365,30 @@ def _count_bigrams(texts: DataFrame, model: Model, packed: str) -> Model:
     )
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, counts = _merged(table)
+        keys, counts, pairs = _merged(table)
+        if pairs is None:
+            pairs = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1)
         names = save(folder, keys), save(folder, smallest(counts))
         n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         shard = table.column("shard")[0].as_py()
         out = [(shard, *names, n, None, None, None)]
-        before, at = np.unique((keys >> np.uint64(32)).astype(np.int64), return_index=True)
-        after, kinds = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
+        before, at = np.unique(pairs[:, 0].astype(np.int64), return_inverse=True)
+        after, kinds = np.unique(pairs[:, 1].astype(np.int64), return_counts=True)
         ids = np.union1d(before, after)
         values = np.zeros((len(ids), 4), dtype="<u4")
         place = np.searchsorted(ids, before)
         for column, seen in enumerate((counts == 1, counts == 2, counts > 2)):
-            values[place, column] = np.add.reduceat(seen.astype(np.int64), at)
+            values[place, column] = np.bincount(at[seen], minlength=len(before))
         values[np.searchsorted(ids, after), 3] = kinds
         cuts = np.searchsorted(ids, ranges)
         for part in range(shards):
             a, e = cuts[part], cuts[part + 1]
             if a < e:
-                out.append((shard, None, None, None, part, ids[a:e].astype("<u4").tobytes(), values[a:e].tobytes()))
+                out.append((shard, None, None, None, part, ids[a:e].astype(id_kind).tobytes(), values[a:e].tobytes()))
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     merged = written(
-        texts.mapInArrow(count, packed)
+        texts.mapInArrow(count, PACKED)
         .groupBy("shard")
         .applyInArrow(
             merge, "shard long, keys string, counts string, n array<long>, part long, ids binary, values binary"
@@ -357,7 +400,7 @@ def _count_bigrams(texts: DataFrame, model: Model, packed: str) -> Model:
         part = table.column("part")[0].as_py()
         sums = np.zeros((ranges[part + 1] - ranges[part], 4), dtype=np.int64)
         for ids, values in zip(table.column("ids"), table.column("values"), strict=True):
-            place = np.frombuffer(ids.as_py(), "<u4").astype(np.int64) - ranges[part]
+            place = np.frombuffer(ids.as_py(), id_kind).astype(np.int64) - ranges[part]
             sums[place] += np.frombuffer(values.as_py(), "<u4").reshape(-1, 4)
         kinds = sums[:, 3]
         n = [int((kinds == k).sum()) for k in (1, 2, 3, 4)] + [int((kinds > 0).sum()), int(kinds.sum())]
@@ -389,7 +432,7 @@ def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 def score_tokens(opened: Opened, tokens: np.ndarray, starts: np.ndarray):
     """Per token: count in training, log10 of the add-half unigram, log10 of the model."""
     m = opened.model
-    ids, counts, which, before, keys = _bigram_keys(opened, tokens, starts)
+    ids, counts, which, before, after = _bigram_ids(opened, tokens, starts)
     known = ids >= 0
     stats = np.zeros((len(ids), 4), dtype=np.int64)
     order = np.argsort(ids[known], kind="stable")
@@ -408,9 +451,10 @@ def score_tokens(opened: Opened, tokens: np.ndarray, starts: np.ndarray):
     place[starts] = len(ids)
     followed = total[place] > 0
     both = followed & (ids[which] >= 0)
-    pair, back = np.unique(keys[both], return_inverse=True)
+    left_ids = before[both]
+    pair, first, back = np.unique(bigram(left_ids, after[both], m.wide), return_index=True, return_inverse=True)
     seen = np.zeros(len(tokens), dtype=np.int64)
-    seen[both] = opened.bigrams(pair)[back] if len(pair) else 0
+    seen[both] = opened.bigrams(pair, left_ids[first])[back] if len(pair) else 0
     gamma = left[:, :3] @ np.array(m.high)
     at = place[followed]
     chance[followed] = (_less(seen[followed], m.high) + gamma[at] * chance[followed]) / total[at]

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noticemill.llm import conversations, exact, filter_audit, language_model, minhash, mixture, packing, personal, quality, secrets, sql, token_counts, toxicity, vectors
 from noticemill.llm.ship import ship
+from noticemill.session import size_shuffles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, with the modules sent along and as many shuffle partitions as its size asks for."""
+    path = f"{sf_dir}/{name}.parquet"
+    size_shuffles(spark, path)
+    return ship(spark).read.parquet(path)
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,18 @@ def test_probabilities_add_up_to_one(spark):
     assert all(rows[k] == pytest.approx(first[t]) for k, t in probes)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_hashed_pairs_of_wide_ids_give_the_same(spark, wide):
+    """What a corpus of more than 2**32 distinct words takes, forced on a small one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    texts = [r.text for r in docs.collect()]
+    model = train(docs, shards=5, wide=wide)
+    assert model.wide == wide
+    rows = {r.doc_id: r for r in score(docs, model).collect()}
+    ids = [r.doc_id for r in docs.collect()]
+    same([rows[i] for i in ids], brute(texts, texts))
+
+
 def test_empty_tables(spark):
     assert train_and_score(no_documents(spark)).count() == 0
     model = train(no_documents(spark))
