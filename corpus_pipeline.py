@@ -9,6 +9,11 @@ documents.
 3. near: one document of each group of near-duplicates stays.
 4. mix: documents come as often as the mix of sources holds them, none to several times.
 5. pack: the pieces of the documents in sequences of 2048 tokens.
+
+Null texts count as empty; they are clean, copies of each other, near to nothing, and come as often as
+the mix of their source holds them. Rows without an id and rows that repeat one are documents like others.
+An empty table gives an empty one at every stage. Columns beyond those of documents are passed on, whatever
+their names, up to the last stage, which returns the columns of pieces.
 """
 
 from __future__ import annotations
@@ -18,28 +23,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noticemill.llm import exact, minhash, mixture, packing, toxicity
 from noticemill.llm.ship import ship
-from noticemill.session import written
+from noticemill.session import size_shuffles, written
+
+
+def _ready(spark: SparkSession, sf_dir: str) -> SparkSession:
+    """The session with the library's modules sent along, and as many shuffle partitions as the size of
+    the documents asks for."""
+    size_shuffles(spark, f"{sf_dir}/documents.parquet")
+    return ship(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, _ready(spark, sf_dir).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark, sf_dir)
     return exact.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _ready(spark, sf_dir)
     return minhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark, sf_dir)
     return mixture.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _ready(spark, sf_dir)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

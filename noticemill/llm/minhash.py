@@ -300,5 +300,7 @@ def drop_near_copies(
     """The rows that stay, with all columns: of each component those with its smallest id, and all
     that are linked with nothing. Rows that repeat an id stay or go together."""
     groups = near_groups(docs, percent, id_column, text_column)
-    stay = groups.where("kept").select(F.col(id_column).alias("_near_id"))
-    return docs.join(stay, docs[id_column].eqNullSafe(stay["_near_id"]), "left_semi")
+    # a name that no column of the documents has
+    name = "_near_id" + "_" * max(map(len, docs.columns))
+    stay = groups.where("kept").select(F.col(id_column).alias(name))
+    return docs.join(stay, docs[id_column].eqNullSafe(stay[name]), "left_semi")

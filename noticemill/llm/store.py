@@ -15,9 +15,19 @@ import numpy as np
 from pyarrow import fs
 
 
+#: Hadoop's names of a store that Arrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder as Spark names it, and its path there."""
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+
+
 def save(folder: str, values: np.ndarray) -> str:
     """Write an array of unsigned numbers below the folder and return its name."""
-    system, base = fs.FileSystem.from_uri(folder)
+    system, base = opened(folder)
     system.create_dir(base, recursive=True)
     name = f"u{values.itemsize}-{uuid.uuid4().hex}"
     with system.open_output_stream(f"{base}/{name}") as out:
@@ -32,7 +42,7 @@ def smallest(values: np.ndarray) -> np.ndarray:
 
 def mapped(folder: str, name: str) -> np.ndarray:
     """The array of a name, paged in from its file as it is used."""
-    system, base = fs.FileSystem.from_uri(folder)
+    system, base = opened(folder)
     path, kind = f"{base}/{name}", f"<{name.split('-')[0]}"
     if system.get_file_info(path).size == 0:
         return np.zeros(0, dtype=kind)

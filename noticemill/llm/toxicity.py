@@ -23,6 +23,7 @@ Other columns are not read.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -65,7 +66,15 @@ _EDGES = re.compile(rf"^[^\w{re.escape(_SIGNS)}]++|[^\w{re.escape(_SIGNS)}]++$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Signs that may stand for one letter only, for comparing tokens with features.
 _ONE_LETTER = str.maketrans({c: letters for c, letters in LOOKS.items() if len(letters) == 1})
+#: What may stand at the edges of a word and for no letter, and signs by what they may stand for.
+_MARKS = "".join(c for c in string.punctuation if c not in LOOKS)
+_LOOK = re.compile(f"[{re.escape(''.join(LOOKS))}]")
+_SEVERAL = re.compile(f"[{re.escape(''.join(c for c, letters in LOOKS.items() if len(letters) > 1))}]")
+_SPREADER = re.compile(f"[{re.escape(SPREADERS)}]")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _RUN = re.compile(r"(.)\1*", re.S)
+_DOUBLE = re.compile(r"(.)\1", re.S)
+_RUNS = re.compile(r"(.)\1+", re.S)
 _OTHER = re.compile("[^\x00-\x7f]+")
 
 
@@ -102,11 +111,9 @@ def _class(letter: str) -> int:
 
 def disguised(token: str) -> bool:
     """Whether a token of lower-case characters shows a sign of disguise."""
-    return any(c.isalpha() for c in token) and (any(c in LOOKS for c in token) or repeats(token))
-
-
-def repeats(token: str) -> bool:
-    return any(len(m[0]) > 1 for m in _RUN.finditer(token))
+    if token.isalpha():
+        return _DOUBLE.search(token) is not None
+    return bool((_LOOK.search(token) or _DOUBLE.search(token)) and _LETTERS.search(token))
 
 
 def _spelled(path: tuple | None) -> str:
@@ -149,15 +156,21 @@ def restore(token: str, model: np.ndarray, telling: Telling | None = None) -> li
     them, and each of these as it is and decoded. With ``telling``, those that cannot matter are left
     out."""
     token = token.lower()
+    word = token.strip(_MARKS)
+    if word.isalpha():
+        if _DOUBLE.search(word) and (telling is None or telling.begins(word)):
+            return list(dict.fromkeys((word, decode(word, model))))
+        return [word]
     found: list[str] = []
     at = 0
-    for run in _SPREAD.finditer(token):
-        found += _restored(token[at : run.start()], model, telling)
-        joined = re.sub(rf"[{re.escape(SPREADERS)}]", "", run[0])
-        found += _restored(joined, model, telling)
-        if telling is None or telling.anywhere(joined):
-            found += decode_spread(joined, model)
-        at = run.end()
+    if _SPREADER.search(token):
+        for run in _SPREAD.finditer(token):
+            found += _restored(token[at : run.start()], model, telling)
+            joined = _SPREADER.sub("", run[0])
+            found += _restored(joined, model, telling)
+            if telling is None or telling.anywhere(joined):
+                found += decode_spread(joined, model)
+            at = run.end()
     return list(dict.fromkeys(found + _restored(token[at:], model, telling)))
 
 
@@ -166,7 +179,7 @@ def _restored(part: str, model: np.ndarray, telling: Telling | None) -> list[str
     inner = core.strip(_SIGNS)
     found = _LETTERS.findall(inner)
     # a sign at an edge is a mark, or a letter
-    for reading in dict.fromkeys((inner, core)):
+    for reading in (inner, core) if core != inner else (inner,):
         if disguised(reading) and (telling is None or telling.begins(reading)):
             found.append(decode(reading, model))
     return found
@@ -181,21 +194,25 @@ class Telling:
         self.starts = starts
 
     def begins(self, token: str) -> bool:
-        once = _once(token.translate(_ONE_LETTER))
-        if any(c in LOOKS for c in once):
-            return True  # a sign that may be one of several letters
-        letters = "".join(filter(str.isalpha, once))
-        once = letters if letters == once else _once(letters)
+        if not token.isalpha():
+            token = token.translate(_ONE_LETTER)
+            if _SEVERAL.search(token):
+                return True
+            token = _NO_LETTERS.sub("", token)
+        once = _once(token)
         return any(once[:n] in self.starts for n in self.lengths)
 
     def anywhere(self, token: str) -> bool:
-        once = _once(token.translate(_ONE_LETTER))
-        return any(c in LOOKS for c in once) or any(s in once for s in self.starts)
+        token = token.translate(_ONE_LETTER)
+        if _SEVERAL.search(token):
+            return True
+        once = _once(_NO_LETTERS.sub("", token))
+        return any(s in once for s in self.starts)
 
 
 def _once(letters: str) -> str:
     """The letters, each run of one letter once."""
-    return _RUN.sub(r"\1", letters)
+    return _RUNS.sub(r"\1", letters)
 
 
 def decode_spread(letters: str, model: np.ndarray) -> list[str]:

@@ -101,6 +101,16 @@ def test_hashed_pairs_of_wide_ids_give_the_same(spark, wide):
     same([rows[i] for i in ids], brute(texts, texts))
 
 
+def test_stores_go_by_the_names_that_arrow_knows(monkeypatch):
+    from noticemill.llm import store
+
+    seen = []
+    monkeypatch.setattr(store.fs, "FileSystem", type("Any", (), {"from_uri": staticmethod(seen.append)}))
+    for folder in ("s3a://bucket/a", "s3n://bucket/a", "hdfs://name/a", "file:///tmp/a", "/tmp/a"):
+        store.opened(folder)
+    assert seen == ["s3://bucket/a", "s3://bucket/a", "hdfs://name/a", "file:///tmp/a", "/tmp/a"]
+
+
 def test_empty_tables(spark):
     assert train_and_score(no_documents(spark)).count() == 0
     model = train(no_documents(spark))

@@ -39,6 +39,37 @@ def test_each_stage_matches_brute_force_on_its_own_input(spark):
             assert abs(sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows) - 1.5 * words) < 0.05 * words
 
 
+def test_stages_stand_odd_rows_and_clashing_columns(spark):
+    """Nulls, empty and long texts, repeats, and columns by the names the operators use."""
+    from .helpers import ODD, odd_documents
+
+    docs = odd_documents(spark).selectExpr("*", "1 AS _near_id", "2 AS _tag", "3 AS _copies", "4 AS text_")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = Counter(r.doc_id for r in docs.collect())
+        docs = corpus_pipeline.written(stage(spark, docs, "/root/testdata/sf0.001"), "test")
+        kept = Counter(r.doc_id for r in docs.collect())
+        if name == "toxicity":
+            assert kept == before == Counter(r[0] for r in ODD)
+        elif name == "exact":
+            assert kept == Counter([None, 4, 5, 6, 7, 8, 9, 10])
+        elif name == "near":
+            assert kept == before
+        else:
+            assert set(kept) <= set(before)
+        if name != "pack":
+            assert docs.columns == columns
+
+
+def test_stages_of_an_empty_table(spark):
+    from .helpers import no_documents
+
+    docs = no_documents(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, "/root/testdata/sf0.001"), "test")
+        assert docs.count() == 0
+
+
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 2048
