@@ -19,10 +19,9 @@ Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import string
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,13 +41,14 @@ WINDOW = 2
 HIDDEN, EPOCHS, BATCH = 32, 40, 128
 #: Words remembered by one Python worker before it starts afresh, units it counts before it sends them,
 #: and words whose vectors it holds at once.
-MOST_WORDS, GATHER, TOGETHER = 150_000, 200_000, 8192
+MOST_WORDS, GATHER, TOGETHER = 150_000, 200_000, 2048
 
 _KINDS = str.maketrans(
     {c: "X" for c in string.ascii_uppercase}
     | {c: "x" for c in string.ascii_lowercase}
     | {c: "9" for c in string.digits}
 )
+_MARKS = ",.;:!?"
 _OTHER = re.compile("[^\x00-\x7f]+")
 _RUN = re.compile(r"(.)\1+", re.S)
 
@@ -60,6 +60,13 @@ def shape(word: str) -> str:
 
 def units_of(word: str) -> tuple[str, str]:
     """A word's two units: its shape, and its lower-cased letters."""
+    mark = word[-1] if word[-1] in _MARKS else ""
+    core = word[:-1] if mark else word
+    if core.isascii() and core.isalpha():  # most words: their shapes are known at once
+        if core.islower():
+            return "#x" + mark, core
+        if core[1:].islower():
+            return "#Xx" + mark, core.lower()
     lower = word.lower()
     letters = lower if lower.isalnum() else "".join(filter(str.isalnum, lower))
     return shape(word), letters or word
@@ -75,8 +82,8 @@ def random_places(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def print_of(unit: str) -> int:
-    """The hash of a unit."""
-    return int.from_bytes(hashlib.blake2b(unit.encode(), digest_size=8).digest(), "little")
+    """The hash of a unit, which its random vector is drawn from."""
+    return zlib.crc32(unit.encode())
 
 
 def random_vectors(prints: np.ndarray) -> np.ndarray:
@@ -87,29 +94,39 @@ def random_vectors(prints: np.ndarray) -> np.ndarray:
     return vectors
 
 
+def spellings(words: Words, places: np.ndarray) -> list[str]:
+    """The words at some places of a chunk."""
+    raw = words.data.tobytes()
+    return [raw[a:e].decode() for a, e in zip(words.starts[places].tolist(), words.ends[places].tolist(), strict=True)]
+
+
 class Units:
     """Units of distinct words, remembered in a worker: places among the kept ones, and hashes."""
 
     def __init__(self, place: dict[str, int]):
         self.place = place
-        self.known: dict[int, tuple[int, int, int, int]] = {}
+        self.known: dict[int, int] = {}
+        self.held = np.empty((0, 2), dtype=np.int64)
+        self.hashes = np.empty((0, 2), dtype=np.uint64)
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per distinct word (shape, letters) as places, -1 for a unit that is not kept; per distinct word
         the hashes of both; and which of them each word of the chunk is."""
         prints, at, which = np.unique(words.prints, return_index=True, return_inverse=True)
+        keys = prints.tolist()
         if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        held = np.empty((len(prints), 2), dtype=np.int64)
-        hashes = np.empty((len(prints), 2), dtype=np.uint64)
-        for k, key in enumerate(prints.tolist()):
-            units = self.known.get(key)
-            if units is None:
-                a, b = units_of(words.text(at[k]))
-                units = self.known[key] = self.place.get(a, -1), self.place.get(b, -1), print_of(a), print_of(b)
-            held[k] = units[:2]
-            hashes[k] = units[2:]
-        return held, hashes, which
+            self.known, self.held, self.hashes = {}, self.held[:0], self.hashes[:0]
+        rows = np.fromiter((self.known.get(key, -1) for key in keys), dtype=np.int64, count=len(keys))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            units = [unit for word in spellings(words, at[new]) for unit in units_of(word)]
+            held = np.fromiter((self.place.get(u, -1) for u in units), dtype=np.int64, count=len(units))
+            hashes = np.fromiter(map(print_of, units), dtype=np.uint64, count=len(units))
+            rows[new] = np.arange(len(self.held), len(self.held) + len(new))
+            self.held = np.concatenate([self.held, held.reshape(-1, 2)])
+            self.hashes = np.concatenate([self.hashes, hashes.reshape(-1, 2)])
+            self.known.update(zip(prints[new].tolist(), rows[new].tolist(), strict=True))
+        return self.held[rows], self.hashes[rows], which
 
 
 class Classifier(NamedTuple):
@@ -121,30 +138,36 @@ class Classifier(NamedTuple):
     temperature: float
 
 
+def word_vectors(held: np.ndarray, hashes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct words the sums of their two units' vectors, and of the squares of these."""
+    total = np.zeros((len(held), DIMENSIONS), dtype=np.float32)
+    squares = np.zeros_like(total)
+    for side in (0, 1):
+        kept = np.flatnonzero(held[:, side] >= 0)
+        v = vectors[held[kept, side]]
+        total[kept] += v
+        squares[kept] += v * v
+        rest = np.flatnonzero(held[:, side] < 0)
+        places, signs = random_places(hashes[rest, side])
+        total[rest[:, None], places] += signs.astype(np.float32) / np.float32(np.sqrt(NONZERO))
+        squares[rest[:, None], places] += np.float32(1 / NONZERO)
+    return total, squares
+
+
 def pooled(units: Units, vectors: np.ndarray, column: pa.Array) -> Iterator[np.ndarray]:
     """Mean and spread of the vectors of each text's units, and how many different words it has."""
     for words in find_words(column, fold=False):
         held, hashes, which = units.of(words)
-        own_places, own_signs = random_places(hashes.ravel())
-        own_places = own_places.reshape(-1, 2, NONZERO)
-        own_signs = own_signs.reshape(-1, 2, NONZERO) / np.sqrt(NONZERO)
+        total, squares = word_vectors(held, hashes, vectors)
         for a, e in zip(words.of[:-1], words.of[1:], strict=True):
             out = np.zeros(2 * DIMENSIONS + 2, dtype=np.float32)
             n = e - a
             if n:
                 kinds, counts = np.unique(which[a:e], return_counts=True)
-                places = held[kinds]
-                kept = places >= 0
-                both = np.broadcast_to(counts[:, None], places.shape)
-                share = (both[kept] / (2 * n)).astype(np.float32)
-                v = vectors[places[kept]]
-                rest = (both[~kept] / (2 * n))[:, None]
-                at = own_places[kinds][~kept].ravel()
-                signs = own_signs[kinds][~kept]
-                centre = share @ v + np.bincount(at, (rest * signs).ravel(), minlength=DIMENSIONS)
-                square = share @ (v * v) + np.bincount(at, (rest * signs**2).ravel(), minlength=DIMENSIONS)
+                share = (counts / (2 * n)).astype(np.float32)
+                centre = share @ total[kinds]
                 out[:DIMENSIONS] = centre
-                out[DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(square - centre * centre, 0.0))
+                out[DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(share @ squares[kinds] - centre * centre, 0.0))
                 out[-2] = np.log1p(n)
                 out[-1] = len(kinds) / n
             yield out
@@ -154,8 +177,7 @@ def common_units(texts: DataFrame, units: int = UNITS) -> list[str]:
     """The units that occur most often in all texts, the most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter[str] = Counter()
-        known: dict[int, tuple[str, str]] = {}
+        sums: dict[str, int] = {}
 
         def sent() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -164,15 +186,10 @@ def common_units(texts: DataFrame, units: int = UNITS) -> list[str]:
 
         for batch in batches:
             for words in find_words(batch.column("text"), fold=False):
-                prints, at, counts = np.unique(words.prints, return_index=True, return_counts=True)
-                for k, (key, n) in enumerate(zip(prints.tolist(), counts.tolist(), strict=True)):
-                    both = known.get(key)
-                    if both is None:
-                        both = known[key] = units_of(words.text(at[k]))
-                    sums[both[0]] += n
-                    sums[both[1]] += n
-                if len(known) > MOST_WORDS:
-                    known.clear()
+                _, at, counts = np.unique(words.prints, return_index=True, return_counts=True)
+                for word, n in zip(spellings(words, at), counts.tolist(), strict=True):
+                    for unit in units_of(word):
+                        sums[unit] = sums.get(unit, 0) + n
                 if len(sums) > GATHER:
                     yield sent()
                     sums.clear()
@@ -183,11 +200,12 @@ def common_units(texts: DataFrame, units: int = UNITS) -> list[str]:
 
 
 def _add_rows(sums: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
-    """Add each row to the sum at its place, in whole numbers."""
+    """Add each row to the sum at its place. Rows are whole numbers below 16, and at most ``TOGETHER``, so
+    their sums fit in 16 bits."""
     order = np.argsort(places, kind="stable")
     ordered = places[order]
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    sums[ordered[at]] += np.add.reduceat(rows[order], at, axis=0, dtype=np.int32)
+    sums[ordered[at]] += np.add.reduceat(rows[order], at, axis=0)
 
 
 def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
@@ -195,7 +213,7 @@ def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
     unit counts as beside it; ``WINDOW`` words on both sides, within the text, count with both units."""
     for words in find_words(column, fold=False):
         held, hashes, which = units.of(words)
-        shapes, letters = random_vectors(hashes[:, 0]), random_vectors(hashes[:, 1])
+        shapes, letters = (random_vectors(hashes[:, side]).astype(np.int16) for side in (0, 1))
         joint = shapes + letters
         text = np.searchsorted(words.of, np.arange(len(which)), side="right")
         for first in range(0, len(which), TOGETHER):
@@ -205,9 +223,12 @@ def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
             around = np.zeros_like(own)
             for step in range(1, WINDOW + 1):
                 if step < len(own):
-                    same = (text[low + step : high] == text[low : high - step])[:, None]
-                    around[step:] += own[:-step] * same
-                    around[:-step] += own[step:] * same
+                    around[step:] += own[:-step]
+                    around[:-step] += own[step:]
+                    # neighbours in another text are none
+                    apart = np.flatnonzero(text[low + step : high] != text[low : high - step])
+                    around[apart + step] -= own[apart]
+                    around[apart] -= own[apart + step]
             inside = slice(first - low, last - low)
             here = which[first:last]
             for side, other in ((0, letters), (1, shapes)):
