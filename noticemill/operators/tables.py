@@ -26,6 +26,8 @@ from noticemill.session import path_exists
 
 # jobs fold batches once so many lie behind the last base
 COMPACT_AFTER = 32
+# columns beside the keys that rows are looked up by
+HASHES = ("content_hash",)
 
 
 @dataclass(frozen=True)
@@ -115,8 +117,14 @@ class RecordTable:
         rows = changes.select(*self.schema.fieldNames())
         self._write(rows, f"{self.path}/batch={batch}")
 
-    def _write(self, rows: DataFrame, folder: str) -> None:
-        rows.write.mode("overwrite").parquet(folder)
+    def _write(self, rows: DataFrame, folder: str, looked_up: Sequence[str] = ()) -> None:
+        writer = rows.write.mode("overwrite")
+        if looked_up:
+            # filters of a size that the number of values in the row group asks for
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for column in looked_up:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(folder)
         if not path_exists(rows.sparkSession, f"{folder}/_SUCCESS"):
             raise RuntimeError(
                 f"{folder} has no _SUCCESS: reading leaves out folders without it, so the cluster "
@@ -138,14 +146,17 @@ class RecordTable:
         given number. The batches stay: streams may read them, and so may a run that has begun.
 
         Range clustering cuts a large source or category into several files and lets row-group
-        statistics prune on the cluster columns.
+        statistics prune on the cluster columns. Keys and hashes are spread over all of these files, so
+        each row group has Bloom filters for them: a lookup by key or hash reads the row groups that
+        hold it and hardly any other.
         """
         batches = [n for n in self._folders(spark, "batch") if before is None or n < before]
         if not batches:
             return
         rows = self.read(spark, before)
         clustered = rows.repartitionByRange(*self.cluster_by).sortWithinPartitions(*self.cluster_by)
-        self._write(clustered, f"{self.path}/base={batches[-1]}")
+        looked_up = [c for c in dict.fromkeys((*self.keys, *HASHES)) if c in self.schema.names]
+        self._write(clustered, f"{self.path}/base={batches[-1]}", looked_up)
 
     def compact_after(
         self, spark: SparkSession, batches: int = COMPACT_AFTER, before: int | None = None

@@ -2,8 +2,9 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from noticemill.operators.tables import raw_table
+from noticemill.operators.tables import RecordTable, raw_table
 from noticemill.schemas import RAW
 
 
@@ -82,3 +83,35 @@ def test_markers_turned_off_are_an_error(spark, tmp_path):
             raw_table(str(tmp_path / "raw")).write_batch(rows(spark, ("1", "a")), 0)
     finally:
         conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
+def rows_scanned(frame):
+    """Rows that came out of the files, from the metrics of the scan."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    text = plan.getClass().getSimpleName()
+    plan = plan.executedPlan() if text == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_lookups_read_few_row_groups_of_a_base(spark, tmp_path):
+    """Ids and hashes are spread over all files, so only Bloom filters can leave files out."""
+    table = RecordTable(
+        str(tmp_path / "t"), T.StructType.fromDDL("k string, content_hash string, day long"), ("k",), ("day",)
+    )
+    rows = spark.range(40_000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("k"),
+        F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")), 256).alias("content_hash"),
+        F.col("id").alias("day"),
+    )
+    table.write_batch(rows, 0)
+    table.compact(spark)
+    files = len(list((tmp_path / "t" / "base=0").glob("part-*.parquet")))
+    assert files >= 4
+    one = rows.filter("day = 12345").first()
+    for name in ("k", "content_hash"):
+        found = table.read(spark).filter(F.col(name) == one[name])
+        assert [r.day for r in found.collect()] == [12345]
+        assert rows_scanned(found) < 2.5 * 40_000 / files
+        assert rows_scanned(table.read(spark).filter(F.col(name) == "0" * 64)) < 40_000 / files * 1.5
