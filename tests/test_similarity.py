@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from noticemill.functions.stopwords import ENGLISH
+from noticemill.operators import similarity
 from noticemill.operators.similarity import corpus, find_duplicates, prefix_pairs, profiles
 from noticemill.operators.tfidf import scaled, vocabulary, postings, weights
 
@@ -156,3 +157,31 @@ def test_stop_words_are_the_ones_spark_ships(spark):
     from pyspark.ml.feature import StopWordsRemover
 
     assert list(ENGLISH) == list(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+@pytest.mark.parametrize(("rows", "chunk", "long_list"), [(40, 512, 32768), (25, 4, 12), (25, 2, 0)])
+def test_blocks_compare_every_pair_once_and_shuffle_a_vector_once_per_block(spark, monkeypatch, rows, chunk, long_list):
+    texts = sample(8, n=120, copies=10)
+    _, wanted = brute(texts, 0.6)
+    vectors = profiles(scaled(corpus(frame(spark, texts), "doc"), stop_words=())).selectExpr("id", "1L AS n", "vector")
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", rows)
+    blocks = similarity.block_count(vectors)
+    assert blocks == -(-vectors.count() // rows) > 2
+    assert similarity.in_blocks(vectors, blocks).count() == vectors.count() * blocks
+    found = prefix_pairs(vectors, 0.6, chunk, long_list).collect()
+    got = {(r.id_a, r.id_b): r.similarity for r in found}
+    assert len(found) == len(got) and set(got) == set(wanted)
+    assert all(abs(got[p] - wanted[p]) < 1e-9 for p in wanted)
+
+
+def test_blocks_of_long_texts(spark, monkeypatch):
+    """Vectors of many terms fill the buckets of a narrow sketch."""
+    rng = random.Random(9)
+    bank = [f"w{i:04d}" for i in range(1500)]
+    texts = {i: " ".join(rng.choices(bank, k=rng.choice((3, 40, 900)))) for i in range(60)}
+    texts |= {60 + i: texts[i] + " " + rng.choice(bank) for i in range(40)}
+    _, wanted = brute(texts, 0.85)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(similarity, "TILE", 8)
+    assert set(expanded(find_duplicates(frame(spark, texts), "doc", stop_words=()))) == set(wanted)
+    assert len(wanted) >= 30
