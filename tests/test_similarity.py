@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from noticemill import session
 from noticemill.functions.stopwords import ENGLISH
 from noticemill.operators import similarity
 from noticemill.operators.similarity import corpus, find_duplicates, prefix_pairs, profiles
@@ -185,3 +187,28 @@ def test_blocks_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(similarity, "TILE", 8)
     assert set(expanded(find_duplicates(frame(spark, texts), "doc", stop_words=()))) == set(wanted)
     assert len(wanted) >= 30
+
+
+def test_words_of_larger_files_go_to_more_tasks(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "two words")
+    rows = [(i, f"alpha beta w{i % 7} " + "gamma " * 20) for i in range(4000)]
+    spark.createDataFrame(rows, "id long, text string").repartition(4).write.parquet(folder)
+    documents = spark.read.parquet(folder)
+    before = postings(documents).rdd.getNumPartitions()
+    monkeypatch.setattr(session, "TEXT_BYTES", 500)
+    after = postings(documents).rdd.getNumPartitions()
+    assert after >= 3 * before
+    found = {r.term: (r.cf, r.df) for r in vocabulary(postings(documents)).collect()}
+    assert found["gamma"] == (80_000, 4000) and found["alpha"] == (4000, 4000)
+
+
+def test_counts_stand_for_the_vectors(spark):
+    rows = scaled(corpus(frame(spark, sample(10)), "doc"), stop_words=())
+    whole = {r.id: r for r in profiles(rows).collect()}
+    table = profiles(rows, counts=True)
+    idf = similarity.inverse_frequencies(table, len(sample(10)))
+    for r in table.collect():
+        cells = np.frombuffer(whole[r.id].vector, similarity._CELL)
+        mine = similarity.weighted(r.vector, idf)
+        assert r.digest == whole[r.id].digest and (mine["rank"] == cells["rank"]).all()
+        assert np.allclose(mine["weight"], cells["weight"], atol=1e-12)
