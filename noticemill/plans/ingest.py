@@ -88,8 +88,12 @@ def collect(
         # responses are parsed once; the steps after it read columns of tables
         arriving = written(incoming(rows, mine, moment, resume), "arriving")
         actions = written(merge_actions(arriving, mine, RAW_KEY, ARRIVAL), "actions")
-        table.write_batch(apply_actions(arriving, actions, RAW_KEY, ARRIVAL), number)
         counts = collect_counts(actions).first()
+        # where nothing is to be written, the payload of the run need not be shuffled to find that out
+        changes = arriving.limit(0)
+        if counts["items_collected"]:
+            changes = apply_actions(arriving, actions, RAW_KEY, ARRIVAL)
+        table.write_batch(changes, number)
         bad = unreadable(pages, name)
         n_bad = 0 if bad is None else table.write_aside(bad, "unreadable", number)
         if n_bad:
