@@ -11,7 +11,9 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,45 +136,111 @@ def curate_stream(
     return writer.trigger(availableNow=True).start()
 
 
-#: What the state store holds of a key: its last hash, its version and when it was first seen.
-KEY_STATE = "content_hash string, version int, created_at timestamp"
+#: Groups that keys are dealt to by their hash, each with one state. A checkpoint folder keeps the number.
+KEY_GROUPS = 1024
+#: What the state store holds of a group: an Arrow table with a row per key.
+GROUP_STATE = "known binary"
+_KNOWN = pa.schema(
+    [("key", pa.string()), ("content_hash", pa.string()), ("version", pa.int32()), ("created_at", pa.int64())]
+)
+
+
+def _key_text(schema: T.StructType, keys: Sequence[str]) -> Column:
+    """A text that rows share if and only if their keys are equal, null with null."""
+
+    def text(name: str) -> Column:
+        kind, value = schema[name].dataType, F.col(name)
+        if isinstance(kind, T.TimestampType):
+            return F.unix_micros(value).cast("string")
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            return (value + F.lit(0.0)).cast("string")  # -0.0 is 0.0
+        if isinstance(kind, T.BinaryType):
+            return F.hex(value)
+        return value.cast("string")
+
+    return F.to_json(F.array(*map(text, keys)), {"ignoreNullFields": "false"})
 
 
 def keyed_changes(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: T.StructType
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: T.StructType, groups: int = KEY_GROUPS
 ) -> DataFrame:
     """The changed rows of a stream of records, at most one per key and micro-batch, with the columns of
     ``schema``. The hash and version of every key are kept in the state store, so no stored table is
     read. Rows of a key count as applied one by one, in ``order`` and then by their hashes; the last
     one is the one that is kept, with one version more for each change.
 
-    All rows of a key in a micro-batch meet in one task: what a micro-batch reads bounds them.
+    Keys are dealt to ``groups`` groups by their hash. A group has one state with what is known of all its
+    keys, and its rows are handled together, as the call for a group costs as much as thousands of rows. All
+    rows of a group in a micro-batch meet in one task: what a micro-batch reads bounds them. A
+    checkpoint folder belongs to one number of groups.
     """
     names = schema.names
     held = [n for n in names if n not in ("version", "created_at", "updated_at")]
     read = list(dict.fromkeys([*held, *keys, *order, "content_hash"]))
+    moments = [n for n in ("created_at", "updated_at") if n in names]
+    # pandas would make floats of whole numbers with nulls among them, and round the large ones
+    whole = [n for n in read if isinstance(rows.schema[n].dataType, T.LongType)]
 
     def apply(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(parts)).sort_values([*order, "content_hash"], kind="stable")
-        known, version, created = state.get if state.exists else (None, 0, None)
-        hashes = [None if pd.isna(h) else h for h in found["content_hash"]]
-        changes = 0
-        for content in hashes:
-            if version + changes == 0 or content != known:
-                changes += 1
-                known = content
-        if not changes:
+        found = pd.concat(list(parts), ignore_index=True)
+        for k, name in enumerate(whole):
+            found[name] = pd.arrays.IntegerArray(found[name].to_numpy(), found[f"_null{k}"].to_numpy())
+        if state.exists:
+            known = pa.ipc.open_stream(state.get[0]).read_all().to_pandas()
+        else:
+            known = _KNOWN.empty_table().to_pandas()
+        places, distinct = pd.factorize(pd.concat([known["key"], found["_key"]], ignore_index=True))
+        hashes = pd.factorize(pd.concat([known["content_hash"], found["content_hash"]], ignore_index=True))[0]
+        old = len(known)  # the known keys are distinct, so they have the places before the new ones
+        found["_place"], found["_content"] = places[old:], hashes[old:]
+        found = found.sort_values(["_place", *order, "content_hash"], kind="stable")
+        place, content = found["_place"].to_numpy(), found["_content"].to_numpy()
+        opens = np.append(True, place[1:] != place[:-1])
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(place)) - 1
+        changed = np.append(True, content[1:] != content[:-1])
+        at = place[first]
+        stored = at < old
+        changed[first] = True
+        changed[first[stored]] = content[first[stored]] != hashes[at[stored]]
+        changes = np.add.reduceat(changed.astype(np.int64), first)
+        kept = changes > 0
+        if not kept.any():
             return
-        last = found.iloc[[len(hashes) - 1]]
-        now = last["_now"].iloc[0].to_pydatetime()
-        created = created if isinstance(created, datetime.datetime) else now
-        state.update((known, version + changes, created))
-        yield last.assign(version=version + changes, created_at=created, updated_at=now)[names]
-
-    stamped = rows.select(*read, F.current_timestamp().alias("_now"))
-    return stamped.groupBy(*keys).applyInPandasWithState(
-        apply, schema, KEY_STATE, "update", GroupStateTimeout.NoTimeout
+        at, changes, out = at[kept], changes[kept], found.iloc[last[kept]]
+        now = out["_now"].to_numpy(dtype=np.int64)
+        version = np.zeros(len(distinct), dtype=np.int64)
+        version[:old] = known["version"]
+        created = np.zeros(len(distinct), dtype=np.int64)
+        created[:old] = known["created_at"]
+        latest = np.append(known["content_hash"].to_numpy(dtype=object), np.full(len(distinct) - old, None))
+        created[at] = np.where(at < old, created[at], now)
+        version[at] += changes
+        latest[at] = out["content_hash"].to_numpy(dtype=object)
+        columns = [distinct, pd.Series(latest, dtype=object), version, created]
+        table = pa.Table.from_arrays(
+            [pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, _KNOWN, strict=True)], schema=_KNOWN
+        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _KNOWN) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        yield out.assign(version=version[at], created_at=created[at], updated_at=now)[names]
+
+    # times of the job travel as microseconds, whatever the time zone of the session
+    sent = T.StructType(
+        [T.StructField(f.name, T.LongType() if f.name in moments else f.dataType) for f in schema.fields]
+    )
+    now = F.unix_micros(F.current_timestamp()).alias("_now")
+    text = _key_text(rows.schema, keys)
+    empty = [F.col(n).isNull().alias(f"_null{k}") for k, n in enumerate(whole)]
+    sent_rows = [F.coalesce(n, F.lit(0)).alias(n) if n in whole else F.col(n) for n in read]
+    stamped = rows.select(*sent_rows, *empty, now, text.alias("_key"))
+    dealt = stamped.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)))
+    changes = dealt.groupBy("_group").applyInPandasWithState(
+        apply, sent, GROUP_STATE, "update", GroupStateTimeout.NoTimeout
     )
+    return changes.withColumns({n: F.timestamp_micros(n) for n in moments})
 
 
 def merge_keyed_stream(
