@@ -14,6 +14,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from struct import pack
 from typing import NamedTuple
 
 import numpy as np
@@ -112,22 +113,20 @@ class Encoder:
         """The ids of distinct words."""
         if self.size > MOST_BYTES // 2:
             self.known, self.older, self.size = {}, self.known, 0
-        held: list[bytes | None] = []
-        new = []
-        for k, key in enumerate(keys):
-            ids = self.known.get(key)
-            if ids is None:
-                ids = self.older.get(key)
-                if ids is None:
-                    new.append(k)
-                else:
-                    self._remember(key, ids)
-            held.append(ids)
+        held = list(map(self.known.get, keys))
+        new = [k for k, ids in enumerate(held) if ids is None]
+        if self.older:
+            for k in new:
+                ids = held[k] = self.older.get(keys[k])
+                if ids is not None:
+                    self._remember(keys[k], ids)
+            new = [k for k in new if held[k] is None]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for k, ids in zip(part, self._pieces([keys[k].decode() for k in part]), strict=True):
-                held[k] = np.array(ids, dtype="<u4").tobytes()
-                self._remember(keys[k], held[k])
+            words = [keys[k] for k in part]
+            for k, key, ids in zip(part, words, self._pieces(words), strict=True):
+                held[k] = packed = pack(f"<{len(ids)}I", *ids)
+                self._remember(key, packed)
         return held
 
     def _remember(self, key: bytes, ids: bytes) -> None:
@@ -137,16 +136,13 @@ class Encoder:
             self.known[key] = ids
             self.size += size
 
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pieces. Pieces of ASCII letters pass the steps before the merges unchanged but
         for their case, so they go to the merges at once."""
-        plain = [p.isascii() and p.isalpha() for p in pieces]
-        rest = iter(self.many([p for p, simple in zip(pieces, plain, strict=True) if not simple]))
-        merge, case = self.merge, (str.lower if self.folds else str)
-        return [
-            [t.id for t in merge(case(p))] if simple else next(rest)
-            for p, simple in zip(pieces, plain, strict=True)
-        ]
+        # of bytes, only ASCII letters are letters
+        rest = iter(self.many([p.decode() for p in pieces if not p.isalpha()]))
+        merge, case = self.merge, (bytes.lower if self.folds else bytes)
+        return [[t.id for t in merge(case(p).decode())] if p.isalpha() else next(rest) for p in pieces]
 
 
 def drops_space(spec: dict) -> bool:

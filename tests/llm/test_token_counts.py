@@ -1,7 +1,9 @@
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from noticemill.llm.encoder import MOST_BYTES, Encoder
 from noticemill.llm.token_counts import count_tokens, read_cache
 
 from .helpers import ODD, no_documents, odd_documents
@@ -50,3 +52,19 @@ def test_only_misses_are_encoded_and_appended(spark, tmp_path):
 
 def test_empty_table(spark):
     assert count_tokens(no_documents(spark), PATH).count() == 0
+
+
+def test_pieces_are_bytes():
+    """Words go to the library as the bytes they are remembered by, letters straight to the merges."""
+    encoder = Encoder(PATH)
+    library = Tokenizer.from_file(PATH)
+    words = ["Plain", "plain", "naïve", "42", "漢字", "...", "QuiteLongCompoundWord", "x9"]
+    expected = [library.encode(word, add_special_tokens=False).ids for word in words]
+    assert encoder._pieces([word.encode() for word in words]) == expected
+    encoder.size = MOST_BYTES  # the words met so far become the older ones, and are found there
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder._ids([w.encode() for w in words])] == expected
+    assert not encoder.older
+    encoder.size = MOST_BYTES
+    held = encoder._ids([w.encode() for w in ["new", *words]])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in held[1:]] == expected
+    assert set(encoder.known) == {b"new", *(w.encode() for w in words)}
