@@ -22,7 +22,8 @@ from __future__ import annotations
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -72,6 +73,49 @@ def units_of(word: str) -> tuple[str, str]:
     return shape(word), letters or word
 
 
+#: The kinds of bytes, where those outside ASCII count as ``x``, and those of ASCII that are neither letters
+#: nor digits.
+_BYTE_KINDS = bytes.maketrans(
+    (string.ascii_uppercase + string.ascii_lowercase + string.digits).encode() + bytes(range(128, 256)),
+    b"X" * 26 + b"x" * 26 + b"9" * 10 + b"x" * 128,
+)
+_BYTE_MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+#: Longer words' kinds are not remembered.
+LONGEST = 40
+
+
+class Shapes(dict):
+    """What is known of a shape, by the kinds of a word's characters, found once for each."""
+
+    def __init__(self, about: Callable[[str], object]):
+        self.about = about
+
+    def __missing__(self, kinds: bytes):
+        found = self.about(shape(kinds.decode()))
+        if len(kinds) <= LONGEST and len(self) < MOST_WORDS:
+            self[kinds] = found
+        return found
+
+
+def split_units(words: list[bytes], shapes: Shapes) -> tuple[list, list[bytes]]:
+    """The two units of words, as ``units_of`` gives them: what is known of the shape, and the letters."""
+    known = [shapes[word.translate(_BYTE_KINDS)] for word in words]
+    letters = [
+        (word.lower().translate(None, _BYTE_MARKS) or word) if word.isascii() else _letters(word) for word in words
+    ]
+    return known, letters
+
+
+def _letters(word: bytes) -> bytes:
+    """The letters of a word with characters outside ASCII."""
+    lower = word.decode().lower()
+    if not lower.isalnum():
+        lower = lower.encode().translate(None, _BYTE_MARKS).decode()
+        if not lower.isalnum():
+            lower = "".join(filter(str.isalnum, lower))
+    return lower.encode() or word
+
+
 def random_places(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the few numbers in the fixed random vectors of some hashes, row by row: one in
     each of ``NONZERO`` equal parts of the vector."""
@@ -94,17 +138,18 @@ def random_vectors(prints: np.ndarray) -> np.ndarray:
     return vectors
 
 
-def spellings(words: Words, places: np.ndarray) -> list[str]:
+def spellings(words: Words, places: np.ndarray) -> list[bytes]:
     """The words at some places of a chunk."""
     raw = words.data.tobytes()
-    return [raw[a:e].decode() for a, e in zip(words.starts[places].tolist(), words.ends[places].tolist(), strict=True)]
+    return [raw[a:e] for a, e in zip(words.starts[places].tolist(), words.ends[places].tolist(), strict=True)]
 
 
 class Units:
     """Units of distinct words, remembered in a worker: places among the kept ones, and hashes."""
 
     def __init__(self, place: dict[str, int]):
-        self.place = place
+        self.place = {unit.encode(): k for unit, k in place.items()}
+        self.shapes = Shapes(lambda unit: (place.get(unit, -1), print_of(unit)))
         self.known: dict[int, int] = {}
         self.held = np.empty((0, 2), dtype=np.int64)
         self.hashes = np.empty((0, 2), dtype=np.uint64)
@@ -116,15 +161,17 @@ class Units:
         keys = prints.tolist()
         if len(self.known) > MOST_WORDS:
             self.known, self.held, self.hashes = {}, self.held[:0], self.hashes[:0]
-        rows = np.fromiter((self.known.get(key, -1) for key in keys), dtype=np.int64, count=len(keys))
+        rows = np.fromiter(map(self.known.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
         new = np.flatnonzero(rows < 0)
         if len(new):
-            units = [unit for word in spellings(words, at[new]) for unit in units_of(word)]
-            held = np.fromiter((self.place.get(u, -1) for u in units), dtype=np.int64, count=len(units))
-            hashes = np.fromiter(map(print_of, units), dtype=np.uint64, count=len(units))
+            shapes, letters = split_units(spellings(words, at[new]), self.shapes)
+            held, hashes = np.empty((len(new), 2), dtype=np.int64), np.empty((len(new), 2), dtype=np.uint64)
+            held[:, 0], hashes[:, 0] = np.array(shapes, dtype=np.int64).T
+            held[:, 1] = np.fromiter(map(self.place.get, letters, repeat(-1)), dtype=np.int64, count=len(new))
+            hashes[:, 1] = np.fromiter(map(zlib.crc32, letters), dtype=np.uint64, count=len(new))
             rows[new] = np.arange(len(self.held), len(self.held) + len(new))
-            self.held = np.concatenate([self.held, held.reshape(-1, 2)])
-            self.hashes = np.concatenate([self.hashes, hashes.reshape(-1, 2)])
+            self.held = np.concatenate([self.held, held])
+            self.hashes = np.concatenate([self.hashes, hashes])
             self.known.update(zip(prints[new].tolist(), rows[new].tolist(), strict=True))
         return self.held[rows], self.hashes[rows], which
 
@@ -138,15 +185,16 @@ class Classifier(NamedTuple):
     temperature: float
 
 
-def word_vectors(held: np.ndarray, hashes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct words the sums of their two units' vectors, and of the squares of these."""
-    total = np.zeros((len(held), DIMENSIONS), dtype=np.float32)
-    squares = np.zeros_like(total)
+def word_vectors(
+    held: np.ndarray, hashes: np.ndarray, vectors: np.ndarray, powers: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct words the sums of their two units' vectors, and of the squares of these. The last row
+    of ``vectors`` and of their squares ``powers`` is that of a unit that is not kept, and 0."""
+    total = vectors[held[:, 0]]
+    squares = powers[held[:, 0]]
+    total += vectors[held[:, 1]]
+    squares += powers[held[:, 1]]
     for side in (0, 1):
-        kept = np.flatnonzero(held[:, side] >= 0)
-        v = vectors[held[kept, side]]
-        total[kept] += v
-        squares[kept] += v * v
         rest = np.flatnonzero(held[:, side] < 0)
         places, signs = random_places(hashes[rest, side])
         total[rest[:, None], places] += signs.astype(np.float32) / np.float32(np.sqrt(NONZERO))
@@ -156,9 +204,11 @@ def word_vectors(held: np.ndarray, hashes: np.ndarray, vectors: np.ndarray) -> t
 
 def pooled(units: Units, vectors: np.ndarray, column: pa.Array) -> Iterator[np.ndarray]:
     """Mean and spread of the vectors of each text's units, and how many different words it has."""
+    vectors = np.vstack([vectors, np.zeros((1, DIMENSIONS), dtype=np.float32)])
+    powers = vectors * vectors
     for words in find_words(column, fold=False):
         held, hashes, which = units.of(words)
-        total, squares = word_vectors(held, hashes, vectors)
+        total, squares = word_vectors(held, hashes, vectors, powers)
         for a, e in zip(words.of[:-1], words.of[1:], strict=True):
             out = np.zeros(2 * DIMENSIONS + 2, dtype=np.float32)
             n = e - a
@@ -177,18 +227,19 @@ def common_units(texts: DataFrame, units: int = UNITS) -> list[str]:
     """The units that occur most often in all texts, the most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, int] = {}
+        sums: dict[bytes, int] = {}
+        shapes = Shapes(str.encode)
 
         def sent() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["unit", "n"]
+                [pa.array([unit.decode() for unit in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["unit", "n"]
             )
 
         for batch in batches:
             for words in find_words(batch.column("text"), fold=False):
                 _, at, counts = np.unique(words.prints, return_index=True, return_counts=True)
-                for word, n in zip(spellings(words, at), counts.tolist(), strict=True):
-                    for unit in units_of(word):
+                for side in split_units(spellings(words, at), shapes):
+                    for unit, n in zip(side, counts.tolist(), strict=True):
                         sums[unit] = sums.get(unit, 0) + n
                 if len(sums) > GATHER:
                     yield sent()
@@ -213,7 +264,8 @@ def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
     unit counts as beside it; ``WINDOW`` words on both sides, within the text, count with both units."""
     for words in find_words(column, fold=False):
         held, hashes, which = units.of(words)
-        shapes, letters = (random_vectors(hashes[:, side]).astype(np.int16) for side in (0, 1))
+        kinds, at = np.unique(hashes[:, 0], return_inverse=True)  # many words have one shape
+        shapes, letters = random_vectors(kinds)[at].astype(np.int16), random_vectors(hashes[:, 1]).astype(np.int16)
         joint = shapes + letters
         text = np.searchsorted(words.of, np.arange(len(which)), side="right")
         for first in range(0, len(which), TOGETHER):

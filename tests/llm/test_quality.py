@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -6,8 +7,10 @@ import pyarrow as pa
 
 from noticemill.llm.learning import labelled_sample
 from noticemill.llm.quality import (
+    _BYTE_KINDS,
     DIMENSIONS,
     WINDOW,
+    Shapes,
     Units,
     calibrate,
     common_units,
@@ -15,6 +18,7 @@ from noticemill.llm.quality import (
     print_of,
     random_vectors,
     shape,
+    split_units,
     train_and_score,
     train_network,
     unit_vectors,
@@ -129,3 +133,16 @@ def test_sample_is_bounded_in_rows(spark):
     whole = labelled_sample(docs, labels, "quality", 3, 3).collect()
     assert len(whole) == 39 and sum(r.text.startswith("text") for r in whole) == 1
     assert sorted(whole) == sorted(labelled_sample(docs.repartition(7), labels, "quality", 3, 3).collect())
+
+
+def test_units_of_many_words():
+    """Words taken together have the units that each has alone, and a shape is looked at once for all
+    words of its kinds."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aAbZ09.,-_!'éÉßΣσİ漢٣́😀x", k=rng.randrange(1, 9))) for _ in range(3000)]
+    words += ["A", "é", ".", "aé", "Σ-A", "ΑΣ.", "x" * 500 + "-"]
+    asked = []
+    shapes = Shapes(lambda unit: asked.append(unit) or unit)
+    known, letters = split_units([word.encode() for word in words * 2], shapes)
+    assert list(zip(known, [unit.decode() for unit in letters], strict=True)) == [units_of(w) for w in words * 2]
+    assert len(asked) <= len({word.encode().translate(_BYTE_KINDS) for word in words}) + 1  # one is too long
