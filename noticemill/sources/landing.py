@@ -12,6 +12,7 @@ from noticemill.session import path_exists
 from noticemill.sources.spec import (
     LANDED,
     SourceSpec,
+    check_packed,
     check_runs,
     explode_pages,
     pages_to_read,
@@ -60,7 +61,9 @@ def read_pages(
         return empty_pages(spark, spec)
     pages = spec.read_pages(spark, path)
     if spec.one_run:
-        check_runs(pages.inputFiles())
+        files = pages.inputFiles()
+        check_runs(files)
+        check_packed(pages, files)
     return pages
 
 

@@ -56,6 +56,8 @@ LANDED = "landed"
 PROBLEM = ("problem", "response")
 # which listing of its source a record belongs to
 LANDING = "landing"
+# the folder of files that hold many responses each
+PACKED = "packed"
 # the order records arrive in: ``stamp`` gives every record the time of its place among all of a run
 ARRIVAL = ("fetched_at",)
 
@@ -87,6 +89,15 @@ def check_runs(files: list[str]) -> None:
         raise ValueError("several files for one page: file each run below a folder run=<n>")
 
 
+def check_packed(pages: DataFrame, files: list[str]) -> None:
+    """The same for the places that packed responses name themselves."""
+    if not any(f"/{PACKED}/" in f for f in files):
+        return
+    outside = pages.filter(F.col("page_offset").isNotNull() & ~F.col(f"{LANDED}.file_path").contains("/run="))
+    if not outside.groupBy("page_offset").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("several responses for one page: file each run below a folder run=<n>")
+
+
 def readable(pages: DataFrame) -> DataFrame:
     """The pages that could be read."""
     return pages.filter(F.col(PROBLEM[0]).isNull()) if PROBLEM[0] in pages.columns else pages

@@ -372,12 +372,11 @@ WHERE posted_date > (SELECT d FROM cut)
 
 
 def _landed(spark: SparkSession, sf: str) -> dict[str, str]:
-    """Response files of both sources in a landing folder."""
+    """Response files of both sources in a landing folder, those of the city packed."""
     landing = scratch_path(spark, "landing")
     federal_pages(spark, sf).write.json(f"{landing}/sam_gov")
-    pages = city_pages(spark, sf).select("page_offset", F.to_json("rows").alias("value"))
     city_folder = f"{landing}/nyc_procurement"
-    pages.repartition("page_offset").write.partitionBy("page_offset").text(city_folder)
+    city.pack(city_pages(spark, sf).select("page_offset", F.to_json("rows").alias("value")), city_folder)
     return {"sam_gov": f"{landing}/sam_gov", "nyc_procurement": city_folder}
 
 
@@ -499,7 +498,7 @@ def _broken(spark: SparkSession, sf: str) -> dict[str, str]:
     ).otherwise(rows)
     pages = city_pages(spark, sf).select("page_offset", cut.alias("value"))
     folder = f"{landing}/nyc_procurement"
-    pages.repartition("page_offset").write.partitionBy("page_offset").text(folder)
+    city.pack(pages, folder)
     return {"sam_gov": f"{landing}/sam_gov", "nyc_procurement": folder}
 
 

@@ -15,6 +15,7 @@ from noticemill.plans.ingest import collect, default_paths
 from noticemill.sources.landing import page_snapshots, read_source
 from noticemill.sources.resume import take_until_checkpoint
 from noticemill.sources.spec import SourceSpec, get_source, list_sources, register_source
+from noticemill.suite import records as suite_records
 
 
 def land_federal(folder, pages, total=None):
@@ -299,3 +300,78 @@ def test_several_runs_for_one_city_page_need_run_folders(spark, tmp_path):
     (tmp_path / "c" / "page_offset=0" / "later.json").write_text(json.dumps([city_row(2)]))
     with pytest.raises(ValueError, match="run=<n>"):
         read_source(spark, get_source("nyc_procurement"), str(tmp_path / "c"))
+
+
+def pack_city(folder, lines):
+    (folder / "packed").mkdir(parents=True)
+    (folder / "packed" / "part.json").write_text(
+        "\n".join(line if isinstance(line, str) else json.dumps(line) for line in lines)
+    )
+    return str(folder)
+
+
+def test_packed_city_pages_are_read_as_single_ones(spark, tmp_path):
+    pages = [[city_row(1), city_row(2, section="Hearings")], [city_row(3, pin="a\nb ü")]]
+    single = read_source(spark, get_source("nyc_procurement"), land_city(tmp_path / "s", pages))
+    frame = spark.createDataFrame(
+        [(50 * i, json.dumps(rows, indent=1)) for i, rows in enumerate(pages)], "page_offset long, value string"
+    )
+    sources.city.pack(frame, str(tmp_path / "p"))
+    packed = read_source(spark, get_source("nyc_procurement"), str(tmp_path / "p"))
+    columns = ("seq", "source_id", "source_url", "content_hash", "extracted")
+    assert sorted(map(str, packed.select(*columns).collect())) == sorted(map(str, single.select(*columns).collect()))
+    # both forms in one folder
+    land_city(tmp_path / "p", [[], [], [city_row(4)]])
+    for place in ("page_offset=0", "page_offset=50"):
+        os.remove(tmp_path / "p" / place / "response.json")
+        os.rmdir(tmp_path / "p" / place)
+    both = read_source(spark, get_source("nyc_procurement"), str(tmp_path / "p")).collect()
+    assert sorted((r.seq, r.source_id) for r in both) == [(0, "r1"), (50, "r3"), (100, "r4")]
+
+
+def test_packed_city_pages_without_a_place_or_cut_off_are_failures(spark, tmp_path):
+    city = tmp_path / "nyc_procurement"
+    whole = json.dumps([city_row(1)])
+    lines = [
+        {"page_offset": 0, "response": whole},
+        {"response": json.dumps([city_row(2)])},
+        {"page_offset": 50, "response": whole[:-9]},
+        {"page_offset": 100},
+        json.dumps({"page_offset": 150, "response": whole})[:-9],
+        json.dumps({"page_offset": "x", "response": json.dumps([city_row(3)])}),
+    ]
+    pack_city(city, lines)
+    table = raw_table(str(tmp_path / "raw"))
+    summary = collect(spark, table, {"nyc_procurement": str(city)}, 0).first()
+    assert (summary.items_collected, summary.failures) == (1, 1)
+    aside = table.read_aside(spark, "unreadable").collect()
+    assert sorted((r.reason, r.response or "") for r in aside) == sorted(
+        [
+            ("no offset", lines[1]["response"]), ("not a response", whole[:-9]), ("not a response", ""),
+            ("not a response", lines[4]), ("not a response", lines[5]),
+        ]
+    )
+
+
+def test_several_packed_responses_for_one_city_page_need_run_folders(spark, tmp_path):
+    lines = [{"page_offset": 0, "response": json.dumps([city_row(i)])} for i in (1, 2)]
+    with pytest.raises(ValueError, match="run=<n>"):
+        read_source(spark, get_source("nyc_procurement"), pack_city(tmp_path / "c", lines))
+    for run, line in enumerate(lines):
+        (tmp_path / "r" / "packed" / f"run={run}").mkdir(parents=True)
+        (tmp_path / "r" / "packed" / f"run={run}" / "part.json").write_text(json.dumps(line))
+    rows = read_source(spark, get_source("nyc_procurement"), str(tmp_path / "r")).collect()
+    assert sorted((r.source_id, r.landing) for r in rows) == [("r1", "run=0"), ("r2", "run=1")]
+
+
+def test_landed_city_responses_do_not_take_a_file_each(spark, tmp_path):
+    rows = [(i, f"C{i}", "BUILDING") for i in range(3000)]
+    schema = "c_custkey long, c_name string, c_mktsegment string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "customer.parquet"))
+    orders = "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate date"
+    spark.createDataFrame([], orders).write.parquet(str(tmp_path / "orders.parquet"))
+    for land in (suite_records._landed, suite_records._broken):
+        folder = land(spark, str(tmp_path))["nyc_procurement"]
+        pages = get_source("nyc_procurement").read_pages(spark, folder)
+        assert pages.count() == 60
+        assert len(pages.inputFiles()) <= 8
