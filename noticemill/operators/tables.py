@@ -21,11 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticemill.operators.joins import is_small
 from noticemill.schemas import CANONICAL, CANONICAL_KEY, RAW, RAW_KEY
 from noticemill.session import path_exists
 
 # jobs fold batches once so many lie behind the last base
 COMPACT_AFTER = 32
+# rows to read a table for, whose hashes of keys every task gets: 8 bytes each
+AMONG_ROWS = 1 << 20
 # columns beside the keys that rows are looked up by
 HASHES = ("content_hash",)
 
@@ -51,6 +54,13 @@ class RecordTable:
                 found.append(int(match.group(1)))
         return sorted(found)
 
+    def finished(self, spark: SparkSession, before: int | None = None) -> tuple[list[int], list[int]]:
+        """Numbers of the bases, and of the batches after the newest of them, below ``before``."""
+        limit = 2**62 if before is None else before
+        bases = [n for n in self._folders(spark, "base") if n < limit]
+        base_at = bases[-1] if bases else -1
+        return bases, [n for n in self._folders(spark, "batch") if base_at < n < limit]
+
     def _read(self, spark: SparkSession, folders: list[str]) -> DataFrame:
         """Rows of the folders, with their number as the column of the folder's name."""
         kind = folders[0].split("=")[0]
@@ -68,24 +78,35 @@ class RecordTable:
         before: int | None = None,
         columns: Sequence[str] | None = None,
         where: Column | None = None,
+        among: DataFrame | None = None,
     ) -> DataFrame:
         """One row per key; ``before`` leaves out batches with that number or a later one.
 
         ``columns`` reads only these beside the keys. ``where`` is a condition on key columns;
         it and the choice of columns reach the files. Which batch has a key's newest row is found
-        from the keys alone.
+        from the keys alone. ``among`` is a frame with the key columns: only rows with one of its keys
+        are read, without a shuffle of the others, where it has at most ``AMONG_ROWS`` rows; beyond, all.
         """
-        limit = 2**62 if before is None else before
-        bases = [n for n in self._folders(spark, "base") if n < limit]
+        bases, batches = self.finished(spark, before)
         base_at = bases[-1] if bases else -1
-        batches = [n for n in self._folders(spark, "batch") if base_at < n < limit]
         names = [
             f for f in self.schema.fieldNames() if columns is None or f in columns or f in self.keys
         ]
 
+        def print_of_key() -> Column:
+            return F.xxhash64(*[F.col(k).cast(self.schema[k].dataType) for k in self.keys])
+
+        wanted = None
+        if among is not None and (bases or batches) and is_small(among, AMONG_ROWS):
+            wanted = F.broadcast(among.select(print_of_key().alias("_print")))
+
         def rows(folders: list[str], *more: str) -> DataFrame:
             found = self._read(spark, folders)
-            return (found if where is None else found.filter(where)).select(*names, *more)
+            if where is not None:
+                found = found.filter(where)
+            if wanted is not None:
+                found = found.join(wanted, print_of_key() == wanted["_print"], "left_semi")
+            return found.select(*names, *more)
 
         base = rows([f"base={base_at}"]) if bases else None
         if not batches:

@@ -54,8 +54,8 @@ def merge_stream(
     def merge(batch: DataFrame, number: int) -> None:
         at = first_batch + number
         held = [c for c in ("content_hash", "version", "created_at") if c in table.schema.names]
-        stored = table.read(batch.sparkSession, at, held)
         arriving = written(batch, "arriving")
+        stored = table.read(batch.sparkSession, at, held, among=arriving)
         table.write_batch(merge_changes(arriving, stored, keys, order, versioned=versioned), at)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -64,6 +64,11 @@ def merge_stream(
     return writer.trigger(availableNow=True).start()
 
 
+def _state(table: RecordTable, spark: SparkSession, before: int) -> tuple:
+    """The folders that a table is read from."""
+    return tuple(map(tuple, table.finished(spark, before)))
+
+
 def ingest_stream(
     spark: SparkSession,
     source: str,
@@ -82,18 +87,31 @@ def ingest_stream(
     options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
     pages = spec.stream_pages(spark, path, **options)
     moment = F.current_timestamp() if fetched_at is None else fetched_at
+    mine = F.col("source_name") == source
+    # the newest stored time, in microseconds, and the folders of the table that it holds for
+    known: dict[tuple, int | None] = {}
+
+    def newest_time(session: SparkSession, at: int) -> int | None:
+        if _state(table, session, at) in known:
+            return known[_state(table, session, at)]
+        return table.read(session, at, ("fetched_at",), mine).agg(F.unix_micros(F.max("fetched_at"))).first()[0]
 
     def merge(batch: DataFrame, number: int) -> None:
         at = first_batch + number
+        session = batch.sparkSession
         # a micro-batch is pages, so it is read as the batch job reads them
         landed = written(batch, "pages")
         rows = records(spec, explode_pages(pages_to_read(landed, one_run=spec.one_run)))
-        stored = table.read(
-            batch.sparkSession, at, ("fetched_at", "content_hash"), F.col("source_name") == source
-        )
-        arriving = written(stamp(rows, moment, stored), "arriving")
+        newest = newest_time(session, at)
+        moments = session.range(1).select(F.timestamp_micros(F.lit(newest).cast("long")).alias("fetched_at"))
+        arriving = written(stamp(rows, moment, moments), "arriving")
+        # what is stored of other keys does not matter, and there is more of it with every micro-batch
+        stored = table.read(session, at, ("content_hash",), mine, among=arriving)
         actions = written(merge_actions(arriving, stored, RAW_KEY, ARRIVAL), "actions")
         table.write_batch(apply_actions(arriving, actions, RAW_KEY, ARRIVAL), at)
+        last = table.read_batch(session, at).agg(F.unix_micros(F.max("fetched_at"))).first()[0]
+        known.clear()
+        known[_state(table, session, at + 1)] = max((t for t in (newest, last) if t is not None), default=None)
         bad = unreadable(landed, source)
         n_bad = 0 if bad is None else table.write_aside(bad, "unreadable", at)
         counts = collect_counts(actions).withColumn("failures", F.lit(n_bad).cast("long"))
@@ -124,10 +142,10 @@ def curate_stream(
 
     def merge(batch: DataFrame, number: int) -> None:
         at = first_batch + number
+        normal = written(to_canonical(batch, keep=order), "normal")
         stored = table.read(
-            batch.sparkSession, at, ("content_hash", "version", "created_at")
+            batch.sparkSession, at, ("content_hash", "version", "created_at"), among=normal
         )
-        normal = written(to_canonical(batch, keep=order), "normal")
         changes = merge_changes(has_required(normal), stored, CANONICAL_KEY, order, versioned=True)
         table.write_batch(classify_records(changes, model), at)
         table.write_aside(split_valid(normal)[1], "quarantine", at)

@@ -187,3 +187,56 @@ def test_daily_counts_and_late_rows_add_up(spark, tmp_path):
     assert sum(counted.values()) + len(late) == sum(map(len, runs))
     # a micro-batch that runs again gives the same
     assert watermark(spark, table, 2, "1 day") == datetime.datetime(2024, 1, 5)
+
+
+def test_micro_batches_read_what_is_stored_of_their_keys_only(spark, tmp_path, monkeypatch):
+    """Rows as with the whole table beside them, and times that go on over micro-batches and streams."""
+    asked = []
+    read = RecordTable.read
+
+    def reading(self, session, before=None, columns=None, where=None, among=None):
+        found = read(self, session, before, columns, where, among)
+        asked.append((before, among is not None, found.count()))
+        return found
+
+    landing = tmp_path / "landing"
+    raw = raw_table(str(tmp_path / "raw"))
+    for k, page in enumerate([[notice(1), notice(2)], [notice(3)], [notice(2, "2024-01-11"), notice(4)]]):
+        folder = land_federal(landing, [page], total=100)
+        os.rename(f"{folder}/pages.json", f"{folder}/{k}.json")
+        os.utime(f"{folder}/{k}.json", (1000 + k, 1000 + k))
+    monkeypatch.setattr(RecordTable, "read", reading)
+    moment = F.lit("2024-01-01").cast("timestamp")
+    ingest_stream(
+        spark, "sam_gov", str(landing), raw, str(tmp_path / "c1"), fetched_at=moment, files_per_batch=1
+    ).awaitTermination()
+    # of three stored rows the last micro-batch reads one
+    assert [(b, n) for b, among, n in asked if among] == [(0, 0), (1, 0), (2, 1)]
+    # the newest time is looked for once
+    assert [b for b, among, _ in asked if not among] == [0]
+    monkeypatch.undo()
+    land_federal(landing, [[notice(1, "2024-01-12")]], total=100)
+    ingest_stream(
+        spark, "sam_gov", str(landing), raw, str(tmp_path / "c1"), fetched_at=moment, files_per_batch=1
+    ).awaitTermination()
+    rows = raw.read(spark).select("source_id", F.unix_micros("fetched_at").alias("t"), F.col("extracted")["posted_date"].alias("d")).collect()
+    start = min(r.t for r in rows) - 2  # n3 is third
+    assert {(r.source_id, r.t - start, r.d) for r in rows} == {
+        ("n3", 2, "2024-01-10"), ("n2", 3, "2024-01-11"), ("n4", 4, "2024-01-10"), ("n1", 5, "2024-01-12"),
+    }
+
+
+def test_reading_among_many_keys_reads_all(spark, tmp_path, monkeypatch):
+    from noticemill.operators import tables
+
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("x", T.LongType())])
+    table = RecordTable(str(tmp_path / "t"), schema, ("id",), ("id",))
+    for batch, rows in enumerate([[("a", 1), (None, 2), ("b", 3)], [("a", 4), ("c", 5)]]):
+        table.write_batch(spark.createDataFrame(rows, schema), batch)
+        if not batch:
+            table.compact(spark)
+    keys = spark.createDataFrame([("a",), ("a",), (None,), ("z",)], "id string")
+    got = {tuple(r) for r in table.read(spark, among=keys).collect()}
+    assert got == {("a", 4), (None, 2)}
+    monkeypatch.setattr(tables, "AMONG_ROWS", 3)
+    assert {tuple(r) for r in table.read(spark, among=keys).collect()} == {("a", 4), (None, 2), ("b", 3), ("c", 5)}
