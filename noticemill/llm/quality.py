@@ -41,8 +41,8 @@ UNITS = 8192
 WINDOW = 2
 HIDDEN, EPOCHS, BATCH = 32, 40, 128
 #: Words remembered by one Python worker before it starts afresh, units it counts before it sends them,
-#: and words whose vectors it holds at once.
-MOST_WORDS, GATHER, TOGETHER = 150_000, 200_000, 2048
+#: words whose vectors it holds at once, and rows of a place from which on they are added up by themselves.
+MOST_WORDS, GATHER, TOGETHER, MANY_ROWS = 150_000, 200_000, 32768, 64
 
 _KINDS = str.maketrans(
     {c: "X" for c in string.ascii_uppercase}
@@ -251,12 +251,20 @@ def common_units(texts: DataFrame, units: int = UNITS) -> list[str]:
 
 
 def _add_rows(sums: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
-    """Add each row to the sum at its place. Rows are whole numbers below 16, and at most ``TOGETHER``, so
-    their sums fit in 16 bits."""
-    order = np.argsort(places, kind="stable")
+    """Add each row to the sum at its place, if it has one."""
+    kept = np.flatnonzero(places >= 0)
+    if not len(kept):
+        return
+    order = kept[np.argsort(places[kept], kind="stable")]
     ordered = places[order]
-    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    sums[ordered[at]] += np.add.reduceat(rows[order], at, axis=0)
+    ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True)) + 1
+    at = np.append(0, ends[:-1])
+    sorted_rows = rows[order]
+    if len(order) < MANY_ROWS * len(at):
+        sums[ordered[at]] += np.add.reduceat(sorted_rows, at, axis=0, dtype=np.int32)
+    else:  # one call for each place takes less than the strides of reduceat
+        for a, e in zip(at.tolist(), ends.tolist(), strict=True):
+            sums[ordered[a]] += sorted_rows[a:e].sum(axis=0, dtype=np.int32)
 
 
 def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
@@ -265,28 +273,32 @@ def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
     for words in find_words(column, fold=False):
         held, hashes, which = units.of(words)
         kinds, at = np.unique(hashes[:, 0], return_inverse=True)  # many words have one shape
-        shapes, letters = random_vectors(kinds)[at].astype(np.int16), random_vectors(hashes[:, 1]).astype(np.int16)
-        joint = shapes + letters
+        joint = random_vectors(hashes[:, 1]) + random_vectors(kinds)[at]
         text = np.searchsorted(words.of, np.arange(len(which)), side="right")
         for first in range(0, len(which), TOGETHER):
             last = min(first + TOGETHER, len(which))
             low, high = max(first - WINDOW, 0), min(last + WINDOW, len(which))
             own = joint[which[low:high]]
-            around = np.zeros_like(own)
+            # the word itself, too: at most 2 for each of 2 * WINDOW + 1 words
+            near = own.copy()
             for step in range(1, WINDOW + 1):
                 if step < len(own):
-                    around[step:] += own[:-step]
-                    around[:-step] += own[step:]
+                    near[step:] += own[:-step]
+                    near[:-step] += own[step:]
                     # neighbours in another text are none
                     apart = np.flatnonzero(text[low + step : high] != text[low : high - step])
-                    around[apart + step] -= own[apart]
-                    around[apart] -= own[apart + step]
-            inside = slice(first - low, last - low)
-            here = which[first:last]
-            for side, other in ((0, letters), (1, shapes)):
-                kept = np.flatnonzero(held[here, side] >= 0)
-                if len(kept):
-                    _add_rows(sums, held[here[kept], side], around[inside][kept] + other[here[kept]])
+                    near[apart + step] -= own[apart]
+                    near[apart] -= own[apart + step]
+            near = near[first - low : last - low]
+            for side in (0, 1):
+                _add_rows(sums, held[which[first:last], side], near)
+        # a unit is not beside itself
+        counts = np.bincount(which, minlength=len(held))
+        for side in (0, 1):
+            kept = np.flatnonzero(held[:, side] >= 0)
+            places, at = np.unique(held[kept, side], return_index=True)
+            times = np.bincount(held[kept, side], counts[kept])[places].astype(np.int64)
+            sums[places] -= times[:, None] * random_vectors(hashes[kept[at], side])
 
 
 def unit_vectors(texts: DataFrame, units: int = UNITS) -> tuple[dict[str, int], np.ndarray]:

@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from noticemill.llm import quality
 from noticemill.llm.learning import labelled_sample
 from noticemill.llm.quality import (
     _BYTE_KINDS,
@@ -146,3 +148,35 @@ def test_units_of_many_words():
     known, letters = split_units([word.encode() for word in words * 2], shapes)
     assert list(zip(known, [unit.decode() for unit in letters], strict=True)) == [units_of(w) for w in words * 2]
     assert len(asked) <= len({word.encode().translate(_BYTE_KINDS) for word in words}) + 1  # one is too long
+
+
+@pytest.mark.parametrize("many", [1, 1000])
+def test_contexts_are_added_up_once_per_place(monkeypatch, many):
+    """Whatever the blocks, and whichever way the rows of a place are summed; rows are grouped in few calls."""
+    rng = random.Random(4)
+    texts = ["", "one", " ".join(rng.choice(["a", "B", "c1", "##", "b", "Zé,", "x"]) for _ in range(5000)), "a ## b"]
+    place = {u: k for k, u in enumerate(["#x", "#X", "a", "b", "##", "c1"])}
+    wanted = np.zeros((len(place), quality.DIMENSIONS), dtype=np.int64)
+
+    def vector(unit):
+        return quality.random_vectors(np.array([quality.print_of(unit)], dtype=np.uint64))[0].astype(np.int64)
+
+    for text in texts:
+        pairs = [quality.units_of(w) for w in text.split()]
+        for i, own in enumerate(pairs):
+            near = [u for j in range(max(i - 2, 0), min(i + 3, len(pairs))) if j != i for u in pairs[j]]
+            for side in (0, 1):
+                if own[side] in place:
+                    wanted[place[own[side]]] += sum(vector(u) for u in [*near, own[1 - side]])
+    calls = []
+    add_rows = quality._add_rows
+    monkeypatch.setattr(quality, "_add_rows", lambda *given: (calls.append(1), add_rows(*given)))
+    monkeypatch.setattr(quality, "MANY_ROWS", many, raising=False)
+    for together in (quality.TOGETHER, 7):
+        calls.clear()
+        monkeypatch.setattr(quality, "TOGETHER", together)
+        sums = np.zeros_like(wanted)
+        quality.add_contexts(sums, quality.Units(place), pa.array(texts))
+        assert (sums == wanted).all()
+        if together > 7:
+            assert len(calls) == 2
