@@ -40,9 +40,13 @@ DIMENSIONS, NONZERO = 96, 6
 UNITS = 8192
 WINDOW = 2
 HIDDEN, EPOCHS, BATCH = 32, 40, 128
-#: Words remembered by one Python worker before it starts afresh, units it counts before it sends them,
-#: words whose vectors it holds at once, and rows of a place from which on they are added up by themselves.
-MOST_WORDS, GATHER, TOGETHER, MANY_ROWS = 150_000, 200_000, 32768, 64
+#: Words, and kinds of words, remembered by one Python worker before it starts afresh, units it counts before
+#: it sends them, and words that are split into units or whose vectors are held at once.
+MOST_WORDS, MOST_KINDS, GATHER, TOGETHER = 500_000, 150_000, 300_000, 32768
+#: The largest number in the sum of the random vectors around a word and its own, and the rows of such sums
+#: that 16 bits hold.
+LARGEST = 2 * (2 * WINDOW + 1)
+MANY_ROWS = 65535 // (2 * LARGEST)
 
 _KINDS = str.maketrans(
     {c: "X" for c in string.ascii_uppercase}
@@ -51,6 +55,7 @@ _KINDS = str.maketrans(
 )
 _MARKS = ",.;:!?"
 _OTHER = re.compile("[^\x00-\x7f]+")
+_NO_LETTERS = re.compile(r"[^\w\n]+")
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
@@ -79,7 +84,7 @@ _BYTE_KINDS = bytes.maketrans(
     (string.ascii_uppercase + string.ascii_lowercase + string.digits).encode() + bytes(range(128, 256)),
     b"X" * 26 + b"x" * 26 + b"9" * 10 + b"x" * 128,
 )
-_BYTE_MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+_BYTE_MARKS = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
 #: Longer words' kinds are not remembered.
 LONGEST = 40
 
@@ -92,28 +97,30 @@ class Shapes(dict):
 
     def __missing__(self, kinds: bytes):
         found = self.about(shape(kinds.decode()))
-        if len(kinds) <= LONGEST and len(self) < MOST_WORDS:
+        if len(kinds) <= LONGEST and len(self) < MOST_KINDS:
             self[kinds] = found
         return found
 
 
 def split_units(words: list[bytes], shapes: Shapes) -> tuple[list, list[bytes]]:
-    """The two units of words, as ``units_of`` gives them: what is known of the shape, and the letters."""
-    known = [shapes[word.translate(_BYTE_KINDS)] for word in words]
-    letters = [
-        (word.lower().translate(None, _BYTE_MARKS) or word) if word.isascii() else _letters(word) for word in words
-    ]
+    """The two units of words, as ``units_of`` gives them: what is known of the shape, and the letters. No
+    word holds a line end, so all are taken together, as lines."""
+    lines = b"\n".join(words)
+    known = list(map(shapes.__getitem__, lines.translate(_BYTE_KINDS).split(b"\n")))
+    letters = lines.lower().translate(None, _BYTE_MARKS).split(b"\n")
+    if not lines.isascii():
+        others = [k for k, word in enumerate(words) if not word.isascii()]
+        for k, unit in zip(others, _letters([words[k] for k in others]), strict=True):
+            letters[k] = unit
+    if not all(letters):
+        letters = [unit or word for unit, word in zip(letters, words, strict=True)]
     return known, letters
 
 
-def _letters(word: bytes) -> bytes:
-    """The letters of a word with characters outside ASCII."""
-    lower = word.decode().lower()
-    if not lower.isalnum():
-        lower = lower.encode().translate(None, _BYTE_MARKS).decode()
-        if not lower.isalnum():
-            lower = "".join(filter(str.isalnum, lower))
-    return lower.encode() or word
+def _letters(words: list[bytes]) -> list[bytes]:
+    """The letters of words with characters outside ASCII."""
+    lower = b"\n".join(words).decode().lower().encode().translate(None, _BYTE_MARKS).decode()
+    return _NO_LETTERS.sub("", lower).encode().split(b"\n")
 
 
 def random_places(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +145,35 @@ def random_vectors(prints: np.ndarray) -> np.ndarray:
     return vectors
 
 
-def spellings(words: Words, places: np.ndarray) -> list[bytes]:
-    """The words at some places of a chunk."""
-    raw = words.data.tobytes()
-    return [raw[a:e] for a, e in zip(words.starts[places].tolist(), words.ends[places].tolist(), strict=True)]
+class Remembered:
+    """Two whole numbers of each distinct word, remembered in a worker in the order of the words' fingerprints;
+    ``look`` finds those of new words."""
+
+    def __init__(self, look: Callable[[list[bytes]], np.ndarray]):
+        self.look = look
+        self.prints = np.empty(0, dtype=np.uint64)
+        self.values = np.empty((0, 2), dtype=np.int64)
+
+    def of(self, words: Words, prints: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The numbers of a chunk's distinct words, row by row, by their fingerprints in order and where each
+        comes first."""
+        if len(self.prints) > MOST_WORDS:
+            self.prints, self.values = self.prints[:0], self.values[:0]
+        at = np.searchsorted(self.prints, prints)
+        known = at < len(self.prints)
+        known[known] = self.prints[at[known]] == prints[known]
+        values = np.empty((len(prints), 2), dtype=np.int64)
+        values[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = words.data.tobytes()
+            for some in np.split(new, range(TOGETHER, len(new), TOGETHER)):
+                begins, ends = words.starts[first[some]].tolist(), words.ends[first[some]].tolist()
+                values[some] = self.look([raw[a:e] for a, e in zip(begins, ends, strict=True)])
+            if len(new) <= MOST_WORDS:
+                self.prints = np.insert(self.prints, at[new], prints[new])
+                self.values = np.insert(self.values, at[new], values[new], axis=0)
+        return values
 
 
 class Units:
@@ -149,31 +181,24 @@ class Units:
 
     def __init__(self, place: dict[str, int]):
         self.place = {unit.encode(): k for unit, k in place.items()}
-        self.shapes = Shapes(lambda unit: (place.get(unit, -1), print_of(unit)))
-        self.known: dict[int, int] = {}
-        self.held = np.empty((0, 2), dtype=np.int64)
-        self.hashes = np.empty((0, 2), dtype=np.uint64)
+        # a unit's place and hash are one number
+        self.shapes = Shapes(lambda unit: place.get(unit, -1) << 32 | print_of(unit))
+        self.words = Remembered(self._look)
+
+    def _look(self, words: list[bytes]) -> np.ndarray:
+        shapes, letters = split_units(words, self.shapes)
+        found = np.empty((len(words), 2), dtype=np.int64)
+        found[:, 0] = shapes
+        found[:, 1] = np.fromiter(map(self.place.get, letters, repeat(-1)), dtype=np.int64, count=len(words)) << 32
+        found[:, 1] |= np.fromiter(map(zlib.crc32, letters), dtype=np.int64, count=len(words))
+        return found
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per distinct word (shape, letters) as places, -1 for a unit that is not kept; per distinct word
         the hashes of both; and which of them each word of the chunk is."""
-        prints, at, which = np.unique(words.prints, return_index=True, return_inverse=True)
-        keys = prints.tolist()
-        if len(self.known) > MOST_WORDS:
-            self.known, self.held, self.hashes = {}, self.held[:0], self.hashes[:0]
-        rows = np.fromiter(map(self.known.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            shapes, letters = split_units(spellings(words, at[new]), self.shapes)
-            held, hashes = np.empty((len(new), 2), dtype=np.int64), np.empty((len(new), 2), dtype=np.uint64)
-            held[:, 0], hashes[:, 0] = np.array(shapes, dtype=np.int64).T
-            held[:, 1] = np.fromiter(map(self.place.get, letters, repeat(-1)), dtype=np.int64, count=len(new))
-            hashes[:, 1] = np.fromiter(map(zlib.crc32, letters), dtype=np.uint64, count=len(new))
-            rows[new] = np.arange(len(self.held), len(self.held) + len(new))
-            self.held = np.concatenate([self.held, held])
-            self.hashes = np.concatenate([self.hashes, hashes])
-            self.known.update(zip(prints[new].tolist(), rows[new].tolist(), strict=True))
-        return self.held[rows], self.hashes[rows], which
+        prints, first, which = np.unique(words.prints, return_index=True, return_inverse=True)
+        values = self.words.of(words, prints, first)
+        return values >> 32, (values & 0xFFFFFFFF).astype(np.uint64), which
 
 
 class Classifier(NamedTuple):
@@ -190,10 +215,11 @@ def word_vectors(
 ) -> tuple[np.ndarray, np.ndarray]:
     """For distinct words the sums of their two units' vectors, and of the squares of these. The last row
     of ``vectors`` and of their squares ``powers`` is that of a unit that is not kept, and 0."""
-    total = vectors[held[:, 0]]
-    squares = powers[held[:, 0]]
-    total += vectors[held[:, 1]]
-    squares += powers[held[:, 1]]
+    total = vectors.take(held[:, 0], axis=0)
+    squares = powers.take(held[:, 0], axis=0)
+    kept = np.flatnonzero(held[:, 1] >= 0)
+    total[kept] += vectors.take(held[kept, 1], axis=0)
+    squares[kept] += powers.take(held[kept, 1], axis=0)
     for side in (0, 1):
         rest = np.flatnonzero(held[:, side] < 0)
         places, signs = random_places(hashes[rest, side])
@@ -209,41 +235,79 @@ def pooled(units: Units, vectors: np.ndarray, column: pa.Array) -> Iterator[np.n
     for words in find_words(column, fold=False):
         held, hashes, which = units.of(words)
         total, squares = word_vectors(held, hashes, vectors, powers)
-        for a, e in zip(words.of[:-1], words.of[1:], strict=True):
-            out = np.zeros(2 * DIMENSIONS + 2, dtype=np.float32)
-            n = e - a
-            if n:
-                kinds, counts = np.unique(which[a:e], return_counts=True)
-                share = (counts / (2 * n)).astype(np.float32)
-                centre = share @ total[kinds]
-                out[:DIMENSIONS] = centre
-                out[DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(share @ squares[kinds] - centre * centre, 0.0))
-                out[-2] = np.log1p(n)
-                out[-1] = len(kinds) / n
-            yield out
+        sizes = np.diff(words.of)
+        # the distinct words of each text, one text after the other
+        pairs = np.sort(np.repeat(np.arange(len(sizes)) * len(held), sizes) + which)
+        begins = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else pairs
+        counts = np.diff(begins, append=len(pairs))
+        text, kinds = np.divmod(pairs[begins], max(len(held), 1))
+        shares = (counts / (2 * sizes[text])).astype(np.float32)
+        ends = np.cumsum(np.bincount(text, minlength=len(sizes)))
+        out = np.zeros((len(sizes), 2 * DIMENSIONS + 2), dtype=np.float32)
+        first = 0
+        for row, last in zip(out, ends.tolist(), strict=True):
+            some, share = kinds[first:last], shares[first:last]
+            row[:DIMENSIONS] = share @ total.take(some, axis=0)
+            row[DIMENSIONS : 2 * DIMENSIONS] = share @ squares.take(some, axis=0)
+            first = last
+        centre, spread = out[:, :DIMENSIONS], out[:, DIMENSIONS : 2 * DIMENSIONS]
+        spread[:] = np.sqrt(np.maximum(spread - centre * centre, 0.0))
+        out[:, -2] = np.log1p(sizes)
+        out[:, -1] = np.diff(ends, prepend=0) / np.maximum(sizes, 1)
+        yield from out
+
+
+class Numbered(dict):
+    """Numbers of things, in the order in which they are first asked for."""
+
+    def __missing__(self, thing):
+        number = self[thing] = len(self)
+        return number
+
+
+class Tally:
+    """How often units occur. Each distinct word is split into its units once, as long as it is remembered."""
+
+    def __init__(self):
+        self.units = Numbered()
+        self.counts = np.zeros(0, dtype=np.int64)
+        self.shapes = Shapes(lambda unit: self.units[unit.encode()])
+        self.words = Remembered(self._look)
+
+    def _look(self, words: list[bytes]) -> np.ndarray:
+        shapes, letters = split_units(words, self.shapes)
+        found = np.empty((len(words), 2), dtype=np.int64)
+        found[:, 0] = shapes
+        found[:, 1] = np.fromiter(map(self.units.__getitem__, letters), dtype=np.int64, count=len(words))
+        return found
+
+    def add(self, words: Words) -> None:
+        prints, first, counts = np.unique(words.prints, return_index=True, return_counts=True)
+        numbers = self.words.of(words, prints, first)
+        sums = np.zeros(len(self.units), dtype=np.int64)
+        sums[: len(self.counts)] = self.counts
+        for side in (0, 1):
+            # float64 holds the counts of a chunk exactly
+            sums += np.bincount(numbers[:, side], counts, len(sums)).astype(np.int64)
+        self.counts = sums
 
 
 def common_units(texts: DataFrame, units: int = UNITS) -> list[str]:
     """The units that occur most often in all texts, the most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[bytes, int] = {}
-        shapes = Shapes(str.encode)
+        tally = Tally()
 
         def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([unit.decode() for unit in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["unit", "n"]
-            )
+            names = pa.array(list(tally.units), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(tally.counts, pa.int64())], ["unit", "n"])
 
         for batch in batches:
             for words in find_words(batch.column("text"), fold=False):
-                _, at, counts = np.unique(words.prints, return_index=True, return_counts=True)
-                for side in split_units(spellings(words, at), shapes):
-                    for unit, n in zip(side, counts.tolist(), strict=True):
-                        sums[unit] = sums.get(unit, 0) + n
-                if len(sums) > GATHER:
+                tally.add(words)
+                if len(tally.units) > GATHER:
                     yield sent()
-                    sums.clear()
+                    tally = Tally()
         yield sent()
 
     totals = texts.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -251,20 +315,33 @@ def common_units(texts: DataFrame, units: int = UNITS) -> list[str]:
 
 
 def _add_rows(sums: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
-    """Add each row to the sum at its place, if it has one."""
+    """Add each row to the sum at its place, if it has one. No number is beyond ``LARGEST``; four numbers at a
+    time are added up as the 16-bit parts of one of 64 bits, for at most ``MANY_ROWS`` rows."""
     kept = np.flatnonzero(places >= 0)
     if not len(kept):
         return
-    order = kept[np.argsort(places[kept], kind="stable")]
+    # numbers of 16 bits are sorted in linear time
+    held = places[kept].astype(np.uint16 if len(sums) <= 1 << 16 else np.int64)
+    order = kept[np.argsort(held, kind="stable")]
     ordered = places[order]
-    ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True)) + 1
-    at = np.append(0, ends[:-1])
-    sorted_rows = rows[order]
-    if len(order) < MANY_ROWS * len(at):
-        sums[ordered[at]] += np.add.reduceat(sorted_rows, at, axis=0, dtype=np.int32)
-    else:  # one call for each place takes less than the strides of reduceat
-        for a, e in zip(at.tolist(), ends.tolist(), strict=True):
-            sums[ordered[a]] += sorted_rows[a:e].sum(axis=0, dtype=np.int32)
+    begins = np.append(True, ordered[1:] != ordered[:-1])
+    again = ~begins
+    begins[::MANY_ROWS] = True
+    at = np.flatnonzero(begins)
+    again = again[at]
+    packed = np.ascontiguousarray((rows + np.int8(LARGEST)).view("<u8").T)
+    found = np.empty((len(at), len(packed), 4, 2), dtype=np.uint16)
+    even = np.uint64(0x00FF00FF00FF00FF)
+    for k, column in enumerate(packed):
+        part = column.take(order)
+        for odd in (0, 1):
+            added = np.add.reduceat((part >> np.uint64(8) if odd else part) & even, at)
+            found[:, k, :, odd] = added.astype("<u8", copy=False).view("<u2").reshape(-1, 4)
+    times = np.diff(at, append=len(order))
+    added = found.reshape(len(at), -1) - (LARGEST * times)[:, None]
+    sums[ordered[at[~again]]] += added[~again]
+    for k in np.flatnonzero(again).tolist():
+        sums[ordered[at[k]]] += added[k]
 
 
 def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
@@ -278,7 +355,7 @@ def add_contexts(sums: np.ndarray, units: Units, column: pa.Array) -> None:
         for first in range(0, len(which), TOGETHER):
             last = min(first + TOGETHER, len(which))
             low, high = max(first - WINDOW, 0), min(last + WINDOW, len(which))
-            own = joint[which[low:high]]
+            own = joint.take(which[low:high], axis=0)
             # the word itself, too: at most 2 for each of 2 * WINDOW + 1 words
             near = own.copy()
             for step in range(1, WINDOW + 1):
@@ -384,7 +461,8 @@ def fit(texts: DataFrame, sample: DataFrame) -> Classifier:
             x = [v.tobytes() for v in pooled(known, shared.value[1], batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("y")], ["x", "y"])
 
-    rows = sample.mapInArrow(pool, "x binary, y int").orderBy(F.xxhash64("x"), "x", "y").collect()
+    pools = sample.mapInArrow(pool, "x binary, y int").select(F.xxhash64("x").alias("hash"), "x", "y")
+    rows = sorted(pools.collect())
     y = np.array([r.y for r in rows], dtype=np.float64)
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], dtype=np.float64).reshape(len(rows), 2 * DIMENSIONS + 2)
     mean = x.mean(axis=0) if len(rows) else np.zeros(x.shape[1])

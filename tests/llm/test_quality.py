@@ -180,3 +180,78 @@ def test_contexts_are_added_up_once_per_place(monkeypatch, many):
         assert (sums == wanted).all()
         if together > 7:
             assert len(calls) == 2
+
+
+def test_words_are_split_once(monkeypatch):
+    """Counting and contexts take a word of many batches apart once, and the counts are whole."""
+    texts = [f"the Cat, {k % 7} sat## naïve{k % 3} --" for k in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a : a + 20])], ["text"]) for a in range(0, 400, 20)]
+    split = []
+
+    class Texts:
+        def mapInArrow(self, run, _):
+            self.sent = list(run(iter(batches)))
+            raise InterruptedError
+
+    monkeypatch.setattr(quality, "split_units", lambda words, shapes: (split.extend(words), split_units(words, shapes))[1])
+    for gather in (quality.GATHER, 5):
+        split.clear()
+        monkeypatch.setattr(quality, "GATHER", gather)
+        taken = Texts()
+        with pytest.raises(InterruptedError):
+            common_units(taken)
+        counts = Counter()
+        for sent in taken.sent:
+            counts.update(dict(zip(sent.column("unit").to_pylist(), sent.column("n").to_pylist(), strict=True)))
+        assert counts == Counter(u for t in texts for w in words_of(t) for u in units_of(w))
+        if gather > 5:
+            assert len(split) == len({w for t in texts for w in words_of(t)})
+    split.clear()
+    known, sums = Units({"#x": 0}), np.zeros((1, DIMENSIONS), dtype=np.int64)
+    for batch in batches:
+        quality.add_contexts(sums, known, batch.column("text"))
+    assert len(split) == len({w for t in texts for w in words_of(t)})
+
+
+def test_words_beyond_the_remembered(monkeypatch):
+    """A worker that starts afresh, or takes words in small blocks, finds the same places and hashes."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("aBé1-", k=3)) for _ in range(50)) for _ in range(30)]
+    place = {u: k for k, u in enumerate(["#x", "#X", "ab", "b", "éa", "--"])}
+    for most, together in ((quality.MOST_WORDS, quality.TOGETHER), (20, 7), (80, 7)):
+        monkeypatch.setattr(quality, "MOST_WORDS", most)
+        monkeypatch.setattr(quality, "TOGETHER", together)
+        units = Units(place)
+        for text in texts:
+            for words in quality.find_words(pa.array([text]), fold=False):
+                held, hashes, which = units.of(words)
+                pairs = [units_of(w) for w in words_of(text)]
+                assert held[which].tolist() == [[place.get(u, -1) for u in pair] for pair in pairs]
+                assert hashes[which].tolist() == [[print_of(u) for u in pair] for pair in pairs]
+
+
+def test_sums_of_more_rows_than_16_bits_hold():
+    n = 20_000
+    rows = np.full((n, DIMENSIONS), quality.LARGEST, dtype=np.int8)
+    rows[:, 1::2] *= -1
+    places = np.full(n, 3)
+    places[:5], places[5:9] = 1, -1
+    sums = np.ones((5, DIMENSIONS), dtype=np.int64)
+    quality._add_rows(sums, places, rows)
+    for place, times in enumerate([0, 5, 0, n - 9, 0]):
+        assert set(sums[place, ::2]) == {1 + times * quality.LARGEST}
+        assert set(sums[place, 1::2]) == {1 - times * quality.LARGEST}
+
+
+def test_sample_is_pooled_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(f"some words {k} " * (k % 5 + 1), k % 2) for k in range(200)]
+    sample = spark.createDataFrame(rows, "text string, y int").repartition(5)
+    quality.fit(sample.select("text"), sample.mapInArrow(count, "text string, y int"))
+    assert seen.value == 200
