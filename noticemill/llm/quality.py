@@ -149,43 +149,45 @@ class Remembered:
     """Two whole numbers of each distinct word, remembered in a worker in the order of the words' fingerprints;
     ``look`` finds those of new words."""
 
-    def __init__(self, look: Callable[[list[bytes]], np.ndarray]):
-        self.look = look
-        self.prints = np.empty(0, dtype=np.uint64)
+    def __init__(self):
+        self.known = np.empty(0, dtype=np.uint64)
         self.values = np.empty((0, 2), dtype=np.int64)
 
-    def of(self, words: Words, prints: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def look(self, words: list[bytes]) -> np.ndarray:
+        raise NotImplementedError
+
+    def numbers(self, words: Words, prints: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The numbers of a chunk's distinct words, row by row, by their fingerprints in order and where each
         comes first."""
-        if len(self.prints) > MOST_WORDS:
-            self.prints, self.values = self.prints[:0], self.values[:0]
-        at = np.searchsorted(self.prints, prints)
-        known = at < len(self.prints)
-        known[known] = self.prints[at[known]] == prints[known]
+        if len(self.known) > MOST_WORDS:
+            self.known, self.values = self.known[:0], self.values[:0]
+        at = np.searchsorted(self.known, prints)
+        old = at < len(self.known)
+        old[old] = self.known[at[old]] == prints[old]
         values = np.empty((len(prints), 2), dtype=np.int64)
-        values[known] = self.values[at[known]]
-        new = np.flatnonzero(~known)
+        values[old] = self.values[at[old]]
+        new = np.flatnonzero(~old)
         if len(new):
             raw = words.data.tobytes()
             for some in np.split(new, range(TOGETHER, len(new), TOGETHER)):
                 begins, ends = words.starts[first[some]].tolist(), words.ends[first[some]].tolist()
                 values[some] = self.look([raw[a:e] for a, e in zip(begins, ends, strict=True)])
             if len(new) <= MOST_WORDS:
-                self.prints = np.insert(self.prints, at[new], prints[new])
+                self.known = np.insert(self.known, at[new], prints[new])
                 self.values = np.insert(self.values, at[new], values[new], axis=0)
         return values
 
 
-class Units:
+class Units(Remembered):
     """Units of distinct words, remembered in a worker: places among the kept ones, and hashes."""
 
     def __init__(self, place: dict[str, int]):
+        super().__init__()
         self.place = {unit.encode(): k for unit, k in place.items()}
         # a unit's place and hash are one number
         self.shapes = Shapes(lambda unit: place.get(unit, -1) << 32 | print_of(unit))
-        self.words = Remembered(self._look)
 
-    def _look(self, words: list[bytes]) -> np.ndarray:
+    def look(self, words: list[bytes]) -> np.ndarray:
         shapes, letters = split_units(words, self.shapes)
         found = np.empty((len(words), 2), dtype=np.int64)
         found[:, 0] = shapes
@@ -197,7 +199,7 @@ class Units:
         """Per distinct word (shape, letters) as places, -1 for a unit that is not kept; per distinct word
         the hashes of both; and which of them each word of the chunk is."""
         prints, first, which = np.unique(words.prints, return_index=True, return_inverse=True)
-        values = self.words.of(words, prints, first)
+        values = self.numbers(words, prints, first)
         return values >> 32, (values & 0xFFFFFFFF).astype(np.uint64), which
 
 
@@ -265,16 +267,16 @@ class Numbered(dict):
         return number
 
 
-class Tally:
+class Tally(Remembered):
     """How often units occur. Each distinct word is split into its units once, as long as it is remembered."""
 
     def __init__(self):
+        super().__init__()
         self.units = Numbered()
         self.counts = np.zeros(0, dtype=np.int64)
         self.shapes = Shapes(lambda unit: self.units[unit.encode()])
-        self.words = Remembered(self._look)
 
-    def _look(self, words: list[bytes]) -> np.ndarray:
+    def look(self, words: list[bytes]) -> np.ndarray:
         shapes, letters = split_units(words, self.shapes)
         found = np.empty((len(words), 2), dtype=np.int64)
         found[:, 0] = shapes
@@ -283,7 +285,7 @@ class Tally:
 
     def add(self, words: Words) -> None:
         prints, first, counts = np.unique(words.prints, return_index=True, return_counts=True)
-        numbers = self.words.of(words, prints, first)
+        numbers = self.numbers(words, prints, first)
         sums = np.zeros(len(self.units), dtype=np.int64)
         sums[: len(self.counts)] = self.counts
         for side in (0, 1):
