@@ -10,6 +10,7 @@ import pytest
 from noticemill import session
 from noticemill.functions.stopwords import ENGLISH
 from noticemill.operators import similarity
+from noticemill.operators.approximate import find_duplicates_approximately
 from noticemill.operators.similarity import corpus, find_duplicates, prefix_pairs, profiles
 from noticemill.operators.tfidf import scaled, vocabulary, postings, weights
 
@@ -212,3 +213,35 @@ def test_counts_stand_for_the_vectors(spark):
         mine = similarity.weighted(r.vector, idf)
         assert r.digest == whole[r.id].digest and (mine["rank"] == cells["rank"]).all()
         assert np.allclose(mine["weight"], cells["weight"], atol=1e-12)
+
+
+@pytest.mark.parametrize("arrow", [True, False])
+@pytest.mark.parametrize("search", [find_duplicates, find_duplicates_approximately])
+def test_partners_are_found_without_moving_pairs(spark, monkeypatch, search, arrow):
+    """Asked for one in seven documents, among them copies that more than one row lists."""
+    texts = sample(14)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(similarity, "LISTED", 8)
+    monkeypatch.setattr(similarity, "PIECE_CELLS", 64)
+    duplicates = search(frame(spark, texts), "doc", stop_words=())
+    wanted = expanded(duplicates)
+    wanted |= {(b, a): s for (a, b), s in wanted.items()}
+    monkeypatch.setattr(similarity, "_arrow_opens", lambda _: arrow)
+    found = duplicates.partners_of(spark.range(0, len(texts), 7))
+    rows = found.collect()
+    got = {(r.id, r.partner): r.similarity for r in rows}
+    assert len(got) == len(rows) and set(got) == {p for p in wanted if p[0] % 7 == 0}
+    assert all(abs(got[p] - wanted[p]) < 1e-9 for p in got)
+    # no join stands between the search and the result
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("Join") > plan.index("MapInArrow")
+
+
+def test_partners_of_none_and_of_text_ids(spark):
+    texts = {0: "one two three", 1: "one two three four", 2: "one two three", 3: "other words"}
+    df = frame(spark, texts).selectExpr("concat('r', doc) AS record_id", "title", "description")
+    duplicates = find_duplicates(df, threshold=0.7)
+    asked = spark.createDataFrame([("r1",), ("r2",), ("r3",), ("r9",)], "id string")
+    got = {(r.id, r.partner) for r in duplicates.partners_of(asked).collect()}
+    assert got == {("r1", "r0"), ("r1", "r2"), ("r2", "r0"), ("r2", "r1")}
+    assert duplicates.partners_of(asked.limit(0)).count() == 0
