@@ -245,3 +245,24 @@ def test_partners_of_none_and_of_text_ids(spark):
     got = {(r.id, r.partner) for r in duplicates.partners_of(asked).collect()}
     assert got == {("r1", "r0"), ("r1", "r2"), ("r2", "r0"), ("r2", "r1")}
     assert duplicates.partners_of(asked.limit(0)).count() == 0
+
+
+def near_texts(n, words=400):
+    base = " ".join(f"word{k}" for k in range(words))
+    return {i: f"{base} extra{i:03d}" for i in range(n)}
+
+
+@pytest.mark.parametrize("limits", [{}, {"chunk": 4, "long_list": 12}])
+def test_a_search_stores_a_vector_once_and_shuffles_no_pair(spark, monkeypatch, tmp_path, limits):
+    sizes = []
+    for rows in (60, 6):
+        folder = tmp_path / f"of-{rows}"
+        monkeypatch.setattr(similarity, "BLOCK_ROWS", rows)
+        monkeypatch.setattr("noticemill.session.shared_dir", lambda _, at=folder: str(at))
+        found = find_duplicates(frame(spark, near_texts(120)), "doc", **limits).pairs
+        assert found.count() == 120 * 119 // 2
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        stored = [spark.read.parquet(str(f)) for f in folder.glob("noticemill/blocks-*")]
+        assert [t.count() for t in stored] == [120] and stored[0].select("block").distinct().count() <= -(-120 // rows)
+        sizes.append(sum(f.stat().st_size for f in folder.rglob("*.parquet")))
+    assert sizes[1] < 4 * sizes[0]
