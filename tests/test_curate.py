@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticemill.functions.hashing import content_hash
+from noticemill.operators import similarity
 from noticemill.operators.classify import train_from_seed
 from noticemill.operators.quality import split_valid
 from noticemill.operators.tables import canonical_table, raw_table
@@ -105,3 +106,17 @@ def test_process_keeps_invalid_rows_aside(spark, model, tmp_path):
     forced = process(spark, source, target, model, 1, force=True).first()
     assert (forced.processed, forced.upserted, forced.quarantined) == (3, 3, 1)
     assert {r.version for r in target.read(spark).collect()} == {2}
+
+
+def test_a_summary_shuffles_no_vector_per_block(spark, monkeypatch):
+    """Its near-duplicates come from many blocks, each stored once."""
+    words = " ".join(f"word{k}" for k in range(300))
+    items = [(f"{k}", {"title": f"T{k}", "description": f"{words} extra{k:02d}"}) for k in range(40)]
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 4)
+
+    def moved(*_):
+        raise AssertionError("vectors are shuffled once per block")
+
+    monkeypatch.setattr(similarity, "in_blocks", moved)
+    done = curate(raw(spark, *items), spark.createDataFrame([], CANONICAL), None)
+    assert done.summary().first().asDict() == {"processed": 40, "upserted": 40, "duplicates_flagged": 40 * 39 // 2}
