@@ -266,3 +266,23 @@ def test_a_search_stores_a_vector_once_and_shuffles_no_pair(spark, monkeypatch,
         assert [t.count() for t in stored] == [120] and stored[0].select("block").distinct().count() <= -(-120 // rows)
         sizes.append(sum(f.stat().st_size for f in folder.rglob("*.parquet")))
     assert sizes[1] < 4 * sizes[0]
+
+
+def test_a_block_that_is_not_whole_is_an_error(spark, tmp_path):
+    vectors = profiles(scaled(corpus(frame(spark, near_texts(9)), "doc"))).selectExpr("id", "1L AS n", "vector")
+    stored = similarity.store_blocks(vectors, 2, str(tmp_path / "blocks"))
+    assert sum(stored.rows.values()) == 9 and stored.block(7, None) is None
+    number = min(stored.rows)
+    next((tmp_path / "blocks" / f"block={number}").glob("*.parquet")).unlink()
+    with pytest.raises(OSError):
+        stored.block(number, None)
+
+
+@pytest.mark.parametrize(("blocks", "groups"), [(1, 1), (7, 7), (7, 3), (12, 5), (40, 16)])
+def test_tasks_have_each_pair_of_blocks_once(blocks, groups):
+    pairs = similarity._each_once(blocks, groups)
+    met = Counter(tuple(sorted((a, b))) for t in range(groups * (groups + 1) // 2) for a, others in pairs(t) for b in others)
+    assert met == Counter(itertools.combinations_with_replacement(range(blocks), 2))
+    crossed = similarity._crossed(blocks, 5, groups, 2)
+    met = Counter((a, b) for t in range(groups * 2) for a, others in crossed(t) for b in others)
+    assert met == Counter(itertools.product(range(blocks), range(5)))
