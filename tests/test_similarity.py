@@ -286,3 +286,14 @@ def test_tasks_have_each_pair_of_blocks_once(blocks, groups):
     crossed = similarity._crossed(blocks, 5, groups, 2)
     met = Counter((a, b) for t in range(groups * 2) for a, others in crossed(t) for b in others)
     assert met == Counter(itertools.product(range(blocks), range(5)))
+
+
+def test_counts_of_many_blocks_come_from_few_tasks(spark, monkeypatch):
+    """What a task adds up goes by the pairs of groups, not of blocks."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 2)
+    found = find_duplicates(frame(spark, near_texts(80)), "doc")
+    assert {r.id: r.n_partners for r in found.partner_counts().collect()} == {i: 79 for i in range(80)}
+    assert found.pair_count().first().n_pairs == 80 * 79 // 2
+    groups = math.ceil(math.sqrt(32 * spark.sparkContext.defaultParallelism))
+    assert found.held.blocks(similarity.FILE_BYTES, 1) == 40 > groups
+    assert found.pairs.rdd.getNumPartitions() == groups * (groups + 1) // 2
